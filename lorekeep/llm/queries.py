@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, mixing
+from lorekeep.llm import exact_dedup, mixing, packing, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +19,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sizes(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op10_mixing": op10_mixing}
+    own = (
+        op1_exact_dedup,
+        op3_wavelet_ids,
+        op9_lexical_packing,
+        op10_mixing,
+    )
+    return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
