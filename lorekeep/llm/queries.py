@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, mixing, packing, wavelet
+from lorekeep.llm import exact_dedup, jaccard, mixing, packing, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op3_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Query]:
     own = (
         op1_exact_dedup,
         op3_wavelet_ids,
+        op7_parity_join,
         op9_lexical_packing,
         op10_mixing,
     )
@@ -43,4 +48,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
