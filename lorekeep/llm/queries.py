@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, jaccard, mixing, packing, wavelet
+from lorekeep.llm import exact_dedup, jaccard, mixing, neighbours, packing, quality, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -39,7 +48,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = (
         op1_exact_dedup,
+        op2_byte_quality,
         op3_wavelet_ids,
+        op4_block_neighbours,
         op7_parity_join,
         op9_lexical_packing,
         op10_mixing,
@@ -48,4 +59,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_block_neighbours": neighbours.OP4_SQL,
+        "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
