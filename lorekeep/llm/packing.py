@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, w
     def pack_shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "ids"], na_position="first", kind="stable")
         shard = int(frame["shard"].iloc[0])
-        ids = [np.frombuffer(zlib.decompress(x), "<u2") for x in frame["ids"]]
+        ids = [np.frombuffer(x, "<u2") for x in frame["ids"]]
         keys = frame["doc_id"].tolist()
         at, start, length, sequence, offset = map(np.array, zip(*fill_windows(ids), strict=True))
         cuts = [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(at, start, length, strict=True)]

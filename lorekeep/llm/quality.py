@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int =
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    bad, good = known.agg(F.count_if("quality = 0"), F.count_if("quality = 1")).first()
+    bad, good = known.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     texts = texts.where(F.octet_length("text") <= longest)
     picked = [

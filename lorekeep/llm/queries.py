@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, jaccard, mixing, neighbours, packing, quality, wavelet
+from lorekeep.llm import exact_dedup, jaccard, mixing, neighbours, packing, pii, quality, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         op2_byte_quality,
         op3_wavelet_ids,
         op4_block_neighbours,
+        op6_disclosure,
         op7_parity_join,
         op9_lexical_packing,
         op10_mixing,

@@ -17,6 +17,9 @@ import numpy as np
 CACHE_WORDS = 1_000_000
 #: White space beyond blank and 09 to 0D, on which libraries differ: texts that hold it take the careful way.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
+_BEFORE_BLANK = tuple(c + " " for c in " \t\n\x0b\x0c\r" + _ODD_ASCII)
+BLANK = "\u0120"  # how byte-level vocabularies spell a blank
 #: Marks that may end a word; a run of them is one piece of its own in either vocabulary.
 _MARKS = ".,;:!?*$#%&|)(-"
 #: A blank inside a run of white space, or one that ends such a run at the end of the text.
@@ -97,31 +100,51 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.words, self.pieces = _Words(self._new_words), {}
 
+    @staticmethod
+    def _inner_blank(text: str) -> bool:
+        if text.isascii() and not any(pair in text for pair in _BEFORE_BLANK):
+            return False
+        return _INNER_BLANK.search(text) is not None
+
+    @staticmethod
+    def _odd_space(text: str) -> bool:
+        if text.isascii():
+            return any(c in text for c in _ODD_ASCII)
+        return _ODD_SPACE.search(text) is not None
+
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _merged(self, piece: str) -> tuple[int, ...]:
         """Ids of one run of letters or of marks, by the vocabulary's merges alone."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        if self.blanks:
+            piece = piece.replace(" ", BLANK)
+        return tuple([token.id for token in self.tokenizer.model.tokenize(piece)])
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = tuple([token.id for token in self.tokenizer.model.tokenize(spelt)])
+            ids = self.pieces[piece] = self._merged(piece)
         return ids
 
-    def _new_words(self, words: list[str]) -> list[list[int]]:
+    def _new_words(self, words: list[str]) -> list[tuple[int, ...] | list[int]]:
         """A word of Latin-1 letters and closing marks is two pieces; the library encodes any other."""
-        out: list[list[int] | None] = []
+        out: list = []
         other = []
         blank = " " if self.blanks else ""
         for word in words:
-            stem = word.rstrip(_MARKS)
-            if stem.isalpha() and max(stem) < "\u0100":
-                marks = word[len(stem) :]
-                ids = self._piece(blank + stem if self.blanks else stem.lower())
-                out.append(ids + self._piece(marks) if marks else ids)
-            else:
+            stem = word if word.isalpha() else word.rstrip(_MARKS)
+            if not (stem.isalpha() and (self.blanks or stem.isascii() or max(stem) < "\u0100")):
                 out.append(None)
                 other.append(blank + word)
+                continue
+            piece = blank + stem if self.blanks else stem.lower()
+            if len(stem) == len(word):
+                out.append(self.pieces.get(piece) or self._merged(piece))
+            else:
+                out.append(self._piece(piece) + self._piece(word[len(stem) :]))
         if other:
             rest = iter(self._batch(other))
             out = [next(rest) if ids is None else ids for ids in out]
@@ -136,13 +159,13 @@ class WordTokenizer:
         for n, text in enumerate(texts):
             parts: list[str] = []
             if self.blanks:
-                if _INNER_BLANK.search(text):
+                if self._inner_blank(text):
                     heads.append("")
                     whole.append(n)
                 else:
                     head, *parts = text.split(" ")
                     heads.append(head)
-            elif _ODD_SPACE.search(text):
+            elif self._odd_space(text):
                 parts = [w.decode() for w in text.encode().split()]
             else:
                 parts = text.split()

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ CHUNK = 400
 
 
 def tokenised(docs: DataFrame, path: str, blanks: bool, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian 16-bit, zlib), n_tokens; null texts are empty, the end id is appended."""
+    """doc_id, ids (little-endian 16-bit), n_tokens; null texts are empty, the end id is appended."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = tokenizer(path, blanks)
@@ -47,7 +48,7 @@ def tokenised(docs: DataFrame, path: str, blanks: bool, end_id: int) -> DataFram
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].array,
-                        "ids": [zlib.compress(one.astype("<u2").tobytes(), 1) for one in ids],
+                        "ids": [one.astype("<u2").tobytes() for one in ids],
                         "n_tokens": [len(one) for one in ids],
                     }
                 )
@@ -76,16 +77,17 @@ class WaveletMatrix:
         return cls(planes, len(ids))
 
     def to_bytes(self) -> bytes:
-        packed = [zlib.compress(np.packbits(p, bitorder="little").tobytes(), 1) for p in self.bits]
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        packed = [squeeze(np.packbits(p, bitorder="little").tobytes()) for p in self.bits]
         head = struct.pack(f"<Q{len(packed)}Q", self.n, *map(len, packed))
         return head + b"".join(packed)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         n, *sizes = struct.unpack_from(f"<Q{PLANES}Q", data)
-        at, planes = 8 * (PLANES + 1), []
+        at, planes, expand = 8 * (PLANES + 1), [], zstandard.ZstdDecompressor().decompress
         for size in sizes:
-            raw = np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8)
+            raw = np.frombuffer(expand(data[at : at + size]), np.uint8)
             planes.append(np.unpackbits(raw, count=n, bitorder="little").astype(bool))
             at += size
         return cls(planes, n)
@@ -198,7 +200,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
             for key, data, part in zip(frame["doc_id"], frame["ids"], frame["part"], strict=True):
                 task = int(part)
                 doc_ids.append(None if key is None or pd.isna(key) else int(key))
-                ids.append(np.frombuffer(zlib.decompress(data), "<u2"))
+                ids.append(np.frombuffer(data, "<u2"))
                 held += len(ids[-1])
                 if held >= shard_ids:
                     yield close()
