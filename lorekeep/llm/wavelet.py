@@ -64,16 +64,20 @@ class WaveletMatrix:
 
     def __init__(self, planes: list[np.ndarray], n: int) -> None:
         self.bits, self.n = planes, n
-        self.zeros = [n - int(p.sum(dtype=np.int64)) for p in planes]
+        self.zeros = [n - int(np.count_nonzero(p)) for p in planes]
         self.ones: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         planes, now = [], ids.astype(np.uint16)
         for b in range(PLANES - 1, -1, -1):
-            bit = (now >> np.uint16(b)) & np.uint16(1) > 0
+            bit = (now & np.uint16(1 << b)).astype(bool)
             planes.append(bit)
-            now = np.concatenate([now[~bit], now[bit]])
+            ones = int(np.count_nonzero(bit))
+            split = np.empty_like(now)
+            np.compress(~bit, now, out=split[: len(now) - ones])
+            np.compress(bit, now, out=split[len(now) - ones :])
+            now = split
         return cls(planes, len(ids))
 
     def to_bytes(self) -> bytes:
@@ -146,8 +150,10 @@ class WaveletMatrix:
         for plane in range(PLANES - 1, -1, -1):
             bit, zeros = self.bits[plane], self.zeros[plane]
             before = np.empty(self.n, np.uint16)
-            before[~bit] = now[:zeros]
-            before[bit] = now[zeros:] | np.uint16(1 << (PLANES - 1 - plane))
+            if zeros:
+                np.place(before, ~bit, now[:zeros])
+            if zeros < self.n:
+                np.place(before, bit, now[zeros:] | np.uint16(1 << (PLANES - 1 - plane)))
             now = before
         return now
 
