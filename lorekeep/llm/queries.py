@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, jaccard, mixing, neighbours, packing, pii, quality, wavelet
+from lorekeep.llm import exact_dedup, jaccard, licences, mixing, neighbours, packing, pii, quality, urls, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def op4_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op5_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.licence_findings(table(spark, sf_dir, "documents")))
+
+
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
@@ -40,6 +45,14 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = urls.filter_captures(urls.page_captures(pages), urls.page_entries(pages))
+    return judged.select(
+        F.col("id").alias("page_id"), "url", F.unix_timestamp("fetched").alias("fetched"), "host", "matched", "action"
+    )
+
+
 def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,8 +68,10 @@ def queries() -> dict[str, Query]:
         op2_byte_quality,
         op3_wavelet_ids,
         op4_block_neighbours,
+        op5_licence_classifier,
         op6_disclosure,
         op7_parity_join,
+        op8_temporal_list,
         op9_lexical_packing,
         op10_mixing,
     )
@@ -65,4 +80,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_block_neighbours": neighbours.OP4_SQL,
+        "op8_temporal_list": urls.OP8_SQL,
         "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
