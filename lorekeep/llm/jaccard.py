@@ -28,7 +28,7 @@ KEY_BITS = 48
 #: Cuts tried by documents with many empty parts; under the last one empty parts are keys as well.
 CUTS = 4
 #: Rounds in which a parity's classes are compared with one hub before they are compared pair by pair.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Class numbers (8 bytes each) of the candidates are broadcast up to this many.
 BROADCAST_CANDIDATES = 400_000
 #: Words kept in a worker's table of word hashes; a full table is emptied.
@@ -111,6 +111,21 @@ class Bands:
             band += 1
         return [band, band + 1] if self.den * size >= self.num * (self.upper(band) + 1) else [band]
 
+    def sketch(self, hashes: np.ndarray) -> bytes:
+        """Parity of the hashes at each of M bits, M a power of two that grows with the band."""
+        bits = 8 << self.of(len(hashes))[0]
+        counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+        return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+    def far(self, a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
+        """Whether the sketches alone show that two sets are not within the threshold."""
+        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        if len(x) != len(y):  # the longer one folds onto the shorter
+            x, y = (x, y) if len(x) < len(y) else (y, x)
+            y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+        apart = int(np.bitwise_count(x ^ y).sum())
+        return apart * (self.den + self.num) > (self.den - self.num) * (size_a + size_b)
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Parity keys of a set; none where only an equal set is within the threshold."""
         n = len(hashes)
@@ -141,7 +156,7 @@ class Bands:
 
 
 def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, set_a and set_b (the set's signature), keys; stored."""
+    """rid, doc_id, text_hash, n_shingles, set_a and set_b (the set's signature), bits (its sketch), keys; stored."""
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, bands = Shingles(width), Bands(num, den)
@@ -153,15 +168,15 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 a = int(own.sum(dtype=np.uint64).view(np.int64))
                 b = int(np.bitwise_xor.reduce(_mixed(own + _ODD[3])).view(np.int64)) if len(own) else 0
                 mark = (len(own), a, b)
-                rows.append((*mark, [] if mark in seen else bands.keys(own)))
+                rows.append((*mark, bands.sketch(own), [] if mark in seen else bands.keys(own)))
                 seen.add(mark)
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "keys"])
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bits", "keys"])
             yield frame[["doc_id", "text_hash"]].reset_index(drop=True).join(out)
 
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     made = texts.mapInPandas(
-        sketch, "doc_id string, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>"
+        sketch, "doc_id string, text_hash long, n_shingles long, set_a long, set_b long, bits binary, keys array<long>"
     )
     return stored(
         made.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", F.monotonically_increasing_id()),
@@ -169,6 +184,21 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     )
 
 
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches do not show that they are too far apart."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = Bands(num, den)
+        for frame in frames:
+            columns = (frame[c] for c in ("bits_a", "bits_b", "n_a", "n_b"))
+            keep = [not bands.far(a, b, m, n) for a, b, m, n in zip(*columns, strict=True)]
+            yield frame.loc[keep, ["a", "b"]]
+
+    left = classes.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a"), F.col("n_shingles").alias("n_a"))
+    right = classes.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b"), F.col("n_shingles").alias("n_b"))
+    return stored(pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long"), "near-pairs")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts are within the threshold."""
 
@@ -204,7 +234,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     heads = sketched.where("n_shingles > 0").groupBy(*own).agg(F.min(order).alias("head"))
     heads = heads.select(*own, F.col("head.rid").alias("rep"), F.col("head.doc_id").alias("class_id"))
-    members = sketched.select("rid", "doc_id", "text_hash", *own).join(heads, own, "left")
+    members = sketched.select("rid", "doc_id", "text_hash", "bits", *own).join(heads, own, "left")
     members = members.withColumn("class_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     members = stored(members.withColumn("rep", F.coalesce("rep", "rid")).drop("set_a", "set_b"), "members")
 
@@ -213,8 +243,8 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     found = postings.join(shared, "key").join(members.select("rid", "rep", "n_shingles"), "rid")
     postings = stored(found.select("key", "rep", "n_shingles").distinct(), "postings")
 
-    classes = members.where("rid = rep").select("rep", "doc_id", "text_hash")
-    links, tested, apart, texts = None, None, postings.withColumn("component", F.col("rep")), None
+    classes = members.where("rid = rep").select("rep", "doc_id", "text_hash", "bits", "n_shingles")
+    reached, tested, apart = None, None, postings.withColumn("component", F.col("rep"))
     for step in range(HUB_ROUNDS + 1):
         spread = apart.groupBy("key").agg(
             F.min("component").alias("low"),
@@ -247,16 +277,16 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
                 continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if texts is None:
-            texts = _texts_of(docs, classes, postings)
-        new = _verified(pairs, texts, width, num, den)
-        links = new if links is None else links.unionByName(new)
+        near = _near(pairs, classes, num, den)
+        links = _verified(near, _texts_of(docs, classes, near), width, num, den)
+        if reached is not None:
+            links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
         reached = stored(components(links), "components")
         apart = postings.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "component", F.coalesce("component", "rep")
         )
     out = members.select("rid", "doc_id", "n_shingles", "class_id", "rep")
-    if links is None:
+    if reached is None:
         return out.select("doc_id", "n_shingles", "class_id", F.col("class_id").alias("component_id"))
     best = reached.join(members.where("rid = rep").select(F.col("rep").alias("node"), "class_id"), "node")
     best = best.groupBy("component").agg(F.min("class_id").alias("component_id"))
@@ -266,9 +296,10 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     )
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
-    """rep, text of the classes that share a parity with another one."""
-    wanted = stored(classes.join(postings.select("rep").distinct(), "rep", "left_semi"), "wanted").select(
+def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rep, text of the classes that some pair holds."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = stored(classes.join(asked, "rep", "left_semi"), "wanted").select(
         "rep", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")
     )
     wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_CANDIDATES)
