@@ -22,11 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lorekeep-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": compression, "parquet.compression.codec.zstd.level": "1"}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

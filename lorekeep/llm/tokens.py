@@ -49,8 +49,8 @@ class _Words:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.lengths = np.zeros(1024, np.int64)
-        self.starts = np.zeros(1024, np.int64)
+        self.lengths = np.zeros(1024, np.int32)
+        self.starts = np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, np.uint16), 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -76,9 +76,10 @@ class _Words:
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.lengths[numbers]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)
+        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        at += np.arange(total, dtype=np.int32)
         return self.flat[at], sizes
 
 

@@ -217,7 +217,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
     dealt = encoded.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids", F.spark_partition_id().alias("part"))
-    return stored(dealt.mapInPandas(build, "shard long, n_tokens long, file binary"), "wavelet-shards")
+    return stored(dealt.mapInPandas(build, "shard long, n_tokens long, file binary"), "wavelet-shards", "uncompressed")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
