@@ -1 +1,191 @@
-"""Queries."""
+"""Queries over lookup telemetry, judgements and evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.operators import evaluation as E
+from lorekeep.plans.fixtures import CALLS, calls, table
+from lorekeep.plans.registry import query
+
+REASON = """CASE WHEN ts < TIMESTAMP '2024-01-05' OR ts >= TIMESTAMP '2024-01-25' THEN 'out_of_range' WHEN NOT starts_with(version, 'v1') THEN 'version_mismatch'
+  WHEN call_id % 13 = 0 THEN 'selftest' WHEN qid = 11 THEN 'turn_missing' WHEN tool <> 'view' THEN 'first_retrieval_other' END"""
+
+
+@query(f"WITH {CALLS} SELECT coalesce({REASON}, 'kept') AS reason, count(*) AS rows FROM calls GROUP BY 1")
+def p3_cohort_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir).withColumn("qid", F.when(F.col("qid") != 11, F.col("qid")))
+    since, until = F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-25").cast("timestamp")
+    return E.cohort_counts(E.cohort_reasons(rows, since, until, "v1", F.col("call_id") % 13 == 0, "view"))
+
+
+@query(f"WITH {CALLS} SELECT call_id, version LIKE 'v%-b1' AS glob, starts_with(version, 'v2') OR split_part(version, '-', 1) = 'v2' AS prefix FROM calls")
+def p4_version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir).select("call_id", E.version_match(F.col("version"), "v*-b1").alias("glob"), E.version_match(F.col("version"), "v2").alias("prefix"))
+
+
+@query(f"""WITH {CALLS}, g AS (SELECT arm, session, qid, count(*) AS attempts, max((hits > 0)::INT) AS solved FROM calls GROUP BY ALL),
+bg AS (SELECT arm, count(*) AS groups, avg(attempts) AS attempts, avg((attempts <= 3 AND solved = 1)::INT) AS converged FROM g GROUP BY arm)
+SELECT arm, count(*) AS n, count(DISTINCT qid) AS questions, avg((hits > 0)::INT) AS found_rate, trunc(median(ms))::BIGINT AS median_ms,
+  list_sort(list(ms))[greatest(0, floor(count(*) * 0.9)::INT - 1) + 1] AS p90_ms, sum(hits)::BIGINT AS hits, (sum(queries) FILTER (has_io))::BIGINT AS io_queries,
+  count(*) FILTER (has_io AND hits = 0) / count(*) FILTER (has_io) AS empty_rate, count(*) FILTER (has_io AND degraded) / count(*) FILTER (has_io) AS degraded_rate,
+  any_value(bg.groups) AS groups, any_value(bg.attempts) AS attempts, any_value(bg.converged) AS converged
+FROM calls JOIN bg USING (arm) GROUP BY arm""")
+def a6_arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.arm_summary(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALLS} SELECT tool, count(*) FILTER (arm = 'hint' AND hits > 0) AS hint_solved, count(*) FILTER (arm = 'hint') AS hint_total,
+  count(*) FILTER (arm = 'plain' AND hits > 0) AS plain_solved, count(*) FILTER (arm = 'plain') AS plain_total FROM calls GROUP BY tool""")
+def a7_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.by_category(calls(spark, sf_dir), "tool")
+
+
+@query(f"WITH {CALLS} SELECT split_part(version, '-', 1) AS algorithm, arm, count(*) AS n, sum(hits)::BIGINT AS hits, trunc(median(ms))::BIGINT AS median_ms FROM calls GROUP BY 1, 2")
+def a8_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.by_version(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALLS} SELECT qid, array_to_string(list_sort(list(DISTINCT tool)), ',') AS shapes, count(*) FILTER (arm = 'hint') AS hint_rounds, count(*) FILTER (arm <> 'hint') AS plain_rounds,
+  coalesce(sum(hits) FILTER (arm = 'hint'), 0)::BIGINT AS hint_hits, coalesce(sum(queries) FILTER (arm = 'hint'), 0)::BIGINT AS hint_queries,
+  count(*) FILTER (arm = 'hint' AND hits = 0) AS hint_empty, coalesce(sum(ms) FILTER (arm = 'hint'), 0)::BIGINT AS hint_ms FROM calls GROUP BY qid""")
+def a9_by_question_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.by_question_group(calls(spark, sf_dir))
+
+
+PAIRS = f"""{CALLS}, pairs AS (SELECT session, qid, CASE WHEN count(DISTINCT arm) > 1 THEN 'both' ELSE any_value(arm) END AS seen_by FROM calls GROUP BY ALL)"""
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
+def a10_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.pairing(calls(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS} SELECT call_id, session, qid, arm FROM calls SEMI JOIN (SELECT * FROM pairs WHERE seen_by = 'both') USING (session, qid)")
+def a10_paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.paired_rows(calls(spark, sf_dir)).select("call_id", "session", "qid", "arm")
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: parts got, expected, forbidden, and groups of which any will do."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("x", F.col("l_partkey") % 40)
+    own = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("x"))))
+    n = F.col("l_linenumber")
+    sets = lines.groupBy("l_orderkey").agg(own(n <= 4).alias("got"), own((n % 2 == 0) & (F.col("x") >= 10)).alias("expected"), own(n == 7).alias("forbidden"))
+    key = F.col("l_orderkey") % 9
+    return sets.withColumn("any_of", F.array(F.array(key, key + 1), F.array(key + 2)))
+
+
+SETS = """sets AS (SELECT l_orderkey, list_sort(coalesce(list(DISTINCT x) FILTER (n <= 4), [])) AS got,
+  list_sort(coalesce(list(DISTINCT x) FILTER (n % 2 = 0 AND x >= 10), [])) AS expected, coalesce(list(DISTINCT x) FILTER (n = 7), []) AS forbidden,
+  l_orderkey % 9 AS k FROM (SELECT *, l_partkey % 40 AS x, l_linenumber AS n FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY l_orderkey),
+parts AS (SELECT *, [k, k + 1] AS g1, [k + 2] AS g2, list_has_any(got, [k, k + 1]) AS h1, list_has_any(got, [k + 2]) AS h2,
+  len(list_filter(expected, lambda e: NOT list_contains(got, e))) AS m,
+  len(list_filter(got, lambda e: NOT list_contains(expected, e) AND NOT list_contains([k, k + 1, k + 2], e))) AS x,
+  len(list_filter(got, lambda e: list_contains(expected, e) OR list_contains([k, k + 1, k + 2], e))) AS raw,
+  len(list_filter(got, lambda e: list_contains(forbidden, e))) AS bad FROM sets),
+scored AS (SELECT *, CASE WHEN len(got) = 0 THEN 0 ELSE raw / len(got) END AS precision,
+  (len(expected) - m + h1::INT + h2::INT) / (len(expected) + 2) AS recall FROM parts)"""
+
+
+@query(f"""WITH {SETS} SELECT l_orderkey, (m + (NOT h1)::INT + (NOT h2)::INT)::INTEGER AS n_missing, x::INTEGER AS n_extra, bad::INTEGER AS n_forbidden, precision::DOUBLE AS precision, recall,
+  CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1, m + (NOT h1)::INT + (NOT h2)::INT + x + bad = 0 AS strict FROM scored""")
+def a11_compare_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.compare_sets(*(F.col(c) for c in ("got", "expected", "forbidden", "any_of")))
+    return _sets(spark, sf_dir).select("l_orderkey", *[c.alias(name) for name, c in found.items()])
+
+
+@query(f"""WITH {SETS}, j AS (SELECT l_orderkey % 4 <> 0 AS matched, recall >= 0.5 AS ok, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1, l_orderkey % 30 AS grp FROM scored)
+SELECT avg(matched::INT) AS coverage, avg(ok::INT) FILTER (matched) AS accuracy, avg(f1) FILTER (matched) AS mean_f1,
+  (SELECT avg(a) FROM (SELECT avg(ok::INT) AS a FROM j WHERE matched GROUP BY grp)) AS group_accuracy FROM j""")
+def a12_judge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.compare_sets(*(F.col(c) for c in ("got", "expected", "forbidden", "any_of")))
+    key = F.col("l_orderkey")
+    rows = _sets(spark, sf_dir).select((key % 4 != 0).alias("matched"), (found["recall"] >= 0.5).alias("ok"), found["f1"].alias("f1"), (key % 30).alias("grp"))
+    return E.judge_stats(rows)
+
+
+@query(f"""WITH {CALLS}, b AS (SELECT session * 100 + qid AS qid, max(hits / 6) AS score FROM calls GROUP BY ALL)
+SELECT threshold::DOUBLE AS threshold, count(*) FILTER (score >= threshold) AS matches FROM b, unnest([0.2, 0.4, 0.5, 0.6, 0.8, 0.95]::DOUBLE[]) t(threshold) GROUP BY 1""")
+def a13_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = calls(spark, sf_dir).select((F.col("session") * 100 + F.col("qid")).alias("qid"), (F.col("hits") / 6).alias("score"))
+    return E.threshold_sweep(scored, [0.2, 0.4, 0.5, 0.6, 0.8, 0.95])
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    status = F.when(F.col("l_returnflag") == "A", "present").when(F.col("l_returnflag") == "N", "absent_verified").when(F.col("l_linenumber") % 2 == 0, "unavailable")
+    confidence = F.when(F.col("l_linenumber") % 3 == 0, F.lit("high")).otherwise((F.col("l_discount") * 10).cast("string"))
+    facts = lines.select(F.col("l_orderkey").alias("rule"), status.alias("status"), confidence.alias("confidence"),
+        F.when(F.col("l_linestatus") == "F", "document").otherwise("rumour").alias("source_type"), F.when(F.col("l_tax") > 0, "q").alias("quote"),
+        F.when(F.col("l_tax") > 0.02, "p1").otherwise("").alias("locator"), (F.col("l_linenumber") == 1).alias("required"))
+    checks = lines.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("rule"), (F.col("l_quantity") > 20).alias("passed"))
+    return facts, checks
+
+
+@query("""WITH l AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'present' WHEN l_returnflag = 'N' THEN 'absent_verified' WHEN l_linenumber % 2 = 0 THEN 'unavailable' ELSE 'present' END AS status,
+  CASE WHEN l_linenumber % 3 = 0 THEN 0.9 ELSE greatest(0, least(1, l_discount * 10)) END AS conf FROM lineitem WHERE l_orderkey % 3 = 0),
+f AS (SELECT l_orderkey AS rule, avg(CASE status WHEN 'unavailable' THEN 0.2 ELSE 1 END) AS coverage,
+  avg(conf * CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0.5 END) FILTER (status <> 'unavailable') AS trust,
+  avg((l_tax > 0 AND l_tax > 0.02)::INT) AS traced, max((l_linenumber = 1 AND status = 'unavailable')::INT) AS blocked FROM l GROUP BY 1),
+c AS (SELECT l_orderkey AS rule, avg((l_quantity > 20)::INT) AS checked FROM l WHERE l_orderkey % 2 = 0 GROUP BY 1),
+s AS (SELECT rule, 0.45 * coverage + 0.30 * coalesce(trust, 0) + 0.15 * traced + 0.10 * coalesce(checked, 0.6) AS score, blocked FROM f LEFT JOIN c USING (rule))
+SELECT rule, round(score, 6) AS score, CASE WHEN blocked = 1 OR round(score, 6) < 0.6 THEN 'insufficient' ELSE 'ok' END AS gate, CASE WHEN round(score, 6) >= 0.8 THEN 'high' WHEN round(score, 6) >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM s""")
+def a14_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evidence_score(*_facts(spark, sf_dir), 0.6).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH i AS (SELECT l_partkey % 40 AS rule, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'open' ELSE 'fail' END AS verdict, CASE WHEN l_tax > 0.01 THEN 'q' END AS quote, CASE WHEN l_quantity > 49 THEN 'high' ELSE 'low' END AS severity
+  FROM lineitem WHERE l_partkey % 40 < 35), r AS (SELECT p_partkey AS rule FROM part WHERE p_partkey < 40),
+g AS (SELECT rule, count(*) FILTER (verdict = 'pass') AS n_pass, count(*) FILTER (verdict = 'open') AS n_open, count(*) FILTER (verdict = 'fail') AS n_fail, count(verdict) AS n,
+  avg((coalesce(quote, '') <> '')::INT) FILTER (verdict IS NOT NULL) AS traceable, count(*) FILTER (verdict = 'fail' AND severity = 'high') AS vetoes FROM r LEFT JOIN i USING (rule) GROUP BY rule)
+SELECT *, CASE WHEN n = 0 THEN 'not_triggered' WHEN vetoes > 0 THEN 'insufficient' ELSE 'ok' END AS gate FROM g""")
+def a15_rule_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "N", "open").otherwise("fail")
+    items = table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 35").select((F.col("l_partkey") % 40).alias("rule"), verdict.alias("verdict"),
+        F.when(F.col("l_tax") > 0.01, "q").alias("quote"), F.when(F.col("l_quantity") > 49, "high").otherwise("low").alias("severity"))
+    rules = table(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("rule"))
+    return E.rule_run_summary(items, rules, ["pass", "open", "fail"])
+
+
+@query(f"""WITH {CALLS} SELECT tool, count(*) AS calls, count(*) FILTER (has_io) AS known, (sum(queries) FILTER (has_io))::BIGINT AS queries, sum(ms)::BIGINT AS ms,
+  count(*) FILTER (has_io AND hits = 0) / count(*) FILTER (has_io) AS empty_rate FROM calls GROUP BY tool""")
+def a29_io_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.io_totals(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALLS}, s AS (SELECT tool, session, sum(ms)::BIGINT AS ms FROM calls GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY tool ORDER BY ms DESC, session)::INTEGER AS place FROM s QUALIFY place <= 6""")
+def a29_top_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.top_callers(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALLS} SELECT tool, count(DISTINCT (qid, hits)) AS cases, count(*) FILTER (hits = 0) AS silent, count(*) FILTER (hits > 0 AND NOT degraded) AS ok, count(*) FILTER (hits > 0 AND degraded) AS ok_degraded FROM calls GROUP BY tool""")
+def a19_coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.coverage_matrix(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALLS}, s AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, call_id) AS seq FROM calls WHERE call_id < 1200),
+p AS (SELECT session, count(*) AS n, count(*) FILTER (tool = 'error') AS bad, [x FOR x IN [min(seq) FILTER (tool = 'signup'), min(seq) FILTER (tool = 'view'), min(seq) FILTER (tool = 'click'), min(seq) FILTER (tool = 'purchase')] IF x IS NOT NULL] AS seen FROM s GROUP BY session),
+q AS (SELECT session, 1 - bad / n AS accuracy, len(seen) / 4 AS coverage, seen = list_sort(seen) AS monotone FROM p),
+r AS (SELECT *, (accuracy + coverage) / 2 * CASE WHEN monotone THEN 1 ELSE 0.8 END AS score FROM q)
+SELECT *, CASE WHEN score >= 0.8 THEN 'conforms' WHEN score >= 0.5 THEN 'partly' ELSE 'deviates' END AS verdict FROM r""")
+def a26_call_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.conformance(calls(spark, sf_dir).where("call_id < 1200"), ["signup", "view", "click", "purchase"], ["error"])
+
+
+@query(f"""WITH {CALLS}, s AS (SELECT session, tool, sum(hits) AS score FROM calls GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY score DESC) AS place FROM s)
+SELECT session, any_value(tool) AS tool, any_value(score)::BIGINT AS score FROM r WHERE place = 1 GROUP BY session HAVING count(*) = 1""")
+def w9_strict_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = calls(spark, sf_dir).groupBy("session", "tool").agg(F.sum("hits").alias("score"))
+    return E.strict_best(scored, "session", "tool")
+
+
+@query(f"""WITH {CALLS}, l AS (SELECT call_id AS left_id, session, qid, ts FROM calls WHERE call_id % 2 = 0), r AS (SELECT call_id AS right_id, session AS s, qid AS q, ts AS t FROM calls WHERE call_id % 6 = 1),
+x AS (SELECT left_id, right_id, q = qid AS same, abs(epoch_us(ts) - epoch_us(t)) AS gap FROM l JOIN r ON s = session WHERE q = qid OR abs(epoch_us(ts) - epoch_us(t)) <= 1800000000),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY same DESC, gap, right_id) = 1)
+SELECT left_id, right_id, CASE WHEN same IS NULL THEN 'none' WHEN same THEN 'exact' ELSE 'near' END AS linked FROM l LEFT JOIN b USING (left_id)""")
+def j9_link_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = calls(spark, sf_dir)
+    return E.link_nearest(c.where("call_id % 2 = 0").withColumnRenamed("call_id", "left_id"), c.where("call_id % 6 = 1").withColumnRenamed("call_id", "right_id"), 1800)
