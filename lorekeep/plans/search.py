@@ -1 +1,131 @@
-"""Queries."""
+"""Queries over search, catalogues, resolution and near duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.functions import text as T
+from lorekeep.operators import search as S
+from lorekeep.plans.fixtures import KB_PAGES, kb_pages, table
+from lorekeep.plans.registry import query
+
+
+def _near_sql(t: float, u: float) -> str:
+    return f"""WITH {KB_PAGES}, c AS (SELECT page_type, title || ' ' || summary AS body, min(page_id) AS id, count(*) AS pages FROM kb_pages WHERE title || ' ' || summary <> '' GROUP BY 1, 2),
+s AS (SELECT id, page_type, pages, CASE WHEN length(body) < 3 THEN [body] ELSE list_distinct([substr(body, i::INT, 3) FOR i IN range(1, length(body) - 1)]) END AS g FROM c),
+e AS (SELECT id, page_type, pages, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.pages) AS a_pages, any_value(b.pages) AS b_pages, round(count(*) / sqrt(any_value(a.n)::DOUBLE * any_value(b.n)), 9) AS cosine, any_value(a.page_type) = any_value(b.page_type) AS same
+  FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a, b, a_pages, b_pages, cosine FROM p WHERE cosine >= CASE WHEN same THEN {t} ELSE {u} END"""
+
+
+@query(_near_sql(0.86, 0.93))
+def j7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = kb_pages(spark, sf_dir).select("page_id", "page_type", F.concat("title", F.lit(" "), "summary").alias("body"))
+    return S.near_duplicates(pages)
+
+
+@query(f"""WITH {KB_PAGES}, h AS (SELECT kb_id, slug, contains(title, 'The') OR contains(content, 'The') AS a, contains(title, 'this is') OR contains(content, 'this is') AS b FROM kb_pages WHERE NOT contains(content, 'idiot'))
+SELECT kb_id, slug, false AS relaxed FROM h WHERE a AND b""")
+def p2_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.keyword_filter(kb_pages(spark, sf_dir), '"this is" The -idiot', "title", "content").select("kb_id", "slug", "relaxed")
+
+
+@query(f"""WITH {KB_PAGES} SELECT kb_id, slug, true AS relaxed FROM kb_pages WHERE contains(title, 'pathetic') OR contains(content, 'pathetic') OR contains(title, 'zzz-none') OR contains(content, 'zzz-none')""")
+def p2_keyword_filter_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.keyword_filter(kb_pages(spark, sf_dir), "pathetic zzz-none", "title", "content").select("kb_id", "slug", "relaxed")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_brand), 'brand#1') AND p_type = 'ECONOMY'")
+def p5_catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.catalog_search(table(spark, sf_dir, "part"), {"p_name": "RING", "p_brand": "Brand#1"}, {"p_type": "ECONOMY", "p_size": None}).select("p_partkey", "p_name")
+
+
+@query("""SELECT conv_id, turn, array_to_string(CASE WHEN role = 'system' THEN [1, 2, 3] ELSE list_filter([conv_id % 5, 2, 7], lambda x: x IN (1, 2, 3)
+  AND x IS NOT NULL) END, ',') AS scope FROM (SELECT * FROM conversations WHERE conv_id % 5 <> 2)""")
+def p6_allowed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lits = lambda *v: F.array(*[F.lit(x).cast("bigint") for x in v])
+    scope = S.allowed_scope(lits(1, 2, 3), F.array(F.col("conv_id") % 5), lits(2, 7), F.when(F.col("role") == "system", "all"))
+    return table(spark, sf_dir, "conversations").where("conv_id % 5 != 2").select("conv_id", "turn", F.array_join(scope, ",").alias("scope"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS o_orderstatus, o_orderstatus NOT IN ('O', 'F') AS unmapped FROM orders")
+def p8_map_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.map_enums(table(spark, sf_dir, "orders"), "o_orderstatus", {"O": "open", "F": "filled"}).select("o_orderkey", "o_orderstatus", "unmapped")
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) > 12)) AS n, conv_id % 3 AS c, text FROM conversations)
+SELECT conv_id, turn, n::INTEGER AS n_terms, CASE WHEN n >= 3 THEN '3+' ELSE n::VARCHAR END AS bucket, CASE WHEN n = 0 AND c = 0 THEN 'empty' WHEN c = 0 THEN 'terms' WHEN n = 0 THEN 'class' ELSE 'class+terms' END || '/' || CASE WHEN n >= 3 THEN '3+' ELSE n::VARCHAR END AS shape,
+  CASE WHEN contains(text, '"') THEN 'phrase' WHEN regexp_matches(text, '(^|\s)-\w') THEN 'exclude' WHEN contains(text, '?') THEN 'question' WHEN len(string_split_regex(text, '\s+')) <= 2 THEN 'name' ELSE 'keywords' END AS category FROM w""")
+def p10_question_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 12)
+    shape = S.question_shape(terms, F.col("conv_id") % 3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in shape.items()], S.question_category(F.col("text")).alias("category"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' WHEN 2 THEN 'dry' WHEN 3 THEN 'ok' WHEN 4 THEN 'ok_brief' ELSE 'silent' END AS shape FROM events""")
+def p12_result_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    receipts = [F.lit(None).cast("string"), F.lit('{"error": 1, "ok": 0}'), F.lit('{"dry_run": true, "ok": 1}'), F.lit('{"ok": 1, "a": 1, "b": 2}'), F.lit('{"ok": 1}'), F.col("props")]
+    receipt = F.get(F.array(*receipts), (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", S.result_shape(receipt).alias("shape"))
+
+
+VERSION = "p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3"
+
+
+@query(f"""WITH i AS (SELECT p_partkey AS item_id, lower(p_brand) AS name, {VERSION} AS version, [p_size, (p_partkey % 7)::INTEGER, (p_partkey % 3)::INTEGER] AS v FROM part),
+d AS (SELECT DISTINCT lower(p_brand) AS name, {VERSION} AS version FROM part WHERE p_partkey % 40 = 0),
+a AS (SELECT DISTINCT lower(p_brand) AS name, p_size AS low, p_size + 5 AS high, CASE WHEN p_partkey % 2 = 0 THEN '2020-01-01' ELSE '' END AS expires FROM part WHERE p_partkey % 25 = 1),
+m AS (SELECT item_id, min((expires <> '' AND expires < '2024-01-01')::INT) AS expired FROM i JOIN a ON a.name = i.name AND v >= [low] AND v <= [high] GROUP BY 1)
+SELECT item_id, CASE WHEN d.name IS NOT NULL THEN 'denied' WHEN expired = 0 THEN 'allowed' WHEN expired = 1 THEN 'expired' ELSE 'unknown' END AS verdict FROM i LEFT JOIN d USING (name, version) LEFT JOIN m USING (item_id)""")
+def j11_catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("version", F.concat_ws(".", "p_size", F.col("p_partkey") % 7, F.col("p_partkey") % 3))
+    items = p.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("software"), "version")
+    deny = p.where("p_partkey % 40 = 0").select(F.col("p_brand").alias("software"), "version")
+    allow = p.where("p_partkey % 25 = 1").select(F.col("p_brand").alias("software"), F.col("p_size").cast("string").alias("low"), (F.col("p_size") + 5).cast("string").alias("high"),
+        F.when(F.col("p_partkey") % 2 == 0, "2020-01-01").otherwise("").alias("expires_at"))
+    return S.catalog_check(items, allow, deny, "2024-01-01")
+
+
+@query("""WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part), c AS (SELECT p_partkey AS class, p_name AS label FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT 100000 + p_partkey, split_part(p_name, ' ', 2) FROM part WHERE p_partkey < 5),
+s AS (SELECT term, class, CASE WHEN label = term THEN 100 WHEN contains(label, term) AND (ends_with(label, term) OR length(term) >= 0.75 * length(label)) THEN 90 - abs(length(label) - length(term)) WHEN contains(label, term) THEN 55
+  ELSE 70 - abs(length(label) - length(term)) END AS score FROM t JOIN c ON contains(label, term) OR contains(term, label))
+SELECT term, class, score::INTEGER AS score, row_number() OVER (PARTITION BY term ORDER BY score DESC, class)::INTEGER AS place FROM s QUALIFY place <= 3""")
+def j16_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    word = F.element_at(F.split("p_name", " "), 2)
+    classes = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("class"), F.col("p_name").alias("label"))
+    classes = classes.unionByName(p.where("p_partkey < 5").select((F.col("p_partkey") + 100000).alias("class"), word.alias("label")))
+    return S.class_candidates(p.select(word.alias("term")).distinct(), classes)
+
+
+@query(f"""WITH {KB_PAGES}, q AS (SELECT slug AS query FROM kb_pages WHERE page_id % 10 = 0 UNION SELECT page_id::VARCHAR FROM kb_pages WHERE page_id % 10 = 1 UNION SELECT title FROM kb_pages WHERE page_id % 10 = 2),
+k AS (SELECT slug, slug AS key, 0 AS rank FROM kb_pages UNION ALL SELECT slug, split_part(slug, '/', -1), 1 FROM kb_pages UNION ALL SELECT slug, title, 2 FROM kb_pages),
+f AS (SELECT query, slug, min(rank) AS rank FROM q JOIN k ON key = query GROUP BY ALL), b AS (SELECT *, min(rank) OVER (PARTITION BY query) AS best FROM f)
+SELECT query, slug, rank, count(*) OVER (PARTITION BY query) > 1 AND rank >= 2 AS ambiguous FROM b WHERE rank = best""")
+def j19_lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = kb_pages(spark, sf_dir)
+    q = p.where("page_id % 10 = 0").select(F.col("slug").alias("query")).union(p.where("page_id % 10 = 1").select(F.col("page_id").cast("string"))).union(p.where("page_id % 10 = 2").select("title"))
+    return S.lookup_page(q.distinct(), p)
+
+
+@query(r"""WITH d AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 9 THEN 'Supplier same' ELSE s_name END AS name FROM supplier), r AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN upper(s_name) WHEN 2 THEN 'SUPPLIER_same' ELSE 'none ' || s_suppkey END AS raw FROM supplier),
+h AS (SELECT raw, 0 AS rank, id FROM r JOIN d ON id = raw UNION SELECT raw, 1, id FROM r JOIN d ON regexp_replace(lower(name), '[\s_#-]+', '', 'g') = regexp_replace(lower(raw), '[\s_#-]+', '', 'g')),
+b AS (SELECT raw, rank, list_sort(list(DISTINCT id)) AS ids FROM h GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY raw ORDER BY rank) = 1)
+SELECT raw, CASE WHEN len(ids) = 1 THEN ids[1] END AS id, CASE WHEN ids IS NULL THEN 'none' WHEN len(ids) > 1 THEN 'ambiguous' WHEN rank = 0 THEN 'exact' ELSE 'fuzzy' END AS mode, coalesce(len(ids), 0)::INTEGER AS candidates FROM r LEFT JOIN b USING (raw)""")
+def j23_resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    dim = s.select(F.concat(F.lit("s"), key).alias("id"), F.when(key % 10 == 9, "Supplier same").otherwise(F.col("s_name")).alias("name"))
+    raw = F.when(key % 4 == 0, F.concat(F.lit("s"), key)).when(key % 4 == 1, F.upper("s_name")).when(key % 4 == 2, "SUPPLIER_same").otherwise(F.concat(F.lit("none "), key))
+    return S.resolve_names(s.select(raw.alias("raw")), dim)
+
+
+@query(rf"""WITH {KB_PAGES}, k AS (SELECT kb_id, page_id, 'L1' AS level, lower(regexp_replace(split_part(slug, '/', 1) || page_id // 3, '\s+', '', 'g')) AS key FROM kb_pages
+  UNION ALL SELECT kb_id, page_id, 'L2', regexp_replace(lower(title), '[\s!-/:-@\[-`{{-~]+', '', 'g') FROM kb_pages), w AS (SELECT level, key, count(DISTINCT kb_id) AS kbs FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT kb_id) > 1)
+SELECT level, key, kb_id, page_id, kbs FROM k JOIN w USING (level, key)""")
+def j6_cross_kb_same_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = kb_pages(spark, sf_dir)
+    slug = F.concat(F.element_at(F.split("slug", "/"), 1), F.expr("page_id div 3"))
+    return S.cross_kb_same_key(p.select("kb_id", "page_id", T.norm_slug(slug).alias("norm_slug"), T.norm_title(F.col("title")).alias("norm_title")))
