@@ -7,8 +7,9 @@ Documents within the threshold differ in at most ``d`` shingles, so of any ``d +
 their texts.  Parts that are empty in both prove nothing, so some more are taken; a document with too many empty
 ones is also joined under another cut.
 
-Documents with equal sets are one class.  A parity shared by many classes first links them to one hub; only classes
-that are still apart are then compared pair by pair.
+Documents with equal sets are one class.  A parity shared by several classes first links them to one hub.  Classes
+that are still apart are compared pair by pair where a parity is shared by few; where it is shared by many, an exact
+filter on their rarest shingles picks the pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ KEY_BITS = 48
 CUTS = 4
 #: Rounds in which a parity's classes are compared with one hub before they are compared pair by pair.
 HUB_ROUNDS = 2
+#: A parity of at most so many classes is compared pair by pair; of a larger one the rarest shingles are joined.
+SMALL_GROUP = 12
+#: Cells of the shingle frequency table, as a power of two: its size does not depend on the input.
+RARITY_BITS = 20
 #: Class numbers (8 bytes each) of the candidates are broadcast up to this many.
 BROADCAST_CANDIDATES = 400_000
 #: Words kept in a worker's table of word hashes; a full table is emptied.
@@ -246,24 +251,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     classes = members.where("rid = rep").select("rep", "doc_id", "text_hash", "bits", "n_shingles")
     reached, tested, apart = None, None, postings.withColumn("component", F.col("rep"))
     for step in range(HUB_ROUNDS + 1):
-        spread = apart.groupBy("key").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.min_by(F.struct("rep", "n_shingles", "component"), F.xxhash64("rep", F.lit(step))).alias("hub"),
-        )
-        open_keys = spread.where("low != high").select("key", "hub")
-        if step < HUB_ROUNDS:
-            pairs = apart.join(open_keys, "key").select(
-                "rep", "n_shingles", "component", F.col("hub.rep").alias("other"),
-                F.col("hub.n_shingles").alias("other_n"), F.col("hub.component").alias("other_component"),
-            )
-        else:
-            rest = apart.join(open_keys.select("key"), "key", "left_semi")
-            other = rest.select(
-                "key", F.col("rep").alias("other"), F.col("n_shingles").alias("other_n"),
-                F.col("component").alias("other_component"),
-            )
-            pairs = rest.join(other, "key").where("rep < other")
+        pairs = _hub_pairs(apart, step) if step < HUB_ROUNDS else _rest_pairs(docs, classes, apart, width, num, den)
         pairs = pairs.where(
             (F.col("component") != F.col("other_component"))
             & (F.least("n_shingles", "other_n") * den >= F.greatest("n_shingles", "other_n") * num)
@@ -273,12 +261,10 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            if step < HUB_ROUNDS:
-                continue
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         near = _near(pairs, classes, num, den)
-        links = _verified(near, _texts_of(docs, classes, near), width, num, den)
+        links = _verified(near, _texts_of(docs, classes, near.select(F.explode(F.array("a", "b")).alias("rep"))), width, num, den)
         if reached is not None:
             links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
         reached = stored(components(links), "components")
@@ -296,10 +282,120 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     )
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """rep, text of the classes that some pair holds."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = stored(classes.join(asked, "rep", "left_semi"), "wanted").select(
+def _hub_pairs(apart: DataFrame, step: int) -> DataFrame:
+    """Each posting beside its parity's hub, where classes of the parity are still apart.
+
+    First the hub is the class that meets most others over all its parities, which in a group of edited copies is
+    the original; later ones are drawn by a hash.
+    """
+    if step:
+        rank = F.xxhash64("rep", F.lit(step))
+    else:
+        met = apart.groupBy("key").agg(F.count("*").alias("met"))
+        weight = stored(apart.join(met, "key").groupBy("rep").agg(F.sum("met").alias("weight")), "weights")
+        apart = apart.join(weight, "rep")
+        rank = F.struct(F.col("weight"), -F.col("rep"))
+    spread = apart.groupBy("key").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.max_by(F.struct("rep", "n_shingles", "component"), rank).alias("hub"),
+    )
+    hubs = spread.where("low != high").select("key", "hub")
+    return apart.join(hubs, "key").select(
+        "rep", "n_shingles", "component", F.col("hub.rep").alias("other"),
+        F.col("hub.n_shingles").alias("other_n"), F.col("hub.component").alias("other_component"),
+    )
+
+
+def _other(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(
+        *keys, F.col("rep").alias("other"), F.col("n_shingles").alias("other_n"), F.col("component").alias("other_component")
+    )
+
+
+def _rest_pairs(docs: DataFrame, classes: DataFrame, apart: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """What the hubs left: pairs within small parities, and pairs of rare shingles among the classes of large ones."""
+    spread = apart.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("met")
+    )
+    spread = stored(spread.where("low != high").select("key", "met"), "open-keys")
+    small = apart.join(spread.where(F.col("met") <= SMALL_GROUP), "key")
+    direct = small.join(_other(small, "key"), "key").where("rep < other").drop("key", "met")
+    large = apart.join(spread.where(F.col("met") > SMALL_GROUP), "key").select("rep", "component").distinct()
+    large = stored(large, "large-groups")
+    if large.isEmpty():
+        return direct
+    texts = _texts_of(docs, classes, large.select("rep")).join(large, "rep")
+    return direct.unionByName(_rare_pairs(stored(texts, "large-texts"), width, num, den).select(*direct.columns))
+
+
+def _rare_pairs(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs of (rep, component, text) that may be within the threshold, by their rarest shingles.
+
+    Sets of sizes m <= n within the threshold share at least ``o = ceil(num (m + n) / (num + den))`` shingles, so in
+    any one order of all shingles the first shared one is among the first m - o + 1 of one and n - o + 1 of the
+    other.  The order is by frequency, counted in a table of fixed size: chance collisions in it cost time only.
+    """
+    cells = 1 << RARITY_BITS
+    pieces = 64
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, counts = Shingles(width), np.zeros(cells, np.int64)
+        for frame in frames:
+            for text in frame["text"]:
+                counts += np.bincount((shingles.set_of(text) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+        for n, part in enumerate(np.split(counts, pieces)):
+            if part.any():
+                yield pd.DataFrame({"piece": [n], "counts": [part.tobytes()]})
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        summed = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
+        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "counts": [np.minimum(summed, (1 << 31) - 1).astype(np.int32).tobytes()]})
+
+    counted = texts.mapInPandas(count, "piece int, counts binary").groupBy("piece").applyInPandas(total, "piece int, counts binary")
+    rarity = np.zeros(cells, np.int32)  # 4 MB, whatever the input
+    for row in counted.collect():
+        size = cells // pieces
+        rarity[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["counts"], np.int32)
+    shared = texts.sparkSession.sparkContext.broadcast(rarity)
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, often = Shingles(width), shared.value
+        for frame in frames:
+            out = []
+            for rep, component, text in zip(frame["rep"], frame["component"], frame["text"], strict=True):
+                own = shingles.set_of(text)
+                n = len(own)
+                order = np.lexsort((own, often[(own & np.uint64(cells - 1)).astype(np.int64)]))
+                longest = n - -(-num * n // den) + 1
+                place = np.arange(1, longest + 1)
+                out.append(
+                    pd.DataFrame(
+                        {"shingle": own[order[:longest]].view(np.int64), "rep": rep, "n_shingles": n, "component": component, "place": place}
+                    )
+                )
+            yield pd.concat(out)
+
+    rare = stored(texts.mapInPandas(first, "shingle long, rep long, n_shingles long, component long, place int"), "rare-shingles")
+    alone = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rare = rare.join(alone.where("low != high").select("shingle"), "shingle", "left_semi")
+    other = rare.select(
+        "shingle", F.col("rep").alias("other"), F.col("n_shingles").alias("other_n"),
+        F.col("component").alias("other_component"), F.col("place").alias("other_place"),
+    )
+    least = F.ceil(num * (F.col("n_shingles") + F.col("other_n")) / F.lit(num + den))
+    near = (
+        (F.col("rep") < F.col("other"))
+        & (F.col("component") != F.col("other_component"))
+        & (F.col("place") <= F.col("n_shingles") - least + 1)
+        & (F.col("other_place") <= F.col("other_n") - least + 1)
+    )
+    return rare.join(other, "shingle").where(near).drop("shingle", "place", "other_place").distinct()
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """rep, text of the classes asked for (rep)."""
+    wanted = stored(classes.join(asked.distinct(), "rep", "left_semi"), "wanted").select(
         "rep", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")
     )
     wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_CANDIDATES)
