@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: Name space of page ids, as hexadecimal bytes.
 PAGE_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form; called for texts beyond ASCII only."""
     return text.str.normalize("NFKC")
@@ -102,7 +103,7 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common substring."""
 

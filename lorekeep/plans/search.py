@@ -112,7 +112,7 @@ def j19_lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH d AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 9 THEN 'Supplier same' ELSE s_name END AS name FROM supplier), r AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN upper(s_name) WHEN 2 THEN 'SUPPLIER_same' ELSE 'none ' || s_suppkey END AS raw FROM supplier),
 h AS (SELECT raw, 0 AS rank, id FROM r JOIN d ON id = raw UNION SELECT raw, 1, id FROM r JOIN d ON regexp_replace(lower(name), '[\s_#-]+', '', 'g') = regexp_replace(lower(raw), '[\s_#-]+', '', 'g')),
-b AS (SELECT raw, rank, list_sort(list(DISTINCT id)) AS ids FROM h GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY raw ORDER BY rank) = 1)
+g AS (SELECT raw, rank, list_sort(list(DISTINCT id)) AS ids FROM h GROUP BY raw, rank), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY raw ORDER BY rank) = 1)
 SELECT raw, CASE WHEN len(ids) = 1 THEN ids[1] END AS id, CASE WHEN ids IS NULL THEN 'none' WHEN len(ids) > 1 THEN 'ambiguous' WHEN rank = 0 THEN 'exact' ELSE 'fuzzy' END AS mode, coalesce(len(ids), 0)::INTEGER AS candidates FROM r LEFT JOIN b USING (raw)""")
 def j23_resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
