@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A closure deeper than this is refused: its input is no hierarchy.
 MOST_ROUNDS = 64
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """A round's result, cut from its lineage: in the shared checkpoint folder where one is set, else a checkpoint there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a temporary one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/lorekeep-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/lorekeep-{spark.sparkContext.applicationId}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A round's result, written to the shared folder and read again: cut from its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ancestors(subclasses: DataFrame, depth: int = MOST_ROUNDS) -> DataFrame:

@@ -1 +1,67 @@
-"""Queries."""
+"""Streaming queries over the events as a file stream, drained once."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.operators.graphs import shared_folder
+from lorekeep.plans.registry import query
+from lorekeep.streaming import streams as X
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of calls."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # a file stream reads folders: the file is named by a pattern
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return raw.select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session"),
+        F.col("event_type").alias("tool"), F.col("value").alias("ms"), F.col("props").alias("payload"))
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """The stream's output after all its input, from a table in the shared folder."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    if mode == "append":
+        run = stream.writeStream.format("parquet").option("path", f"{base}/out")
+    else:
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/out")
+
+        run = stream.writeStream.outputMode("complete").foreachBatch(keep)
+    run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+CALLS = "c AS (SELECT event_id AS call_id, ts, user_id AS session, event_type AS tool, value AS ms, props AS payload FROM events)"
+
+
+@query(f"""WITH {CALLS}, o AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts) >= 3600000000, true) AS opens FROM c),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM o)
+SELECT session, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 3600000000 AS finish, count(*) AS calls, round(sum(ms), 4) AS ms FROM s GROUP BY session, part""")
+def x2_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _drained(spark, X.sessions(_events(spark, sf_dir), "1 hour"), "complete")
+    return out.select("session", F.unix_micros("start").alias("start"), F.unix_micros("finish").alias("finish"), "calls", F.round("ms", 4).alias("ms"))
+
+
+@query(f"""WITH {CALLS} SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, CASE WHEN call_id % 2 = 0 THEN 'hint' ELSE 'plain' END AS arm, count(*) AS calls, round(sum(ms), 4) AS ms FROM c GROUP BY ALL""")
+def x5_stream_arm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _drained(spark, X.arm_metrics(_events(spark, sf_dir)), "complete")
+    return out.select(F.col("day").cast("date").cast("string").alias("day"), "arm", "calls", F.round("ms", 4).alias("ms"))
+
+
+@query("SELECT DISTINCT event_type AS tool, props AS payload FROM events")
+def x3_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(spark, X.deduplicated(_events(spark, sf_dir), "100 days"), "append").select("tool", "payload")
+
+
+@query(f"""WITH {CALLS}, f AS (SELECT * FROM c WHERE tool IN ('view', 'click')), o AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts) >= 1800000000, true) AS opens FROM f),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM o)
+SELECT session, epoch_us(min(ts)) AS start, arg_min(tool, ts) AS tool FROM s GROUP BY session, part""")
+def x4_stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _drained(spark, X.turns(_events(spark, sf_dir), ["view", "click"]), "complete")
+    return out.select("session", F.unix_micros("start").alias("start"), "tool")
