@@ -1 +1,170 @@
-"""Queries."""
+"""Queries of the audit checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.functions import text as T
+from lorekeep.operators import audits as A
+from lorekeep.operators import graphs as G
+from lorekeep.operators import lineage as L
+from lorekeep.operators import texts as X
+from lorekeep.plans.fixtures import EDGES, KB_PAGES, edges, kb_pages, order_pages, part_docs, subclasses, table
+from lorekeep.plans.graphs import CLOSURE
+from lorekeep.plans.lineage import INDEX
+from lorekeep.plans.registry import query
+
+PUNCT = r"[\s!-/:-@\[-`{-~]+"
+INSTANCE = "contains(page_type, ':') AND NOT starts_with(page_type, 'ontology:') AND page_type NOT IN ('index', 'summary')"
+PAGE_FOUND = KB_PAGES + r""", live AS (SELECT * FROM kb_pages WHERE NOT deleted), found AS (
+SELECT 'A6' AS "check", 'medium' AS severity, slug AS subject, page_type AS detail FROM live WHERE NOT (INSTANCE) AND NOT starts_with(page_type, 'ontology:')
+UNION ALL SELECT 'A7', 'low', slug, page_type FROM live WHERE INSTANCE AND split_part(slug, '/', 1) <> split_part(page_type, ':', 1)
+UNION ALL SELECT 'C1', 'high', slug, '' FROM live WHERE trim(content) = ''
+UNION ALL SELECT 'W5', 'low', slug, '' FROM live WHERE trim(summary) = ''
+UNION ALL SELECT 'D1', 'medium', kb_id || '/' || page_type || '/' || name, n::VARCHAR FROM (SELECT kb_id, page_type, regexp_replace(lower(title), 'PUNCT', '', 'g') AS name, count(*) AS n FROM live GROUP BY ALL HAVING count(*) > 1))""".replace("INSTANCE", INSTANCE).replace("PUNCT", PUNCT)
+
+
+@query(f"WITH {PAGE_FOUND} SELECT * FROM found")
+def c1_page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.order_findings(A.page_checks(kb_pages(spark, sf_dir)))
+
+
+@query(f'WITH {PAGE_FOUND} SELECT "check", severity, count(*) AS n FROM found GROUP BY ALL')
+def a28_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.finding_counts(A.page_checks(kb_pages(spark, sf_dir)))
+
+
+@query(f"""WITH {EDGES}, e AS (SELECT src, rel, CASE WHEN substr(src, 7)::BIGINT % 90 = 0 THEN src ELSE dst END AS dst FROM edges WHERE rel = 'hasLine'), g AS (SELECT src, rel, dst, count(*) AS n FROM e GROUP BY ALL)
+SELECT 'A1' AS "check", 'high' AS severity, src || ' ' || rel || ' ' || dst AS subject, n::VARCHAR AS detail FROM g WHERE dst NOT IN (SELECT 'part/' || p_partkey FROM part WHERE p_partkey % 11 <> 0)
+UNION ALL SELECT 'A5', 'low', src || ' ' || rel || ' ' || dst, n::VARCHAR FROM g WHERE n > 1 UNION ALL SELECT 'A5', 'medium', src || ' ' || rel || ' ' || dst, 'loop' FROM g WHERE src = dst""")
+def c1_edge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looped = F.when(F.substring("src", 7, 20).cast("long") % 90 == 0, F.col("src")).otherwise(F.col("dst"))
+    nodes = part_docs(spark, sf_dir).select(F.concat(F.lit("part/"), "doc_id").alias("slug"))
+    return A.edge_checks(edges(spark, sf_dir).where("rel = 'hasLine'").withColumn("dst", looped), nodes)
+
+
+@query(f"""WITH {INDEX}, w AS (SELECT kb_id, slug, max(status) AS status, count(*) AS n FROM doc_index WHERE status <> 'live' GROUP BY ALL)
+SELECT 'C1' AS "check", 'high' AS severity, slug::VARCHAR AS subject, 'no source' AS detail FROM order_pages WHERE len(source_refs) = 0 UNION ALL SELECT 'C2', 'high', slug::VARCHAR, status || ':' || n FROM w""")
+def c3_provenance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = order_pages(spark, sf_dir)
+    return A.provenance_checks(L.doc_index(pages, part_docs(spark, sf_dir)), pages)
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, b(class, prop, low, high) AS (VALUES (0, 'x', 1, 9), (1, 'x', 2, 6), (2, 'y', 3, 99)),
+v AS (SELECT l_orderkey AS node, l_orderkey % 40 AS class, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS prop FROM lineitem),
+k AS (SELECT c.node AS class, prop, max(low) AS low, min(high) AS high FROM closure c JOIN b ON b.class = c.ancestor GROUP BY ALL), n AS (SELECT DISTINCT node, class FROM v),
+j AS (SELECT n.node, k.prop, count(v.node) AS n, any_value(low) AS low, any_value(high) AS high FROM n JOIN k USING (class) LEFT JOIN v ON v.node = n.node AND v.prop = k.prop GROUP BY ALL)
+SELECT node, prop, n, CASE WHEN n < low THEN 'too_few' ELSE 'too_many' END AS verdict FROM j WHERE n < low OR n > high""")
+def c17_cardinality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = spark.createDataFrame([(0, "x", 1, 9), (1, "x", 2, 6), (2, "y", 3, 99)], "class bigint, prop string, low int, high int")
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), (F.col("l_orderkey") % 40).alias("class"), F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y").alias("prop"))
+    return A.cardinality_checks(v, bounds, G.ancestors(subclasses(spark, sf_dir)))
+
+
+HOLD = "h AS (SELECT l_suppkey AS holder, l_partkey % 100 AS held, l_quantity * 2.5 - 5 AS percent, l_returnflag = 'A' AS control, CASE WHEN l_linenumber > 1 THEN l_shipdate END AS as_of FROM lineitem WHERE l_orderkey % 10 = 0)"
+
+
+@query(f"""WITH {HOLD}, n AS (SELECT *, holder || '>' || held AS name FROM h) SELECT 'O1' AS "check", 'high' AS severity, name AS subject, round(percent, 2)::VARCHAR AS detail FROM n WHERE percent < 0 OR percent > 100
+UNION ALL SELECT 'O2', 'medium', name, round(percent, 2)::VARCHAR FROM n WHERE percent >= 50 AND NOT control UNION ALL SELECT 'O4', 'low', name, '' FROM n WHERE as_of IS NULL UNION ALL SELECT 'O5', 'high', name, '' FROM n WHERE holder = held""")
+def c18_holding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_suppkey").alias("holder"), (F.col("l_partkey") % 100).alias("held"), (F.col("l_quantity") * 2.5 - 5).alias("percent"),
+        (F.col("l_returnflag") == "A").alias("control"), F.when(F.col("l_linenumber") > 1, F.col("l_shipdate")).alias("as_of"))
+    return A.holding_checks(h)
+
+
+USES = "u AS (SELECT 's' || l_suppkey % 12 AS service, l_orderkey AS operation, 'a' || l_partkey % 60 AS attribute, CASE l_returnflag WHEN 'A' THEN 'CR' WHEN 'N' THEN 'R' ELSE 'UD' END AS kinds FROM lineitem WHERE l_orderkey % 20 = 0)"
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when(F.col("l_returnflag") == "A", "CR").when(F.col("l_returnflag") == "N", "R").otherwise("UD")
+    return table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey") % 12).alias("service"), F.col("l_orderkey").alias("operation"), F.concat(F.lit("a"), F.col("l_partkey") % 60).alias("attribute"), kinds.alias("kinds"))
+
+
+@query(f"""WITH {USES}, k AS (SELECT DISTINCT service, operation, attribute, unnest(string_split(kinds, '')) AS kind FROM u)
+SELECT service, attribute, count(*) FILTER (kind = 'C') AS C, count(*) FILTER (kind = 'R') AS R, count(*) FILTER (kind = 'U') AS U, count(*) FILTER (kind = 'D') AS D FROM k GROUP BY ALL""")
+def a17_crud_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.crud_matrix(_uses(spark, sf_dir))
+
+
+@query(f"""WITH {USES}, w AS (SELECT attribute, list_sort(list(DISTINCT service)) AS s FROM u WHERE kinds <> 'R' GROUP BY 1) SELECT 'E1' AS "check", 'high' AS severity, attribute AS subject, array_to_string(s, ',') AS detail FROM w WHERE len(s) > 1""")
+def c6_write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.write_conflicts(_uses(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT p_partkey AS slug, 1 + p_partkey % 3 AS version FROM part WHERE p_partkey % 11 <> 0), r AS (SELECT p_partkey AS slug, sha1(p_name) AS hash, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE sha1(p_name) END AS synced_hash, CASE WHEN p_partkey % 7 > 0 THEN 1 + p_partkey % 2 END AS synced_version FROM part)
+SELECT slug, CASE WHEN synced_version IS NULL THEN 'unbound' WHEN version IS NULL THEN 'master_missing' WHEN hash <> synced_hash THEN 'local_drift' WHEN synced_version < version THEN 'outdated' ELSE 'in_sync' END AS state FROM r LEFT JOIN m USING (slug)""")
+def r3_replica_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("slug", F.col("p_partkey")).withColumn("hash", F.sha1(F.col("p_name").cast("binary")))
+    masters = p.where("slug % 11 != 0").select("slug", (1 + F.col("slug") % 3).alias("version"))
+    replicas = p.select("slug", "hash", F.when(F.col("slug") % 5 == 0, "x").otherwise(F.col("hash")).alias("synced_hash"), F.when(F.col("slug") % 7 > 0, 1 + F.col("slug") % 2).alias("synced_version"))
+    return A.replica_state(masters, replicas)
+
+
+@query("""WITH a AS (SELECT p_partkey AS slug, unnest(['name', 'brand', 'size']) AS key, unnest([p_name, p_brand, p_size::VARCHAR]) AS v FROM part),
+b AS (SELECT p_partkey AS slug, unnest(['name', 'brand', 'type']) AS key, unnest([p_name, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_brand END, p_type]) AS v FROM part WHERE p_partkey % 10 <> 0),
+d AS (SELECT coalesce(a.slug, b.slug) AS slug, coalesce(a.key, b.key) AS key FROM a FULL JOIN b ON a.slug = b.slug AND a.key = b.key WHERE a.v IS DISTINCT FROM b.v), k AS (SELECT slug, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM d GROUP BY 1)
+SELECT slug, slug % 10 = 0 AS missing, CASE WHEN slug % 10 <> 0 THEN keys END AS keys FROM k""")
+def j18_attribute_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("slug", F.col("p_partkey"))
+    a = p.select("slug", F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("attrs"))
+    brand = F.when(F.col("slug") % 3 == 0, "x").otherwise(F.col("p_brand"))
+    b = p.where("slug % 10 != 0").select("slug", F.create_map(F.lit("name"), "p_name", F.lit("brand"), brand, F.lit("type"), "p_type").alias("attrs"))
+    return A.attribute_drift(a, b)
+
+
+@query("""WITH t AS (SELECT p_partkey AS slug, 'n' AS key, 0 AS carrier, p_name AS value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'n', 1, p_brand FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 'n', 2, p_name FROM part WHERE p_partkey % 5 <> 0)
+SELECT slug, key, arg_min(value, carrier) AS value, count(DISTINCT value) > 1 AS drift FROM t GROUP BY ALL""")
+def j24_three_way_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("slug", F.col("p_partkey")).withColumn("key", F.lit("n"))
+    take = lambda cond, c: p.where(cond).select("slug", "key", F.col(c).alias("value"))
+    return A.three_way_drift(take("slug % 3 = 0", "p_name"), take("slug % 4 = 0", "p_brand"), take("slug % 5 != 0", "p_name"))
+
+
+@query()
+def r1_context_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = kb_pages(spark, sf_dir).where(~F.col("deleted"))
+    keyed = p.select("page_id", T.norm_title(F.col("title")).alias("k1"), F.substring(T.norm_title(F.col("summary")), 1, 60).alias("k2"))
+    groups = G.key_components(keyed, "page_id", ["k1", "k2"]).withColumnRenamed("component", "grp")
+    return A.order_candidates(A.context_scan(p, groups))
+
+
+@query(r"""WITH n AS (SELECT DISTINCT 'P-' || l_linenumber AS name FROM lineitem UNION SELECT 'Q' || s_suppkey FROM supplier)
+SELECT name, regexp_replace(name, '\d+$', '') AS stem, row_number() OVER (PARTITION BY regexp_replace(name, '\d+$', '') ORDER BY regexp_extract(name, '(\d+)$', 1)::BIGINT, name)::INTEGER AS place FROM n""")
+def o3_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P-"), "l_linenumber").alias("name")).union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("Q"), "s_suppkey"))).distinct()
+    return A.natural_order(names, "name")
+
+
+@query("""SELECT conv_id * 100 + turn AS case_id, contains(text, 'the') AS verdict, regexp_matches(text, 'ing') AND regexp_matches(text, '[Tt]h') AS patterns, NOT contains(text, 'ention') AS clean,
+  contains(text, 'the') AND regexp_matches(text, 'ing') AND regexp_matches(text, '[Tt]h') AND NOT contains(text, 'ention') AS passed FROM conversations""")
+def a25_score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), "text")
+    return A.score_cases(reports, "the", ["ing", "[Tt]h"], ["ention"], "no such denial word")
+
+
+@query(f"""WITH {KB_PAGES} SELECT kb_id, any_value(pages) AS pages, any_value(deleted) AS deleted, count(e.k) AS edges FROM (SELECT kb_id, count(*) AS pages, count(*) FILTER (deleted) AS deleted FROM kb_pages GROUP BY 1) p
+LEFT JOIN (SELECT 'src' || l_suppkey % 25 AS k FROM lineitem WHERE l_suppkey % 25 > 3) e ON e.k = p.kb_id GROUP BY kb_id""")
+def c23_purge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 25 > 3").select(F.concat(F.lit("src"), F.col("l_suppkey") % 25).alias("kb_id"))
+    return A.purge_scan(kb_pages(spark, sf_dir), {"edges": e})
+
+
+@query("""WITH c AS (SELECT p_partkey AS contract, sha1(p_name) AS hash FROM part WHERE p_partkey % 11 <> 0), b AS (SELECT l_orderkey * 10 + l_linenumber AS binding, l_partkey AS contract, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 'old' ELSE sha1(p_name) END AS stored FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT binding, CASE WHEN hash IS NULL THEN 'orphan' WHEN stored IS NULL THEN 'unstamped' ELSE 'stale' END AS state FROM b LEFT JOIN c USING (contract) WHERE hash IS NULL OR stored IS NULL OR stored <> hash""")
+def c22_contract_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contract"), F.sha1(F.col("p_name").cast("binary")).alias("hash"))
+    b = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("contract"))
+    stored = F.when(F.col("l_linenumber") == 2, "old").when(F.col("l_linenumber") > 2, F.col("hash"))
+    return A.contract_drift(b.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("binding"), "contract", stored.alias("stored")), p.where("contract % 11 != 0"))
+
+
+@query("""WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS title FROM documents), h AS (SELECT page, substr(title, 1, 12) AS title FROM l WHERE length(title) > 11), t(type, section) AS (VALUES ('en', 'The '), ('en', 'Is '), ('fr', 'Le '), ('de', 'Der')),
+w AS (SELECT doc_id AS page, section FROM documents JOIN t ON type = lang), m AS (SELECT DISTINCT w.page, section FROM w JOIN h USING (page) WHERE contains(title, section) OR contains(section, title))
+SELECT page, array_to_string(list_sort(list(DISTINCT section)), ',') AS missing FROM w ANTI JOIN m USING (page, section) GROUP BY page""")
+def a27_template_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = X.lines_of(docs.select(F.col("doc_id").alias("doc"), "text")).where(F.length("line") > 11)
+    headings = lines.select(F.col("doc").alias("page"), F.substring("line", 1, 12).alias("title"))
+    templates = spark.createDataFrame([("en", "The "), ("en", "Is "), ("fr", "Le "), ("de", "Der")], "type string, section string")
+    return A.template_usage(headings, templates, docs.select(F.col("doc_id").alias("page"), F.col("lang").alias("type")))
