@@ -143,10 +143,12 @@ class Bands:
             spare = first - self.differ(n) - 1
             for cut in range(CUTS):
                 seed = np.uint64((band * CUTS + cut + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                part = ((_mixed(hashes + seed) >> np.uint64(32)) * np.uint64(cut_in) >> np.uint64(32)).astype(np.int64)
+                part = ((_mixed(hashes + seed) >> np.uint64(32)) * np.uint64(cut_in) >> np.uint64(32)).astype(
+                    np.uint16 if cut_in < 1 << 16 else np.int64  # 16-bit numbers are sorted by radix
+                )
                 near = part < first
                 order = np.argsort(part[near], kind="stable")
-                at, values = part[near][order], hashes[near][order]
+                at, values = part[near][order].astype(np.int64), hashes[near][order]
                 starts = np.flatnonzero(np.diff(at, prepend=-1))
                 parity = np.bitwise_xor.reduceat(values, starts) if len(starts) else values[:0]
                 at = at[starts]
@@ -337,44 +339,47 @@ def _rare_pairs(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     other.  The order is by frequency, counted in a table of fixed size: chance collisions in it cost time only.
     """
     cells = 1 << RARITY_BITS
-    pieces = 64
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, counts = Shingles(width), np.zeros(cells, np.int64)
+        shingles, counts = Shingles(width), np.zeros(cells, np.int32)
         for frame in frames:
-            for text in frame["text"]:
-                counts += np.bincount((shingles.set_of(text) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        for n, part in enumerate(np.split(counts, pieces)):
-            if part.any():
-                yield pd.DataFrame({"piece": [n], "counts": [part.tobytes()]})
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        summed = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
-        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "counts": [np.minimum(summed, (1 << 31) - 1).astype(np.int32).tobytes()]})
-
-    counted = texts.mapInPandas(count, "piece int, counts binary").groupBy("piece").applyInPandas(total, "piece int, counts binary")
-    rarity = np.zeros(cells, np.int32)  # 4 MB, whatever the input
-    for row in counted.collect():
-        size = cells // pieces
-        rarity[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["counts"], np.int32)
+            own = [shingles.set_of(text) & np.uint64(cells - 1) for text in frame["text"]]
+            if own:
+                counts += np.bincount(np.concatenate(own).astype(np.int64), minlength=cells).astype(np.int32)
+        found = np.flatnonzero(counts)
+        for at in range(0, len(found), 100_000):
+            part = found[at : at + 100_000]
+            yield pd.DataFrame({"cell": part.astype(np.int32), "n": counts[part].astype(np.int64)})
+
+    counted = texts.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    rarity = np.ones(cells, np.int64)  # 8 MB and at most a row per cell, whatever the input
+    rarity[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, often = Shingles(width), shared.value
         for frame in frames:
-            out = []
-            for rep, component, text in zip(frame["rep"], frame["component"], frame["text"], strict=True):
+            chosen, sizes, lengths = [], [], []
+            for text in frame["text"]:
                 own = shingles.set_of(text)
                 n = len(own)
                 order = np.lexsort((own, often[(own & np.uint64(cells - 1)).astype(np.int64)]))
                 longest = n - -(-num * n // den) + 1
-                place = np.arange(1, longest + 1)
-                out.append(
-                    pd.DataFrame(
-                        {"shingle": own[order[:longest]].view(np.int64), "rep": rep, "n_shingles": n, "component": component, "place": place}
-                    )
-                )
-            yield pd.concat(out)
+                chosen.append(own[order[:longest]])
+                sizes.append(n)
+                lengths.append(longest)
+            if not chosen:
+                continue
+            starts = np.cumsum(lengths) - lengths
+            yield pd.DataFrame(
+                {
+                    "shingle": np.concatenate(chosen).view(np.int64),
+                    "rep": np.repeat(frame["rep"].to_numpy(), lengths),
+                    "n_shingles": np.repeat(sizes, lengths),
+                    "component": np.repeat(frame["component"].to_numpy(), lengths),
+                    "place": np.arange(1, sum(lengths) + 1) - np.repeat(starts, lengths),
+                }
+            )
 
     rare = stored(texts.mapInPandas(first, "shingle long, rep long, n_shingles long, component long, place int"), "rare-shingles")
     alone = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
