@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import components
-from lorekeep.llm.shared import bounded_broadcast, stored, text_of
+from lorekeep.llm.shared import bounded_broadcast, discard, stored, text_of, tidy
 
 #: Bits of a parity key; a chance collision only costs a verification.
 KEY_BITS = 48
@@ -246,14 +246,18 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     members = stored(members.withColumn("rep", F.coalesce("rep", "rid")).drop("set_a", "set_b"), "members")
 
     postings = sketched.select("rid", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").count().where("count > 1").select("key")
+    shared = stored(postings.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+    tidy(docs.sparkSession)
     found = postings.join(shared, "key").join(members.select("rid", "rep", "n_shingles"), "rid")
     postings = stored(found.select("key", "rep", "n_shingles").distinct(), "postings")
+    discard(sketched, shared)
+    tidy(docs.sparkSession)
 
     classes = members.where("rid = rep").select("rep", "doc_id", "text_hash", "bits", "n_shingles")
     reached, tested, apart = None, None, postings.withColumn("component", F.col("rep"))
     for step in range(HUB_ROUNDS + 1):
-        pairs = _hub_pairs(apart, step) if step < HUB_ROUNDS else _rest_pairs(docs, classes, apart, width, num, den)
+        spent: list[DataFrame] = []  # tables that the pairs are made from
+        pairs = _hub_pairs(apart, step) if step < HUB_ROUNDS else _rest_pairs(docs, classes, apart, width, num, den, spent)
         pairs = pairs.where(
             (F.col("component") != F.col("other_component"))
             & (F.least("n_shingles", "other_n") * den >= F.greatest("n_shingles", "other_n") * num)
@@ -262,11 +266,15 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        discard(*spent)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         near = _near(pairs, classes, num, den)
-        links = _verified(near, _texts_of(docs, classes, near.select(F.explode(F.array("a", "b")).alias("rep"))), width, num, den)
+        texts = _texts_of(docs, classes, near.select(F.explode(F.array("a", "b")).alias("rep")))
+        links = _verified(near, texts, width, num, den)
+        discard(texts, near)
+        tidy(docs.sparkSession)
         if reached is not None:
             links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
         reached = stored(components(links), "components")
@@ -315,8 +323,13 @@ def _other(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _rest_pairs(docs: DataFrame, classes: DataFrame, apart: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """What the hubs left: pairs within small parities, and pairs of rare shingles among the classes of large ones."""
+def _rest_pairs(
+    docs: DataFrame, classes: DataFrame, apart: DataFrame, width: int, num: int, den: int, spent: list[DataFrame]
+) -> DataFrame:
+    """What the hubs left: pairs within small parities, and pairs of rare shingles among the classes of large ones.
+
+    ``spent`` gets the tables that can go once the pairs are written.
+    """
     spread = apart.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("met")
     )
@@ -327,11 +340,14 @@ def _rest_pairs(docs: DataFrame, classes: DataFrame, apart: DataFrame, width: in
     large = stored(large, "large-groups")
     if large.isEmpty():
         return direct
-    texts = _texts_of(docs, classes, large.select("rep")).join(large, "rep")
-    return direct.unionByName(_rare_pairs(stored(texts, "large-texts"), width, num, den).select(*direct.columns))
+    found = _texts_of(docs, classes, large.select("rep"))
+    texts = stored(found.join(large, "rep"), "large-texts")
+    discard(found)
+    spent.append(texts)
+    return direct.unionByName(_rare_pairs(texts, width, num, den, spent).select(*direct.columns))
 
 
-def _rare_pairs(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _rare_pairs(texts: DataFrame, width: int, num: int, den: int, spent: list[DataFrame]) -> DataFrame:
     """Pairs of (rep, component, text) that may be within the threshold, by their rarest shingles.
 
     Sets of sizes m <= n within the threshold share at least ``o = ceil(num (m + n) / (num + den))`` shingles, so in
@@ -382,6 +398,7 @@ def _rare_pairs(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
             )
 
     rare = stored(texts.mapInPandas(first, "shingle long, rep long, n_shingles long, component long, place int"), "rare-shingles")
+    spent.append(rare)
     alone = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     rare = rare.join(alone.where("low != high").select("shingle"), "shingle", "left_semi")
     other = rare.select(
