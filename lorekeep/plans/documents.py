@@ -13,20 +13,20 @@ from lorekeep.plans.graphs import CLOSURE
 from lorekeep.plans.registry import query
 
 
-@query("""WITH l AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS row, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 5 = 0) SELECT doc, row, l_partkey::VARCHAR AS part, l_quantity::INTEGER::VARCHAR AS quantity FROM l""")
+@query("""WITH l AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS row, l_partkey, l_quantity FROM lineitem) SELECT doc, row, l_partkey::VARCHAR AS part, l_quantity::INTEGER::VARCHAR AS quantity FROM l""")
 def t8_md_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("| "), "l_partkey", F.lit(" | "), F.col("l_quantity").cast("int"), F.lit(" |"))
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))).alias("rows"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))).alias("rows"))
     head = "Some words\n| part | quantity |\n|---|:--|\n"
     text = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda s: s["r"]), "\n"), F.lit("\n\n| other | table |\n| 1 | 2 |"))
     found = D.md_table(X.lines_of(lines.select("doc", text.alias("text"))))
     return found.select("doc", "row", F.col("cells")["part"].alias("part"), F.col("cells")["quantity"].alias("quantity"))
 
 
-@query("""WITH i AS (SELECT l_suppkey AS doc, l_linenumber AS page, l_orderkey AS place, l_partkey % 40 AS md5, l_quantity * 400 AS bytes FROM lineitem WHERE l_orderkey % 30 = 0), p AS (SELECT doc, count(DISTINCT page) AS pages FROM i GROUP BY 1), o AS (SELECT doc, md5, count(DISTINCT page) AS n FROM i GROUP BY ALL),
+@query("""WITH i AS (SELECT l_suppkey AS doc, l_linenumber AS page, l_orderkey AS place, l_partkey % 40 AS md5, l_quantity * 400 AS bytes FROM lineitem), p AS (SELECT doc, count(DISTINCT page) AS pages FROM i GROUP BY 1), o AS (SELECT doc, md5, count(DISTINCT page) AS n FROM i GROUP BY ALL),
 m AS (SELECT i.*, CASE WHEN pages >= 3 AND n * 2 >= pages THEN 'repeated' WHEN bytes < 6000 THEN 'small' ELSE 'kept' END AS reason FROM i JOIN o USING (doc, md5) JOIN p USING (doc)) SELECT reason, count(*) AS images, count(DISTINCT doc) AS docs FROM m GROUP BY 1""")
 def t18_content_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "lineitem").where("l_orderkey % 30 = 0").select(F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("place"), (F.col("l_partkey") % 40).alias("md5"), (F.col("l_quantity") * 400).alias("bytes"))
+    images = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("place"), (F.col("l_partkey") % 40).alias("md5"), (F.col("l_quantity") * 400).alias("bytes"))
     return D.content_figures(images).groupBy("reason").agg(F.count("*").alias("images"), F.count_distinct("doc").alias("docs"))
 
 

@@ -69,7 +69,7 @@ def a10_paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: parts got, expected, forbidden, and groups of which any will do."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("x", F.col("l_partkey") % 40)
+    lines = table(spark, sf_dir, "lineitem").withColumn("x", F.col("l_partkey") % 40)
     own = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("x"))))
     n = F.col("l_linenumber")
     sets = lines.groupBy("l_orderkey").agg(own(n <= 4).alias("got"), own((n % 2 == 0) & (F.col("x") >= 10)).alias("expected"), own(n == 7).alias("forbidden"))
@@ -79,7 +79,7 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SETS = """sets AS (SELECT l_orderkey, list_sort(coalesce(list(DISTINCT x) FILTER (n <= 4), [])) AS got,
   list_sort(coalesce(list(DISTINCT x) FILTER (n % 2 = 0 AND x >= 10), [])) AS expected, coalesce(list(DISTINCT x) FILTER (n = 7), []) AS forbidden,
-  l_orderkey % 9 AS k FROM (SELECT *, l_partkey % 40 AS x, l_linenumber AS n FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY l_orderkey),
+  l_orderkey % 9 AS k FROM (SELECT *, l_partkey % 40 AS x, l_linenumber AS n FROM lineitem) GROUP BY l_orderkey),
 parts AS (SELECT *, [k, k + 1] AS g1, [k + 2] AS g2, list_has_any(got, [k, k + 1]) AS h1, list_has_any(got, [k + 2]) AS h2,
   len(list_filter(expected, lambda e: NOT list_contains(got, e))) AS m,
   len(list_filter(got, lambda e: NOT list_contains(expected, e) AND NOT list_contains([k, k + 1, k + 2], e))) AS x,
@@ -114,7 +114,7 @@ def a13_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "A", "present").when(F.col("l_returnflag") == "N", "absent_verified").when(F.col("l_linenumber") % 2 == 0, "unavailable")
     confidence = F.when(F.col("l_linenumber") % 3 == 0, F.lit("high")).otherwise((F.col("l_discount") * 10).cast("string"))
     facts = lines.select(F.col("l_orderkey").alias("rule"), status.alias("status"), confidence.alias("confidence"),
@@ -125,7 +125,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("""WITH l AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'present' WHEN l_returnflag = 'N' THEN 'absent_verified' WHEN l_linenumber % 2 = 0 THEN 'unavailable' ELSE 'present' END AS status,
-  CASE WHEN l_linenumber % 3 = 0 THEN 0.9 ELSE greatest(0, least(1, l_discount * 10)) END AS conf FROM lineitem WHERE l_orderkey % 3 = 0),
+  CASE WHEN l_linenumber % 3 = 0 THEN 0.9 ELSE greatest(0, least(1, l_discount * 10)) END AS conf FROM lineitem),
 f AS (SELECT l_orderkey AS rule, avg(CASE status WHEN 'unavailable' THEN 0.2 ELSE 1 END) AS coverage,
   avg(conf * CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0.5 END) FILTER (status <> 'unavailable') AS trust,
   avg((l_tax > 0 AND l_tax > 0.02)::INT) AS traced, max((l_linenumber = 1 AND status = 'unavailable')::INT) AS blocked FROM l GROUP BY 1),
@@ -166,13 +166,13 @@ def a19_coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.coverage_matrix(calls(spark, sf_dir))
 
 
-@query(f"""WITH {CALLS}, s AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, call_id) AS seq FROM calls WHERE call_id < 1200),
+@query(f"""WITH {CALLS}, s AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, call_id) AS seq FROM calls),
 p AS (SELECT session, count(*) AS n, count(*) FILTER (tool = 'error') AS bad, [x FOR x IN [min(seq) FILTER (tool = 'signup'), min(seq) FILTER (tool = 'view'), min(seq) FILTER (tool = 'click'), min(seq) FILTER (tool = 'purchase')] IF x IS NOT NULL] AS seen FROM s GROUP BY session),
 q AS (SELECT session, 1 - bad / n AS accuracy, len(seen) / 4 AS coverage, seen = list_sort(seen) AS monotone FROM p),
 r AS (SELECT *, (accuracy + coverage) / 2 * CASE WHEN monotone THEN 1 ELSE 0.8 END AS score FROM q)
 SELECT *, CASE WHEN score >= 0.8 THEN 'conforms' WHEN score >= 0.5 THEN 'partly' ELSE 'deviates' END AS verdict FROM r""")
 def a26_call_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.conformance(calls(spark, sf_dir).where("call_id < 1200"), ["signup", "view", "click", "purchase"], ["error"])
+    return E.conformance(calls(spark, sf_dir), ["signup", "view", "click", "purchase"], ["error"])
 
 
 @query(f"""WITH {CALLS}, s AS (SELECT session, tool, sum(hits) AS score FROM calls GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY score DESC) AS place FROM s)

@@ -18,12 +18,12 @@ def a22_sheet_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.sheet_profile(table(spark, sf_dir, "part").select(*PART_COLUMNS))
 
 
-@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row_no, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE 'p' || l_partkey END AS k FROM lineitem WHERE l_partkey % 3 <> 1),
+@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row_no, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE 'p' || l_partkey END AS k FROM lineitem),
 m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_no) AS place FROM s)
 SELECT CASE WHEN trim(k) = '' THEN 'no_key' WHEN place > 1 THEN 'duplicate' WHEN k IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 2 = 0) THEN 'update' ELSE 'create' END AS outcome, count(*) AS rows FROM m GROUP BY 1""")
 def l1_plan_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.when(F.col("l_partkey") % 50 == 0, F.lit(" ")).otherwise(F.concat(F.lit("p"), "l_partkey"))
-    sheet = table(spark, sf_dir, "lineitem").where("l_partkey % 3 != 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), k.alias("k"))
+    sheet = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), k.alias("k"))
     existing = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("key"))
     return L.plan_entities(sheet, "k", existing)
 
@@ -83,8 +83,8 @@ def s8_export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_manifest({name: table(spark, sf_dir, name) for name in ("orders", "lineitem", "part")})
 
 
-@query("""WITH t AS (SELECT p_brand AS term, unnest([split_part(p_name, ' ', 1), upper(p_type), '']) AS alias FROM part WHERE p_partkey % 3 = 0), a AS (SELECT lower(trim(alias)) AS alias, list_sort(list(DISTINCT term)) AS terms FROM t WHERE alias <> '' GROUP BY 1)
+@query("""WITH t AS (SELECT p_brand AS term, unnest([split_part(p_name, ' ', 1), upper(p_type), '']) AS alias FROM part), a AS (SELECT lower(trim(alias)) AS alias, list_sort(list(DISTINCT term)) AS terms FROM t WHERE alias <> '' GROUP BY 1)
 SELECT alias, array_to_string(terms, ',') AS terms, len(terms) > 1 AS conflict FROM a""")
 def a20_alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    p = table(spark, sf_dir, "part")
     return L.alias_index(p.select(F.col("p_brand").alias("term"), F.array(F.element_at(F.split("p_name", " "), 1), F.upper("p_type"), F.lit("")).alias("aliases")))

@@ -10,12 +10,12 @@ from lorekeep.plans.fixtures import KB_PAGES, kb_pages, subclasses, table
 from lorekeep.plans.graphs import CLOSURE
 from lorekeep.plans.registry import query
 
-RESOLVED = f"""{CLOSURE}, asked AS (SELECT p_partkey AS policy FROM part WHERE p_partkey % 10 = 1), cov AS (SELECT DISTINCT l_partkey AS policy, l_suppkey AS rule FROM lineitem WHERE l_linenumber = 1),
+RESOLVED = f"""{CLOSURE}, asked AS (SELECT p_partkey AS policy FROM part), cov AS (SELECT DISTINCT l_partkey AS policy, l_suppkey AS rule FROM lineitem WHERE l_linenumber = 1),
 reach AS (SELECT ancestor AS policy, node AS sub FROM closure WHERE distance <= 4 AND ancestor IN (SELECT policy FROM asked)), resolved AS (SELECT DISTINCT r.policy, rule FROM reach r JOIN cov ON cov.policy = r.sub)"""
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "part").where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("policy"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("policy"))
     covers = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("policy"), F.col("l_suppkey").alias("rule")).distinct()
     return R.resolve_policies(asked, subclasses(spark, sf_dir), covers)
 
@@ -69,20 +69,20 @@ def c20_rule_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rule_lint(rules, ["soon", "proper"])
 
 
-USES = "u AS (SELECT l_suppkey AS service, l_partkey % 30 AS attribute, CASE WHEN l_returnflag = 'A' THEN 'out' ELSE 'in' END AS effect FROM lineitem WHERE l_orderkey % 60 = 0)"
+USES = "u AS (SELECT l_suppkey AS service, l_partkey % 30 AS attribute, CASE WHEN l_returnflag = 'A' THEN 'out' ELSE 'in' END AS effect FROM lineitem WHERE l_linenumber <= 3)"
 
 
 def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 60 = 0").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"), F.when(F.col("l_returnflag") == "A", "out").otherwise("in").alias("effect"))
+    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"), F.when(F.col("l_returnflag") == "A", "out").otherwise("in").alias("effect"))
 
 
 @query(f"""WITH {USES}, s AS (SELECT s_suppkey AS service, s_suppkey % 4 = 0 AS read_only, CASE WHEN s_suppkey % 3 > 0 THEN 1 END AS version FROM supplier), io AS (SELECT service, count(*) FILTER (effect = 'in') AS i, count(*) FILTER (effect = 'out') AS o FROM u GROUP BY 1), j AS (SELECT s.*, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM s LEFT JOIN io USING (service)),
-w AS (SELECT DISTINCT l_suppkey AS service, l_partkey % 30 AS attribute FROM lineitem WHERE l_orderkey % 61 = 0)
+w AS (SELECT DISTINCT l_suppkey AS service, l_partkey % 30 AS attribute FROM lineitem WHERE l_linenumber > 3)
 SELECT 'S1' AS "check", 'medium' AS severity, service::VARCHAR AS subject, '' AS detail FROM j WHERE i = 0 UNION ALL SELECT 'S2', 'high', service::VARCHAR, o::VARCHAR FROM j WHERE read_only AND o > 0
 UNION ALL SELECT 'S5', 'medium', service::VARCHAR, attribute::VARCHAR FROM w WHERE (service, attribute) NOT IN (SELECT (service, attribute) FROM u) UNION ALL SELECT 'S6', 'low', service::VARCHAR, '' FROM j WHERE o > 0 AND version IS NULL""")
 def c19_design_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     services = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("service"), (F.col("s_suppkey") % 4 == 0).alias("read_only"), F.when(F.col("s_suppkey") % 3 > 0, 1).alias("version"))
-    wants = table(spark, sf_dir, "lineitem").where("l_orderkey % 61 = 0").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"))
+    wants = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"))
     return R.design_shapes(services, _uses(spark, sf_dir), wants)
 
 

@@ -42,12 +42,12 @@ def p5_catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.catalog_search(table(spark, sf_dir, "part"), {"p_name": "RING", "p_brand": "Brand#1"}, {"p_type": "ECONOMY", "p_size": None}).select("p_partkey", "p_name")
 
 
-@query("""SELECT conv_id, turn, array_to_string(CASE WHEN role = 'system' THEN [1, 2, 3] ELSE list_filter([conv_id % 5, 2, 7], lambda x: x IN (1, 2, 3)
-  AND x IS NOT NULL) END, ',') AS scope FROM (SELECT * FROM conversations WHERE conv_id % 5 <> 2)""")
+@query("""SELECT conv_id, turn, array_to_string(CASE WHEN role = 'system' THEN [1, 2, 3] WHEN conv_id % 5 = 2 THEN [2] ELSE list_filter([conv_id % 5, 2, 7], lambda x: x IN (1, 2, 3)
+  AND x IS NOT NULL) END, ',') AS scope FROM conversations""")
 def p6_allowed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     lits = lambda *v: F.array(*[F.lit(x).cast("bigint") for x in v])
     scope = S.allowed_scope(lits(1, 2, 3), F.array(F.col("conv_id") % 5), lits(2, 7), F.when(F.col("role") == "system", "all"))
-    return table(spark, sf_dir, "conversations").where("conv_id % 5 != 2").select("conv_id", "turn", F.array_join(scope, ",").alias("scope"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(scope, ",").alias("scope"))
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS o_orderstatus, o_orderstatus NOT IN ('O', 'F') AS unmapped FROM orders")
@@ -88,15 +88,15 @@ def j11_catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.catalog_check(items, allow, deny, "2024-01-01")
 
 
-@query("""WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part), c AS (SELECT p_partkey AS class, p_name AS label FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT 100000 + p_partkey, split_part(p_name, ' ', 2) FROM part WHERE p_partkey < 5),
+@query("""WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part), c AS (SELECT p_partkey AS class, p_name AS label FROM part UNION ALL SELECT 100000 + p_partkey, split_part(p_name, ' ', 2) FROM part),
 s AS (SELECT term, class, CASE WHEN label = term THEN 100 WHEN contains(label, term) AND (ends_with(label, term) OR length(term) >= 0.75 * length(label)) THEN 90 - abs(length(label) - length(term)) WHEN contains(label, term) THEN 55
   ELSE 70 - abs(length(label) - length(term)) END AS score FROM t JOIN c ON contains(label, term) OR contains(term, label))
 SELECT term, class, score::INTEGER AS score, row_number() OVER (PARTITION BY term ORDER BY score DESC, class)::INTEGER AS place FROM s QUALIFY place <= 3""")
 def j16_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     word = F.element_at(F.split("p_name", " "), 2)
-    classes = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("class"), F.col("p_name").alias("label"))
-    classes = classes.unionByName(p.where("p_partkey < 5").select((F.col("p_partkey") + 100000).alias("class"), word.alias("label")))
+    classes = p.select(F.col("p_partkey").alias("class"), F.col("p_name").alias("label"))
+    classes = classes.unionByName(p.select((F.col("p_partkey") + 100000).alias("class"), word.alias("label")))
     return S.class_candidates(p.select(word.alias("term")).distinct(), classes)
 
 
