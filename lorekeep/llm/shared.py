@@ -10,9 +10,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: blank and the five control characters 09 to 0D.
-SPACES = " \t\n\x0b\x0c\r"
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
