@@ -1,29 +1,28 @@
 """Personal data, and the terms that give it away.
 
 Base detectors find email addresses, IP numbers, payment cards and phone numbers.  Each distinct value is a
-protected entity.  Over the whole corpus, counts of the documents with a term beside an entity and with the term at
-all estimate how much the term reveals: its pointwise mutual information with the entity, as a share of the
-entity's own information.  Terms above the disclosure threshold are generalised or removed together with the values.
+protected entity.  Over the whole corpus, counts of the documents that hold a term and an entity, and the term at
+all, estimate how much the term reveals: its pointwise mutual information with the entity, as a share of the
+entity's own information.  Terms above the disclosure threshold are removed wherever they stand in any document,
+together with the values.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import bounded_broadcast, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a value that are read as its context.
-CONTEXT_WORDS = 4
 #: Share of an entity's information that a term may reveal, and the documents that must show it.
 DISCLOSURE = 0.8
 SUPPORT = 2
-#: Entities in whose context a term is revealing may be broadcast up to so many (entity, term) rows.
+#: Entities, and revealing terms, may be broadcast up to so many rows; longer tables are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,106 +80,110 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
-def term(word: str) -> str:
-    return word.strip(_TRIM).lower()
-
-
-def context(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """The words (term, start, end) around a value that are no numbers."""
-    low = start
-    for _ in range(CONTEXT_WORDS + 1):
-        low = max((text.rfind(c, 0, low) for c in " \t\n\x0b\x0c\r"), default=-1)
-        if low < 0:
-            break
-    found = []
-    for area_start, area_end, side in ((max(low, 0), start, -1), (end, len(text), 1)):
-        words = []
-        for m in _WORD.finditer(text, area_start, area_end):
-            words.append(m)
-            if side > 0 and len(words) == CONTEXT_WORDS:
-                break
-        for m in words[-CONTEXT_WORDS:] if side < 0 else words:
-            word = term(m[0])
-            if len(word) > 2 and "@" not in word and not any(c.isdigit() for c in word):
-                at = m.start() + m[0].lower().find(word)
-                found.append((word, at, at + len(word)))
-    return found
+def words_of(text: Column) -> Column:
+    """The words of a text in order, without marks at their ends, in lower case; the same words as ``_WORD`` finds."""
+    words = F.filter(F.split(text, "[ \\x09-\\x0D]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(_TRIM))))
 
 
 def _spans(docs: DataFrame, name: str) -> DataFrame:
-    """rid, doc_id, spans (kind, start, end, entity, terms (term, start, end)) of every document; stored."""
-    one = "struct<kind:string,start:int,end:int,entity:string,terms:array<struct<term:string,start:int,end:int>>>"
+    """rid, doc_id, text_sha256, spans (kind, start, end, entity), rest of every document; stored.
+
+    ``rest`` is the text with its base values blanked, so that what is left are the words that are no values.
+    """
+    one = "struct<kind:string,start:int,end:int,entity:string>"
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, rests = [], []
             for text in frame["text"]:
-                rows.append(
-                    [
-                        {
-                            "kind": kind, "start": a, "end": b, "entity": entity(kind, text[a:b]),
-                            "terms": [{"term": t, "start": s, "end": e} for t, s, e in context(text, a, b)],
-                        }
-                        for kind, a, b in base_spans(text)
-                    ]
-                )
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "spans": rows})
-
-    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
-    found = texts.mapInPandas(find, f"doc_id string, spans array<{one}>")
+                spans = base_spans(text)
+                rows.append([{"kind": kind, "start": a, "end": b, "entity": entity(kind, text[a:b])} for kind, a, b in spans])
+                rests.append(blanked(text, spans))
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text_sha256": frame["text_sha256"].array, "spans": rows, "rest": rests})
+
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_key(), text_of().alias("text"))
+    found = texts.mapInPandas(find, f"doc_id string, text_sha256 string, spans array<{one}>, rest string")
     return stored(found.withColumn("rid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), name)
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
+def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with blanks in place of the spans; all other places stay."""
+    out, at = [], 0
+    for _, start, end in sorted(spans, key=lambda s: s[1]):
+        start = max(start, at)
+        if end > start:
+            out += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def text_key() -> Column:
+    """The key of a row's spans: they follow from its text alone, so rows of one text share them, whatever their doc_id."""
+    return F.sha2(text_of().cast("binary"), 256).alias("text_sha256")
+
+
+def revealing_terms(found: DataFrame, threshold: float, support: int) -> DataFrame:
     """entity, term, disclosure of the terms that reveal an entity, over all documents.
 
-    disclosure = log(P(entity | term) / P(entity)) / -log P(entity).  A term's own frequency is counted over every
-    document's words, but only for terms seen beside an entity in at least ``support`` documents.
+    disclosure = log(P(entity | term) / P(entity)) / -log P(entity), from counts of documents.  A pair needs
+    ``support`` documents, so its entity and its term need as many; and as no more documents hold both than hold the
+    entity, the threshold bounds how many may hold the term.  Both are exact, and leave few pairs to be counted.
     """
-    beside = found.select("rid", F.explode("spans").alias("s")).select(
-        "rid", F.col("s.entity").alias("entity"), F.explode("s.terms.term").alias("term")
+    n = float(max(1, found.count()))
+    held = found.select("rid", F.explode(F.array_distinct("spans.entity")).alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
+    entities = stored(entities, "pii-entities")
+    # a little more than the bound, as powers are rounded
+    most = F.lit(n * (1 + 1e-9)) * F.pow(F.col("with_entity") / F.lit(n), F.lit(float(threshold)))
+    total, highest = entities.agg(F.count("*"), F.max(most)).first()
+    held = stored(held.join(bounded_broadcast(entities, total, BROADCAST_TERMS), "entity").withColumn("most", most), "pii-held")
+    terms = found.select("rid", F.explode(F.array_distinct(words_of(F.col("rest")))).alias("term")).where("term != ''")
+    counts = terms.groupBy("term").agg(F.count("*").alias("with_term"))
+    counts = stored(counts.where(F.col("with_term").between(support, highest if highest is not None else 0.0)), "pii-counts")
+    own = terms.join(held.select("rid").distinct(), "rid", "left_semi").join(counts, "term")
+    pairs = own.join(held, "rid").where("with_term <= most")
+    pairs = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("together"))
+    information = -F.log(F.col("with_entity") / F.lit(n))
+    gain = F.log(F.col("together") / F.col("with_term") * F.lit(n) / F.col("with_entity"))
+    joined = pairs.where(F.col("together") >= support).withColumn(
+        "disclosure", F.when(information > 0, gain / information).otherwise(F.lit(0.0))
     )
-    pairs = beside.groupBy("entity", "term").agg(F.countDistinct("rid").alias("together")).where(F.col("together") >= support)
-    pairs = stored(pairs, "pii-pairs")
-    entities = found.select("rid", F.explode("spans.entity").alias("entity")).groupBy("entity").agg(
-        F.countDistinct("rid").alias("with_entity")
-    )
-    asked = stored(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(
-        F.explode(F.array_distinct(F.transform(F.split(F.lower(text_of()), "[ \\x09-\\x0D]+"), lambda w: F.btrim(w, F.lit(_TRIM))))).alias("term")
-    )
-    words = words.join(bounded_broadcast(asked, asked.count(), BROADCAST_TERMS), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    n = F.lit(float(max(1, found.count())))
-    joined = pairs.join(entities, "entity").join(counts, "term")
-    information = -F.log(F.col("with_entity") / n)
-    gain = F.log(F.col("together") / F.greatest("with_term", "together") * n / F.col("with_entity"))
-    joined = joined.withColumn("disclosure", F.when(information > 0, gain / information).otherwise(F.lit(0.0)))
     return joined.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
 def personal_data(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id and spans (kind, start, end) of every row: base kinds, and ``term`` for revealing terms.
+    """doc_id, text_sha256, spans (kind, start, end) of every row: base kinds, and ``term`` for revealing terms.
 
-    Null and empty texts have no spans; repeated rows are documents of their own in the counts; an empty table
-    gives an empty result; columns other than doc_id and text are ignored.
+    A revealing term is marked wherever it stands, in documents without the value too.  Null and empty texts have no
+    spans; repeated rows are documents of their own in the counts; an empty table gives an empty result; columns
+    other than doc_id and text are ignored.
     """
     found = _spans(docs, "pii-spans")
-    telling = stored(revealing_terms(docs, found, threshold, support), "pii-telling")
-    marks = found.select("rid", F.explode("spans").alias("s")).select(
-        "rid", F.col("s.entity").alias("entity"), F.explode("s.terms").alias("t")
-    )
-    marks = marks.select("rid", "entity", "t.term", "t.start", "t.end").join(
-        bounded_broadcast(telling.select("entity", "term"), telling.count(), BROADCAST_TERMS), ["entity", "term"], "left_semi"
-    )
-    marks = marks.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    telling = stored(revealing_terms(found, threshold, support).select("term").distinct(), "pii-telling")
+    places = found.select("rid", F.posexplode(words_of(F.col("rest"))).alias("place", "term"))
+    places = places.join(bounded_broadcast(telling, telling.count(), BROADCAST_TERMS), "term", "left_semi")
+    places = places.groupBy("rid").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+    def mark(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([[] if w is None else placed(t, w) for t, w in zip(texts, wanted, strict=True)])
+
+    joined = found.join(places, "rid", "left")
+    marks = F.pandas_udf(mark, "array<struct<start:int,end:int>>")(F.when(F.col("places").isNotNull(), F.col("rest")), F.col("places"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    more = F.transform(
-        F.coalesce("marks", F.array().cast("array<struct<start:int,end:int>>")),
-        lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-    )
-    joined = found.join(marks, "rid", "left")
-    return joined.select("doc_id", base.alias("base"), F.concat(base, more).alias("spans"))
+    more = F.transform("marks", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    joined = joined.withColumn("marks", marks)
+    return joined.select("doc_id", "text_sha256", base.alias("base"), F.concat(base, more).alias("spans"))
+
+
+def placed(text: str, places: Iterable[int]) -> list[dict[str, int]]:
+    """start, end of the words at ``places`` (ascending), without marks at their ends."""
+    wanted, out = set(places), []
+    for place, m in enumerate(_WORD.finditer(text)):
+        if place in wanted:
+            start = m.end() - len(m[0].lstrip(_TRIM))
+            out.append({"start": start, "end": start + len(m[0].strip(_TRIM))})
+    return out
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -196,17 +199,17 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``clean_text``, by the spans of ``personal_data`` (joined by doc_id)."""
+    """``docs`` with ``clean_text``, by the spans of ``personal_data``: each row's own, found by the key of its text."""
     kind = "array<struct<kind:string,start:int,end:int>>"
-    own = spans.select("doc_id", F.col("spans").cast(kind).alias("__spans")).dropDuplicates(["doc_id"])
+    own = spans.select(F.col("text_sha256").alias("__key"), F.col("spans").cast(kind).alias("__spans")).dropDuplicates(["__key"])
 
     def clean(texts: pd.Series, marks: pd.Series) -> pd.Series:
         return pd.Series(
             [sanitised(t, [(s["kind"], s["start"], s["end"]) for s in m] if m is not None else []) for t, m in zip(texts, marks, strict=True)]
         )
 
-    joined = docs.join(own, "doc_id", "left")
-    return joined.withColumn("clean_text", F.pandas_udf(clean, "string")(text_of(), F.col("__spans"))).drop("__spans")
+    joined = docs.withColumn("__key", text_key()).join(own, "__key", "left")
+    return joined.withColumn("clean_text", F.pandas_udf(clean, "string")(text_of(), F.col("__spans"))).drop("__key", "__spans")
 
 
 def _equal(kind: str):

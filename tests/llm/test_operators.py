@@ -223,6 +223,24 @@ def test_personal_data(spark):
     assert "bob0" not in clean and "<email>" in clean and "zorblat" not in clean.lower()
 
 
+def test_disclosure_covers_whole_texts(spark):
+    far = "wrote a very long letter about nothing much at all to"
+    rows = [(i, f"王五 u7 Zorblat {far} bob@x.org", "s") for i in range(3)]
+    rows += [(3, "only (Zorblat), u7 and 王五 here", "s")] + [(10 + i, f"plain words {i} {far}", "s") for i in range(60)]
+    rows += [(0, "another text of the id: amy@x.org", "s"), (0, "a short one", "s")]
+    docs = frame(spark, rows)
+    found = pii.personal_data(docs)
+    clean = {r.text: r.clean_text for r in pii.sanitise(docs, found).collect()}
+    assert len(clean) == len({t for _, t, _ in rows})
+    assert clean[rows[0][1]].split() == [*far.split(), "<email>"]  # eleven words lie between name and value
+    assert clean[rows[3][1]] == "only (),  and  here"  # the terms without the value
+    assert clean["another text of the id: amy@x.org"] == "another text of the id: <email>" and clean["a short one"] == "a short one"
+    got = {t.term: t.disclosure for t in pii.revealing_terms(pii._spans(docs, "spans"), 0.5, 2).collect()}
+    n = len(rows)
+    assert set(got) == {"王五", "u7", "zorblat"}
+    assert all(abs(d - np.log(3 / 4 * n / 3) / np.log(n / 3)) < 1e-9 for d in got.values())
+
+
 def test_temporal_list(spark):
     entries = spark.createDataFrame([("x.org", "block", "2024-01-02"), ("x.org", "remove", "2024-01-05"), ("a.x.org", "review", "2024-01-03"), (None, "block", "2024-01-01"), ("y.org", "block", None)], "domain string, action string, at string")
     cases = [("http://a.x.org/p", "2024-01-01"), ("http://a.x.org/p", "2024-01-02"), ("http://a.x.org:80/p", "2024-01-04"), ("http://b.x.org", "2024-01-05"), ("no url", "2024-01-03"), (None, None), ("http://b.x.org", "2024-01-04")]
