@@ -42,13 +42,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similar shingles: the one with the smallest doc_id.
+    """One row of each group linked by similar shingles: the one with the smallest doc_id, of those the first one.
 
-    Rows without doc_id stay unless they are similar to a row with one.
+    Rows without doc_id come last, so such a row stays only where no row of its group has one.
     """
-    classes = jaccard.jaccard_classes(docs, **NEAR)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    classes = jaccard.jaccard_classes(rows, **NEAR, row="__row")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    kept = classes.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,8 +162,12 @@ class Bands:
         return (np.concatenate(out) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, set_a and set_b (the set's signature), bits (its sketch), keys; stored."""
+def sketches(docs: DataFrame, width: int, num: int, den: int, row: str | None = None) -> DataFrame:
+    """rid, doc_id, text_hash, n_shingles, set_a and set_b (the set's signature), bits (its sketch), keys; stored.
+
+    ``rid`` is the column ``row``, or a number given here.
+    """
+    names = ["doc_id", "text_hash"] + ([] if row is None else ["rid"])
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, bands = Shingles(width), Bands(num, den)
@@ -178,17 +182,15 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 rows.append((*mark, bands.sketch(own), [] if mark in seen else bands.keys(own)))
                 seen.add(mark)
             out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bits", "keys"])
-            yield frame[["doc_id", "text_hash"]].reset_index(drop=True).join(out)
+            yield frame[names].reset_index(drop=True).join(out)
 
-    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
+    rid = [] if row is None else [F.col(row).alias("rid")]
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"), *rid)
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    made = texts.mapInPandas(
-        sketch, "doc_id string, text_hash long, n_shingles long, set_a long, set_b long, bits binary, keys array<long>"
-    )
-    return stored(
-        made.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", F.monotonically_increasing_id()),
-        "sketches",
-    )
+    schema = "doc_id string, text_hash long, " + ("" if row is None else "rid long, ")
+    made = texts.mapInPandas(sketch, schema + "n_shingles long, set_a long, set_b long, bits binary, keys array<long>")
+    made = made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return stored(made.withColumn("rid", F.monotonically_increasing_id()) if row is None else made, "sketches")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -228,15 +230,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return stored(both.mapInPandas(verify, "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id.
+def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id, component_id; with ``row`` also rid and component.
+
+    ``row`` names a column of numbers that tell rows apart and stay the same whenever ``docs`` is read; it comes back
+    as ``rid``.  Rows of one ``component`` are linked, also where doc_ids are missing or repeated.
 
     Two documents are linked when ``den * intersection >= num * union`` of their shingle sets.  ``class_id`` is the
     smallest doc_id with the same set, ``component_id`` the smallest one reachable by links.  A document without
     words (null, empty or blank text) has the empty set and stands alone.  Repeated rows belong to one class; null
     doc_ids come last.  An empty table gives an empty result; other columns are ignored.
     """
-    sketched = sketches(docs, width, num, den)
+    sketched = sketches(docs, width, num, den, row)
     own = ["n_shingles", "set_a", "set_b"]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     heads = sketched.where("n_shingles > 0").groupBy(*own).agg(F.min(order).alias("head"))
@@ -282,14 +287,16 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
             "component", F.coalesce("component", "rep")
         )
     out = members.select("rid", "doc_id", "n_shingles", "class_id", "rep")
+    columns = ["doc_id", "n_shingles", "class_id", "component_id"] + ([] if row is None else ["rid", "component"])
     if reached is None:
-        return out.select("doc_id", "n_shingles", "class_id", F.col("class_id").alias("component_id"))
+        return out.withColumns({"component_id": F.col("class_id"), "component": F.col("rep")}).select(*columns)
     best = reached.join(members.where("rid = rep").select(F.col("rep").alias("node"), "class_id"), "node")
     best = best.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    names = reached.join(best, "component").select(F.col("node").alias("rep"), "component_id")
-    return out.join(names, "rep", "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id")
+    names = reached.join(best, "component").select(F.col("node").alias("rep"), "component_id", "component")
+    out = out.join(names, "rep", "left").withColumns(
+        {"component_id": F.coalesce("component_id", "class_id"), "component": F.coalesce("component", "rep")}
     )
+    return out.select(*columns)
 
 
 def _hub_pairs(apart: DataFrame, step: int) -> DataFrame:

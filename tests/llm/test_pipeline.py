@@ -53,3 +53,15 @@ def test_stages(spark):
     packed = corpus_pipeline.packing_stage(spark, mixed, SF)
     ends = packed.where("start + length = doc_tokens").count()
     assert ends == mixed.count()
+
+
+def test_near_stage_keeps_one_row_of_a_group(spark):
+    def text(stem, last):
+        return " ".join([f"{stem}{i}" for i in range(60)] + [last])
+
+    rows = [(1, text("a", "x")), (1, text("a", "y")), (2, text("a", "z")), (2, text("b", "x")), (None, text("c", "x"))]
+    rows += [(None, text("c", "y")), (None, text("b", "y")), (None, text("d", "x")), (3, ""), (3, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_stage(spark, docs, SF).collect()
+    stems = sorted((str(r.doc_id), (r.text or "")[:2]) for r in got)
+    assert stems == sorted([("1", "a0"), ("2", "b0"), ("None", "c0"), ("None", "d0"), ("3", ""), ("3", ""), ("None", "")])
