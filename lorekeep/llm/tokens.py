@@ -1,8 +1,9 @@
 """Token ids by the ``tokenizers`` library, with each distinct word encoded once per worker.
 
 Both vocabularies cut texts at white space before they merge bytes, so a text's ids are its words' ids in a row.
-A bounded cache keeps the ids of words already met; a text whose white space would not cut that way is encoded
-whole.  The result is the library's own for every text (tests/llm/test_tokens.py compares them).
+A bounded cache keeps the ids of words already met; a text whose white space would not cut that way, or that holds
+an added token's literal, is encoded whole.  The result is the library's own for every text
+(tests/llm/test_operators.py compares them).
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Literals that the library finds before it cuts a text at white space; both vocabularies take them as written.
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.blanks = blanks
         self.letters = _byte_letters()
         self.words, self.pieces = _Words(self._new_words), {}
@@ -171,7 +173,10 @@ class WordTokenizer:
         counts, heads, whole = [], [], []
         for n, text in enumerate(texts):
             parts: list[str] = []
-            if self.blanks:
+            if any(token in text for token in self.added):
+                heads.append("")
+                whole.append(n)
+            elif self.blanks:
                 if self._inner_blank(text):
                     heads.append("")
                     whole.append(n)
@@ -191,8 +196,8 @@ class WordTokenizer:
             for n, ids in enumerate(self._batch(heads)):
                 if ids:
                     out[n] = np.concatenate([np.array(ids, np.uint16), out[n]])
-            for n in whole:
-                out[n] = np.array(self._batch([texts[n]])[0], np.uint16)
+        for n in whole:
+            out[n] = np.array(self._batch([texts[n]])[0], np.uint16)
         return out
 
 

@@ -62,6 +62,15 @@ def test_word_tokens_equal_the_library():
         assert [x.tolist() for x in tool.encode(texts)] == want  # from the cache
 
 
+def test_added_tokens_equal_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y <|EndOfText|>", "  <|endoftext|>  a", "plain", "< |endoftext|>"]
+    for name, blanks in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        want = [e.ids for e in Tokenizer.from_file(public_path(name)).encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in WordTokenizer(public_path(name), blanks).encode(texts)] == want
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(2).integers(0, 40, 3000).astype(np.uint16) * 997
     m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
