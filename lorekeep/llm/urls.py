@@ -14,8 +14,6 @@ from lorekeep.llm.shared import bounded_broadcast, stored
 
 #: Interval rows (about 100 bytes) that may be broadcast; a longer list is joined by a shuffle on the domain.
 BROADCAST_ENTRIES = 100_000
-#: Labels of a host that are looked up, from the whole host to its last two labels.
-MOST_LABELS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -25,12 +23,10 @@ def host_of(url: Column) -> Column:
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains down to two labels, the longest first."""
+    """The host and its parent domains down to the last label, the longest first."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    last = F.greatest(F.lit(1), n - 1)
-    first = F.greatest(F.lit(1), n - MOST_LABELS + 1)
-    return F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -52,8 +48,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The captures (id, url, fetched) with host, matched, action (``none`` where nothing was in force).
 
     A capture without a host or fetch time matches nothing.  Each row of ``captures`` gives one row; repeated rows
-    stay repeated.  Each capture meets at most ``MOST_LABELS`` domains, each with at most one interval in force, so
-    a host that holds a third of the rows adds no more than that.
+    stay repeated.  Each capture meets as many domains as its host has labels (127 at most in DNS), each with at most
+    one interval in force, so a host that holds a third of the rows adds no more than that.
     """
     listed = stored(intervals(entries), "url-intervals")
     rows = stored(

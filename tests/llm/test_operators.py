@@ -258,6 +258,14 @@ def test_temporal_list(spark):
     assert [got[n] for n in range(len(cases))] == ["none", "block", "review", "none", "none", "none", "block"]
 
 
+def test_temporal_list_of_any_depth(spark):
+    deep = ".".join("abcdefghijklmno") + ".x.org"  # 17 labels
+    entries = spark.createDataFrame([(deep, "block", "2024-01-01"), ("x.org", "review", "2024-01-01"), ("zip", "block", "2024-01-01")], "domain string, action string, at string")
+    captures = spark.createDataFrame([(0, f"http://{deep}/", "2024-02-01"), (1, "http://a.b.zip", "2024-02-01"), (2, "http://n.x.org", "2024-02-01"), (3, "http://zip.org", "2024-02-01")], "id long, url string, fetched string")
+    got = {r.id: (r.matched, r.action) for r in urls.filter_captures(captures, entries).collect()}
+    assert got == {0: (deep, "block"), 1: ("zip", "block"), 2: ("x.org", "review"), 3: (None, "none")}
+
+
 def test_licences():
     model = licences.train(["plain words of no notice at all", "some other lines here"] * 20)
     for family, templates in licences.TEMPLATES.items():
