@@ -188,6 +188,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sample_of(docs: DataFrame, known: DataFrame, rows: int, longest: int) -> DataFrame:
+    """doc_id, quality, text to learn from, in one partition: at most ``rows`` of either class, one text of a doc_id.
+
+    The documents are read and filtered by many tasks; only the sample is shuffled to one.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = texts.where(F.octet_length("text") <= longest)
+    picked = [
+        known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)
+    ]
+    met = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return met.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).repartition(1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int = FIT_BYTES) -> tuple[bytes, float]:
     """The fitted network, and half the log odds of label 1 among the labelled rows that are not held out.
 
@@ -198,12 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     bad, good = known.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    texts = texts.where(F.octet_length("text") <= longest)
-    picked = [
-        known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)
-    ]
-    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").coalesce(1)
+    sample = sample_of(docs, known, rows, longest)
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)

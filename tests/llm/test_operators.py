@@ -292,6 +292,14 @@ def test_quality_held_out(spark):
     assert len({r.score for r in rows if r.doc_id in (-1, -2)}) == 1
 
 
+def test_quality_sample_is_bounded(spark):
+    docs = frame(spark, [(1, f"copy {i}", "s") for i in range(50)] + [(2, "two", "s"), (3, "three", "s"), (3, "x" * 99, "s")])
+    known = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    got = quality.sample_of(docs, known, 5, 20)
+    assert got.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "copy 0"), (2, 1, "two"), (3, 1, "three")]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [(1, "x", "s")]).where("doc_id > 1")
     for made in (
