@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import components
-from lorekeep.llm.shared import bounded_broadcast, discard, stored, text_of, tidy
+from lorekeep.llm.shared import bounded_broadcast, discard, stored, stored_parts, text_of, tidy
 
 #: Bits of a parity key; a chance collision only costs a verification.
 KEY_BITS = 48
 #: Cuts tried by documents with many empty parts; under the last one empty parts are keys as well.
 CUTS = 4
+#: Slices of the key space, joined one after another so that only one slice's shuffle files stand on disk at a time.
+SLICES = 4
+#: Groups of equal sets (40 bytes each) are broadcast up to this many.
+BROADCAST_HEADS = 400_000
 #: Rounds in which a parity's classes are compared with one hub before they are compared pair by pair.
 HUB_ROUNDS = 2
 #: A parity of at most so many classes is compared pair by pair; of a larger one the rarest shingles are joined.
@@ -39,6 +43,7 @@ BROADCAST_CANDIDATES = 400_000
 #: Words kept in a worker's table of word hashes; a full table is emptied.
 CACHE_WORDS = 600_000
 
+_SLICED = [f"keys_{n}" for n in range(SLICES)]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -163,11 +168,13 @@ class Bands:
 
 
 def sketches(docs: DataFrame, width: int, num: int, den: int, row: str | None = None) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, set_a and set_b (the set's signature), bits (its sketch), keys; stored.
+    """rid, doc_id, text_hash, n_shingles, set_a and set_b (the set's signature), bits (its sketch), keys_0 to keys_3; stored.
 
-    ``rid`` is the column ``row``, or a number given here.
+    ``rid`` is the column ``row``, or a number given here.  Each slice of the keys is a column of its own, so that
+    reading one slice leaves the others on disk.
     """
     names = ["doc_id", "text_hash"] + ([] if row is None else ["rid"])
+    none = np.zeros(0, np.int64)
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, bands = Shingles(width), Bands(num, den)
@@ -179,16 +186,18 @@ def sketches(docs: DataFrame, width: int, num: int, den: int, row: str | None =
                 a = int(own.sum(dtype=np.uint64).view(np.int64))
                 b = int(np.bitwise_xor.reduce(_mixed(own + _ODD[3])).view(np.int64)) if len(own) else 0
                 mark = (len(own), a, b)
-                rows.append((*mark, bands.sketch(own), [] if mark in seen else bands.keys(own)))
+                keys = none if mark in seen else bands.keys(own)
+                rows.append((*mark, bands.sketch(own), *(keys[keys % SLICES == n] for n in range(SLICES))))
                 seen.add(mark)
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bits", "keys"])
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bits", *_SLICED])
             yield frame[names].reset_index(drop=True).join(out)
 
     rid = [] if row is None else [F.col(row).alias("rid")]
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"), *rid)
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     schema = "doc_id string, text_hash long, " + ("" if row is None else "rid long, ")
-    made = texts.mapInPandas(sketch, schema + "n_shingles long, set_a long, set_b long, bits binary, keys array<long>")
+    schema += "n_shingles long, set_a long, set_b long, bits binary, " + ", ".join(f"{c} array<long>" for c in _SLICED)
+    made = texts.mapInPandas(sketch, schema)
     made = made.withColumn("doc_id", F.col("doc_id").cast("long"))
     return stored(made.withColumn("rid", F.monotonically_increasing_id()) if row is None else made, "sketches")
 
@@ -242,20 +251,9 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     doc_ids come last.  An empty table gives an empty result; other columns are ignored.
     """
     sketched = sketches(docs, width, num, den, row)
-    own = ["n_shingles", "set_a", "set_b"]
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    heads = sketched.where("n_shingles > 0").groupBy(*own).agg(F.min(order).alias("head"))
-    heads = heads.select(*own, F.col("head.rid").alias("rep"), F.col("head.doc_id").alias("class_id"))
-    members = sketched.select("rid", "doc_id", "text_hash", "bits", *own).join(heads, own, "left")
-    members = members.withColumn("class_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
-    members = stored(members.withColumn("rep", F.coalesce("rep", "rid")).drop("set_a", "set_b"), "members")
-
-    postings = sketched.select("rid", F.explode("keys").alias("key"))
-    shared = stored(postings.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    tidy(docs.sparkSession)
-    found = postings.join(shared, "key").join(members.select("rid", "rep", "n_shingles"), "rid")
-    postings = stored(found.select("key", "rep", "n_shingles").distinct(), "postings")
-    discard(sketched, shared)
+    members = _members(sketched)
+    postings = stored_parts(_shared_postings(sketched, members), "postings")
+    discard(sketched)
     tidy(docs.sparkSession)
 
     classes = members.where("rid = rep").select("rep", "doc_id", "text_hash", "bits", "n_shingles")
@@ -299,6 +297,36 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     return out.select(*columns)
 
 
+def _members(sketched: DataFrame) -> DataFrame:
+    """The sketched rows with rep (the row that stands for their set) and class_id; stored.
+
+    Only sets met more than once are grouped and joined, and empty sets carry a key of their own, so no row of a hot
+    set is dealt by it where the groups are few; where they are many, the plain join is one that can be split.
+    """
+    own = ["n_shingles", "set_a", "set_b"]
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    heads = sketched.where("n_shingles > 0").groupBy(*own).agg(F.min(order).alias("head"), F.count("*").alias("met"))
+    heads = heads.where("met > 1").select(*own, F.col("head.rid").alias("rep"), F.col("head.doc_id").alias("class_id"))
+    heads = stored(heads, "heads")
+    rows = sketched.select("rid", "doc_id", "text_hash", "bits", *own)
+    rows = rows.withColumn("set_a", F.when(F.col("n_shingles") > 0, F.col("set_a")).otherwise(F.col("rid")))
+    members = rows.join(bounded_broadcast(heads, heads.count(), BROADCAST_HEADS), own, "left")
+    members = members.withColumn("class_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+    return stored(members.withColumn("rep", F.coalesce("rep", "rid")).drop("set_a", "set_b"), "members")
+
+
+def _shared_postings(sketched: DataFrame, members: DataFrame) -> Iterator[DataFrame]:
+    """key, rep, n_shingles of the keys that several rows share, slice by slice."""
+    for column in _SLICED:
+        postings = sketched.select("rid", F.explode(column).alias("key"))
+        shared = stored(postings.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+        tidy(sketched.sparkSession)
+        found = postings.join(shared, "key").join(members.select("rid", "rep", "n_shingles"), "rid")
+        yield found.select("key", "rep", "n_shingles").distinct()
+        discard(shared)
+        tidy(sketched.sparkSession)
+
+
 def _hub_pairs(apart: DataFrame, step: int) -> DataFrame:
     """Each posting beside its parity's hub, where classes of the parity are still apart.
 

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); on one machine a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lorekeep-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -23,11 +25,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    options = {"compression": compression, "parquet.compression.codec.zstd.level": "1"}
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_parts([df], name, compression)
+
+
+def stored_parts(parts: Iterable[DataFrame], name: str, compression: str = "zstd") -> DataFrame:
+    """The same for a table that comes in parts of one schema (one at least), written one after another."""
+    path, folders, schema = "", [], None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        folders.append(f"{path}/{len(folders)}")
+        options = {"compression": compression, "parquet.compression.codec.zstd.level": "1"}
+        df.write.options(**options).parquet(folders[-1])
+    table = spark.read.schema(schema).parquet(*folders)
+    table.stored_at = path
+    return table
 
 
 def tidy(spark: SparkSession) -> None:
@@ -39,10 +51,9 @@ def tidy(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        for folder in {os.path.dirname(file) for file in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str = "text") -> Column:
@@ -53,3 +64,11 @@ def text_of(column: str = "text") -> Column:
 def bounded_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only when the counted ``rows`` are within ``limit``; beyond it the join shuffles."""
     return F.broadcast(small) if rows <= limit else small
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
