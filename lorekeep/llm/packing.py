@@ -1,32 +1,38 @@
 """Packing documents into token windows with their lexical neighbours.
 
-Documents are dealt to shards of bounded size.  A shard is a BM25 inverted index over token ids: the document that
-opens a window is the query, and its best unused neighbours fill the window.  The last document of a window is cut
-where the window ends and its rest opens the next one, so windows are full; what is left of a shard at the end is
-cut into lengths that are powers of two, which need no padding.
+Document frequencies and the mean length are counted over all documents.  By them each document gets its two most
+telling terms, documents are ordered along these and dealt to tasks by ranges of the order, and every stretch of
+bounded size in it is a shard: a BM25 inverted index over token ids with the corpus' own statistics.  The document
+that opens a window is the query with all its terms, and its best unused neighbours fill the window.  The last
+document of a window is cut where the window ends and its rest opens the next one, so windows are full; what is left
+of a shard at the end is cut into lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import text_of
+from lorekeep.llm.shared import stored
 from lorekeep.llm.tokens import public_path
 from lorekeep.llm.wavelet import tokenised
 
 WINDOW = 1024
 END_ID = 0
-#: Ids of a shard, about: the index and the documents of one shard are held by one task.
-SHARD_IDS = 1 << 19
-#: Bytes of text per id, to estimate how many shards there are.
-BYTES_PER_ID = 4
-#: The opening document is asked for by its most telling terms.
-QUERY_TERMS = 24
+#: Ids of a shard, about: the index and the documents of one shard are held by one task at a time.
+SHARD_IDS = 1 << 17
+#: Ids of a range of the lexical order, about: a task streams through its range shard by shard.
+RANGE_IDS = 1 << 21
+#: Term numbers are below this, so statistics by term have a bounded size whatever the input.
+TERMS = 1 << 16
+#: Documents whose terms are counted at once, to bound a worker's memory.
+CHUNK = 400
 K1, B = 1.2, 0.75
 
 PIECES = (
@@ -34,57 +40,105 @@ PIECES = (
 )
 
 
+def term_counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of the distinct terms of each document, in order of document and term."""
+    lengths = np.array([len(one) for one in ids], np.int64)
+    kind = np.uint32 if len(ids) < TERMS else np.uint64  # 32-bit numbers are sorted faster
+    keys = np.repeat(np.arange(len(ids), dtype=kind) << kind(16), lengths)
+    keys |= np.concatenate(ids) if ids else keys
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    tf = np.diff(first, append=len(keys))
+    keys = keys[first]
+    return (keys >> kind(16)).astype(np.int64), (keys & kind(TERMS - 1)).astype(np.int64), tf
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Statistics over all documents: each term's inverse document frequency, and the mean length."""
+
+    idf: np.ndarray
+    mean: float
+
+    @classmethod
+    def of(cls, df: np.ndarray, n: int, tokens: int) -> Corpus:
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf[df < 2] = 0  # a term of one document leads nowhere
+        return cls(idf, max(1.0, tokens / max(1, n)))
+
+    def weights(self, docs: np.ndarray, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        norm = K1 * (1 - B + B * lengths / self.mean)
+        return self.idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
+
+
+def leading_terms(ids: list[np.ndarray], corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's two terms of greatest weight; the smaller term where weights are equal, -1 where there is none."""
+    docs, terms, tf = term_counts(ids)
+    weights = corpus.weights(docs, terms, tf, np.array([len(one) for one in ids], np.int64))
+    starts = np.flatnonzero(np.diff(docs, prepend=-1))  # every document has its end id
+    out = []
+    for _ in range(2):
+        best = np.maximum.reduceat(weights, starts)
+        at = np.flatnonzero(weights == best[docs])
+        at = at[np.diff(docs[at], prepend=-1) > 0]
+        out.append(np.where(best > 0, terms[at], -1))
+        weights[at] = 0
+    return out[0], out[1]
+
+
 class Bm25:
-    """An inverted index over the documents of a shard; terms are token ids."""
+    """An inverted index over the documents of a shard; terms are token ids, statistics are the corpus'."""
 
-    def __init__(self, ids: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus) -> None:
         self.n = len(ids)
-        lengths = np.array([len(one) for one in ids], np.int64)
-        pairs = np.concatenate(ids).astype(np.int64) * self.n + np.repeat(np.arange(self.n), lengths)
-        pairs, tf = np.unique(pairs, return_counts=True)
-        self.docs = pairs % self.n
-        terms, self.begin = np.unique(pairs // self.n, return_index=True)
-        self.begin = np.append(self.begin, len(pairs))
-        df = np.diff(self.begin)
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.idf[df < 2] = 0  # a term of one document leads nowhere
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
-        self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        by_doc = np.argsort(self.docs, kind="stable")
-        self.doc_terms = np.repeat(np.arange(len(terms)), df)[by_doc]
-        self.doc_begin = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
+        docs, terms, tf = term_counts(ids)
+        weights = corpus.weights(docs, terms, tf, np.array([len(one) for one in ids], np.int64))
+        self.terms = terms  # document after document
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=self.n))])
+        order = np.argsort(terms.astype(np.uint16), kind="stable")
+        self.docs, self.weights = docs[order], weights[order]
+        self.ends = np.cumsum(np.bincount(terms, minlength=TERMS))
+        self.places = np.arange(len(terms))
 
     def scores(self, doc: int) -> np.ndarray:
-        """Each document's score for ``doc`` as the query."""
-        terms = self.doc_terms[self.doc_begin[doc] : self.doc_begin[doc + 1]]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        parts = [slice(self.begin[t], self.begin[t + 1]) for t in terms.tolist()]
-        docs = np.concatenate([self.docs[p] for p in parts])
-        return np.bincount(docs, np.concatenate([self.weight[p] for p in parts]), self.n)
-
-
-def fill_windows(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+        """Each document's score for ``doc`` as the query, by all its terms."""
+        terms = self.terms[self.begin[doc] : self.begin[doc + 1]]
+        ends = self.ends[terms]
+        lengths = ends - np.where(terms > 0, self.ends[terms - 1], 0)
+        met = np.cumsum(lengths)
+        at = np.repeat(ends - met, lengths)
+        at += self.places[: len(at)]
+        return np.bincount(self.docs[at], self.weights[at], self.n)
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> list[int]:
+        """Unused documents that share a telling term with ``doc``, the best first, ties by their order."""
+        scores = self.scores(doc)
+        found = np.flatnonzero(unused & (scores > 0))
+        return found[np.argsort(-scores[found], kind="stable")].tolist()
+
+
+def fill_windows(ids: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard's documents."""
-    index = Bm25(ids)
+    index = Bm25(ids, corpus)
     unused = np.ones(len(ids), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
     opened: list[tuple[int, int, int]] = []  # of the window being filled
-    sequence, room, seed, scores, first = 0, window, -1, None, 0
+    sequence, room, seed, first = 0, window, -1, 0
+    near: Iterator[int] | None = None
     for _ in range(len(ids)):
-        while first < len(ids) and not unused[first]:
-            first += 1
-        doc = first
+        doc = -1
         if seed >= 0:
-            if scores is None:
-                scores = index.scores(seed)
-            best = int(np.argmax(np.where(unused, scores, 0.0)))
-            if unused[best] and scores[best] > 0:
-                doc = best
+            if near is None:
+                near = iter(index.neighbours(seed, unused))
+            doc = next((d for d in near if unused[d]), -1)
+        if doc < 0:
+            while not unused[first]:
+                first += 1
+            doc = first
         unused[doc] = False
         at, total = 0, len(ids[doc])
         if room == window:
-            seed, scores = doc, None
+            seed, near = doc, None
         while at < total:
             take = min(room, total - at)
             opened.append((doc, at, take))
@@ -95,7 +149,7 @@ def fill_windows(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
                     pieces.append((d, s, n, sequence, offset))
                     offset += n
                 opened, room, sequence = [], window, sequence + 1
-                seed, scores = (doc, None) if at < total else (-1, None)
+                seed, near = (doc if at < total else -1), None
     left = window - room
     sizes = [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
     offset = 0
@@ -110,6 +164,27 @@ def fill_windows(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return pieces
 
 
+def corpus_of(encoded: DataFrame) -> Corpus:
+    """The statistics of all documents (ids): at most a row per term comes to the driver."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, tokens = np.zeros(TERMS, np.int64), 0, 0
+        for frame in frames:
+            for at in range(0, len(frame), CHUNK):
+                ids = [np.frombuffer(x, "<u2") for x in frame["ids"].iloc[at : at + CHUNK]]
+                df += np.bincount(term_counts(ids)[1], minlength=TERMS)
+                n, tokens = n + len(ids), tokens + sum(map(len, ids))
+        met = np.flatnonzero(df)
+        yield pd.DataFrame({"term": met.astype(np.int32), "df": df[met], "docs": 0, "tokens": 0})
+        yield pd.DataFrame({"term": [-1], "df": [0], "docs": [n], "tokens": [tokens]})
+
+    counted = encoded.select("ids").mapInPandas(count, "term int, df long, docs long, tokens long")
+    rows = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).toArrow()
+    df, term = np.zeros(TERMS, np.int64), rows["term"].to_numpy()
+    df[term[term >= 0]] = rows["df"].to_numpy()[term >= 0]
+    return Corpus.of(df, int(rows["docs"].to_numpy().sum()), int(rows["tokens"].to_numpy().sum()))
+
+
 def pack(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (``with_ids``: ids too).
 
@@ -117,32 +192,55 @@ def pack(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, w
     gives an empty result.  Columns other than doc_id and text are ignored.
     """
     path = path or public_path("byte_bpe_50k.json")
-    size = docs.agg(F.sum(F.octet_length(text_of()) + BYTES_PER_ID)).first()[0] or 0
-    shards = max(1, int(size) // BYTES_PER_ID // shard_ids)
-    encoded = tokenised(docs, path, True, END_ID)
-    encoded = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-
-    def pack_shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "ids"], na_position="first", kind="stable")
-        shard = int(frame["shard"].iloc[0])
-        ids = [np.frombuffer(x, "<u2") for x in frame["ids"]]
-        keys = frame["doc_id"].tolist()
-        at, start, length, sequence, offset = map(np.array, zip(*fill_windows(ids), strict=True))
+    encoded = stored(tokenised(docs, path, True, END_ID), "pack-ids")
+    tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_of(encoded))  # two numbers per term, half a megabyte
+
+    def lead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), CHUNK):
+                part = frame.iloc[at : at + CHUNK].reset_index(drop=True)
+                first, second = leading_terms([np.frombuffer(x, "<u2") for x in part["ids"]], corpus.value)
+                yield part.assign(first=first.astype(np.int32), second=second.astype(np.int32))
+
+    def pack_range(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[str | None] = []
+        ids: list[np.ndarray] = []
+        held, made, task = 0, 0, 0
+        for frame in frames:
+            for key, data, part in zip(frame["doc_id"], frame["ids"], frame["part"], strict=True):
+                task = int(part)
+                keys.append(None if pd.isna(key) else key)
+                ids.append(np.frombuffer(data, "<u2"))
+                held += len(ids[-1])
+                if held >= shard_ids:
+                    packed, n = pack_shard(keys, ids, (task << 32) + made)
+                    yield packed
+                    keys, ids, held, made = [], [], 0, made + n
+        if ids:
+            yield pack_shard(keys, ids, (task << 32) + made)[0]
+
+    def pack_shard(keys: list[str | None], ids: list[np.ndarray], base: int) -> tuple[pd.DataFrame, int]:
+        at, start, length, sequence, offset = map(np.array, zip(*fill_windows(ids, corpus.value), strict=True))
         cuts = [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(at, start, length, strict=True)]
         out = pd.DataFrame(
             {
-                "doc_id": [None if pd.isna(keys[d]) else keys[d] for d in at],
+                "doc_id": [keys[d] for d in at],
                 "start": start,
                 "length": length,
                 "ids_crc32": [zlib.crc32(c) for c in cuts],
                 "doc_tokens": [len(ids[d]) for d in at],
-                "sequence_id": (shard << 32) + sequence,
+                "sequence_id": base + sequence,
                 "offset": offset,
             }
         )
-        return out.assign(ids=cuts) if with_ids else out
-
+        return out.assign(ids=cuts) if with_ids else out, int(sequence.max()) + 1
+
+    rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    led = rows.mapInPandas(lead, "doc_id string, ids binary, first int, second int")
+    # documents of one pair of terms are spread by a hash, so that many copies are dealt to several ranges
+    order = ["first", "second", F.xxhash64("doc_id"), "doc_id", "ids"]
+    dealt = led.repartitionByRange(max(1, -(-int(tokens) // RANGE_IDS)), *order[:3]).sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "ids", F.spark_partition_id().alias("part"))
     schema = PIECES.replace("doc_id long", "doc_id string") + (", ids binary" if with_ids else "")
-    rows = encoded.select("shard", F.col("doc_id").cast("string").alias("doc_id"), "ids")
-    pieces = rows.groupBy("shard").applyInPandas(pack_shard, schema)
-    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return dealt.mapInPandas(pack_range, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
