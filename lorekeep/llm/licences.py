@@ -1,15 +1,16 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs that speak of a licence are scored by a sparse logistic regression over word n-grams.  It is trained
-here on variations of the families' notices and on the corpus' own paragraphs as the unknown class, and a
-temperature fitted on held-back examples calibrates it.  A prediction is confirmed if the paragraph holds enough of
-one of the family's templates.
+Every text is cut into paragraphs at blank lines, lines that were merely wrapped are joined again, and every
+paragraph is read in overlapping windows of words, so that a notice inside a long paragraph is not thinned out.  A
+sparse logistic regression over word n-grams scores each window.  It is trained here on variations of the families'
+notices and, for the unknown class, on windows of a bounded sample of the corpus' own documents; a temperature
+fitted on held-back examples of both calibrates it.  Windows of one family that touch are one finding, which is
+confirmed if it holds enough of one of the family's templates.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,113 +82,221 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-#: Words that a licence notice cannot do without; n-grams without one of them are no features.
-CUE = re.compile(
-    r"(?i)licen[cs]|copyright|rights reserved|public domain|creative commons|spdx|redistribut|permission is|proprietary|\bcc[ -]by\b|\bcc0\b"
-)
-#: Characters around a cue that make up its paragraph, within its line.
-AROUND = 160
-BUCKETS = 1 << 14
-#: The unknown class is learned from at most so many documents, of so many first characters each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
+#: Words of half a window: windows of 16 words overlap by 8, so a notice of up to 8 words lies whole in one.
+HALF = 8
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+#: The unknown class is learned from whole documents: of the first so many by a hash of doc_id, those of at most so
+#: many bytes, and of their windows so many.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WINDOWS = 400, 16384, 3000
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
 VARIATIONS = 40
+#: Words kept in a worker's table of word hashes; a full table is emptied.
+CACHE_WORDS = 600_000
+#: Characters scored at once, to bound a worker's memory.
+AT_ONCE = 1 << 20
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_BLANK_LINE = re.compile(r"\n[ \t\r\f\v]*(?=\n)")
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(text: str) -> np.ndarray:
+def paragraphs(text: str) -> list[tuple[int, int]]:
+    """Stretches between blank lines; a wrapped line's break is white space like any other."""
+    edges = [0, *(m.end() for m in _BLANK_LINE.finditer(text)), len(text)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+class Grams:
     """Buckets of the one to three word n-grams."""
-    words = words_of(text)
-    grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
-    return np.array(sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams}), np.int64)
-
-
-def paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around licence words: within a line, AROUND characters to either side, touching ones joined."""
-    start = end = -1
-    for m in CUE.finditer(text):
-        low = max(text.rfind("\n", 0, m.start()) + 1, m.start() - AROUND)
-        line = text.find("\n", m.end())
-        high = min(len(text) if line < 0 else line, m.end() + AROUND)
-        if low <= end and "\n" not in text[end:low]:
-            end = max(end, high)
-            continue
-        if start >= 0:
-            yield start, end
-        start, end = low, high
-    if start >= 0:
-        yield start, end
 
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
 
-class Classifier:
-    """Multinomial logistic regression on hashed n-grams, with a temperature."""
+    def hashes(self, words: list[str]) -> np.ndarray:
+        import xxhash
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float) -> None:
-        self.weights, self.bias, self.temperature = weights, bias, temperature
-        self.pairs = [(f, set(_pairs(t))) for f, ts in TEMPLATES.items() for t in ts]
+        if len(self.index) > CACHE_WORDS:
+            self.index = {}
+        index, digest = self.index, xxhash.xxh3_64_intdigest
+        for word in set(words).difference(index):
+            index[word] = digest(word)
+        return np.fromiter(map(index.__getitem__, words), np.uint64, len(words))
 
-    def logits(self, text: str) -> np.ndarray:
-        own = features(text)
-        return self.bias + self.weights[own].sum(axis=0) / max(1.0, len(own) ** 0.5)
+    def buckets(self, words: list[str], left: np.ndarray) -> np.ndarray:
+        """A row per word: buckets of the n-grams that begin there; BUCKETS for one that runs past the paragraph.
 
-    def predict(self, text: str) -> tuple[str, float]:
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
-        best = int(p.argmax())
-        return FAMILIES[best], float(p[best] / p.sum())
+        ``left`` counts the words from each one to its paragraph's end, itself included.
+        """
+        h = self.hashes(words)
+        out = np.full((len(h), 3), BUCKETS, np.int32)
+        total = h * _STEPS[0]
+        out[:, 0] = total >> np.uint64(64 - BUCKET_BITS)
+        for n in (1, 2):
+            if len(h) > n:
+                total = (total[:-1] ^ (total[:-1] >> np.uint64(29))) * _STEPS[n] + h[n:]
+                own = (total * _STEPS[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+                out[: len(own), n] = np.where(left[: len(own)] > n, own, BUCKETS)
+        return out
 
-    def confirmed(self, text: str, family: str) -> bool:
-        own = set(_pairs(text))
-        return any(f == family and len(t & own) >= CONFIRM * len(t) for f, t in self.pairs)
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of one window and their values."""
+        own = self.buckets(words, np.arange(len(words), 0, -1)).ravel()
+        found, n = np.unique(own[own < BUCKETS], return_counts=True)
+        return found, n / max(1.0, n.sum() ** 0.5)
 
 
-def _pairs(text: str) -> list[tuple[str, str]]:
-    words = words_of(text)
-    return list(zip(words, words[1:], strict=False)) or [(w, "") for w in words]
+def _pairs(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:], strict=False)) or {(w, "") for w in words}
 
 
-def train(unknown: list[str], seed: int = 5) -> Classifier:
-    """Fits on variations of the templates: words dropped, and the corpus' own words before and after."""
+_TEMPLATE_PAIRS = [(f, _pairs(words_of(t))) for f, ts in TEMPLATES.items() for t in ts]
+
+
+def confirmed(words: list[str], family: str | None = None) -> bool:
+    """Whether the words hold enough of a template, of the family or of any."""
+    own = _pairs(words)
+    return any(family in (None, f) and len(t & own) >= CONFIRM * len(t) for f, t in _TEMPLATE_PAIRS)
+
+
+class Classifier:
+    """Multinomial logistic regression on hashed n-grams, with a temperature."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float) -> None:
+        self.weights, self.bias, self.temperature = weights, bias, temperature  # the last row stands for no n-gram
+        self.grams = Grams()
+
+    def _chances(self, logits: np.ndarray) -> np.ndarray:
+        z = logits / self.temperature
+        p = np.exp(z - z.max(axis=-1, keepdims=True))
+        return p / p.sum(axis=-1, keepdims=True)
+
+    def predict(self, text: str) -> tuple[str, float]:
+        """The family of one window."""
+        own, value = self.grams.features(words_of(text))
+        p = self._chances(self.bias + value @ self.weights[own])
+        return FAMILIES[int(p.argmax())], float(p.max())
+
+    def scan(self, texts: list[str]) -> list[list[tuple[str, float, bool, int, int]]]:
+        """The findings of each text: family, probability, confirmed, start, end."""
+        words: list[str] = []
+        owner, begin, sizes = [], [], []  # of each paragraph with words: its text, its place there, its words
+        for n, text in enumerate(texts):
+            for a, b in paragraphs(text):
+                own = words_of(text[a:b])
+                if own:
+                    words += own
+                    owner.append(n)
+                    begin.append((a, b))
+                    sizes.append(len(own))
+        out: list[list[tuple[str, float, bool, int, int]]] = [[] for _ in texts]
+        if not words:
+            return out
+        size = np.array(sizes)
+        first = np.cumsum(size) - size
+        place = np.arange(len(words)) - np.repeat(first, size)
+        buckets = self.grams.buckets(words, np.repeat(size, size) - place)
+        parts = np.flatnonzero(place % HALF == 0)
+        given = self.weights[buckets[:, 0]]
+        for n in (1, 2):
+            given += self.weights[buckets[:, n]]
+        sums = np.add.reduceat(given, parts, axis=0).astype(np.float64)
+        counts = np.add.reduceat((buckets < BUCKETS).sum(axis=1), parts)
+        # a window is a half and the next one of its paragraph; a paragraph of one half is a window by itself
+        halves = -(-size // HALF)
+        paragraph = np.repeat(np.arange(len(size)), halves)
+        half = np.arange(len(parts)) - np.repeat(np.cumsum(halves) - halves, halves)
+        more = half + 1 < halves[paragraph]
+        sums[:-1][more[:-1]] += sums[1:][more[:-1]]
+        counts[:-1][more[:-1]] += counts[1:][more[:-1]]
+        p = self._chances(self.bias + sums / np.sqrt(np.maximum(counts, 1))[:, None])
+        best = p.argmax(axis=1)
+        hits = np.flatnonzero((best > 0) & (more | (half == 0)))
+        for group in np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(best[hits]) != 0) | (np.diff(paragraph[hits]) != 0)) + 1):
+            if len(group):
+                one = int(paragraph[group[0]])
+                family = FAMILIES[int(best[group[0]])]
+                a, b = begin[one]
+                low, high = int(half[group[0]]) * HALF, min(sizes[one], (int(half[group[-1]]) + 2) * HALF)
+                at = int(first[one])
+                sure = confirmed(words[at + low : at + high], family)
+                start, end = _stretch(texts[owner[one]][a:b], low, high)
+                out[owner[one]].append((family, float(p[group, best[group]].max()), sure, a + start, a + end))
+        return out
+
+
+def _stretch(text: str, low: int, high: int) -> tuple[int, int]:
+    """Where the words ``low`` to ``high`` (exclusive) of a text stand; lower case may be longer than the text."""
+    lower = text.lower()
+    spans = [m.span() for m in _WORD.finditer(lower)]
+    start, end = spans[low][0], spans[high - 1][1]
+    if len(lower) == len(text):
+        return start, end
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return origin[start], origin[end - 1] + 1
+
+
+def windows_of(words: list[str]) -> list[list[str]]:
+    """The windows of a paragraph's words."""
+    return [words[at : at + 2 * HALF] for at in range(0, max(1, len(words) - HALF), HALF)] if words else []
+
+
+def examples(unknown: list[str], seed: int = 5) -> list[tuple[list[str], int]]:
+    """Windows and their labels: notices with words dropped amid the corpus' words, and the corpus' own windows."""
     r = np.random.default_rng(seed)
-    filler = np.array([w for t in unknown for w in words_of(t)] or ["text"], dtype=object)
-    rows: list[tuple[np.ndarray, int]] = []
+    own = [w for t in unknown for a, b in paragraphs(t) for w in windows_of(words_of(t[a:b]))]
+    own = [w for w in own if not confirmed(w)]
+    filler = np.array([w for window in own for w in window] or ["text"], dtype=object)
+
+    def some(low: int, high: int) -> list[str]:
+        return filler[r.integers(0, len(filler), r.integers(low, high))].tolist()
+
+    rows = []
     for label, family in enumerate(FAMILIES):
         for template in TEMPLATES.get(family, ()):
             words = words_of(template)
             for n in range(VARIATIONS):
                 kept = [w for w in words if n < 4 or r.random() > 0.08]
-                before, after = (list(filler[r.integers(0, len(filler), r.integers(0, 25))]) for _ in range(2))
-                rows.append((features(" ".join([*before, *kept, *after])), label))
-    plain = [t for t in unknown if not CUE.search(t)]
-    cues = ["license", "copyright", "licensed", "permission", "rights", "public domain"]
+                before = some(0, 2 * HALF)
+                text = [*before, *kept, *some(0, 2 * HALF)]
+                at = max(0, min(len(before), int(r.integers(-HALF, HALF // 2)) + len(before)))  # where its window begins
+                rows.append((text[at : at + 2 * HALF], label))
+    # words that notices are made of, alone among others, are no notice
+    telling = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
     for n in range(VARIATIONS * 12):
-        around = list(filler[r.integers(0, len(filler), r.integers(3, 40))])
-        if n % 2:
-            around.insert(int(r.integers(0, len(around))), str(r.choice(cues)))
-        rows.append((features(" ".join(around)), 0))
-    rows += [(features(t[:400]), 0) for t in plain[:400]]
+        around = some(3, 2 * HALF)
+        for _ in range(n % 3):
+            around.insert(int(r.integers(0, len(around))), str(r.choice(telling)))
+        rows.append((around, 0))
+    rows += [(some(1, 3) * HALF, 0) for _ in range(VARIATIONS * 4)]  # repeated words
+    picked = r.permutation(len(own))[:SAMPLE_WINDOWS]
+    return rows + [(own[i], 0) for i in picked]
+
+
+def train(unknown: list[str], seed: int = 5) -> Classifier:
+    """Fits on four fifths of the examples and calibrates on the rest."""
+    r = np.random.default_rng(seed)
+    model = Classifier(np.zeros((BUCKETS + 1, len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0)
+    rows = [(*model.grams.features(words), label) for words, label in examples(unknown, seed)]
     order = r.permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
-    model = Classifier(np.zeros((BUCKETS, len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0)
     for epoch in range(12):
         for i in r.permutation(used):
-            own, label = rows[i]
-            scale = 1 / max(1.0, len(own) ** 0.5)
-            z = model.bias + model.weights[own].sum(axis=0) * scale
+            own, value, label = rows[i]
+            z = model.bias + value @ model.weights[own]
             p = np.exp(z - z.max())
             p /= p.sum()
             p[label] -= 1
             rate = 0.5 / (1 + epoch)
-            model.weights[own] -= rate * scale * p
+            model.weights[own] -= rate * value[:, None] * p
             model.bias -= 0.1 * rate * p
-    z = np.array([model.bias + model.weights[rows[i][0]].sum(axis=0) / max(1.0, len(rows[i][0]) ** 0.5) for i in held])
-    labels = np.array([rows[i][1] for i in held])
+    z = np.array([model.bias + rows[i][1] @ model.weights[rows[i][0]] for i in held])
+    labels = np.array([rows[i][2] for i in held])
 
     def loss(t: float) -> float:
         s = z / t - (z / t).max(axis=1, keepdims=True)
@@ -197,35 +306,37 @@ def train(unknown: list[str], seed: int = 5) -> Classifier:
     return model
 
 
+def sample_of(texts: DataFrame) -> list[str]:
+    """Whole texts of the bounded sample.  The ids are picked first, so no other text leaves its task."""
+    ids = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    met = texts.join(F.broadcast(ids), "doc_id", "left_semi").where(F.octet_length("text") <= SAMPLE_BYTES)
+    found = met.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # SAMPLE_DOCS * SAMPLE_BYTES at most
+    return [row["text"] for row in sorted(found, key=lambda row: row["doc_id"])]
+
+
 def licence_findings(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, findings (family, probability, confirmed, start, end; code points).
 
-    A paragraph of the unknown class gives a finding of family ``unknown``.  Null and empty texts have no findings;
-    each repeated row has its own; an empty table gives an empty result; other columns are ignored.
+    A window of the unknown class gives no finding.  Null and empty texts have no findings; each repeated row has
+    its own; an empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = sample.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    model = train([line for row in sample for line in row["text"].split("\n") if line])
+    model = train(sample_of(texts))
     weights, bias, temperature = model.weights.astype(np.float32), model.bias, model.temperature
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 MB, whatever the input
+    names = ["family", "probability", "confirmed", "start", "end"]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Classifier(weights, bias, temperature)
-        known: dict[str, tuple] = {}
+        own = Classifier(shared.value, bias, temperature)
         for frame in frames:
-            rows = []
+            rows: list[list[dict]] = []
+            batch: list[str] = []
             for text in frame["text"]:
-                found = []
-                for start, end in paragraphs(text):
-                    part = text[start:end]
-                    if part not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        family, p = own.predict(part)
-                        known[part] = (family, p, own.confirmed(part, family))
-                    family, p, sure = known[part]
-                    found.append({"family": family, "probability": p, "confirmed": sure, "start": start, "end": end})
-                rows.append(found)
+                batch.append(text)
+                if sum(map(len, batch)) > AT_ONCE:
+                    rows += [[dict(zip(names, f, strict=True)) for f in found] for found in own.scan(batch)]
+                    batch = []
+            rows += [[dict(zip(names, f, strict=True)) for f in found] for found in own.scan(batch)]
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "findings": rows})
 
     one = "struct<family:string,probability:double,confirmed:boolean,start:int,end:int>"
