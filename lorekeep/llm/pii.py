@@ -10,20 +10,24 @@ together with the values.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator
+from itertools import chain, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import bounded_broadcast, stored, text_of
+from lorekeep.llm.shared import bounded_broadcast, free_name, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information that a term may reveal, and the documents that must show it.
 DISCLOSURE = 0.8
 SUPPORT = 2
-#: Entities, and revealing terms, may be broadcast up to so many rows; longer tables are joined by a shuffle.
+#: Entities, and revealing terms, may be broadcast up to so many rows (10 MB); longer tables are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Things counted in a task before they leave it, and rows whose words are spread at once, to bound a worker's memory.
+MOST_COUNTED, SPREAD_ROWS = 500_000, 200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,6 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
+_HINT = re.compile(r"[0-9@]")  # no value without one
 _TRIM = "\"'.,;:!?()[]{}<>|*$#%&"
 
 
@@ -80,31 +85,15 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text in order, without marks at their ends, in lower case; the same words as ``_WORD`` finds."""
-    words = F.filter(F.split(text, "[ \\x09-\\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(_TRIM))))
+def words_of(text: str) -> list[str]:
+    """The words of a text in order, in lower case, without marks at their ends."""
+    return [w.decode("utf-8", "surrogatepass").strip(_TRIM) for w in text.lower().encode("utf-8", "surrogatepass").split()]
 
 
-def _spans(docs: DataFrame, name: str) -> DataFrame:
-    """rid, doc_id, text_sha256, spans (kind, start, end, entity), rest of every document; stored.
-
-    ``rest`` is the text with its base values blanked, so that what is left are the words that are no values.
-    """
-    one = "struct<kind:string,start:int,end:int,entity:string>"
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, rests = [], []
-            for text in frame["text"]:
-                spans = base_spans(text)
-                rows.append([{"kind": kind, "start": a, "end": b, "entity": entity(kind, text[a:b])} for kind, a, b in spans])
-                rests.append(blanked(text, spans))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text_sha256": frame["text_sha256"].array, "spans": rows, "rest": rests})
-
-    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_key(), text_of().alias("text"))
-    found = texts.mapInPandas(find, f"doc_id string, text_sha256 string, spans array<{one}>, rest string")
-    return stored(found.withColumn("rid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), name)
+def read(text: str) -> tuple[list[tuple[str, int, int]], str]:
+    """The base spans of a text, and the text with blanks in place of them: what is left are the words that are no values."""
+    spans = base_spans(text) if _HINT.search(text) else []
+    return spans, blanked(text, spans) if spans else text
 
 
 def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -123,66 +112,122 @@ def text_key() -> Column:
     return F.sha2(text_of().cast("binary"), 256).alias("text_sha256")
 
 
-def revealing_terms(found: DataFrame, threshold: float, support: int) -> DataFrame:
+def _counted(docs: DataFrame, tell: Callable[[str], Iterable], names: list[str]) -> DataFrame:
+    """How many documents tell each thing: ``tell`` gives the distinct things of a text, a batch's are added up before they leave it."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            met: Counter = Counter()
+            for text in frame["text"]:
+                met.update(tell(text))
+                if len(met) > MOST_COUNTED:
+                    yield table(met)
+                    met = Counter()
+            if met:
+                yield table(met)
+
+    def table(met: Counter) -> pd.DataFrame:
+        columns = zip(*met, strict=True) if len(names) > 1 else [met]
+        return pd.DataFrame({**dict(zip(names, map(list, columns), strict=True)), "n": list(met.values())})
+
+    rows = docs.select(text_of().alias("text")).mapInPandas(count, ", ".join(f"{n} string" for n in names) + ", n long")
+    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def entities_of(text: str) -> set[str]:
+    return {entity(kind, text[a:b]) for kind, a, b in read(text)[0]}
+
+
+def revealing_terms(docs: DataFrame, threshold: float, support: int) -> DataFrame:
     """entity, term, disclosure of the terms that reveal an entity, over all documents.
 
     disclosure = log(P(entity | term) / P(entity)) / -log P(entity), from counts of documents.  A pair needs
     ``support`` documents, so its entity and its term need as many; and as no more documents hold both than hold the
-    entity, the threshold bounds how many may hold the term.  Both are exact, and leave few pairs to be counted.
+    entity, the threshold bounds how many may hold the term.  Both are exact, and leave few pairs to be joined.
     """
-    n = float(max(1, found.count()))
-    held = found.select("rid", F.explode(F.array_distinct("spans.entity")).alias("entity"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
-    entities = stored(entities, "pii-entities")
+    n = float(max(1, docs.count()))
+    entities = stored(_counted(docs, entities_of, ["entity"]).where(F.col("n") >= support).withColumnRenamed("n", "with_entity"), "pii-entities")
     # a little more than the bound, as powers are rounded
     most = F.lit(n * (1 + 1e-9)) * F.pow(F.col("with_entity") / F.lit(n), F.lit(float(threshold)))
     total, highest = entities.agg(F.count("*"), F.max(most)).first()
-    held = stored(held.join(bounded_broadcast(entities, total, BROADCAST_TERMS), "entity").withColumn("most", most), "pii-held")
-    terms = found.select("rid", F.explode(F.array_distinct(words_of(F.col("rest")))).alias("term")).where("term != ''")
-    counts = terms.groupBy("term").agg(F.count("*").alias("with_term"))
-    counts = stored(counts.where(F.col("with_term").between(support, highest if highest is not None else 0.0)), "pii-counts")
-    own = terms.join(held.select("rid").distinct(), "rid", "left_semi").join(counts, "term")
-    pairs = own.join(held, "rid").where("with_term <= most")
-    pairs = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("together"))
+    terms = _counted(docs, lambda text: set(words_of(read(text)[1])) - {""}, ["term"])
+    counts = stored(terms.where(F.col("n").between(support, highest if highest is not None else 0.0)).withColumnRenamed("n", "with_term"), "pii-counts")
+    # entities met too rarely need not be paired, where they are few enough to be told
+    known = None
+    if total <= BROADCAST_TERMS:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r["entity"] for r in entities.select("entity").toLocalIterator()))
+
+    def pairs(text: str) -> Iterator[tuple[str, str]]:
+        spans, rest = read(text)
+        own = {entity(kind, text[a:b]) for kind, a, b in spans}
+        own = own if known is None else own & known.value
+        return product(own, set(words_of(rest)) - {""}) if own else iter(())
+
+    paired = _counted(docs, pairs, ["entity", "term"]).where(F.col("n") >= support).withColumnRenamed("n", "together")
+    paired = paired.join(counts, "term").join(bounded_broadcast(entities, total, BROADCAST_TERMS), "entity")
     information = -F.log(F.col("with_entity") / F.lit(n))
     gain = F.log(F.col("together") / F.col("with_term") * F.lit(n) / F.col("with_entity"))
-    joined = pairs.where(F.col("together") >= support).withColumn(
-        "disclosure", F.when(information > 0, gain / information).otherwise(F.lit(0.0))
-    )
+    joined = paired.withColumn("disclosure", F.when(information > 0, gain / information).otherwise(F.lit(0.0)))
     return joined.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
 def personal_data(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text_sha256, spans (kind, start, end) of every row: base kinds, and ``term`` for revealing terms.
+    """doc_id, text_sha256, base and spans (kind, start, end) of every row: base kinds, and ``term`` for revealing terms.
 
     A revealing term is marked wherever it stands, in documents without the value too.  Null and empty texts have no
     spans; repeated rows are documents of their own in the counts; an empty table gives an empty result; columns
     other than doc_id and text are ignored.
     """
-    found = _spans(docs, "pii-spans")
-    telling = stored(revealing_terms(found, threshold, support).select("term").distinct(), "pii-telling")
-    places = found.select("rid", F.posexplode(words_of(F.col("rest"))).alias("place", "term"))
-    places = places.join(bounded_broadcast(telling, telling.count(), BROADCAST_TERMS), "term", "left_semi")
-    places = places.groupBy("rid").agg(F.array_sort(F.collect_set("place")).alias("places"))
-
-    def mark(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([[] if w is None else placed(t, w) for t, w in zip(texts, wanted, strict=True)])
-
-    joined = found.join(places, "rid", "left")
-    marks = F.pandas_udf(mark, "array<struct<start:int,end:int>>")(F.when(F.col("places").isNotNull(), F.col("rest")), F.col("places"))
-    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    more = F.transform("marks", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    joined = joined.withColumn("marks", marks)
-    return joined.select("doc_id", "text_sha256", base.alias("base"), F.concat(base, more).alias("spans"))
-
-
-def placed(text: str, places: Iterable[int]) -> list[dict[str, int]]:
-    """start, end of the words at ``places`` (ascending), without marks at their ends."""
-    wanted, out = set(places), []
-    for place, m in enumerate(_WORD.finditer(text)):
-        if place in wanted:
-            start = m.end() - len(m[0].lstrip(_TRIM))
-            out.append({"start": start, "end": start + len(m[0].strip(_TRIM))})
+    telling = stored(revealing_terms(docs, threshold, support).select("term").distinct(), "pii-telling")
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_key(), text_of().alias("text"))
+    if telling.count() <= BROADCAST_TERMS:
+        told = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in telling.toLocalIterator()))
+        return _marked(rows, lambda texts, _: [told.value] * len(texts))
+    # too many terms for a task: each text's words are joined with them, and the row gets its own terms back
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), SPREAD_ROWS):
+                part = frame.iloc[at : at + SPREAD_ROWS]
+                own = [sorted(set(words_of(read(text)[1])) - {""}) for text in part["text"]]
+                yield pd.DataFrame({"rid": part["rid"].repeat([len(x) for x in own]).array, "term": pd.Series(list(chain.from_iterable(own)), dtype=object)})
+
+    met = rows.select("rid", "text").mapInPandas(spread, "rid long, term string").join(telling, "term", "left_semi")
+    met = met.groupBy("rid").agg(F.collect_list("term").alias("terms"))  # words of one text
+    return _marked(rows.join(met, "rid", "left").drop("rid"), lambda texts, terms: [() if t is None else set(t) for t in terms])
+
+
+def _marked(rows: DataFrame, wanted: Callable[[pd.Series, pd.Series | None], list]) -> DataFrame:
+    """The spans of rows (doc_id, text_sha256, text and perhaps terms); ``wanted`` gives the terms to mark in each."""
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            base, every = [], []
+            for text, terms in zip(frame["text"], wanted(frame["text"], frame.get("terms")), strict=True):
+                spans, rest = read(text)
+                marks = [("term", a, b) for a, b in placed(rest, terms)] if terms else []
+                base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
+                every.append(base[-1] + [dict(zip(("kind", "start", "end"), s, strict=True)) for s in marks])
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text_sha256": frame["text_sha256"].array, "base": base, "spans": every})
+
+    found = rows.mapInPandas(mark, f"doc_id string, text_sha256 string, base {_SPANS}, spans {_SPANS}")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def placed(text: str, terms: Container[str]) -> list[tuple[int, int]]:
+    """start, end of the words of a text that are among ``terms``, without marks at their ends."""
+    words = words_of(text)
+    places = {n for n, w in enumerate(words) if w in terms and w}
+    out = []
+    if places:
+        for n, m in enumerate(_WORD.finditer(text)):
+            if n in places:
+                start = m.end() - len(m[0].lstrip(_TRIM))
+                out.append((start, start + len(m[0].strip(_TRIM))))
     return out
 
 
@@ -199,17 +244,20 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``clean_text``, by the spans of ``personal_data``: each row's own, found by the key of its text."""
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    own = spans.select(F.col("text_sha256").alias("__key"), F.col("spans").cast(kind).alias("__spans")).dropDuplicates(["__key"])
+    """``docs`` with ``clean_text``, by the spans of ``personal_data``: each row's own, found by the key of its text.
+
+    A column ``clean_text`` that ``docs`` has already is replaced.
+    """
+    key, marks = free_name(docs, "key"), free_name(docs, "marks")
+    own = spans.select(F.col("text_sha256").alias(key), F.col("spans").cast(_SPANS).alias(marks)).dropDuplicates([key])
 
-    def clean(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series(
-            [sanitised(t, [(s["kind"], s["start"], s["end"]) for s in m] if m is not None else []) for t, m in zip(texts, marks, strict=True)]
+            [sanitised(t, [(s["kind"], s["start"], s["end"]) for s in m] if m is not None else []) for t, m in zip(texts, found, strict=True)]
         )
 
-    joined = docs.withColumn("__key", text_key()).join(own, "__key", "left")
-    return joined.withColumn("clean_text", F.pandas_udf(clean, "string")(text_of(), F.col("__spans"))).drop("__key", "__spans")
+    joined = docs.withColumn(key, text_key()).join(own, key, "left")
+    return joined.withColumn("clean_text", F.pandas_udf(clean, "string")(text_of(), F.col(marks))).drop(key, marks)
 
 
 def _equal(kind: str):
