@@ -1,9 +1,9 @@
 """Token ids as compressed wavelet matrices, one per shard, with rank and select.
 
 A shard file holds documents in ascending doc_id order: a header, the documents' ids, ends and keys, and sixteen
-bit planes.  Plane ``b`` holds bit ``b`` (highest first) of every id, and ids are stably split by it before the
-next plane; with the counts of ones before each block of bits this answers access, count and occurrence lookups
-from the one file.  Files are kept as a Parquet table with one binary row per shard, so any shared store works.
+bit planes with a rank directory.  Plane ``b`` holds bit ``b`` (highest first) of every id, and ids are stably split
+by it before the next plane; with the counts of ones before each block of bits, which the file holds, access, count
+and occurrence lookups read the one file at a block of each plane.  Files are kept as a Parquet table with one binary row per shard, so any shared store works.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ PLANES = 16
 #: Ids in a shard file: what a task holds at once.  A longer document fills a file by itself.
 SHARD_IDS = 1 << 20
 END_ID = 1
-#: Bits between two entries of the rank directory.
-BLOCK = 512
+#: Bits between two entries of the rank directory, and bits compressed together.
+BLOCK, CHUNK_BITS = 512, 1 << 17
 #: A row of two numbers per shard is broadcast up to this many shards.
 BROADCAST_SHARDS = 200_000
 #: Texts encoded at once, to bound a worker's memory.
@@ -60,60 +60,84 @@ def tokenised(docs: DataFrame, path: str, blanks: bool, end_id: int) -> DataFram
 
 
 class WaveletMatrix:
-    """A sequence of 16-bit ids as bit planes; ``to_bytes`` and ``from_bytes`` are the file format."""
+    """A sequence of 16-bit ids as bit planes with a rank directory, read from its file as far as it is asked.
 
-    def __init__(self, planes: list[np.ndarray], n: int) -> None:
-        self.bits, self.n = planes, n
-        self.zeros = [n - int(np.count_nonzero(p)) for p in planes]
-        self.ones: list[np.ndarray] | None = None
+    The file holds the number of ids, each plane's zeros, the ones before each block of every plane, and the planes,
+    packed and compressed in chunks of CHUNK_BITS.  Access, rank and select read the directory and one chunk per
+    plane; ``all`` reads every chunk once.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data = memoryview(data)
+        self.n, at = struct.unpack_from("<Q", data)[0], 8
+        self.zeros = np.frombuffer(data, "<u8", PLANES, at)
+        at += 8 * PLANES
+        blocks, self.chunks = -(-self.n // BLOCK), -(-self.n // CHUNK_BITS)
+        # ones before each block, and in the plane
+        self.ones = np.frombuffer(data, "<u4", PLANES * (blocks + 1), at).reshape(PLANES, blocks + 1)
+        at += 4 * PLANES * (blocks + 1)
+        self.starts = np.frombuffer(data, "<u4", PLANES * self.chunks + 1, at)
+        self.base = at + 4 * (PLANES * self.chunks + 1)
+        self.expand = zstandard.ZstdDecompressor().decompress
+        self.held: dict[int, np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        planes, now = [], ids.astype(np.uint16)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        now, n = ids.astype(np.uint16), len(ids)
+        zeros, ones, chunks = [], [], []
         for b in range(PLANES - 1, -1, -1):
             bit = (now & np.uint16(1 << b)).astype(bool)
-            planes.append(bit)
-            ones = int(np.count_nonzero(bit))
+            packed = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8)
+            packed[: -(-n // 8)] = np.packbits(bit, bitorder="little")
+            counts = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1)
+            ones.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4"))
+            chunks += [squeeze(packed[at : at + CHUNK_BITS // 8].tobytes()) for at in range(0, len(packed), CHUNK_BITS // 8)]
+            zeros.append(n - int(ones[-1][-1]))
             split = np.empty_like(now)
-            np.compress(~bit, now, out=split[: len(now) - ones])
-            np.compress(bit, now, out=split[len(now) - ones :])
+            np.compress(~bit, now, out=split[: zeros[-1]])
+            np.compress(bit, now, out=split[zeros[-1] :])
             now = split
-        return cls(planes, len(ids))
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).astype("<u4")
+        head = struct.pack("<Q", n) + np.array(zeros, "<u8").tobytes() + np.concatenate(ones).tobytes() + starts.tobytes()
+        return cls(head + b"".join(chunks))
 
     def to_bytes(self) -> bytes:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        packed = [squeeze(np.packbits(p, bitorder="little").tobytes()) for p in self.bits]
-        head = struct.pack(f"<Q{len(packed)}Q", self.n, *map(len, packed))
-        return head + b"".join(packed)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        n, *sizes = struct.unpack_from(f"<Q{PLANES}Q", data)
-        at, planes, expand = 8 * (PLANES + 1), [], zstandard.ZstdDecompressor().decompress
-        for size in sizes:
-            raw = np.frombuffer(expand(data[at : at + size]), np.uint8)
-            planes.append(np.unpackbits(raw, count=n, bitorder="little").astype(bool))
-            at += size
-        return cls(planes, n)
+        return bytes(self.data)
+
+    def _chunk(self, plane: int, chunk: int) -> np.ndarray:
+        """The bytes of a chunk; the chunk that was asked for last of each plane is kept."""
+        at = plane * self.chunks + chunk
+        kept = self.held.get(plane)
+        if kept is None or kept[0] != at:
+            data = self.expand(self.data[self.base + self.starts[at] : self.base + self.starts[at + 1]])
+            kept = self.held[plane] = (at, np.frombuffer(data, np.uint8))
+        return kept[1]
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bits of one block."""
+        chunk, within = divmod(block, CHUNK_BITS // BLOCK)
+        return np.unpackbits(self._chunk(plane, chunk)[within * BLOCK // 8 : (within + 1) * BLOCK // 8], bitorder="little")
 
     def _rank1(self, plane: int, end: int) -> int:
-        """Ones among the first ``end`` bits of a plane, from the block directory and one block."""
-        if self.ones is None:
-            edges = [np.arange(0, self.n, BLOCK)] * PLANES
-            self.ones = [
-                np.concatenate([[0], np.cumsum(np.add.reduceat(p.astype(np.int64), e) if self.n else [])]).astype(np.int64)
-                for p, e in zip(self.bits, edges, strict=True)
-            ]
-        block = end // BLOCK
-        return int(self.ones[plane][block]) + int(self.bits[plane][block * BLOCK : end].sum())
+        """Ones among the first ``end`` bits of a plane, from the directory and one block."""
+        block, rest = divmod(end, BLOCK)
+        return int(self.ones[plane, block]) + (int(self._block(plane, block)[:rest].sum()) if rest else 0)
+
+    def _select(self, plane: int, bit: int, nth: int) -> int:
+        """The place of the ``nth`` (from 0) bit of this kind in a plane: a search in the directory, then one block."""
+        ones = self.ones[plane]
+        counts = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        block = int(np.searchsorted(counts, nth, side="right")) - 1
+        return block * BLOCK + int(np.flatnonzero(self._block(plane, block) == bit)[nth - int(counts[block])])
 
     def access(self, i: int) -> int:
         """The id at place ``i``."""
         value = 0
         for plane in range(PLANES):
-            one = bool(self.bits[plane][i])
+            one = int(self._block(plane, i // BLOCK)[i % BLOCK])
             value = value << 1 | one
-            i = self.zeros[plane] + self._rank1(plane, i) if one else i - self._rank1(plane, i)
+            i = int(self.zeros[plane]) + self._rank1(plane, i) if one else i - self._rank1(plane, i)
         return value
 
     def rank(self, value: int, end: int) -> int:
@@ -126,7 +150,7 @@ class WaveletMatrix:
         for plane in range(PLANES):
             ones_low, ones_high = self._rank1(plane, low), self._rank1(plane, high)
             if value >> (PLANES - 1 - plane) & 1:
-                low, high = self.zeros[plane] + ones_low, self.zeros[plane] + ones_high
+                low, high = int(self.zeros[plane]) + ones_low, int(self.zeros[plane]) + ones_high
             else:
                 low, high = low - ones_low, high - ones_high
         return low, high
@@ -138,17 +162,17 @@ class WaveletMatrix:
             return -1
         at = low + nth
         for plane in range(PLANES - 1, -1, -1):
-            if value >> (PLANES - 1 - plane) & 1:
-                at = int(np.flatnonzero(self.bits[plane])[at - self.zeros[plane]])
-            else:
-                at = int(np.flatnonzero(~self.bits[plane])[at])
+            bit = value >> (PLANES - 1 - plane) & 1
+            at = self._select(plane, bit, at - int(self.zeros[plane]) * bit)
         return at
 
     def all(self) -> np.ndarray:
         """Every id in order: the splits undone from the last plane to the first."""
         now = np.zeros(self.n, np.uint16)
         for plane in range(PLANES - 1, -1, -1):
-            bit, zeros = self.bits[plane], self.zeros[plane]
+            parts = [self._chunk(plane, chunk) for chunk in range(self.chunks)]
+            bit = np.unpackbits(np.concatenate(parts), count=self.n, bitorder="little").view(bool) if parts else now.astype(bool)
+            zeros = int(self.zeros[plane])
             before = np.empty(self.n, np.uint16)
             before[~bit] = now[:zeros]
             before[bit] = now[zeros:] | np.uint16(1 << (PLANES - 1 - plane))
@@ -176,7 +200,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     ends, keys = np.frombuffer(head, np.int64, n), np.frombuffer(head, np.int64, n, 8 * n)
     null = np.frombuffer(head, np.uint8, n, 16 * n)
     doc_ids = [None if z else int(k) for k, z in zip(keys, null, strict=True)]
-    return doc_ids, ends, WaveletMatrix.from_bytes(data[at + size :])
+    return doc_ids, ends, WaveletMatrix(data[at + size :])
 
 
 def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -212,8 +236,8 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
         if ids:
             yield close()
 
-    dealt = encoded.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]  # rows of one doc_id are dealt by their ids
+    dealt = encoded.repartitionByRange(ranges, *order[:2]).sortWithinPartitions(*order)
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids", F.spark_partition_id().alias("part"))
     return stored(dealt.mapInPandas(build, "shard long, n_tokens long, file binary"), "wavelet-shards", "uncompressed")
 
@@ -240,9 +264,12 @@ def read_documents(shards: DataFrame) -> DataFrame:
     rows = shards.select("shard", "file").mapInPandas(
         read, "shard long, doc_id string, local long, n_tokens long, ids_crc32 long"
     )
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = shards.select("shard", "n_tokens")
-    offsets = sizes.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    # running sums inside groups of some thousand shards, and over the groups: no task meets a row of every shard
+    sizes = shards.select("shard", "n_tokens", F.shiftright("shard", 34).alias("group"))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("group").agg(F.sum("n_tokens").alias("held")).withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    inside = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.join(groups, "group").select("shard", (F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("before"))
     offsets = bounded_broadcast(offsets, sizes.count(), BROADCAST_SHARDS)
     return rows.join(offsets, "shard").select(
         F.col("doc_id").cast("long").alias("doc_id"),
