@@ -1,9 +1,11 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Each task is a memtable: it digests its documents and flushes one run, sorted by digest and stored with a
-Parquet Bloom filter and min/max statistics on the digest.  Compaction merges the runs to one row per digest
-(rows, and the row that stays).  Digests met more than once are hits; their normal forms are compared byte for
-byte, and a digest that covers several texts is split by the texts themselves.
+Each task is a memtable: it digests its documents and flushes one run, sorted by digest, with a filter: a 64-bit
+fingerprint of every digest, and Parquet's min/max statistics and Bloom filter.  Merging the runs' filters tells the
+fingerprints that stand once over all runs: their rows are first sightings and are never merged.  Only rows that the
+filters can't clear go to compaction, which merges them to one row per digest met several times (rows, and the row
+that stays: the best identifier).  Such hits have their normal forms compared byte for byte, and a digest that covers
+several texts is split by the texts themselves.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from lorekeep.llm.shared import bounded_broadcast, scratch_dir, stored, text_of
 
 #: Up to so many hit digests (64 characters each, about 30 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
+#: Fingerprints (8 bytes each) are broadcast up to so many.
+BROADCAST_FINGERPRINTS = 1_000_000
 
 
 def normal_form(text: Column) -> Column:
@@ -35,7 +39,7 @@ def _best(rid: str = "rid") -> Column:
 
 
 def flush_runs(docs: DataFrame, path: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Level 0: one sorted run per task, with a filter on the digest."""
+    """Level 0: one sorted run per task, with the fingerprints of its digests."""
     normal = normal_form(text_of())
     runs = docs.select(
         F.monotonically_increasing_id().alias("rid"),
@@ -43,19 +47,27 @@ def flush_runs(docs: DataFrame, path: str, digest: Callable[[Column], Column] =
         F.char_length(text_of()).alias("points"),
         sha256(normal).alias("text_sha256"),
         digest(normal).alias("digest"),
-    )
-    runs = runs.sortWithinPartitions("digest")
-    runs.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-    return docs.sparkSession.read.schema(runs.schema).parquet(path)
+    ).withColumn("fingerprint", F.xxhash64("digest"))
+    return _written(runs, path)
+
+
+def _written(level: DataFrame, path: str) -> DataFrame:
+    """A level of the index: files sorted by digest, with a filter on it."""
+    sorted_runs = level.sortWithinPartitions("digest")
+    sorted_runs.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+    return level.sparkSession.read.schema(level.schema).parquet(path)
+
+
+def unclear(runs: DataFrame) -> DataFrame:
+    """The rows whose fingerprint stands in the merged filters more than once: all others are first sightings."""
+    met = stored(runs.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "lsm-filter")
+    return runs.join(bounded_broadcast(met, met.count(), BROADCAST_FINGERPRINTS), "fingerprint", "left_semi")
 
 
 def compact(runs: DataFrame, path: str) -> DataFrame:
-    """Level 1: a row per digest, ``rows`` and ``best``; partial aggregation keeps hot digests small."""
-    level = runs.groupBy("digest").agg(F.count("*").alias("rows"), F.min(_best()).alias("best"))
-    level.sortWithinPartitions("digest").write.option("compression", "zstd").option(
-        "parquet.bloom.filter.enabled#digest", "true"
-    ).parquet(path)
-    return runs.sparkSession.read.schema(level.schema).parquet(path)
+    """Level 1: a row per digest met several times, ``rows`` and ``best``; partial aggregation keeps hot digests small."""
+    level = unclear(runs).groupBy("digest").agg(F.count("*").alias("rows"), F.min(_best()).alias("best"))
+    return _written(level.where("rows > 1"), path)
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -68,29 +80,25 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     base = f"{scratch_dir(docs.sparkSession)}/lsm-{uuid.uuid4().hex[:12]}"
     runs = flush_runs(docs, f"{base}/level0", digest)
     level = compact(runs, f"{base}/level1")
+    hits = bounded_broadcast(level.select("digest"), level.count(), BROADCAST_DIGESTS)
 
-    hits = level.where("rows > 1").select("digest")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     texts = texts.withColumn("normal", normal_form(F.col("text"))).withColumn("digest", digest(F.col("normal")))
-    hit_texts = texts.join(bounded_broadcast(hits, hits.count(), BROADCAST_DIGESTS), "digest", "left_semi")
-    # copies within a task fall together before the shuffle: a hot group sends one text from each task
-    forms = hit_texts.groupBy("digest").agg(F.size(F.collect_set("normal")).alias("forms"))
-    mixed = stored(forms.where("forms > 1").select("digest"), "mixed-digests")
-    out = _rows(runs.join(level, "digest"), F.col("best"), F.col("rows"), F.col("rid") == F.col("best.rid"))
+    # one text is both the least and the greatest of its digest; a hot group sends two texts from each task at most
+    forms = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("normal").alias("low"), F.max("normal").alias("high"))
+    mixed = stored(forms.where("low != high").select("digest"), "mixed-digests")
     if mixed.isEmpty():
-        return out
-    clean = _rows(
-        runs.join(mixed, "digest", "left_anti").join(level, "digest"),
-        F.col("best"),
-        F.col("rows"),
-        F.col("rid") == F.col("best.rid"),
-    )
+        return _rows(runs.join(level, "digest", "left"))
+    clean = _rows(runs.join(mixed, "digest", "left_anti").join(level, "digest", "left"))
     return clean.unionByName(_by_text(texts.join(mixed, "digest", "left_semi")))
 
 
-def _rows(joined: DataFrame, best: Column, rows: Column, kept: Column) -> DataFrame:
+def _rows(joined: DataFrame) -> DataFrame:
+    """The result's columns of rows beside their group; a row without one is a group by itself."""
+    alone = F.col("best").isNull()
     return joined.select(
-        "doc_id", best["doc_id"].alias("keep_id"), rows.alias("group_size"), kept.alias("kept"), "text_sha256"
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("rid") == F.col("best.rid"))).alias("kept"), "text_sha256",
     )
 
 
@@ -107,7 +115,7 @@ def _by_text(texts: DataFrame) -> DataFrame:
         "mixed-rows",
     )
     level = rows.groupBy("normal").agg(F.count("*").alias("rows"), F.min(_best()).alias("best"))
-    return _rows(rows.join(level, "normal"), F.col("best"), F.col("rows"), F.col("rid") == F.col("best.rid"))
+    return _rows(rows.join(level, "normal"))
 
 
 OP1_SQL = r"""
