@@ -29,8 +29,7 @@ def op3_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
 def op5_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
