@@ -16,17 +16,22 @@ from lorekeep.llm.shared import bounded_broadcast, stored
 BROADCAST_ENTRIES = 100_000
 
 
+#: Hosts that are numbers: a dotted IP number, or one in brackets.
+NUMBER = r"^(\d+\.\d+\.\d+\.\d+|\[.*)$"
+
+
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user, port and final dot; null where there is none."""
-    host = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """The host in lower case, without user, port and final dot; null where there is none.  IPv6 numbers keep their brackets."""
+    host = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
     return F.nullif(F.rtrim(F.lower(host), F.lit(".")), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains down to the last label, the longest first."""
+    """The host and its parent domains down to the last label, the longest first; an IP number has no parents."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    parents = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.when(host.rlike(NUMBER), F.array(host)).otherwise(parents)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 OP8_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, epoch(TIMESTAMP '2024-01-01 00:00:00')::BIGINT + (page_id * 2220) % (366 * 86400) AS fetched,
-         nullif(rtrim(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '')
+         nullif(rtrim(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1)), '.'), '')
            AS host
   FROM pages
 ), hosts AS (
@@ -121,8 +126,8 @@ WITH captures AS (
   SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS ended FROM merged
 ), asked AS (
   SELECT page_id, fetched, i AS depth, array_to_string(labels[i:], '.') AS domain
-  FROM (SELECT page_id, fetched, string_split(host, '.') AS labels FROM captures WHERE host IS NOT NULL) x,
-       unnest(range(greatest(1, len(labels) - 11), greatest(1, len(labels) - 1) + 1)) u(i)
+  FROM (SELECT page_id, fetched, CASE WHEN regexp_matches(host, '^(\d+\.\d+\.\d+\.\d+|\[.*)$') THEN [host] ELSE string_split(host, '.') END AS labels
+        FROM captures WHERE host IS NOT NULL) x, unnest(range(1, len(labels) + 1)) u(i)
 ), met AS (
   SELECT a.page_id, a.depth, a.domain, s.action
   FROM asked a JOIN spans s ON a.domain = s.domain AND s.action <> 'remove'
