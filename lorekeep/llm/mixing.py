@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import bounded_broadcast, stored, text_of
+from lorekeep.llm.shared import bounded_broadcast, free_name, stored, text_of
 
 #: No document is taken more often, and no source beyond this multiple of its size.
 MOST_COPIES = 3
@@ -122,20 +122,21 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row as often as it is taken, with its own columns."""
+    """The mix as documents: each row as often as it is taken, with its own columns, whatever their names."""
     columns = docs.columns
-    kept = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
+    rid, copies = free_name(docs, "rid"), free_name(docs, "copies")
+    kept = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
     counts = mix(
         kept.select(
-            F.col("__rid").alias("rid"),
+            F.col(rid).alias("rid"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(text_of()).alias("size"),
         )
     ).where("copies > 0")
-    counts = counts.select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies"))
-    copies = kept.join(counts, "__rid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return copies.select(*columns)
+    counts = counts.select(F.col("rid").alias(rid), F.col("copies").alias(copies))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return kept.join(counts, rid).withColumn(copies, again).select(*columns)
 
 
 OP10_SQL = r"""

@@ -227,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longest: int =
     return data, float(0.5 * np.log((good + 1) / (bad + 1)))
 
 
-def score(docs: DataFrame, model: bytes, prior: float) -> DataFrame:
-    """The columns of ``docs`` and ``quality_score`` of every whole text (null: empty)."""
+def score(docs: DataFrame, model: bytes, prior: float, name: str = "quality_score") -> DataFrame:
+    """The columns of ``docs`` and ``name``, the score of every whole text (null: empty)."""
 
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = ByteConv.from_bytes(model)
@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: bytes, prior: float) -> DataFrame:
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
     scored = F.pandas_udf(run, "double")
-    return docs.withColumn("quality_score", scored(text_of()))
+    return docs.withColumn(name, scored(text_of()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_added_tokens_equal_the_untouched_library():
 
 def test_wavelet_matrix():
     ids = np.random.default_rng(2).integers(0, 40, 3000).astype(np.uint16) * 997
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    m = wavelet.WaveletMatrix(wavelet.WaveletMatrix.build(ids).to_bytes())
     assert (m.all() == ids).all()
     for v in (0, 997, 5 * 997, 7):
         places = np.flatnonzero(ids == v)
@@ -83,6 +83,23 @@ def test_wavelet_matrix():
     assert wavelet.WaveletMatrix.build(ids[:0]).all().size == 0
 
 
+def test_wavelet_matrix_reads_a_chunk_of_each_plane(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK_BITS", 1024)
+    ids = (np.random.default_rng(4).zipf(1.3, 20_000) % 49_000).astype(np.uint16)
+    data = wavelet.WaveletMatrix.build(ids).to_bytes()
+    places = defaultdict(list)
+    for n, v in enumerate(ids.tolist()):
+        places[v].append(n)
+    for v in (int(ids[0]), int(ids[777]), 48_999):
+        for nth in {0, len(places[v]) // 2, len(places[v])}:
+            m, read = wavelet.WaveletMatrix(data), []
+            expand = m.expand
+            m.expand = lambda chunk, expand=expand, read=read: read.append(1) or expand(chunk)
+            assert m.select(v, nth) == (places[v][nth] if nth < len(places[v]) else -1)
+            assert len(read) <= 3 * wavelet.PLANES  # of 320 chunks
+            assert m.rank(v, 12_345) == sum(p < 12_345 for p in places[v])
+
+
 def test_wavelet_documents(spark):
     rows = corpus()
     got = wavelet.read_documents(wavelet.write_shards(frame(spark, rows), shard_ids=500)).collect()
@@ -97,11 +114,57 @@ def test_wavelet_documents(spark):
     assert order == sorted(order, key=lambda d: (d is not None, d)) and len(got) == len(rows)
 
 
+def brute_windows(ids, df, n, mean, window):
+    """The first window of each seed, with BM25 scores added up term by term."""
+    from collections import Counter
+
+    tfs = [Counter(one.tolist()) for one in ids]
+    idf = lambda t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) if df[t] > 1 else 0.0
+
+    def score(seed, doc):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ids[doc]) / mean)
+        return sum(idf(t) * tfs[doc][t] * (packing.K1 + 1) / (tfs[doc][t] + norm) for t in tfs[seed] if tfs[doc][t])
+
+    unused, order, seed, room = set(range(len(ids))), [], None, window
+    while unused:
+        best = max(unused, key=lambda d: (round(score(seed, d), 9), -d)) if seed is not None else None
+        doc = best if best is not None and score(seed, best) > 0 else min(unused)
+        unused.discard(doc)
+        order.append(doc)
+        seed = doc if room == window else seed
+        left = len(ids[doc])
+        while left:
+            take = min(room, left)
+            left, room = left - take, room - take
+            if not room:
+                room, seed = window, doc if left else None
+    return order
+
+
+def test_lexical_windows():
+    r = np.random.default_rng(6)
+    ids = [np.append(r.integers(1 + 40 * (i % 5), 60 + 40 * (i % 5), r.integers(1, 50)), 0).astype(np.uint16) for i in range(120)]
+    df = np.bincount(packing.term_counts(ids)[1], minlength=packing.TERMS)
+    assert [df[t] for t in range(300)] == [sum(t in one for one in ids) for t in range(300)]
+    tokens = sum(map(len, ids))
+    pieces = packing.fill_windows(ids, packing.Corpus.of(df, len(ids), tokens), 64)
+    order = list(dict.fromkeys(d for d, *_ in pieces))
+    assert order == brute_windows(ids, df, len(ids), tokens / len(ids), 64)
+
+
+def test_corpus_statistics_cover_all_documents(spark):
+    ids = [[5, 5, 7, 0], [7, 9, 0], [0], [7, 0]] * 30
+    rows = spark.createDataFrame([(np.array(one, "<u2").tobytes(),) for one in ids], "ids binary").repartition(5)
+    corpus = packing.corpus_of(rows)
+    want = packing.Corpus.of(np.bincount([t for one in ids for t in set(one)], minlength=packing.TERMS), len(ids), sum(map(len, ids)))
+    assert np.allclose(corpus.idf, want.idf) and corpus.mean == want.mean
+
+
 def test_packing(spark):
-    rows = [r for r in corpus() if r[0] is not None]
+    rows = corpus()
     got = packing.pack(frame(spark, rows), shard_ids=2000, with_ids=True).collect()
     tool = WordTokenizer(public_path("byte_bpe_50k.json"), True).tokenizer
-    want = sorted((i, tuple(tool.encode(t or "", add_special_tokens=False).ids + [0])) for i, t, _ in rows)
+    want = sorted(((i, tuple(tool.encode(t or "", add_special_tokens=False).ids + [0])) for i, t, _ in rows), key=repr)
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         ids = np.frombuffer(r.ids, "<u4")
@@ -114,8 +177,10 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at == 1024 or at & (at - 1) == 0  # no padding at all
-    single = [(i, ids) for i, ids in want if i != 0]
-    assert single == sorted((i, sum((p for _, p in sorted(ps)), ())) for i, ps in pieces.items() if i != 0)
+    single = [(i, ids) for i, ids in want if i]  # 0 and null stand several times
+    assert single == sorted(((i, sum((p for _, p in sorted(ps)), ())) for i, ps in pieces.items() if i), key=repr)
+    lost = sorted(sum((p for _, p in pieces[None]), ()))
+    assert lost == sorted(sum((ids for i, ids in want if i is None), ()))
     assert sum(n for parts in sequences.values() for _, n in parts) == sum(len(ids) for _, ids in want)
 
 
@@ -200,13 +265,31 @@ def test_nearest(spark):
     rows += [(500, None), (600, [0.0] * 16), (700, [float("nan")] * 16), (800, [None] + [1.0] * 15), (900, [1.0, 2.0]), (None, v[0].tolist()), (100, v[100].tolist())]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "rank": F.lit(2), "block": F.lit(3)})
     got = defaultdict(list)
-    for x in neighbours.nearest(table, table.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+    for x in neighbours.nearest(table, "vec_id % 50 = 0 and vec_id != 100").orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.score, x.vec_id))
-    d = v.astype(np.float64)
-    assert set(got) == set(range(0, 400, 50))
+    d = np.concatenate([v, v[100:101]]).astype(np.float64)
+    ids = [*range(400), 100]
+    assert set(got) == set(range(0, 400, 50)) - {100}
     for q, found in got.items():
-        scores = neighbours.exact_distance(np.repeat(d[q][None], 400, 0), d)
-        assert found == sorted((float(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        scores = neighbours.exact_distance(np.repeat(d[q][None], len(ids), 0), d)
+        assert found == sorted((float(s), i) for n, (i, s) in enumerate(zip(ids, scores, strict=True)) if n != q)[:10]
+
+
+def test_nearest_of_repeated_ids_and_wide_vectors(spark):
+    r = np.random.default_rng(8)
+    v = np.sign(r.normal(size=(60, 4096)))  # codes of 127 everywhere: the largest products
+    v[:30, :40] *= r.uniform(0.99, 1, size=(30, 40))
+    rows = [(i % 50, x.tolist()) for i, x in enumerate(v)]  # ids 0 to 9 stand twice
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 5, 4)
+    found = sorted((x["rank"], x.vec_id, x.score) for x in got.collect())
+    want = []
+    for n in (5, 55):
+        scores = neighbours.exact_distance(np.repeat(v[n][None], 60, 0), v)
+        best = sorted((float(s), i % 50) for i, s in enumerate(scores) if i != n)[:4]
+        want += [(k + 1, i, s) for k, (s, i) in enumerate(best)]
+    assert found == sorted(want)
+    a, b = r.integers(-127, 128, (3, 5000)).astype(np.int8), r.integers(100, 128, (4, 5000)).astype(np.int8)
+    assert (neighbours.code_products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
 
 
 def brute_spans(text):
@@ -244,12 +327,38 @@ def test_disclosure_covers_whole_texts(spark):
     assert clean[rows[0][1]].split() == [*far.split(), "<email>"]  # eleven words lie between name and value
     assert clean[rows[3][1]] == "only (),  and  here"  # the terms without the value
     assert clean["another text of the id: amy@x.org"] == "another text of the id: <email>" and clean["a short one"] == "a short one"
-    got = {t.term: t.disclosure for t in pii.revealing_terms(pii._spans(docs, "spans"), 0.5, 2).collect()}
+    got = {t.term: t.disclosure for t in pii.revealing_terms(docs, 0.5, 2).collect()}
     n = len(rows)
     assert set(got) == {"王五", "u7", "zorblat"}
     assert all(abs(d - np.log(3 / 4 * n / 3) / np.log(n / 3)) < 1e-9 for d in got.values())
 
 
+def test_disclosure_by_shuffle_is_the_same(spark, monkeypatch):
+    rows = [(i, f"{'Zorblat, ' * (i % 3)}met bob{i % 2}@x.org with İnci", "s") for i in range(9)] + [(20 + i, f"plain words {i} zorblat"[: 14 + i], "s") for i in range(30)]
+    rows += [(None, None, "s"), (None, "bob1@x.org Zorblat", "s"), (3, "", "s"), (3, "Zorblat " * 5000, "s")]
+    docs = frame(spark, rows)
+    told = lambda: sorted(map(str, pii.digest(pii.personal_data(docs, 0.3)).collect()))
+    few = told()
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert told() == few and len(few) == len(rows)
+    # against plain Python
+    sets = [({pii.entity(k, t[a:b]) for k, a, b in brute_spans(t)}, set(pii.words_of(pii.blanked(t, brute_spans(t)))) - {""}) for t in ((t or "") for _, t, _ in rows)]
+    n, want = len(rows), {}
+    for e in set().union(*(es for es, _ in sets)):
+        for w in set().union(*(ws for _, ws in sets)):
+            we, ww, both = (sum(1 for es, ws in sets if ok(es, ws)) for ok in (lambda es, ws: e in es, lambda es, ws: w in ws, lambda es, ws: e in es and w in ws))
+            if min(we, ww, both) >= 2 and (d := np.log(both / ww * n / we) / -np.log(we / n)) >= 0.3:
+                want[e, w] = d
+    got = {(r.entity, r.term): r.disclosure for r in pii.revealing_terms(docs, 0.3, 2).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and got
+
+
+def test_sanitise_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a bob@x.org", "k", "m", "old")], "doc_id long, text string, key string, marks string, clean_text string")
+    row = pii.sanitise(docs, pii.personal_data(docs)).first()
+    assert row.asDict() == {"doc_id": 1, "text": "a bob@x.org", "key": "k", "marks": "m", "clean_text": "a <email>"}
+
+
 def test_temporal_list(spark):
     entries = spark.createDataFrame([("x.org", "block", "2024-01-02"), ("x.org", "remove", "2024-01-05"), ("a.x.org", "review", "2024-01-03"), (None, "block", "2024-01-01"), ("y.org", "block", None)], "domain string, action string, at string")
     cases = [("http://a.x.org/p", "2024-01-01"), ("http://a.x.org/p", "2024-01-02"), ("http://a.x.org:80/p", "2024-01-04"), ("http://b.x.org", "2024-01-05"), ("no url", "2024-01-03"), (None, None), ("http://b.x.org", "2024-01-04")]
@@ -266,16 +375,64 @@ def test_temporal_list_of_any_depth(spark):
     assert got == {0: (deep, "block"), 1: ("zip", "block"), 2: ("x.org", "review"), 3: (None, "none")}
 
 
+def brute_licences(model, text):
+    """Windows scored one by one, neighbours of one family joined."""
+    import re
+
+    out, at = [], 0
+    for part in re.split(r"\n[ \t\r\f\v]*(?=\n)", text):
+        words = licences.words_of(part)
+        starts = range(0, max(1, len(words) - licences.HALF), licences.HALF) if words else []
+        runs = []
+        for s in starts:
+            own = words[s : s + 2 * licences.HALF]
+            inner = words[s:]  # an n-gram may run past its window, not past its paragraph
+            grams = [" ".join(inner[i : i + n]) for i in range(len(own)) for n in (1, 2, 3) if i + n <= len(inner)]
+            z = model.bias.copy()
+            for g in grams:
+                ws = g.split(" ")
+                b = model.grams.buckets(ws, np.arange(len(ws), 0, -1))[0, len(ws) - 1]
+                z = z + model.weights[b] / np.sqrt(len(grams))
+            family = licences.FAMILIES[int(z.argmax())]
+            if runs and runs[-1][0] == family and runs[-1][2] == s - licences.HALF:
+                runs[-1][2] = s
+            else:
+                runs.append([family, s, s])
+        for family, low, high in runs:
+            if family != "unknown":
+                own = words[low : high + 2 * licences.HALF]
+                out.append((family, own, licences.confirmed(own, family)))
+    return out
+
+
 def test_licences():
-    model = licences.train(["plain words of no notice at all", "some other lines here"] * 20)
-    for family, templates in licences.TEMPLATES.items():
-        for t in templates:
-            own = model.predict("and so " + t)
-            assert own[0] == family and model.confirmed(t, family)
-    stray = "the king had no driving license that day"
-    assert not model.confirmed(stray, model.predict(stray)[0])
-    text = "a\nLicensed under the MIT license.\nb " + "c " * 300 + "MIT License"
-    assert [text[s:e].strip()[:8] for s, e in licences.paragraphs(text)][0] == "Licensed"
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    plain = lambda n: " ".join(r.choice(words) for _ in range(n))
+    model = licences.train([plain(60) for _ in range(60)])
+    bsd = licences.TEMPLATES["bsd"][0]
+    wrapped = bsd[:70].rsplit(" ", 1)[0] + "\n" + bsd[len(bsd[:70].rsplit(" ", 1)[0]) + 1 :]
+    texts = [f"{plain(n)} {t} {plain(m)}" for n, m in ((0, 0), (3, 40), (500, 30)) for ts in licences.TEMPLATES.values() for t in ts]
+    found = model.scan(texts)
+    families = [f for _ in range(3) for f, ts in licences.TEMPLATES.items() for _ in ts]
+    caught = [any(x[0] == f and x[2] for x in fs) for f, fs in zip(families, found, strict=True)]
+    assert sum(caught) / len(caught) > 0.9
+    odd = ["", "İİ " + plain(20) + "\n\n" + wrapped + "\n \nİ Released under the MIT License.", "word " * 5000, plain(400), "no license, no copyright, no permission"]
+    for text, fs in zip(odd + texts[:5], model.scan(odd + texts[:5]), strict=True):
+        want = brute_licences(model, text)
+        assert [(f[0], f[2], licences.words_of(text[f[3] : f[4]])) for f in fs] == [(f, sure, own) for f, own, sure in want]
+    assert [(f[0], f[2]) for f in model.scan(odd)[1]] == [("bsd", True), ("mit", True)]
+    assert not any(f[2] for fs in model.scan(odd[2:]) for f in fs)
+
+
+def test_licence_findings(spark):
+    rows = [(i, f"plain words number {i} and some more of them", "s") for i in range(30)] + [(1, "Released under the MIT License.", "s")] * 2
+    rows += [(None, "x " * 20_000 + "Licensed under the Apache License, Version 2.0.", "s"), (None, None, "s"), (50, "", "s")]
+    docs = frame(spark, rows).withColumn("findings", F.lit(1))
+    found = licences.summary(licences.licence_findings(docs)).collect()
+    assert len(found) == len(rows)
+    assert sorted(r.families for r in found if r.families) == ["apache-2.0", "mit", "mit"]
+    assert len(licences.sample_of(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))) == 31
 
 
 SF = "/root/testdata/sf0.01"
@@ -306,7 +463,7 @@ def test_empty_tables(spark):
         exact_dedup.exact_dedup(docs), wavelet.wavelet_round_trip(docs), packing.pack(docs), mixing.mix_sizes(docs), mixing.mixed_documents(docs),
         jaccard.jaccard_classes(docs), pii.digest(pii.personal_data(docs)), licences.summary(licences.licence_findings(docs)),
         quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")),
-        neighbours.nearest(*[spark.createDataFrame([], "vec_id long, embedding array<float>")] * 2),
+        neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 100 = 0"),
         urls.filter_captures(spark.createDataFrame([], "id long, url string, fetched timestamp"), spark.createDataFrame([], "domain string, action string, at timestamp")),
     ):
         assert made.count() == 0

@@ -65,3 +65,34 @@ def test_near_stage_keeps_one_row_of_a_group(spark):
     got = corpus_pipeline.near_stage(spark, docs, SF).collect()
     stems = sorted((str(r.doc_id), (r.text or "")[:2]) for r in got)
     assert stems == sorted([("1", "a0"), ("2", "b0"), ("None", "c0"), ("None", "d0"), ("3", ""), ("3", ""), ("None", "")])
+
+
+def odd_documents(spark):
+    from pyspark.sql import functions as F
+
+    plain = "The old house stood near the river and people came there every day"
+    rows = [(i, f"{plain} {i} {'and so on ' * (i % 7)}", "en", f"s{i % 3}", 1) for i in range(40)]
+    rows += [(5, rows[5][1], "en", "s2", 1), (5, rows[5][1], "en", "s2", 1), (None, plain, None, None, None), (None, plain, None, None, None)]
+    rows += [(90, None, "en", "s0", 0), (91, "", None, "s1", 0), (92, "word " * 30_000, "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashes = ("quality_score", "row", "rid", "copies", "of_doc", "of_text", "points", "keys_0", "component", "ids", "first", "part", "start")
+    return docs.withColumns({c: F.lit(f"keep {c}") for c in clashes})
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r.quality_score == "keep quality_score" and r.copies == "keep copies" and r.row == "keep row" for r in rows), name
+    pieces = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert sum(1 for r in pieces if r.start + r.length == r.doc_tokens) == docs.count()
+    exact = corpus_pipeline.exact_stage(spark, docs, SF)
+    assert exact.count() == 40 + 3  # null and empty texts are equal, repeated rows stay once
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = odd_documents(spark).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
