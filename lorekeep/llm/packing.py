@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import stored
-from lorekeep.llm.tokens import public_path
+from lorekeep.llm.tokens import TERMS, public_path, term_counts
 from lorekeep.llm.wavelet import tokenised
 
 WINDOW = 1024
@@ -29,8 +29,6 @@ END_ID = 0
 SHARD_IDS = 1 << 17
 #: Ids of a range of the lexical order, about: a task streams through its range shard by shard.
 RANGE_IDS = 1 << 21
-#: Term numbers are below this, so statistics by term have a bounded size whatever the input.
-TERMS = 1 << 16
 #: Documents whose terms are counted at once, to bound a worker's memory.
 CHUNK = 400
 K1, B = 1.2, 0.75
@@ -40,19 +38,6 @@ PIECES = (
 )
 
 
-def term_counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and count of the distinct terms of each document, in order of document and term."""
-    lengths = np.array([len(one) for one in ids], np.int64)
-    kind = np.uint32 if len(ids) < TERMS else np.uint64  # 32-bit numbers are sorted faster
-    keys = np.repeat(np.arange(len(ids), dtype=kind) << kind(16), lengths)
-    keys |= np.concatenate(ids) if ids else keys
-    keys.sort()
-    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    tf = np.diff(first, append=len(keys))
-    keys = keys[first]
-    return (keys >> kind(16)).astype(np.int64), (keys & kind(TERMS - 1)).astype(np.int64), tf
-
-
 @dataclass(frozen=True)
 class Corpus:
     """Statistics over all documents: each term's inverse document frequency, and the mean length."""
@@ -165,24 +150,24 @@ def fill_windows(ids: list[np.ndarray], corpus: Corpus, window: int = WINDOW) ->
 
 
 def corpus_of(encoded: DataFrame) -> Corpus:
-    """The statistics of all documents (ids): at most a row per term comes to the driver."""
+    """The statistics of all documents, from what their batches counted: at most a row per term comes to the driver."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, tokens = np.zeros(TERMS, np.int64), 0, 0
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(TERMS, np.int64)
         for frame in frames:
-            for at in range(0, len(frame), CHUNK):
-                ids = [np.frombuffer(x, "<u2") for x in frame["ids"].iloc[at : at + CHUNK]]
-                df += np.bincount(term_counts(ids)[1], minlength=TERMS)
-                n, tokens = n + len(ids), tokens + sum(map(len, ids))
+            for data in frame["terms"]:
+                counted = np.frombuffer(data, "<u4")
+                df[counted[: len(counted) // 2]] += counted[len(counted) // 2 :]
         met = np.flatnonzero(df)
-        yield pd.DataFrame({"term": met.astype(np.int32), "df": df[met], "docs": 0, "tokens": 0})
-        yield pd.DataFrame({"term": [-1], "df": [0], "docs": [n], "tokens": [tokens]})
+        if len(met):
+            yield pd.DataFrame({"term": met.astype(np.int32), "df": df[met]})
 
-    counted = encoded.select("ids").mapInPandas(count, "term int, df long, docs long, tokens long")
-    rows = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).toArrow()
-    df, term = np.zeros(TERMS, np.int64), rows["term"].to_numpy()
-    df[term[term >= 0]] = rows["df"].to_numpy()[term >= 0]
-    return Corpus.of(df, int(rows["docs"].to_numpy().sum()), int(rows["tokens"].to_numpy().sum()))
+    counted = encoded.where("terms is not null").select("terms").mapInPandas(add, "term int, df long")
+    rows = counted.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(TERMS, np.int64)
+    df[rows["term"].to_numpy()] = rows["df"].to_numpy()
+    n, tokens = encoded.agg(F.count("*"), F.sum("n_tokens")).first()
+    return Corpus.of(df, n, tokens or 0)
 
 
 def pack(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, with_ids: bool = False) -> DataFrame:
@@ -192,7 +177,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS, w
     gives an empty result.  Columns other than doc_id and text are ignored.
     """
     path = path or public_path("byte_bpe_50k.json")
-    encoded = stored(tokenised(docs, path, True, END_ID), "pack-ids")
+    encoded = stored(tokenised(docs, path, True, END_ID, frequencies=True), "pack-ids")
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     corpus = docs.sparkSession.sparkContext.broadcast(corpus_of(encoded))  # two numbers per term, half a megabyte
 

@@ -16,53 +16,117 @@ from itertools import chain
 
 import numpy as np
 
-#: Words kept in a worker's cache (about 150 bytes each); a full cache is emptied before the next batch.
-CACHE_WORDS = 1_000_000
+#: Parts of words kept in a worker (about 150 bytes each); when there are more, all are dropped.
+CACHE_PIECES = 500_000
 #: White space beyond blank and 09 to 0D, on which libraries differ: texts that hold it take the careful way.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_ASCII = "\x1c\x1d\x1e\x1f"
 _BEFORE_BLANK = tuple(c + " " for c in " \t\n\x0b\x0c\r" + _ODD_ASCII)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_NONE = np.zeros(0, np.uint16)
 BLANK = "\u0120"  # how byte-level vocabularies spell a blank
 #: Marks that may end a word; a run of them is one piece of its own in either vocabulary.
 _MARKS = ".,;:!?*$#%&|)(-"
 #: A blank inside a run of white space, or one that ends such a run at the end of the text.
 _INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
+#: Ids are below this, so statistics by id have a bounded size whatever the input.
+TERMS = 1 << 16
+#: Bytes whose words are hashed at once, to bound a worker's memory.
+BLOCK_BYTES = 1 << 20
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo 2^64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(n, b, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each stretch of the bytes: with both, a chance collision is out of the question."""
+    n = 1 << max(10, (len(data) + 1).bit_length())
+    size = (ends - starts).astype(np.uint64)
+    out = []
+    for base in _BASES:
+        power, inverse = _powers(base, n)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+        h = ((sums[ends] - sums[starts]) * inverse[starts] + size) * np.uint64(base)
+        out.append(h ^ (h >> np.uint64(32)))
+    return out[0], out[1]
 
 
-class _Index(dict):
-    """Numbers its keys as they are looked up."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        self.new.append(key)
-        return number
+class _Words:
+    """Ids of words by their hashes: an open-addressing table of numbers, and the ids of all words as one flat array.
 
+    The table has a fixed size (84 MB) and starts anew when it is half full.
+    """
 
-class _Words:
-    """Ids of the words of one index, as one flat array."""
+    SLOTS = 1 << 22
 
     def __init__(self, encode) -> None:
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
+        self.count = 0
+        self.a, self.b = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.number = np.full(self.SLOTS, -1, np.int32)
         self.lengths = np.zeros(1024, np.int32)
         self.starts = np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, np.uint16), 0
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        index = self.index
-        found = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        if index.new:
-            first = len(index) - len(index.new)
-            self._add(first, self.encode(index.new))
-            index.new = []
+    def __len__(self) -> int:
+        return self.count
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The words' numbers; -1 for new ones."""
+        slot = (a & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        found = self.number[slot]
+        left = np.flatnonzero((found >= 0) & ((self.a[slot] != a) | (self.b[slot] != b)))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+            at = slot[left]
+            found[left] = self.number[at]
+            left = left[(found[left] >= 0) & ((self.a[at] != a[left]) | (self.b[at] != b[left]))]
         return found
 
+    def _insert(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Numbers for new words, each of which stands once."""
+        slot = (a & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(a))
+        while len(left):
+            at = slot[left]
+            free = self.number[at] < 0
+            self.number[at[free]] = self.count + left[free]  # of several words for one slot the last stays
+            placed = free & (self.number[at] == self.count + left)
+            self.a[at[placed]], self.b[at[placed]] = a[left[placed]], b[left[placed]]
+            left = left[~placed]
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+        self.count += len(a)
+
+    def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of the words that stand at ``starts`` to ``ends``; new ones are encoded."""
+        a, b = segment_hashes(np.frombuffer(data, np.uint8), starts, ends)
+        found = self._find(a, b)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort((b[new], a[new]))]
+            first = order[np.flatnonzero((np.diff(a[order], prepend=~a[order[:1]]) != 0) | (np.diff(b[order], prepend=~b[order[:1]]) != 0))]
+            if self.count + len(first) > self.SLOTS // 2:  # half full: all start anew
+                self.clear()
+                return self.numbers(data, starts, ends)
+            words = [data[i:j].decode() for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            self._add(self.count, self.encode(words))
+            self._insert(a[first], b[first])
+            found[new] = self._find(a[new], b[new])
+        return found.astype(np.int64)
+
     def _add(self, first: int, ids: list) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total, end = int(sizes.sum()), first + len(ids)
@@ -128,31 +192,33 @@ class WordTokenizer:
             piece = piece.replace(" ", BLANK)
         return tuple([token.id for token in self.tokenizer.model.tokenize(piece)])
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = self._merged(piece)
-        return ids
-
     def _new_words(self, words: list[str]) -> list[tuple[int, ...] | list[int]]:
         """A word of Latin-1 letters and closing marks is two pieces; the library encodes any other."""
         out: list = []
-        other = []
-        blank = " " if self.blanks else ""
+        other: list[str] = []
+        where: list[int] = []
+        blank, pieces, merged = " " if self.blanks else "", self.pieces, self._merged
         for word in words:
             stem = word if word.isalpha() else word.rstrip(_MARKS)
             if not (stem.isalpha() and (self.blanks or stem.isascii() or max(stem) < "\u0100")):
-                out.append(None)
+                where.append(len(out))
                 other.append(blank + word)
+                out.append(())
                 continue
             piece = blank + stem if self.blanks else stem.lower()
-            if len(stem) == len(word):
-                out.append(self.pieces.get(piece) or self._merged(piece))
-            else:
-                out.append(self._piece(piece) + self._piece(word[len(stem) :]))
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = pieces[piece] = merged(piece)
+            if len(stem) < len(word):
+                tail = word[len(stem) :]
+                more = pieces.get(tail)
+                if more is None:
+                    more = pieces[tail] = merged(tail)
+                ids = ids + more
+            out.append(ids)
         if other:
-            rest = iter(self._batch(other))
-            out = [next(rest) if ids is None else ids for ids in out]
+            for n, ids in zip(where, self._batch(other), strict=True):
+                out[n] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -166,40 +232,66 @@ class WordTokenizer:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words.index) + len(self.pieces) > CACHE_WORDS:
-            self.words.clear()
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
-        words: list[str] = []
-        counts, heads, whole = [], [], []
-        for n, text in enumerate(texts):
-            parts: list[str] = []
-            if any(token in text for token in self.added):
-                heads.append("")
-                whole.append(n)
-            elif self.blanks:
-                if self._inner_blank(text):
-                    heads.append("")
-                    whole.append(n)
-                else:
-                    head, *parts = text.split(" ")
-                    heads.append(head)
-            elif self._odd_space(text):
-                parts = [w.decode() for w in text.encode().split()]
-            else:
-                parts = text.split()
-            words += parts
-            counts.append(len(parts))
-        flat, sizes = self.words.ids(self.words.numbers(words))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        whole = [n for n, text in enumerate(texts) if self._is_whole(text)]
+        apart = set(whole)
+        out: list[np.ndarray] = [_NONE] * len(texts)
+        regular = [n for n in range(len(texts)) if n not in apart]
+        held, block = 0, []
+        for n in regular:
+            data = texts[n].encode()
+            if block and held + len(data) > BLOCK_BYTES:
+                self._encode_block(block, out)
+                held, block = 0, []
+            block.append((n, data))
+            held += len(data) + 1
+        if block:
+            self._encode_block(block, out)
         if self.blanks:
-            for n, ids in enumerate(self._batch(heads)):
+            heads = self._batch([texts[n].partition(" ")[0] for n in regular])
+            for n, ids in zip(regular, heads, strict=True):
                 if ids:
                     out[n] = np.concatenate([np.array(ids, np.uint16), out[n]])
         for n in whole:
             out[n] = np.array(self._batch([texts[n]])[0], np.uint16)
         return out
 
+    def _is_whole(self, text: str) -> bool:
+        """Whether a text must be encoded as a whole."""
+        if any(token in text for token in self.added):
+            return True
+        return self._inner_blank(text) if self.blanks else self._odd_space(text)
+
+    def _encode_block(self, block: list[tuple[int, bytes]], out: list[np.ndarray]) -> None:
+        """The ids of some texts' words, without their heads if words carry blanks."""
+        data = b" ".join(text for _, text in block)
+        sizes = np.array([len(text) + 1 for _, text in block])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        letters = np.frombuffer(data, np.uint8)
+        cuts = np.flatnonzero(letters == 32) if self.blanks else np.flatnonzero(_SPACE[letters])
+        starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
+        owner = np.searchsorted(bounds, starts, side="right") - 1
+        keep = starts > bounds[owner] if self.blanks else ends > starts  # a text's first stretch is its head
+        starts, ends, owner = starts[keep], ends[keep], owner[keep]
+        flat, lengths = self.words.ids(self.words.numbers(data, starts, ends))
+        places = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(owner, np.arange(len(block) + 1))]
+        for (n, _), a, b in zip(block, places[:-1].tolist(), places[1:].tolist(), strict=True):
+            out[n] = flat[a:b]
+
+
+def term_counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of the distinct terms of each document, in order of document and term."""
+    lengths = np.array([len(one) for one in ids], np.int64)
+    kind = np.uint32 if len(ids) < TERMS else np.uint64  # 32-bit numbers are sorted faster
+    keys = np.repeat(np.arange(len(ids), dtype=kind) << kind(16), lengths)
+    keys |= np.concatenate(ids) if ids else keys
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    tf = np.diff(first, append=len(keys))
+    keys = keys[first]
+    return (keys >> kind(16)).astype(np.int64), (keys & kind(TERMS - 1)).astype(np.int64), tf
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str, blanks: bool) -> WordTokenizer:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import bounded_broadcast, stored, text_of
-from lorekeep.llm.tokens import public_path, tokenizer
+from lorekeep.llm.tokens import TERMS, public_path, term_counts, tokenizer
 
 MAGIC = b"LKWM1\n"
 #: Bits of an id; the vocabularies have fewer than 65,536 entries.
@@ -35,28 +35,38 @@ BROADCAST_SHARDS = 200_000
 CHUNK = 400
 
 
-def tokenised(docs: DataFrame, path: str, blanks: bool, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian 16-bit), n_tokens; null texts are empty, the end id is appended."""
+def tokenised(docs: DataFrame, path: str, blanks: bool, end_id: int, frequencies: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian 16-bit), n_tokens; null texts are empty, the end id is appended.
+
+    With ``frequencies`` one row of each batch also tells in ``terms`` which ids its documents hold, and then how many
+    of them hold each (little-endian 32-bit).
+    """
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = tokenizer(path, blanks)
         end = np.array([end_id], np.uint16)
         for frame in frames:
+            df = np.zeros(TERMS, np.int64)
             for at in range(0, len(frame), CHUNK):
                 part = frame.iloc[at : at + CHUNK]
                 ids = [np.concatenate([one, end]) for one in tool.encode(part["text"].tolist())]
-                yield pd.DataFrame(
+                out = pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].array,
                         "ids": [one.astype("<u2").tobytes() for one in ids],
                         "n_tokens": [len(one) for one in ids],
                     }
                 )
+                if frequencies:
+                    df += np.bincount(term_counts(ids)[1], minlength=TERMS)
+                    met = np.flatnonzero(df) if at + CHUNK >= len(frame) else []
+                    told = np.concatenate([met, df[met]]).astype("<u4").tobytes() if len(met) else None
+                    out["terms"] = [told, *[None] * (len(out) - 1)]
+                yield out
 
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
-    return texts.mapInPandas(encode, "doc_id string, ids binary, n_tokens long").withColumn(
-        "doc_id", F.col("doc_id").cast("long")
-    )
+    schema = "doc_id string, ids binary, n_tokens long" + (", terms binary" if frequencies else "")
+    return texts.mapInPandas(encode, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class WaveletMatrix:

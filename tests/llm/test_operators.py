@@ -153,11 +153,12 @@ def test_lexical_windows():
 
 
 def test_corpus_statistics_cover_all_documents(spark):
-    ids = [[5, 5, 7, 0], [7, 9, 0], [0], [7, 0]] * 30
-    rows = spark.createDataFrame([(np.array(one, "<u2").tobytes(),) for one in ids], "ids binary").repartition(5)
-    corpus = packing.corpus_of(rows)
+    docs = frame(spark, corpus()).repartition(5)
+    encoded = wavelet.tokenised(docs, public_path("byte_bpe_50k.json"), True, 0, frequencies=True).cache()
+    ids = [np.frombuffer(r.ids, "<u2").tolist() for r in encoded.collect()]
+    found = packing.corpus_of(encoded)
     want = packing.Corpus.of(np.bincount([t for one in ids for t in set(one)], minlength=packing.TERMS), len(ids), sum(map(len, ids)))
-    assert np.allclose(corpus.idf, want.idf) and corpus.mean == want.mean
+    assert np.allclose(found.idf, want.idf) and found.mean == want.mean
 
 
 def test_packing(spark):
