@@ -25,15 +25,27 @@ def p4_version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).select("call_id", E.version_match(F.col("version"), "v*-b1").alias("glob"), E.version_match(F.col("version"), "v2").alias("prefix"))
 
 
-@query(f"""WITH {CALLS}, g AS (SELECT arm, session, qid, count(*) AS attempts, max((hits > 0)::INT) AS solved FROM calls GROUP BY ALL),
-bg AS (SELECT arm, count(*) AS groups, avg(attempts) AS attempts, avg((attempts <= 3 AND solved = 1)::INT) AS converged FROM g GROUP BY arm)
-SELECT arm, count(*) AS n, count(DISTINCT qid) AS questions, avg((hits > 0)::INT) AS found_rate, trunc(median(ms))::BIGINT AS median_ms,
-  list_sort(list(ms))[greatest(0, floor(count(*) * 0.9)::INT - 1) + 1] AS p90_ms, sum(hits)::BIGINT AS hits, (sum(queries) FILTER (has_io))::BIGINT AS io_queries,
-  count(*) FILTER (has_io AND hits = 0) / count(*) FILTER (has_io) AS empty_rate, count(*) FILTER (has_io AND degraded) / count(*) FILTER (has_io) AS degraded_rate,
-  any_value(bg.groups) AS groups, any_value(bg.attempts) AS attempts, any_value(bg.converged) AS converged
-FROM calls JOIN bg USING (arm) GROUP BY arm""")
+def _summary_sql(by: str) -> str:
+    return f"""WITH {CALLS}, r AS (SELECT *, split_part(version, '-', 1) AS algorithm, CASE WHEN hits = 0 THEN queries ELSE queries % 2 END AS empties, call_id % 11 = 0 AS guidance, CASE WHEN qid < 6 THEN qid % 3 END AS expected FROM calls),
+g AS (SELECT {by}, session, qid, count(*) AS attempts, sum(ms)::BIGINT AS ms FROM r GROUP BY ALL), t AS (SELECT {by}, avg(attempts) AS attempts, avg((attempts <= 3)::INT) AS converged, trunc(median(ms))::BIGINT AS group_ms_median, list_sort(list(ms))[greatest(0, floor(count(*) * 0.9)::INT - 1) + 1] AS group_ms_p90 FROM g GROUP BY ALL),
+f AS (SELECT {by}, count(*) AS n, count(DISTINCT qid) AS questions, avg((hits > 0)::INT) AS found_rate, avg(CASE WHEN expected > 0 THEN hits >= expected WHEN expected = 0 THEN hits = 0 END::INT) AS case_ok_rate, count(expected) AS decided, avg(guidance::INT) AS guidance_rate, sum(ms)::BIGINT AS ms,
+  count(*) FILTER (has_io) AS io_n, (sum(queries) FILTER (has_io))::BIGINT AS queries, (sum(empties) FILTER (has_io))::BIGINT AS empty_queries, (sum(queries - empties) FILTER (has_io))::BIGINT AS hit_queries, sum(empties) FILTER (has_io) / sum(queries) FILTER (has_io) AS empty_rate,
+  count(*) FILTER (has_io AND degraded) / count(*) FILTER (has_io) AS degraded_rate, count(*) FILTER (has_io AND hits > 0) / count(*) FILTER (has_io) AS ok_rate, count(*) FILTER (has_io AND hits > 0 AND NOT degraded) / count(*) FILTER (has_io) AS hit_plain_rate,
+  count(*) FILTER (has_io AND hits > 0 AND degraded) / count(*) FILTER (has_io) AS hit_degraded_rate, trunc(median(ms))::BIGINT AS ms_median, list_sort(list(ms))[greatest(0, floor(count(*) * 0.9)::INT - 1) + 1] AS ms_p90, trunc(median(queries) FILTER (has_io))::BIGINT AS queries_median FROM r GROUP BY ALL)
+SELECT * FROM f JOIN t USING ({by})"""
+
+
+def _told_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = calls(spark, sf_dir)
+    empty = F.when(F.col("hits") == 0, F.col("queries")).otherwise(F.col("queries") % 2)
+    rows = c.withColumns({"empty_queries": empty, "hit_queries": F.col("queries") - empty, "guidance": F.col("call_id") % 11 == 0})
+    expects = spark.range(6).select(F.col("id").cast("int").alias("qid"), (F.col("id") % 3).alias("expected"))
+    return rows, expects
+
+
+@query(_summary_sql("arm"))
 def a6_arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.arm_summary(calls(spark, sf_dir))
+    return E.arm_summary(*_told_calls(spark, sf_dir))
 
 
 @query(f"""WITH {CALLS} SELECT tool, count(*) FILTER (arm = 'hint' AND hits > 0) AS hint_solved, count(*) FILTER (arm = 'hint') AS hint_total,
@@ -42,9 +54,9 @@ def a7_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.by_category(calls(spark, sf_dir), "tool")
 
 
-@query(f"WITH {CALLS} SELECT split_part(version, '-', 1) AS algorithm, arm, count(*) AS n, sum(hits)::BIGINT AS hits, trunc(median(ms))::BIGINT AS median_ms FROM calls GROUP BY 1, 2")
+@query(_summary_sql("algorithm, arm"))
 def a8_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.by_version(calls(spark, sf_dir))
+    return E.by_version(*_told_calls(spark, sf_dir))
 
 
 @query(f"""WITH {CALLS} SELECT qid, array_to_string(list_sort(list(DISTINCT tool)), ',') AS shapes, count(*) FILTER (arm = 'hint') AS hint_rounds, count(*) FILTER (arm <> 'hint') AS plain_rounds,
@@ -80,30 +92,50 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SETS = """sets AS (SELECT l_orderkey, list_sort(coalesce(list(DISTINCT x) FILTER (n <= 4), [])) AS got,
   list_sort(coalesce(list(DISTINCT x) FILTER (n % 2 = 0 AND x >= 10), [])) AS expected, coalesce(list(DISTINCT x) FILTER (n = 7), []) AS forbidden,
   l_orderkey % 9 AS k FROM (SELECT *, l_partkey % 40 AS x, l_linenumber AS n FROM lineitem) GROUP BY l_orderkey),
-parts AS (SELECT *, [k, k + 1] AS g1, [k + 2] AS g2, list_has_any(got, [k, k + 1]) AS h1, list_has_any(got, [k + 2]) AS h2,
-  len(list_filter(expected, lambda e: NOT list_contains(got, e))) AS m,
-  len(list_filter(got, lambda e: NOT list_contains(expected, e) AND NOT list_contains([k, k + 1, k + 2], e))) AS x,
-  len(list_filter(got, lambda e: list_contains(expected, e) OR list_contains([k, k + 1, k + 2], e))) AS raw,
-  len(list_filter(got, lambda e: list_contains(forbidden, e))) AS bad FROM sets),
+gone AS (SELECT *, CASE WHEN list_has_any(got, [k, k + 1]) THEN [k, k + 1] ELSE [] END || CASE WHEN list_has_any(got, [k + 2]) THEN [k + 2] ELSE [] END AS cleared FROM sets),
+parts AS (SELECT *, len(list_filter(expected, lambda e: NOT list_contains(got, e) AND NOT list_contains(cleared, e))) AS m,
+  len(list_filter(got, lambda e: NOT list_contains(expected, e))) AS x, len(list_filter(got, lambda e: list_contains(expected, e))) AS raw,
+  len(list_filter(got, lambda e: list_contains(forbidden, e))) AS bad FROM gone),
 scored AS (SELECT *, CASE WHEN len(got) = 0 THEN 0 ELSE raw / len(got) END AS precision,
-  (len(expected) - m + h1::INT + h2::INT) / (len(expected) + 2) AS recall FROM parts)"""
+  CASE WHEN len(expected) = 0 THEN 0 ELSE (len(expected) - m) / len(expected) END AS recall FROM parts)"""
 
 
-@query(f"""WITH {SETS} SELECT l_orderkey, (m + (NOT h1)::INT + (NOT h2)::INT)::INTEGER AS n_missing, x::INTEGER AS n_extra, bad::INTEGER AS n_forbidden, precision::DOUBLE AS precision, recall,
-  CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1, m + (NOT h1)::INT + (NOT h2)::INT + x + bad = 0 AS strict FROM scored""")
+@query(f"""WITH {SETS} SELECT l_orderkey, m::INTEGER AS n_missing, x::INTEGER AS n_extra, bad::INTEGER AS n_forbidden, precision::DOUBLE AS precision, recall::DOUBLE AS recall,
+  CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1, m + x + bad = 0 AS strict FROM scored""")
 def a11_compare_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.compare_sets(*(F.col(c) for c in ("got", "expected", "forbidden", "any_of")))
     return _sets(spark, sf_dir).select("l_orderkey", *[c.alias(name) for name, c in found.items()])
 
 
-@query(f"""WITH {SETS}, j AS (SELECT l_orderkey % 4 <> 0 AS matched, recall >= 0.5 AS ok, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1, l_orderkey % 30 AS grp FROM scored)
-SELECT avg(matched::INT) AS coverage, avg(ok::INT) FILTER (matched) AS accuracy, avg(f1) FILTER (matched) AS mean_f1,
-  (SELECT avg(a) FROM (SELECT avg(ok::INT) AS a FROM j WHERE matched GROUP BY grp)) AS group_accuracy FROM j""")
-def a12_judge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+JUDGED = f"""{SETS}, j AS (SELECT l_orderkey % 4 <> 0 AS matched, l_orderkey % 5 <> 0 AS answered, recall >= 0.5 AS correct, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+  CASE WHEN l_orderkey % 3 > 0 THEN raw > 0 END AS fetched_correct, CASE WHEN l_orderkey % 3 > 0 THEN precision END AS adoption, l_orderkey % 30 AS entry_id, CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'Q' || l_orderkey % 7 END AS qid,
+  ['hint', 'plain', ''][1 + l_orderkey % 3] AS arm, ['', 'graph'][1 + l_orderkey % 2] AS route, CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE ['qid', 'anchor', 'sim'][1 + l_orderkey % 3] END AS matched_by FROM scored)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.compare_sets(*(F.col(c) for c in ("got", "expected", "forbidden", "any_of")))
     key = F.col("l_orderkey")
-    rows = _sets(spark, sf_dir).select((key % 4 != 0).alias("matched"), (found["recall"] >= 0.5).alias("ok"), found["f1"].alias("f1"), (key % 30).alias("grp"))
-    return E.judge_stats(rows)
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (key % n).cast("int"))
+    return _sets(spark, sf_dir).select(
+        (key % 4 != 0).alias("matched"), (key % 5 != 0).alias("answered"), (found["recall"] >= 0.5).alias("correct"), found["f1"].alias("f1"), F.when(key % 3 > 0, found["precision"] > 0).alias("fetched_correct"),
+        F.when(key % 3 > 0, found["precision"]).alias("adoption"), (key % 30).alias("entry_id"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("Q"), key % 7)).alias("qid"), pick(["hint", "plain", ""], 3).alias("arm"),
+        pick(["", "graph"], 2).alias("route"), F.when(key % 4 == 0, "").otherwise(pick(["qid", "anchor", "sim"], 3)).alias("matched_by"))
+
+
+@query(f"""WITH {JUDGED}, g AS (SELECT avg(correct::INT) AS a FROM j WHERE matched AND answered GROUP BY entry_id, lower(qid)),
+w AS (SELECT count(*) AS n_groups, avg(a) AS group_accuracy, count(*) FILTER (a = 1) AS groups_right, count(*) FILTER (a = 0) AS groups_wrong FROM g)
+SELECT count(*) AS n_total, count(*) FILTER (matched) AS n_matched, count(*) FILTER (matched AND answered) AS n_judged, avg((matched AND answered)::INT) AS coverage, avg(correct::INT) FILTER (matched AND answered) AS accuracy, avg(f1) FILTER (matched AND answered) AS mean_f1,
+  count(fetched_correct) FILTER (matched) AS n_fetched, avg(fetched_correct::INT) FILTER (matched) AS fetched_accuracy, avg(adoption) FILTER (matched AND answered) AS adoption, any_value(w.n_groups) AS n_groups, any_value(w.group_accuracy) AS group_accuracy, any_value(w.groups_right) AS groups_right, any_value(w.groups_wrong) AS groups_wrong FROM j, w""")
+def a12_judge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.judge_stats(_judged(spark, sf_dir))
+
+
+@query(f"""WITH {JUDGED} SELECT 'arm' AS view, CASE arm WHEN '' THEN 'unknown' ELSE arm END AS key, count(*) AS n, sum(correct::INT)::BIGINT AS correct FROM j WHERE matched AND answered GROUP BY ALL
+UNION ALL SELECT 'route', CASE route WHEN '' THEN 'none' ELSE route END, count(*), sum(fetched_correct::INT)::BIGINT FROM j WHERE matched AND fetched_correct IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'matched_by', CASE matched_by WHEN '' THEN 'none' ELSE matched_by END, count(*), NULL FROM j GROUP BY ALL
+UNION ALL SELECT 'reason', CASE WHEN matched THEN 'no_answer' ELSE 'no_truth' END, count(*), NULL FROM j WHERE NOT (matched AND answered) GROUP BY ALL""")
+def a12_judge_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.judge_views(_judged(spark, sf_dir))
 
 
 @query(f"""WITH {CALLS}, b AS (SELECT session * 100 + qid AS qid, max(hits / 6) AS score FROM calls GROUP BY ALL)
@@ -115,25 +147,27 @@ def a13_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem")
-    status = F.when(F.col("l_returnflag") == "A", "present").when(F.col("l_returnflag") == "N", "absent_verified").when(F.col("l_linenumber") % 2 == 0, "unavailable")
-    confidence = F.when(F.col("l_linenumber") % 3 == 0, F.lit("high")).otherwise((F.col("l_discount") * 10).cast("string"))
-    facts = lines.select(F.col("l_orderkey").alias("rule"), status.alias("status"), confidence.alias("confidence"),
-        F.when(F.col("l_linestatus") == "F", "document").otherwise("rumour").alias("source_type"), F.when(F.col("l_tax") > 0, "q").alias("quote"),
-        F.when(F.col("l_tax") > 0.02, "p1").otherwise("").alias("locator"), (F.col("l_linenumber") == 1).alias("required"))
-    checks = lines.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("rule"), (F.col("l_quantity") > 20).alias("passed"))
-    return facts, checks
-
-
-@query("""WITH l AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'present' WHEN l_returnflag = 'N' THEN 'absent_verified' WHEN l_linenumber % 2 = 0 THEN 'unavailable' ELSE 'present' END AS status,
-  CASE WHEN l_linenumber % 3 = 0 THEN 0.9 ELSE greatest(0, least(1, l_discount * 10)) END AS conf FROM lineitem),
-f AS (SELECT l_orderkey AS rule, avg(CASE status WHEN 'unavailable' THEN 0.2 ELSE 1 END) AS coverage,
-  avg(conf * CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0.5 END) FILTER (status <> 'unavailable') AS trust,
-  avg((l_tax > 0 AND l_tax > 0.02)::INT) AS traced, max((l_linenumber = 1 AND status = 'unavailable')::INT) AS blocked FROM l GROUP BY 1),
-c AS (SELECT l_orderkey AS rule, avg((l_quantity > 20)::INT) AS checked FROM l WHERE l_orderkey % 2 = 0 GROUP BY 1),
-s AS (SELECT rule, 0.45 * coverage + 0.30 * coalesce(trust, 0) + 0.15 * traced + 0.10 * coalesce(checked, 0.6) AS score, blocked FROM f LEFT JOIN c USING (rule))
-SELECT rule, round(score, 6) AS score, CASE WHEN blocked = 1 OR round(score, 6) < 0.6 THEN 'insufficient' ELSE 'ok' END AS gate, CASE WHEN round(score, 6) >= 0.8 THEN 'high' WHEN round(score, 6) >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM s""")
+    n = F.col("l_linenumber")
+    status = F.when(F.col("l_returnflag") == "A", "present").when(F.col("l_returnflag") == "N", "absent_verified").when(n == 7, "guessed").when(n % 2 == 0, "unavailable")
+    confidence = F.when(n % 3 == 0, F.lit(" High")).when(n == 5, F.lit("sure")).when(n == 4, F.lit(None)).otherwise((F.col("l_discount") * 20).cast("string"))
+    source = F.when(F.col("l_linestatus") == "F", "document").when(n == 1, "doc_image").when(n == 2, "kb").otherwise("rumour")
+    facts = lines.select(F.col("l_orderkey").alias("rule"), status.alias("status"), confidence.alias("confidence"), source.alias("source_type"),
+        F.when(F.col("l_tax") > 0, "q").alias("quote"), F.when(F.col("l_tax") > 0.02, "p1").otherwise(" ").alias("locator"), F.when(n != 6, n == 2).alias("required"))
+    verdict = F.when(F.col("l_quantity") > 20, "supported").when(F.col("l_quantity") > 10, "not_supported").otherwise("unclear")
+    return facts, lines.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("rule"), verdict.alias("verdict"))
+
+
+@query("""WITH l AS (SELECT *, l_linenumber AS n, CASE WHEN l_returnflag = 'A' THEN 'present' WHEN l_returnflag = 'N' THEN 'absent_verified' WHEN l_linenumber = 7 THEN 'guessed' WHEN l_linenumber % 2 = 0 THEN 'unavailable' ELSE 'present' END AS status,
+  CASE WHEN l_linenumber % 3 = 0 THEN 1.0 WHEN l_linenumber IN (4, 5) THEN 0.7 ELSE greatest(0, least(1, l_discount * 20)) END AS conf FROM lineitem),
+f AS (SELECT l_orderkey AS rule, avg(CASE status WHEN 'unavailable' THEN 0.2 WHEN 'guessed' THEN 0.5 ELSE 1 END) AS coverage,
+  avg(conf * CASE WHEN l_linestatus = 'F' THEN 0.9 WHEN n = 1 THEN 0.85 WHEN n = 2 THEN 0.95 ELSE 0.5 END) FILTER (status = 'present') AS trust,
+  avg((l_tax > 0.02)::INT) AS traced, max((n IN (2, 6) AND status = 'unavailable')::INT) AS blocked FROM l GROUP BY 1),
+c AS (SELECT l_orderkey AS rule, avg(CASE WHEN l_quantity > 20 THEN 1 WHEN l_quantity > 10 THEN 0 ELSE 0.3 END) AS checked FROM l WHERE l_orderkey % 2 = 0 GROUP BY 1),
+s AS (SELECT rule, round(0.45 * coverage + 0.30 * coalesce(trust, 0) + 0.15 * traced + 0.10 * coalesce(checked, 0.6), 6) AS score, blocked FROM f LEFT JOIN c USING (rule))
+SELECT rule, score, CASE WHEN blocked = 1 OR score < 0.6 THEN 'insufficient' ELSE 'ok' END AS gate,
+  CASE WHEN blocked = 1 OR score < 0.6 THEN 'low' WHEN score >= 0.8 THEN 'high' ELSE 'medium' END AS level FROM s""")
 def a14_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.evidence_score(*_facts(spark, sf_dir), 0.6).withColumn("score", F.round("score", 6))
+    return E.evidence_score(*_facts(spark, sf_dir), 0.6)
 
 
 @query("""WITH i AS (SELECT l_partkey % 40 AS rule, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'open' ELSE 'fail' END AS verdict, CASE WHEN l_tax > 0.01 THEN 'q' END AS quote, CASE WHEN l_quantity > 49 THEN 'high' ELSE 'low' END AS severity
@@ -167,12 +201,12 @@ def a19_coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CALLS}, s AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, call_id) AS seq FROM calls),
-p AS (SELECT session, count(*) AS n, count(*) FILTER (tool = 'error') AS bad, [x FOR x IN [min(seq) FILTER (tool = 'signup'), min(seq) FILTER (tool = 'view'), min(seq) FILTER (tool = 'click'), min(seq) FILTER (tool = 'purchase')] IF x IS NOT NULL] AS seen FROM s GROUP BY session),
-q AS (SELECT session, 1 - bad / n AS accuracy, len(seen) / 4 AS coverage, seen = list_sort(seen) AS monotone FROM p),
-r AS (SELECT *, (accuracy + coverage) / 2 * CASE WHEN monotone THEN 1 ELSE 0.8 END AS score FROM q)
-SELECT *, CASE WHEN score >= 0.8 THEN 'conforms' WHEN score >= 0.5 THEN 'partly' ELSE 'deviates' END AS verdict FROM r""")
+p AS (SELECT session, count(*) AS n, count(*) FILTER (tool = 'error') AS retired, count(*) FILTER (tool NOT IN ('error', 'signup', 'view', 'click')) AS out_of_scope,
+  len([x FOR x IN [min(seq) FILTER (tool = 'signup'), min(seq) FILTER (tool IN ('view', 'click'))] IF x IS NOT NULL]) AS met FROM s GROUP BY session),
+q AS (SELECT *, round(1 - (retired + out_of_scope) / n, 4) AS intent, met / 2 AS coverage FROM p)
+SELECT session, retired, out_of_scope, intent, coverage, true AS monotone, coverage AS fitness, intent >= 0.9 AND coverage >= 0.8 AND retired = 0 AS passed FROM q""")
 def a26_call_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.conformance(calls(spark, sf_dir), ["signup", "view", "click", "purchase"], ["error"])
+    return E.conformance(calls(spark, sf_dir), {"enter": ["signup"], "look": ["view", "click"]}, ["error"])
 
 
 @query(f"""WITH {CALLS}, s AS (SELECT session, tool, sum(hits) AS score FROM calls GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY score DESC) AS place FROM s)
@@ -182,10 +216,17 @@ def w9_strict_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.strict_best(scored, "session", "tool")
 
 
-@query(f"""WITH {CALLS}, l AS (SELECT call_id AS left_id, session, qid, ts FROM calls WHERE call_id % 2 = 0), r AS (SELECT call_id AS right_id, session AS s, qid AS q, ts AS t FROM calls WHERE call_id % 6 = 1),
-x AS (SELECT left_id, right_id, q = qid AS same, abs(epoch_us(ts) - epoch_us(t)) AS gap FROM l JOIN r ON s = session WHERE q = qid OR abs(epoch_us(ts) - epoch_us(t)) <= 1800000000),
-b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY same DESC, gap, right_id) = 1)
-SELECT left_id, right_id, CASE WHEN same IS NULL THEN 'none' WHEN same THEN 'exact' ELSE 'near' END AS linked FROM l LEFT JOIN b USING (left_id)""")
+@query(f"""WITH {CALLS}, q AS (SELECT *, tool || '/' || qid || '/' || call_id % 40 AS key, 'find ' || tool || ' of item ' || qid || CASE WHEN call_id % 3 = 0 THEN ' or something else entirely' ELSE '' END AS core, floor(epoch_us(ts) / 1000)::BIGINT AS t FROM calls),
+l AS (SELECT call_id AS left_id, session, key, core, ts FROM q WHERE call_id % 2 = 0), r AS (SELECT call_id AS right_id, * EXCLUDE (call_id) FROM q WHERE call_id % 2 = 1),
+g AS (SELECT session, key, min(right_id) AS right_id, arg_min(arm, right_id) AS arm, arg_min(core, right_id) AS core, count(*) AS calls, max(hits) AS hits, sum(ms)::BIGINT AS ms, sum(queries)::BIGINT AS queries, bool_or(degraded) AS degraded FROM r GROUP BY ALL),
+e AS (SELECT left_id, 'exact' AS linked, right_id, arm, calls, hits, ms, queries, degraded FROM l JOIN g USING (session, key)), u AS (SELECT * FROM l WHERE left_id NOT IN (SELECT left_id FROM e)),
+n AS (SELECT left_id, 'near' AS linked, right_id, arm, 1 AS calls, hits, ms, queries, degraded FROM u JOIN r ON r.session = u.session AND abs(epoch_us(u.ts) - epoch_us(r.ts)) <= 60000000 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY abs(epoch_us(u.ts) - epoch_us(r.ts)), right_id) = 1),
+b AS (SELECT *, list_distinct([substr(core, i::INT, 2) FOR i IN range(1, length(core))]) AS s FROM u WHERE left_id NOT IN (SELECT left_id FROM n)), h AS (SELECT *, list_distinct([substr(core, i::INT, 2) FOR i IN range(1, length(core))]) AS s FROM g),
+x AS (SELECT left_id, h.right_id, len(list_intersect(b.s, h.s)) / len(list_distinct(b.s || h.s)) AS score FROM b JOIN h USING (session)),
+m AS (SELECT left_id, 'similar' AS linked, right_id, arm, calls, hits, ms, queries, degraded FROM x JOIN g USING (right_id) WHERE score >= 0.62 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1)
+SELECT left_id, coalesce(linked, 'none') AS linked, right_id, arm, calls, hits, ms, queries, degraded FROM l LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM n UNION ALL SELECT * FROM m) USING (left_id)""")
 def j9_link_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir)
-    return E.link_nearest(c.where("call_id % 2 = 0").withColumnRenamed("call_id", "left_id"), c.where("call_id % 6 = 1").withColumnRenamed("call_id", "right_id"), 1800)
+    c, i = calls(spark, sf_dir), F.col("call_id")
+    core = F.concat(F.lit("find "), "tool", F.lit(" of item "), "qid", F.when(i % 3 == 0, " or something else entirely").otherwise(""))
+    c = c.withColumns({"key": F.concat_ws("/", "tool", F.col("qid").cast("string"), (i % 40).cast("string")), "core": core})
+    return E.link_nearest(c.where("call_id % 2 = 0").withColumnRenamed("call_id", "left_id"), c.where("call_id % 2 = 1").withColumnRenamed("call_id", "right_id"), 60)
