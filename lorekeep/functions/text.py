@@ -131,8 +131,8 @@ def snippet(body: Column, terms: list[str], width: int) -> Column:
 
 
 def version_array(version: Column) -> Column:
-    """Numbers of a dotted version; -1 for what is no number."""
-    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(-1)))
+    """Numbers of a version's parts at ``.``, ``-`` and ``_``; -1 for what is no number."""
+    return F.transform(F.split(version, r"[._-]"), lambda p: F.coalesce(p.try_cast("int"), F.lit(-1)))
 
 
 def in_range(version: Column, low: Column, high: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators.graphs import settled
 
 
 def parse_query(query: str) -> tuple[list[str], list[str]]:
@@ -85,65 +87,130 @@ def result_shape(receipt: Column) -> Column:
     )
 
 
-def catalog_check(items: DataFrame, allow: DataFrame, deny: DataFrame, today: str) -> DataFrame:
-    """item_id, verdict: denied beats allowed; an entry past its date is ``expired``; a range may allow; else unknown.
+def catalog_check(items: DataFrame, allow: DataFrame, deny: DataFrame, today: str, near: int = 5) -> DataFrame:
+    """item_id, verdict, match, near_misses: denied beats allowed; an entry past its date is ``expired``; else unknown.
 
-    items: item_id, software, version; deny: software, version; allow: software, low, high, expires_at.
+    items: item_id, software, version; deny: software, version; allow (in the order of pos): software, version, low,
+    high, expires_at.  The first allowed entry of the very version counts, else the first whose range holds it.  Near
+    misses are the first ``near`` allowed entries of the name with another version.
     """
-    name = F.lower("software")
-    denied = deny.select(name.alias("name"), F.lower("version").alias("version"), F.lit(True).alias("denied")).distinct()
-    listed = allow.select(name.alias("name"), "low", "high", "expires_at")
-    base = items.select("item_id", name.alias("name"), F.lower("version").alias("version"))
-    met = base.join(listed, "name").where(T.in_range(F.col("version"), F.col("low"), F.col("high")))
-    best = met.groupBy("item_id").agg(F.min(T.expired(F.col("expires_at"), F.lit(today)).cast("int")).alias("expired"))
-    joined = base.join(denied, ["name", "version"], "left").join(best, "item_id", "left")
-    verdict = F.when(F.col("denied"), "denied").when(F.col("expired") == 0, "allowed").when(F.col("expired") == 1, "expired").otherwise("unknown")
-    return joined.select("item_id", verdict.alias("verdict"))
-
-
-def class_candidates(terms: DataFrame, classes: DataFrame, n: int = 3) -> DataFrame:
-    """term, class, score, place: the best classes by label (classes: class, label).
-
-    100 where equal; 90 less the surplus where a term of at least three quarters is inside or ends the label, else
-    55; 70 less the surplus where the label is inside the term.  ``classes`` is a small catalogue and is broadcast.
-    """
-    gap = F.abs(F.length("label") - F.length("term"))
-    inside = F.col("label").contains(F.col("term"))
-    strong = F.col("label").endswith(F.col("term")) | (F.length("term") >= 0.75 * F.length("label"))
-    score = (
-        F.when(F.col("label") == F.col("term"), F.lit(100)).when(inside & strong, 90 - gap).when(inside, F.lit(55))
-        .when(F.col("term").contains(F.col("label")), 70 - gap)
+    name, exact = F.trim(F.lower("software")), F.trim(F.lower(F.coalesce("version", F.lit(""))))
+    denied = deny.select(name.alias("name"), exact.alias("version"), F.lit(True).alias("denied")).distinct()
+    listed = allow.select("pos", name.alias("name"), exact.alias("listed"), "low", "high", "expires_at")
+    base = items.select("item_id", name.alias("name"), exact.alias("version"))
+    ranged = (F.col("low").isNotNull() | F.col("high").isNotNull()) & (F.col("version") != "") & T.in_range(F.col("version"), F.col("low"), F.col("high"))
+    step = F.when(F.col("listed") == F.col("version"), 0).when(ranged, 1)
+    # versions of a name are few; items of one version meet them once
+    asked = base.select("name", "version").distinct().join(listed, "name").withColumn("step", step)
+    old = T.expired(F.substring("expires_at", 1, 10), F.lit(today))
+    misses = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("listed") != F.col("version"), F.struct("pos", "listed")))), 1, near), lambda m: m["listed"])
+    best = asked.groupBy("name", "version").agg(
+        F.min(F.when(F.col("step").isNotNull(), F.struct("step", "pos", old.alias("old")))).alias("best"), F.array_join(misses, ",").alias("near_misses")
     )
-    scored = terms.join(F.broadcast(classes), F.col("label").contains(F.col("term")) | F.col("term").contains(F.col("label"))).withColumn("score", score)
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "class"))
-    return scored.withColumn("place", place).where(F.col("place") <= n).select("term", "class", "score", "place")
+    joined = base.join(denied, ["name", "version"], "left").join(best, ["name", "version"], "left")
+    found = F.col("best").isNotNull()
+    verdict = F.when(F.col("denied"), "denied").when(F.col("best.old"), "expired").when(found, "allowed").otherwise("unknown")
+    match = F.when(F.col("denied"), "deny").when(F.col("best.step") == 0, "exact").when(found, "range").otherwise("")
+    return joined.select("item_id", verdict.alias("verdict"), match.alias("match"), F.coalesce("near_misses", F.lit("")).alias("near_misses"))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """part_id, whole_id: which parts (part_id, part) stand in which wholes (whole_id, whole).
+
+    Each part asks by the rarest of its grams of three characters, or of its length if it is shorter, so only wholes
+    that hold this gram are searched.
+    """
+    cut = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
+    posted = wholes.select("whole_id", "whole", F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.length("whole") >= n, cut(F.col("whole"), n)).alias("grams")) for n in (1, 2, 3)]), lambda s: s["grams"].isNotNull())).alias("s"))
+    posted = settled(posted.select("whole_id", "whole", "s.n", F.explode("s.grams").alias("gram")), "posted")
+    often = posted.groupBy("n", "gram").agg(F.count("*").alias("df"))
+    own = F.array(*[F.when(F.least(F.length("part"), F.lit(3)) == n, cut(F.col("part"), n)) for n in (1, 2, 3)])
+    asked = parts.where("part != ''").select("part_id", "part", F.least(F.length("part"), F.lit(3)).alias("n"), F.explode(F.flatten(F.filter(own, lambda g: g.isNotNull()))).alias("gram"))
+    rare = asked.join(often, ["n", "gram"], "left").groupBy("part_id", "part", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rare"))
+    rare = rare.where("rare.df > 0").select("part_id", "part", "n", F.col("rare.gram").alias("gram"))
+    return rare.join(posted, ["n", "gram"]).where(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id").distinct()
+
+
+def class_candidates(terms: DataFrame, classes: DataFrame, closure: DataFrame, n: int = 3) -> DataFrame:
+    """term, class, score, strong, place, ambiguous: the best classes (class, name, label) of each term.
+
+    100 where the term is the label, the name or its last part; inside the label 90 less the surplus (20 at most) if
+    it ends the label or makes up three quarters, else 55; 70 less the surplus where the label is inside the term; 60
+    inside the last part of the name.  Ambiguous: the two best strong ones are less than 10 apart and neither is an
+    ancestor of the other (closure: node, ancestor).
+    """
+    key = T.norm_title(F.col("term"))
+    asked = settled(terms.select("term").distinct().withColumn("key", key).where("length(key) >= 2"), "terms")
+    local = T.norm_title(F.element_at(F.split("name", ":"), -1))
+    listed = settled(classes.select("class", "name", T.norm_title(F.coalesce("label", F.lit(""))).alias("label"), local.alias("local"), T.norm_title(F.col("name")).alias("whole")), "classes")
+    keys = asked.select(F.col("term").alias("part_id"), F.col("key").alias("part"))
+    inside = [contained(keys, listed.select(F.col("class").alias("whole_id"), F.col(c).alias("whole"))) for c in ("label", "local", "whole")]
+    around = contained(listed.select(F.col("class").alias("part_id"), F.col("label").alias("part")), asked.select(F.col("term").alias("whole_id"), F.col("key").alias("whole")))
+    pairs = reduce(DataFrame.unionByName, inside).select(F.col("part_id").alias("term"), F.col("whole_id").alias("class"))
+    pairs = pairs.unionByName(around.select(F.col("whole_id").alias("term"), F.col("part_id").alias("class"))).distinct()
+    k, label = F.col("key"), F.col("label")
+    gap = F.least(F.abs(F.length(label) - F.length(k)), F.lit(20))
+    within = (label != "") & label.contains(k)
+    equal = (k == label) | (k == F.col("local")) | (k == F.col("whole"))
+    firm = label.endswith(k) | (F.length(k) * 4 >= F.length(label) * 3)
+    score = F.when(equal, 100).when(within & firm, 90 - gap).when(within, 55).when((label != "") & k.contains(label), 70 - gap).when(F.col("local").contains(k), 60)
+    scored = pairs.join(asked, "term").join(listed, "class").withColumn("score", score).withColumn("strong", ~(within & ~firm & ~equal)).where("score is not null")
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "name"))
+    top = scored.withColumn("place", place).where(F.col("place") <= n).select("term", "class", "score", "strong", "place")
+    first = top.where("strong").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("place", "class", "score"))).alias("s")).where("size(s) > 1")
+    first = first.select("term", F.get("s", 0).alias("a"), F.get("s", 1).alias("b")).where("a.score - b.score < 10").select("term", F.col("a.class").alias("a"), F.col("b.class").alias("b"))
+    kin = closure.select(F.col("node").alias("a"), F.col("ancestor").alias("b")).unionByName(closure.select(F.col("ancestor").alias("a"), F.col("node").alias("b")))
+    torn = first.join(kin, ["a", "b"], "left_anti").select("term", F.lit(True).alias("torn"))
+    return top.join(torn, "term", "left").select("term", "class", "score", "strong", "place", F.coalesce("torn", F.lit(False)).alias("ambiguous"))
 
 
 def lookup_page(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """query, slug, rank, ambiguous: exact slug 0, last part of the slug 1, title 2; the best rank's hits."""
-    tail = F.element_at(F.split("slug", "/"), -1)
-    keys = pages.select("slug", F.explode(F.array(
-        F.struct(F.col("slug").alias("key"), F.lit(0).alias("rank")), F.struct(tail.alias("key"), F.lit(1).alias("rank")),
-        F.struct(F.col("title").alias("key"), F.lit(2).alias("rank")))).alias("k")).select("slug", "k.key", "k.rank")
-    found = queries.join(keys, F.col("query") == F.col("key")).groupBy("query", "slug").agg(F.min("rank").alias("rank"))
-    best = F.min("rank").over(Window.partitionBy("query"))
-    kept = found.withColumn("best", best).where("rank = best")
-    n = F.count("*").over(Window.partitionBy("query"))
-    return kept.withColumn("ambiguous", (n > 1) & (F.col("rank") >= 2)).select("query", "slug", "rank", "ambiguous")
+    """query, slug, rank, ambiguous: the exact slug 0, the end of the slug 1, the title 2, else inside either 3; the best rank's hits.
+
+    A first part before ``/`` may be the name of a base and may be left out.  Several hits are ambiguous from rank 2 on.
+    """
+    asked = queries.select("query", F.trim(F.regexp_replace(F.trim("query"), "^[\"']+|[\"']+$", "")).alias("q")).where("q != ''").distinct()
+    rest = F.regexp_replace("q", "^[^/]*/", "")
+    listed = settled(pages.select("slug", "title").withColumn("page", F.monotonically_increasing_id()), "lookup-pages")
+    found = [contained(asked.select(F.col("query").alias("part_id"), F.lower("q").alias("part")), listed.select(F.col("page").alias("whole_id"), F.lower(F.coalesce(c, F.lit(""))).alias("whole"))) for c in ("slug", "title")]
+    pairs = found[0].unionByName(found[1]).select(F.col("part_id").alias("query"), F.col("whole_id").alias("page"))
+    tails = asked.select("query", rest.alias("slug")).where("slug != ''").join(listed.select("slug", "page"), "slug").select("query", "page")
+    met = pairs.unionByName(tails).distinct().join(asked, "query").join(listed, "page")
+    after = F.regexp_replace("slug", "^[^/]*/", "")
+    rank = F.when(F.col("slug") == F.col("q"), 0).when((after == F.col("q")) | F.col("slug").endswith(F.concat(F.lit("/"), F.col("q"))), 1).when(F.trim("title") == F.col("q"), 2).otherwise(3)
+    each = met.groupBy("query", "slug").agg(F.min(rank).alias("rank"))
+    best = each.groupBy("query").agg(F.min("rank").alias("rank"))
+    kept = each.join(best, ["query", "rank"])
+    n = kept.groupBy("query").agg(F.count("*").alias("n"))
+    return kept.join(n, "query").select("query", "slug", "rank", ((F.col("n") > 1) & (F.col("rank") >= 2)).alias("ambiguous"))
 
 
 def resolve_names(raw: DataFrame, dim: DataFrame) -> DataFrame:
-    """raw, id, mode, candidates: full id, else equal normal name; several hits are ambiguous and give no id."""
-    norm = lambda c: F.regexp_replace(F.lower(c), r"[\s_#-]+", "")
-    keys = dim.select("id", F.explode(F.array(
-        F.struct(F.col("id").alias("key"), F.lit(0).alias("rank")), F.struct(norm(F.col("name")).alias("key"), F.lit(1).alias("rank")))).alias("k")).select("id", "k.key", "k.rank")
-    asked = raw.select("raw", F.explode(F.array(F.struct(F.col("raw").alias("key"), F.lit(0).alias("rank")), F.struct(norm(F.col("raw")).alias("key"), F.lit(1).alias("rank")))).alias("k"))
-    hits = asked.select("raw", "k.key", "k.rank").join(keys, ["key", "rank"]).groupBy("raw", "rank").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    best = hits.groupBy("raw").agg(F.min(F.struct("rank", "ids")).alias("best"))
+    """raw, id, mode, candidates of raw names by the rows of a dimension (id: 36 hexadecimal digits and dashes, name).
+
+    A full id counts alone; four digits or more are the start of one id; else the name that is equal, blanks aside,
+    and else those that hold it or that it holds.  Several hits are ambiguous and give no id.
+    """
+    norm = lambda c: F.regexp_replace(c, r"[\s\u3000]+", "")
+    asked = settled(raw.select("raw").distinct().withColumn("key", F.trim(F.coalesce("raw", F.lit("")))).withColumn("want", norm(F.col("key"))).where("key != ''"), "raw-names")
+    listed = settled(dim.select("id", F.lower("id").alias("low"), norm(F.coalesce("name", F.lit(""))).alias("norm")), "dimension")
+    whole, start = F.col("key").rlike("^[0-9a-fA-F-]{36}$"), F.col("key").rlike("^[0-9a-fA-F-]{4,35}$")
+    keys = asked.select("raw", F.lower("key").alias("low"), F.length("key").alias("n"), whole.alias("whole"), start.alias("start"))
+    by_id = keys.where("whole").join(listed.select("id", "low"), "low").select("raw", "id", F.lit(0).alias("rank"))
+    starts = listed.select("id", F.explode(F.transform(F.sequence(F.lit(4), F.lit(35)), lambda n: F.substring("low", F.lit(1), n))).alias("low"))
+    by_start = keys.where("start").join(starts, "low").select("raw", "id", F.lit(1).alias("rank"))
+    names = asked.where(~whole)
+    equal = names.join(listed, F.col("want") == F.col("norm")).select("raw", "id", F.lit(2).alias("rank"))
+    part = contained(names.select(F.col("raw").alias("part_id"), F.col("want").alias("part")), listed.select(F.col("id").alias("whole_id"), F.col("norm").alias("whole")))
+    around = contained(listed.select(F.col("id").alias("part_id"), F.col("norm").alias("part")), names.select(F.col("raw").alias("whole_id"), F.col("want").alias("whole")))
+    loose = part.select(F.col("part_id").alias("raw"), F.col("whole_id").alias("id")).unionByName(around.select(F.col("whole_id").alias("raw"), F.col("part_id").alias("id")))
+    hits = by_id.unionByName(by_start).unionByName(equal).unionByName(loose.distinct().withColumn("rank", F.lit(3)))
+    counted = hits.groupBy("raw", "rank").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    best = counted.groupBy("raw").agg(F.min(F.struct("rank", "n", "id")).alias("best"))
     joined = raw.select("raw").distinct().join(best, "raw", "left")
-    n = F.coalesce(F.size("best.ids"), F.lit(0))
-    mode = F.when(F.col("best").isNull(), "none").when(n > 1, "ambiguous").when(F.col("best.rank") == 0, "exact").otherwise("fuzzy")
-    return joined.select("raw", F.when((F.col("best").isNotNull()) & (F.size("best.ids") == 1), F.element_at("best.ids", 1)).alias("id"), mode.alias("mode"), F.when(F.col("best").isNull(), 0).otherwise(F.size("best.ids")).alias("candidates"))
+    n, rank = F.coalesce("best.n", F.lit(0)), F.col("best.rank")
+    mode = F.when(n == 0, "none").when(n > 1, "ambiguous").when(rank.isin(0, 2), "exact").otherwise("fuzzy")
+    return joined.select("raw", F.when(n == 1, F.col("best.id")).alias("id"), mode.alias("mode"), n.alias("candidates"))
 
 
 def cross_kb_same_key(pages: DataFrame) -> DataFrame:
@@ -160,25 +227,67 @@ def cross_kb_same_key(pages: DataFrame) -> DataFrame:
     return out
 
 
+def gram_codes(text: Column, n: int) -> Column:
+    """The distinct n-grams (n up to 3) of a text as numbers, 21 bits a character: nothing is lost, and numbers are cheaper than strings."""
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    size = F.size(codes)
+    whole = F.aggregate(F.slice(codes, 1, n), F.lit(0).cast("bigint"), lambda acc, c: F.shiftleft(acc, 21) + c)
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), size - n))
+    grams = F.transform(places, lambda i: sum((F.shiftleft(F.get(codes, i + k), 21 * (n - 1 - k)) for k in range(n)), F.lit(0)))
+    return F.array_distinct(F.when(size < n, F.array(whole)).otherwise(grams))
+
+
+def prefix_pairs(sets: DataFrame, shared: Callable[..., Column], probe: Column, index: Column, across: bool = False) -> DataFrame:
+    """Pairs (id < id_b) of sets (id, n, kind, grams) that may be alike, from the rarest grams of each.
+
+    ``shared(n, n_b, kind, kind_b)`` is the least number of shared grams of sets of m <= n grams that are alike;
+    ``probe`` bounds it from below by the larger size alone, ``index`` by the smaller; ``across`` asks for pairs of
+    different kinds only.  In the order from rare to common, the first shared gram is among the first m - shared + 1 of the smaller and n - shared + 1 of the larger
+    set.  So smaller sets are posted by few grams, larger ones ask by more, and a met pair stays only if both places
+    allow for it.
+    """
+    posted = sets.select("id", "kind", "n", F.explode("grams").alias("gram"))
+    counted = posted.join(posted.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    ranked = counted.groupBy("id", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))  # of one text
+    prefix = ranked.select("id", "kind", "n", F.posexplode(F.slice("ranked", F.lit(1), (F.col("n") - probe + 1).cast("int"))).alias("place", "g"))
+    prefix = settled(prefix.select("id", "kind", "n", F.col("g.gram").alias("gram"), (F.col("place") + 1).alias("place")), "gram-prefixes")
+    small = prefix.where(F.col("place") <= F.col("n") - index + 1)
+    small = small.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("id", "kind", "n", "place")])
+    least = shared(F.col("n"), F.col("n_b"), F.col("kind"), F.col("kind_b"))
+    met = prefix.join(small, "gram").where(
+        ((F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("id_b") < F.col("id"))))
+        & (F.col("place") <= F.col("n") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
+    )
+    met = met.where("kind != kind_b") if across else met
+    return met.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b")).distinct()
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float, across: bool = False) -> DataFrame:
+    """id, id_b, kind, kind_b, score: pairs of gram sets (id, n, kind, grams) whose Jaccard reaches the threshold."""
+    up = lambda c: F.ceil(c - 1e-6)
+    part = threshold / (1 + threshold)
+    pairs = prefix_pairs(sets, lambda n, m, *_: up(part * (n + m)), up(threshold * F.col("n")), up(2 * part * F.col("n")), across)
+    right = sets.select(F.col("id").alias("id_b"), F.col("grams").alias("grams_b"), F.col("kind").alias("kind_b"))
+    scored = pairs.join(sets.select("id", "grams", "kind"), "id").join(right, "id_b").withColumn("score", T.jaccard(F.col("grams"), F.col("grams_b")))
+    return scored.where(F.col("score") >= threshold).select("id", "id_b", "kind", "kind_b", "score")
+
+
 def near_duplicates(pages: DataFrame, same: float = 0.86, cross: float = 0.93) -> DataFrame:
     """a, b, a_pages, b_pages, cosine: pairs of texts whose 3-gram sets are alike (pages: page_id, page_type, body).
 
     The set cosine reaches ``same`` within a type and ``cross`` between types.  Pages of one type and text are one
-    class, named by its least page_id.  Of a set of n grams, n - ceil(t*t*n) + 1 of its rarest hold one that any
-    partner's rarest hold too, so only those are joined; candidates are then compared whole.
+    class, named by its least page_id.  Sets of m <= n grams within t share t * sqrt(m * n) or more; candidates
+    found by that are compared whole.
     """
     body = F.coalesce("body", F.lit(""))
     classes = pages.where(body != "").groupBy("page_type", body.alias("body")).agg(F.min("page_id").alias("id"), F.count("*").alias("pages"))
-    sets = classes.select("id", "page_type", "pages", F.array_distinct(T.grams(F.col("body"), 3)).alias("grams")).withColumn("n", F.size("grams"))
-    posted = sets.select("id", "n", F.explode("grams").alias("gram"))
-    order = Window.partitionBy("id").orderBy("df", "gram")
-    counted = posted.join(posted.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("place", F.row_number().over(order))
-    prefix = counted.where(F.col("place") <= F.col("n") - F.ceil(F.lit(same * same) * F.col("n")) + 1).select("gram", "id", "n")
-    other = prefix.select("gram", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
-    close = (F.col("n_b") >= F.lit(same * same) * F.col("n")) & (F.col("n") >= F.lit(same * same) * F.col("n_b"))
-    pairs = prefix.join(other, "gram").where((F.col("id") < F.col("id_b")) & close).select("id", "id_b").distinct()
-    left = sets.select("id", F.col("page_type").alias("type_a"), F.col("pages").alias("a_pages"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("id").alias("id_b"), F.col("page_type").alias("type_b"), F.col("pages").alias("b_pages"), F.col("grams").alias("grams_b"))
-    scored = pairs.join(left, "id").join(right, "id_b").withColumn("cosine", F.round(T.set_cosine(F.col("grams_a"), F.col("grams_b")), 9))
-    limit = F.when(F.col("type_a") == F.col("type_b"), same).otherwise(cross)
-    return scored.where(F.col("cosine") >= limit).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "a_pages", "b_pages", "cosine")
+    sets = settled(classes.select("id", F.col("page_type").alias("kind"), "pages", gram_codes(F.col("body"), 3).alias("grams")).withColumn("n", F.size("grams")), "gram-sets")
+    up = lambda c: F.ceil(c - 1e-6)
+    limit = lambda a, b: F.when(a == b, same).otherwise(cross)
+    shared = lambda n, m, a, b: up(limit(a, b) * F.sqrt(n.cast("double") * m))
+    pairs = prefix_pairs(sets, shared, up(same * same * F.col("n")), up(same * F.col("n")))
+    left = sets.select("id", "kind", F.col("pages").alias("a_pages"), "grams")
+    right = sets.select(F.col("id").alias("id_b"), F.col("kind").alias("kind_b"), F.col("pages").alias("b_pages"), F.col("grams").alias("grams_b"))
+    scored = pairs.join(left, "id").join(right, "id_b").withColumn("cosine", F.round(T.set_cosine(F.col("grams"), F.col("grams_b")), 9))
+    scored = scored.where(F.col("cosine") >= limit(F.col("kind"), F.col("kind_b")))
+    return scored.select(F.col("id").alias("a"), F.col("id_b").alias("b"), "a_pages", "b_pages", "cosine")

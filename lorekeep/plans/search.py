@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators import graphs as G
 from lorekeep.operators import search as S
-from lorekeep.plans.fixtures import KB_PAGES, kb_pages, table
+from lorekeep.plans.fixtures import KB_PAGES, kb_pages, subclasses, table
+from lorekeep.plans.graphs import CLOSURE
 from lorekeep.plans.registry import query
 
 
@@ -76,50 +80,65 @@ VERSION = "p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3"
 
 @query(f"""WITH i AS (SELECT p_partkey AS item_id, lower(p_brand) AS name, {VERSION} AS version, [p_size, (p_partkey % 7)::INTEGER, (p_partkey % 3)::INTEGER] AS v FROM part),
 d AS (SELECT DISTINCT lower(p_brand) AS name, {VERSION} AS version FROM part WHERE p_partkey % 40 = 0),
-a AS (SELECT DISTINCT lower(p_brand) AS name, p_size AS low, p_size + 5 AS high, CASE WHEN p_partkey % 2 = 0 THEN '2020-01-01' ELSE '' END AS expires FROM part WHERE p_partkey % 25 = 1),
-m AS (SELECT item_id, min((expires <> '' AND expires < '2024-01-01')::INT) AS expired FROM i JOIN a ON a.name = i.name AND v >= [low] AND v <= [high] GROUP BY 1)
-SELECT item_id, CASE WHEN d.name IS NOT NULL THEN 'denied' WHEN expired = 0 THEN 'allowed' WHEN expired = 1 THEN 'expired' ELSE 'unknown' END AS verdict FROM i LEFT JOIN d USING (name, version) LEFT JOIN m USING (item_id)""")
+a AS (SELECT p_partkey AS pos, lower(p_brand) AS name, CASE WHEN p_partkey % 2 = 0 THEN {VERSION} ELSE '' END AS listed, CASE WHEN p_partkey % 2 = 1 THEN p_size END AS low, p_size + 5 AS high, CASE WHEN p_partkey % 3 = 0 THEN '2020-01-01' ELSE '' END AS expires FROM part WHERE p_partkey % 25 < 2),
+m AS (SELECT item_id, pos, expires <> '' AND expires < '2024-01-01' AS old, listed, version, CASE WHEN listed = version THEN 0 WHEN low IS NOT NULL AND v >= [low] AND v <= [high] THEN 1 END AS step FROM i JOIN a ON a.name = i.name),
+b AS (SELECT item_id, arg_min(old, step * 1000000 + pos) FILTER (step IS NOT NULL) AS old, min(step) AS step, array_to_string(list(listed ORDER BY pos) FILTER (listed <> version)[1:5], ',') AS near FROM m GROUP BY 1)
+SELECT item_id, CASE WHEN d.name IS NOT NULL THEN 'denied' WHEN old THEN 'expired' WHEN step IS NOT NULL THEN 'allowed' ELSE 'unknown' END AS verdict, CASE WHEN d.name IS NOT NULL THEN 'deny' WHEN step = 0 THEN 'exact' WHEN step = 1 THEN 'range' ELSE '' END AS match, coalesce(near, '') AS near_misses
+FROM i LEFT JOIN d USING (name, version) LEFT JOIN b USING (item_id)""")
 def j11_catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("version", F.concat_ws(".", "p_size", F.col("p_partkey") % 7, F.col("p_partkey") % 3))
-    items = p.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("software"), "version")
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").withColumn("version", F.concat_ws(".", "p_size", k % 7, k % 3))
+    items = p.select(k.alias("item_id"), F.col("p_brand").alias("software"), "version")
     deny = p.where("p_partkey % 40 = 0").select(F.col("p_brand").alias("software"), "version")
-    allow = p.where("p_partkey % 25 = 1").select(F.col("p_brand").alias("software"), F.col("p_size").cast("string").alias("low"), (F.col("p_size") + 5).cast("string").alias("high"),
-        F.when(F.col("p_partkey") % 2 == 0, "2020-01-01").otherwise("").alias("expires_at"))
+    allow = p.where("p_partkey % 25 < 2").select(k.alias("pos"), F.col("p_brand").alias("software"), F.when(k % 2 == 0, F.col("version")).otherwise("").alias("version"), F.when(k % 2 == 1, F.col("p_size").cast("string")).alias("low"),
+        F.when(k % 2 == 1, (F.col("p_size") + 5).cast("string")).alias("high"), F.when(k % 3 == 0, "2020-01-01").otherwise("").alias("expires_at"))
     return S.catalog_check(items, allow, deny, "2024-01-01")
 
 
-@query("""WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part), c AS (SELECT p_partkey AS class, p_name AS label FROM part UNION ALL SELECT 100000 + p_partkey, split_part(p_name, ' ', 2) FROM part),
-s AS (SELECT term, class, CASE WHEN label = term THEN 100 WHEN contains(label, term) AND (ends_with(label, term) OR length(term) >= 0.75 * length(label)) THEN 90 - abs(length(label) - length(term)) WHEN contains(label, term) THEN 55
-  ELSE 70 - abs(length(label) - length(term)) END AS score FROM t JOIN c ON contains(label, term) OR contains(term, label))
-SELECT term, class, score::INTEGER AS score, row_number() OVER (PARTITION BY term ORDER BY score DESC, class)::INTEGER AS place FROM s QUALIFY place <= 3""")
+@query(rf"""WITH RECURSIVE {CLOSURE}, t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part UNION SELECT p_name FROM part UNION SELECT 'thing ' || p_partkey % 50 FROM part),
+c AS (SELECT p_partkey AS class, 'm' || p_size || ':' || split_part(p_name, ' ', 1) || 'Thing' || p_partkey % 50 AS name, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE split_part(p_name, ' ', 2) END AS label FROM part),
+k AS (SELECT term, regexp_replace(lower(term), '[\s[:punct:]]+', '', 'g') AS key FROM t), l AS (SELECT class, name, regexp_replace(lower(label), '[\s[:punct:]]+', '', 'g') AS label, regexp_replace(lower(split_part(name, ':', -1)), '[\s[:punct:]]+', '', 'g') AS local, regexp_replace(lower(name), '[\s[:punct:]]+', '', 'g') AS whole FROM c),
+s AS (SELECT term, class, name, key IN (label, local, whole) AS same, contains(label, key) AS within, ends_with(label, key) OR length(key) * 4 >= length(label) * 3 AS firm, contains(key, label) AND label <> '' AS around, contains(local, key) AS loc, least(abs(length(label) - length(key)), 20) AS gap FROM k, l WHERE length(key) >= 2),
+r AS (SELECT term, class, name, CASE WHEN same THEN 100 WHEN within AND firm THEN 90 - gap WHEN within THEN 55 WHEN around THEN 70 - gap WHEN loc THEN 60 END AS score, same OR NOT within OR firm AS strong FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, name) AS place FROM r WHERE score IS NOT NULL QUALIFY place <= 3),
+f AS (SELECT term, list(class ORDER BY place) AS cs, list(score ORDER BY place) AS ss FROM p WHERE strong GROUP BY 1 HAVING count(*) > 1),
+x AS (SELECT term FROM f WHERE ss[1] - ss[2] < 10 AND NOT EXISTS (SELECT 1 FROM closure WHERE (node = cs[1] AND ancestor = cs[2]) OR (node = cs[2] AND ancestor = cs[1])))
+SELECT term, class, score::INTEGER AS score, strong, place::INTEGER AS place, term IN (SELECT term FROM x) AS ambiguous FROM p""")
 def j16_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    word = F.element_at(F.split("p_name", " "), 2)
-    classes = p.select(F.col("p_partkey").alias("class"), F.col("p_name").alias("label"))
-    classes = classes.unionByName(p.select((F.col("p_partkey") + 100000).alias("class"), word.alias("label")))
-    return S.class_candidates(p.select(word.alias("term")).distinct(), classes)
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    word = lambda n: F.element_at(F.split("p_name", " "), n)
+    name = F.concat(F.lit("m"), F.col("p_size"), F.lit(":"), word(1), F.lit("Thing"), k % 50)
+    classes = p.select(k.alias("class"), name.alias("name"), F.when(k % 3 == 0, F.col("p_name")).otherwise(word(2)).alias("label"))
+    terms = p.select(word(2).alias("term")).union(p.select("p_name")).union(p.select(F.concat(F.lit("thing "), k % 50)))
+    return S.class_candidates(terms, classes, G.ancestors(subclasses(spark, sf_dir)))
 
 
-@query(f"""WITH {KB_PAGES}, q AS (SELECT slug AS query FROM kb_pages WHERE page_id % 10 = 0 UNION SELECT page_id::VARCHAR FROM kb_pages WHERE page_id % 10 = 1 UNION SELECT title FROM kb_pages WHERE page_id % 10 = 2),
-k AS (SELECT slug, slug AS key, 0 AS rank FROM kb_pages UNION ALL SELECT slug, split_part(slug, '/', -1), 1 FROM kb_pages UNION ALL SELECT slug, title, 2 FROM kb_pages),
-f AS (SELECT query, slug, min(rank) AS rank FROM q JOIN k ON key = query GROUP BY ALL), b AS (SELECT *, min(rank) OVER (PARTITION BY query) AS best FROM f)
+@query(f"""WITH {KB_PAGES}, q AS (SELECT slug AS query FROM kb_pages WHERE page_id % 10 = 0 UNION SELECT page_id::VARCHAR FROM kb_pages WHERE page_id % 10 = 1 UNION SELECT title FROM kb_pages WHERE page_id % 10 = 2 UNION SELECT 'base/' || slug FROM kb_pages WHERE page_id % 10 = 3 UNION SELECT upper(substr(title, 5, 12)) FROM kb_pages WHERE page_id % 10 = 4),
+a AS (SELECT query, trim(regexp_replace(trim(query), '^["'']+|["'']+$', '', 'g')) AS q FROM q), m AS (SELECT query, q, slug, title FROM a JOIN kb_pages ON contains(lower(slug), lower(q)) OR contains(lower(title), lower(q)) OR slug = regexp_replace(q, '^[^/]*/', '') WHERE q <> ''),
+f AS (SELECT query, slug, min(CASE WHEN slug = q THEN 0 WHEN regexp_replace(slug, '^[^/]*/', '') = q OR ends_with(slug, '/' || q) THEN 1 WHEN trim(title) = q THEN 2 ELSE 3 END) AS rank FROM m GROUP BY ALL), b AS (SELECT *, min(rank) OVER (PARTITION BY query) AS best FROM f)
 SELECT query, slug, rank, count(*) OVER (PARTITION BY query) > 1 AND rank >= 2 AS ambiguous FROM b WHERE rank = best""")
 def j19_lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = kb_pages(spark, sf_dir)
-    q = p.where("page_id % 10 = 0").select(F.col("slug").alias("query")).union(p.where("page_id % 10 = 1").select(F.col("page_id").cast("string"))).union(p.where("page_id % 10 = 2").select("title"))
-    return S.lookup_page(q.distinct(), p)
-
-
-@query(r"""WITH d AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 9 THEN 'Supplier same' ELSE s_name END AS name FROM supplier), r AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN upper(s_name) WHEN 2 THEN 'SUPPLIER_same' ELSE 'none ' || s_suppkey END AS raw FROM supplier),
-h AS (SELECT raw, 0 AS rank, id FROM r JOIN d ON id = raw UNION SELECT raw, 1, id FROM r JOIN d ON regexp_replace(lower(name), '[\s_#-]+', '', 'g') = regexp_replace(lower(raw), '[\s_#-]+', '', 'g')),
-g AS (SELECT raw, rank, list_sort(list(DISTINCT id)) AS ids FROM h GROUP BY raw, rank), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY raw ORDER BY rank) = 1)
-SELECT raw, CASE WHEN len(ids) = 1 THEN ids[1] END AS id, CASE WHEN ids IS NULL THEN 'none' WHEN len(ids) > 1 THEN 'ambiguous' WHEN rank = 0 THEN 'exact' ELSE 'fuzzy' END AS mode, coalesce(len(ids), 0)::INTEGER AS candidates FROM r LEFT JOIN b USING (raw)""")
+    kinds = {0: F.col("slug"), 1: F.col("page_id").cast("string"), 2: F.col("title"), 3: F.concat(F.lit("base/"), "slug"), 4: F.upper(F.substring("title", 5, 12))}
+    asked = [p.where(F.col("page_id") % 10 == n).select(c.alias("query")) for n, c in kinds.items()]
+    return S.lookup_page(reduce(DataFrame.unionByName, asked).distinct(), p)
+
+
+@query(r"""WITH d AS (SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, CASE WHEN s_suppkey % 10 = 9 THEN 'Supplier same' ELSE s_name END AS name, s_suppkey FROM (SELECT *, md5(s_suppkey::VARCHAR) AS h FROM supplier)),
+r AS (SELECT DISTINCT CASE s_suppkey % 7 WHEN 0 THEN upper(id) WHEN 1 THEN id[1:4 + s_suppkey % 5] WHEN 2 THEN ' ' || name || ' ' WHEN 3 THEN 'Suppliersame' WHEN 4 THEN 'none ' || s_suppkey WHEN 5 THEN 'the ' || name || ' of old' ELSE name[3:] END AS raw FROM d), k AS (SELECT raw, trim(raw) AS key, regexp_replace(trim(raw), '\s+', '', 'g') AS want FROM r),
+n AS (SELECT *, regexp_replace(name, '\s+', '', 'g') AS norm FROM d),
+h AS (SELECT raw, 0 AS rank, id FROM k JOIN n ON id = lower(key) WHERE regexp_full_match(key, '[0-9a-fA-F-]{36}') UNION SELECT raw, 1, id FROM k JOIN n ON starts_with(id, lower(key)) WHERE regexp_full_match(key, '[0-9a-fA-F-]{4,35}')
+  UNION SELECT raw, 2, id FROM k JOIN n ON want = norm WHERE NOT regexp_full_match(key, '[0-9a-fA-F-]{36}') UNION SELECT raw, 3, id FROM k JOIN n ON contains(want, norm) OR contains(norm, want) WHERE NOT regexp_full_match(key, '[0-9a-fA-F-]{36}')),
+g AS (SELECT raw, rank, count(*) AS n, min(id) AS id FROM h GROUP BY raw, rank), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY raw ORDER BY rank) = 1)
+SELECT raw, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' WHEN rank IN (0, 2) THEN 'exact' ELSE 'fuzzy' END AS mode, coalesce(n, 0) AS candidates FROM r LEFT JOIN b USING (raw)""")
 def j23_resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")
-    dim = s.select(F.concat(F.lit("s"), key).alias("id"), F.when(key % 10 == 9, "Supplier same").otherwise(F.col("s_name")).alias("name"))
-    raw = F.when(key % 4 == 0, F.concat(F.lit("s"), key)).when(key % 4 == 1, F.upper("s_name")).when(key % 4 == 2, "SUPPLIER_same").otherwise(F.concat(F.lit("none "), key))
-    return S.resolve_names(s.select(raw.alias("raw")), dim)
+    h = F.md5(key.cast("string").cast("binary"))
+    ids = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    dim = table(spark, sf_dir, "supplier").select("s_suppkey", ids.alias("id"), F.when(key % 10 == 9, "Supplier same").otherwise(F.col("s_name")).alias("name"))
+    name = F.col("name")
+    forms = [F.upper("id"), F.substring(F.col("id"), F.lit(1), (4 + key % 5).cast("int")), F.concat(F.lit(" "), name, F.lit(" ")), F.lit("Suppliersame"), F.concat(F.lit("none "), key), F.concat(F.lit("the "), name, F.lit(" of old")), F.substring("name", 3, 1000)]
+    return S.resolve_names(dim.select(F.get(F.array(*forms), (key % 7).cast("int")).alias("raw")), dim.select("id", "name"))
 
 
 @query(rf"""WITH {KB_PAGES}, k AS (SELECT kb_id, page_id, 'L1' AS level, lower(regexp_replace(split_part(slug, '/', 1) || page_id // 3, '\s+', '', 'g')) AS key FROM kb_pages
