@@ -56,13 +56,16 @@ def top_ancestor(subclasses: DataFrame, closure: DataFrame) -> DataFrame:
     return tops.groupBy("node").agg(F.min(F.struct("distance", "ancestor")).alias("best")).select("node", F.col("best.ancestor").alias("top"))
 
 
-def common_ancestor(groups: DataFrame, closure: DataFrame) -> DataFrame:
-    """grp, common: the class all members (grp, node, first) descend from that is nearest to the first one."""
+def common_ancestor(groups: DataFrame, chains: DataFrame) -> DataFrame:
+    """grp, common: the class on the chains of all members (grp, node, first) that is nearest to the first one.
+
+    ``chains`` is the closure over first parents, a chain for each class; a group of one member has none.
+    """
     size = groups.groupBy("grp").agg(F.count_distinct("node").alias("members"))
-    reach = groups.join(closure, "node").groupBy("grp", "ancestor").agg(
+    reach = groups.join(chains, "node").groupBy("grp", "ancestor").agg(
         F.count_distinct("node").alias("n"), F.min(F.when(F.col("first"), F.col("distance"))).alias("near")
     )
-    shared = reach.join(size, "grp").where("n = members")
+    shared = reach.join(size, "grp").where("n = members and members > 1")
     return shared.groupBy("grp").agg(F.min(F.struct("near", "ancestor")).alias("best")).select("grp", F.col("best.ancestor").alias("common"))
 
 
@@ -105,18 +108,32 @@ def schema_paths(props: DataFrame, start: str, end: str, hops: int, limit: int)
     return first.withColumn("n", place).withColumn("truncated", more).where(F.col("n") <= limit).drop("n")
 
 
-def hierarchy_cycles(subclasses: DataFrame, longest: int = 8) -> DataFrame:
-    """cycle (sorted members), length: each cycle of parents once, as a set of nodes, up to ``longest`` nodes."""
+def cyclic_core(step: DataFrame) -> DataFrame:
+    """The edges (child, parent) that lie between nodes which can be left and reached again and again; the rest is peeled off."""
+    left = step.count()
+    while left:
+        step = step.join(step.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        step = settled(step.join(step.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"), "core")
+        before, left = left, step.count()
+        if left == before:
+            break
+    return step
+
+
+def hierarchy_cycles(subclasses: DataFrame) -> DataFrame:
+    """cycle (sorted members), length: each cycle of parents once, as a set of nodes, of any length.
+
+    What no cycle can pass is peeled off first; then paths grow until none is left open.  A path starts at its least
+    node, so that each cycle is walked once.
+    """
     step = settled(subclasses.select("child", "parent").distinct(), "steps")
     loops = step.where("child = parent").select(F.array("child").alias("cycle"))
-    paths = step.where("child != parent").select(F.col("child").alias("start"), F.array("child", "parent").alias("path"))
-    for _ in range(2, longest + 1):
-        # a cycle is walked from its least node alone
-        paths = paths.where(F.element_at("path", -1) >= F.col("start"))
-        grown = paths.join(step, F.element_at("path", -1) == F.col("child"))
-        closed = grown.where("parent = start").select(F.array_sort("path").alias("cycle"))
-        loops = loops.unionByName(closed)
-        paths = settled(grown.where(~F.array_contains("path", F.col("parent"))).select("start", F.concat("path", F.array("parent")).alias("path")), "cycle-paths")
+    step = cyclic_core(step.where("child != parent"))
+    paths = step.where("parent > child").select(F.col("child").alias("start"), F.array("child", "parent").alias("path"))
+    while not paths.isEmpty():
+        grown = settled(paths.join(step, F.element_at("path", -1) == F.col("child")).where("parent >= start"), "cycle-paths")
+        loops = loops.unionByName(grown.where("parent = start").select(F.array_sort("path").alias("cycle")))
+        paths = grown.where(~F.array_contains("path", F.col("parent"))).select("start", F.concat("path", F.array("parent")).alias("path"))
     return loops.distinct().withColumn("length", F.size("cycle"))
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.graphs import MOST_ROUNDS, settled
+from lorekeep.operators.search import gram_codes, jaccard_pairs
+
 
 def sessionize(calls: DataFrame, gap: int = 90) -> DataFrame:
     """Adds ``part``: a user's calls (user, ts, label, call_id) split where the gap exceeds ``gap`` seconds.
@@ -91,57 +95,80 @@ def carry_heading(lines: DataFrame) -> DataFrame:
     return lines.withColumn("section", F.when(tabular(last), plain).otherwise(last))
 
 
-def pack_budget(units: DataFrame, budget: int) -> DataFrame:
-    """doc, place, batch: consecutive units (doc, place, tokens) packed greedily; a batch closes before it would
-    exceed the budget.  The fold needs the running state, so it is done per document over its sorted units."""
+#: Characters a token stands for: a fixed value.
+CHARS_PER_TOKEN = 1.6
+
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        batch, used, out = 0, 0, []
-        for tokens in frame["tokens"]:
-            if used and used + tokens > budget:
-                batch, used = batch + 1, 0
-            used += tokens
-            out.append(batch)
-        return pd.DataFrame({"doc": frame["doc"], "place": frame["place"], "batch": out})
+def split_oversized(units: DataFrame, children: DataFrame, budget: int) -> DataFrame:
+    """doc, unit, place, chars of units (doc, unit, place, chars, tokens, head) to be packed: one of more tokens than the
+    budget is replaced by its children (unit, child, child_place, chars), of which the first also carries its head."""
+    kids = children.select("unit", "child", "child_place", F.col("chars").alias("child_chars"))
+    over = units.where(F.col("tokens") > budget).join(kids, "unit")
+    first = F.col("child_place") == F.min("child_place").over(Window.partitionBy("unit"))
+    parts = over.withColumn("first", first).select("doc", F.col("child").alias("unit"), F.struct("place", F.col("child_place").alias("part")).alias("place"), (F.col("child_chars") + F.when(F.col("first"), F.col("head")).otherwise(0)).alias("chars"))
+    rest = units.join(over.select("unit").distinct(), "unit", "left_anti")
+    return rest.select("doc", "unit", F.struct("place", F.lit(0).cast(children.schema["child_place"].dataType).alias("part")).alias("place"), "chars").unionByName(parts)
 
-    return units.groupBy("doc").applyInPandas(pack, "doc long, place long, batch long")
 
+def pack_budget(units: DataFrame, budget: int) -> DataFrame:
+    """doc, unit, batch: consecutive units (doc, unit, place, chars) packed greedily; a batch closes before it would
+    exceed the budget of tokens.  The fold needs the running state, so it runs over each document's sorted units."""
+    listed = units.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "unit", "chars"))).alias("units"))
+    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc: Column, unit: Column) -> Column:
+        chars = unit["chars"].cast("long")
+        full = (F.size(acc["out"]) > 0) & (F.element_at(acc["out"], -1) == acc["batch"]) & ((acc["used"] + chars) / CHARS_PER_TOKEN > budget)
+        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
+        return F.struct(batch.alias("batch"), F.when(full, chars).otherwise(acc["used"] + chars).alias("used"), F.concat(acc["out"], F.array(batch)).alias("out"))
 
-def bigrams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 2] for i in range(len(text) - 1)) or frozenset([text])
+    packed = listed.select("doc", "units", F.aggregate("units", start, add, lambda acc: acc["out"]).alias("batches"))
+    return packed.select("doc", F.explode(F.arrays_zip(F.transform("units", lambda u: u["unit"]).alias("unit"), F.col("batches").alias("batch"))).alias("z")).select("doc", "z.unit", "z.batch")
 
 
 def group_questions(rows: DataFrame, threshold: float = 0.62) -> DataFrame:
-    """row_id, question_group: leader clustering in time order inside each block (block, row_id, qid, core, ts).
+    """row_id, question_group: leader clustering in order of time over rows (row_id, qid, core, ts).
 
-    Equal qids share a group; else the best bigram Jaccard against a group's first question at or above the
-    threshold; an empty core is ``G0``.  Groups do not cross blocks.
+    Equal qids share the group of their first row.  A row joins the group whose first question has the best bigram
+    Jaccard at or above the threshold (the earliest of equals), else opens one, named by its row_id; a row without a
+    core is ``G0``.  Instead of row after row, leaders are found in rounds: a core leads if no core alike that comes
+    before it leads, so what has no undecided core alike before it is decided.
     """
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        by_qid: dict[str, str] = {}
-        leaders: list[tuple[str, frozenset[str]]] = []
-        out = []
-        for row in frame.sort_values(["ts", "row_id"]).itertuples(index=False):
-            name = by_qid.get(row.qid) if row.qid else None
-            if name is None:
-                name = "G0" if not row.core else None
-            if name is None:
-                own = bigrams(row.core)
-                scored = [(len(own & g) / len(own | g), -i) for i, (_, g) in enumerate(leaders)]
-                best = max(scored, default=(0.0, 0))
-                if best[0] >= threshold:
-                    name = leaders[-best[1]][0]
-                else:
-                    name = f"G{len(leaders) + 1}"
-                    leaders.append((name, own))
-                if row.qid:
-                    by_qid[row.qid] = name
-            out.append((row.block, row.row_id, name))
-        return pd.DataFrame(out, columns=["block", "row_id", "question_group"])
-
-    return rows.groupBy("block").applyInPandas(cluster, "block string, row_id long, question_group string")
+    order = F.struct("ts", "row_id")
+    asked = rows.select("row_id", F.coalesce("qid", F.lit("")).alias("qid"), F.coalesce("core", F.lit("")).alias("core"), "ts")
+    firsts = asked.where("qid != '' and core != ''").groupBy("qid").agg(F.min(order).alias("first")).select("qid", F.col("first.row_id").alias("first_row"))
+    asked = asked.join(firsts, "qid", "left")
+    alone = asked.where("core != '' and (qid = '' or first_row = row_id)")
+    cores = settled(alone.groupBy("core").agg(F.min(order).alias("at")).withColumn("id", F.col("at.row_id")), "cores")
+    sets = cores.select("id", F.lit(0).alias("kind"), gram_codes(F.col("core"), 2).alias("grams")).withColumn("n", F.size("grams"))
+    pairs = jaccard_pairs(settled(sets, "core-sets"), threshold).select("id", "id_b", "score")
+    at = cores.select("id", "at")
+    pairs = pairs.join(at, "id").join(at.select(F.col("id").alias("id_b"), F.col("at").alias("at_b")), "id_b")
+    ahead = F.col("at") < F.col("at_b")
+    alike = pairs.select(F.when(ahead, F.col("id")).otherwise(F.col("id_b")).alias("early"), F.when(ahead, F.col("id_b")).otherwise(F.col("id")).alias("late"), "score")
+    alike = settled(alike, "alike")
+    leaders, open_pairs, undecided = [], alike.select("early", "late"), cores.select("id")
+    for _ in range(MOST_ROUNDS):
+        lead = settled(undecided.join(open_pairs.select(F.col("late").alias("id")), "id", "left_anti"), "leaders")
+        leaders.append(lead)
+        follow = alike.join(lead.select(F.col("id").alias("early")), "early", "left_semi").select(F.col("late").alias("id"))
+        undecided = settled(undecided.join(lead, "id", "left_anti").join(follow, "id", "left_anti"), "undecided")
+        if undecided.isEmpty():
+            break
+        both = [undecided.select(F.col("id").alias(c)) for c in ("early", "late")]
+        open_pairs = alike.select("early", "late").join(both[0], "early", "left_semi").join(both[1], "late", "left_semi")
+    else:
+        raise ValueError("the groups did not settle")
+    lead = reduce(DataFrame.unionByName, leaders).join(at, "id")
+    near = alike.select(F.col("early").alias("id"), F.col("late").alias("own"), "score").unionByName(alike.select(F.col("late").alias("id"), F.col("early").alias("own"), "score"))
+    near = near.unionByName(cores.select("id", F.col("id").alias("own"), F.lit(1.0).alias("score"))).join(lead, "id")
+    choices = near.join(cores.select(F.col("id").alias("own"), "core"), "own").select("core", "score", F.col("at").alias("lead"))
+    joined = alone.select("row_id", "core", order.alias("at")).join(choices, "core").where(F.col("lead") <= F.col("at"))
+    best = joined.groupBy("row_id").agg(F.min(F.struct(-F.col("score"), "lead")).alias("best"))
+    named = best.select(F.col("row_id").alias("leads"), F.concat(F.lit("G"), F.col("best.lead.row_id")).alias("name"))
+    leads = F.when(F.col("core") != "", F.coalesce("first_row", "row_id"))
+    out = asked.select("row_id", leads.alias("leads")).join(named, "leads", "left")
+    return out.select("row_id", F.coalesce("name", F.lit("G0")).alias("question_group"))
 
 
 def mentions(texts: DataFrame, names: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as T
 from lorekeep.operators import windows as W
 from lorekeep.plans.fixtures import CALLS, calls, table
 from lorekeep.plans.registry import query
@@ -67,12 +68,12 @@ def w7_first_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.first_action(c, ["view", "click"]).withColumn("ts", F.unix_micros("ts"))
 
 
-@query(f"""WITH {CALLS}, l AS (SELECT call_id AS left_id, session AS key, ts FROM calls WHERE call_id % 2 = 0), r AS (SELECT call_id AS right_id, session AS key, ts FROM calls WHERE call_id % 6 = 1),
+@query(f"""WITH {CALLS}, l AS (SELECT call_id AS left_id, session AS key, ts FROM calls WHERE call_id % 2 = 0), r AS (SELECT call_id AS right_id, session AS key, ts FROM calls WHERE call_id % 2 = 1),
 f AS (SELECT key, arg_min(right_id, ts) AS right_id FROM r GROUP BY key)
 SELECT left_id, coalesce(r.right_id, f.right_id) AS right_id FROM l ASOF LEFT JOIN r ON l.key = r.key AND l.ts >= r.ts LEFT JOIN f ON f.key = l.key""")
 def j10_asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _stamped(spark, sf_dir).withColumnRenamed("session", "key")
-    return W.asof_backward(c.where("call_id % 2 = 0").withColumnRenamed("call_id", "left_id"), c.where("call_id % 6 = 1").withColumnRenamed("call_id", "right_id"))
+    return W.asof_backward(c.where("call_id % 2 = 0").withColumnRenamed("call_id", "left_id"), c.where("call_id % 2 = 1").withColumnRenamed("call_id", "right_id"))
 
 
 @query(f"""WITH {CALLS}, t AS (SELECT session, call_id AS turn, 'a' || call_id % 400 // 200 AS agent, CASE WHEN call_id % 3 > 0 THEN 'r' || call_id % 900 // 450 END AS role, CASE WHEN call_id % 5 = 0 THEN 'd' || qid % 2 END AS document, tool AS intent FROM calls),
@@ -87,20 +88,25 @@ def w10_session_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.session_parts(t).select("session", "turn", "reason", "part")
 
 
-@query(f"""WITH RECURSIVE {LINES}, u AS (SELECT doc, place, length(text) AS tokens FROM lines),
-f AS (SELECT doc, place, 0::BIGINT AS batch, tokens AS used FROM u WHERE place = 0
-  UNION ALL SELECT u.doc, u.place, CASE WHEN f.used > 0 AND f.used + u.tokens > 300 THEN f.batch + 1 ELSE f.batch END,
-    CASE WHEN f.used > 0 AND f.used + u.tokens > 300 THEN u.tokens ELSE f.used + u.tokens END FROM f JOIN u ON u.doc = f.doc AND u.place = f.place + 1)
-SELECT doc, place, batch FROM f""")
+@query(f"""WITH RECURSIVE {LINES}, g AS (SELECT doc, place // 4 AS k, min(place) AS place, sum(length(text))::BIGINT AS chars FROM lines GROUP BY ALL), o AS (SELECT *, floor(chars / 1.6) + 1 > 300 AS over FROM g),
+x AS (SELECT doc, doc * 100000 + k AS unit, k AS a, 0 AS b, chars FROM o WHERE NOT over UNION ALL SELECT l.doc, -(l.doc * 100000 + l.place), k, l.place, length(text) + CASE WHEN l.place = o.place THEN 20 ELSE 0 END FROM o JOIN lines l ON l.doc = o.doc AND l.place // 4 = k WHERE over),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY a, b) AS n FROM x),
+f AS (SELECT doc, unit, n, 0::BIGINT AS batch, chars AS used FROM u WHERE n = 1
+  UNION ALL SELECT u.doc, u.unit, u.n, CASE WHEN (f.used + u.chars) / 1.6 > 300 THEN f.batch + 1 ELSE f.batch END, CASE WHEN (f.used + u.chars) / 1.6 > 300 THEN u.chars ELSE f.used + u.chars END FROM f JOIN u ON u.doc = f.doc AND u.n = f.n + 1)
+SELECT doc, unit, batch FROM f""")
 def w11_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.pack_budget(_lines(spark, sf_dir).select("doc", "place", F.length("text").alias("tokens")), 300)
+    lines = _lines(spark, sf_dir).select("doc", "place", F.length("text").alias("chars")).withColumn("k", F.floor(F.col("place") / 4))
+    unit = F.col("doc") * 100000 + F.col("k")
+    units = lines.groupBy("doc", "k").agg(F.sum("chars").alias("chars")).select("doc", unit.alias("unit"), F.col("k").alias("place"), "chars", (F.floor(F.col("chars") / 1.6) + 1).alias("tokens"), F.lit(20).cast("long").alias("head"))
+    children = lines.select(unit.alias("unit"), (-(F.col("doc") * 100000 + F.col("place"))).alias("child"), F.col("place").alias("child_place"), F.col("chars").cast("long").alias("chars"))
+    return W.pack_budget(W.split_oversized(units, children, 300), 300)
 
 
 @query()
 def w12_group_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").where("role = 'user'")
-    rows = t.select((F.col("conv_id") % 8).cast("string").alias("block"), (F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
-        F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("q"), F.col("turn"))).otherwise("").alias("qid"), F.substring(F.lower("text"), 1, 80).alias("core"), F.col("turn").alias("ts"))
+    qid = F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("q"), F.col("conv_id") % 90, F.lit("."), "turn")).otherwise("")
+    rows = t.select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"), qid.alias("qid"), T.question_key(F.col("text")).alias("core"), F.col("turn").alias("ts"))
     return W.group_questions(rows)
 
 
