@@ -141,24 +141,66 @@ def three_way_drift(meta: DataFrame, graph: DataFrame, body: DataFrame) -> DataF
     return both.groupBy("slug", "key").agg(F.min_by("value", "carrier").alias("value"), (F.count_distinct("value") > 1).alias("drift"))
 
 
+#: Fixed values of the context scan: weights of the signals, bounds of the verdicts, and of exact agreement.
+SIGNALS = {"definition": 0.45, "relations": 0.25, "type": 0.15, "title": 0.15}
+EQUIVALENT, DISTINCT, EXACT = 0.90, 0.55, 0.99
+SAME_DEFINITION, SAME_RELATIONS = 0.95, 0.80
+
+
+def mean_cosine(rows: DataFrame, text: str) -> DataFrame:
+    """grp, definition: the mean cosine of 3-gram counts over all pairs of a group's rows (grp, page_id).
+
+    Of unit vectors the sum over all pairs is half of what the squared norm of their sum has beyond their own, so
+    the grams are added up per group and no pairs are made.  An empty text has no direction and counts as 0.
+    """
+    grams = rows.select("grp", "page_id", F.explode(T.grams(F.col(text), 3)).alias("gram")).groupBy("grp", "page_id", "gram").agg(F.count("*").alias("n"))
+    norms = grams.groupBy("grp", "page_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    unit = grams.join(norms, ["grp", "page_id"]).withColumn("u", F.col("n") / F.col("norm"))
+    sums = unit.groupBy("grp", "gram").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("own"))
+    total = sums.groupBy("grp").agg((F.sum(F.col("s") * F.col("s") - F.col("own")) / 2).alias("total"))
+    pairs = rows.groupBy("grp").agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
+    mean = F.when(F.col("pairs") > 0, F.coalesce("total", F.lit(0.0)) / F.col("pairs")).otherwise(0.0)
+    return pairs.join(total, "grp", "left").select("grp", mean.alias("definition"))
+
+
+def mean_jaccard(rows: DataFrame, sets: str) -> DataFrame:
+    """grp, relations: the mean Jaccard of the sets over all pairs of a group's rows; two empty sets count as 1.
+
+    Equal sets are counted together, and different ones meet only where they share an element: all others give 0.
+    """
+    kinds = rows.groupBy("grp", F.array_sort(F.array_distinct(sets)).alias("set")).agg(F.count("*").cast("double").alias("m"))
+    kinds = kinds.withColumn("kind", F.xxhash64("set"))
+    same = kinds.groupBy("grp").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"), F.sum("m").alias("n"))
+    posted = kinds.select("grp", "kind", "m", F.size("set").alias("size"), F.explode("set").alias("x"))
+    other = posted.select("grp", "x", F.col("kind").alias("kind_b"), F.col("m").alias("m_b"), F.col("size").alias("size_b"))
+    met = posted.join(other, ["grp", "x"]).where("kind < kind_b").groupBy("grp", "kind", "kind_b", "m", "m_b", "size", "size_b").agg(F.count("*").alias("both"))
+    apart = met.groupBy("grp").agg(F.sum(F.col("m") * F.col("m_b") * F.col("both") / (F.col("size") + F.col("size_b") - F.col("both"))).alias("apart"))
+    total = F.col("same") + F.coalesce("apart", F.lit(0.0))
+    return same.join(apart, "grp", "left").select("grp", F.when(F.col("n") > 1, total / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(1.0).alias("relations"))
+
+
 def context_scan(pages: DataFrame, groups: DataFrame) -> DataFrame:
-    """grp, kbs, members, score, verdict, confidence of groups over two bases or more (groups: page_id, grp).
+    """grp, kbs, members, the four signals, score, verdict, confidence, auto of groups over two bases or more.
 
-    Signals: one title, one type, the mean pair cosine of the definitions' 3-gram counts.  Distinct verdicts report
-    one minus the score.  Pairs are made with a group's least page, not among all its members.
+    pages: page_id, kb_id, title, page_type, summary, relations (array); groups: page_id, grp.  Signals: one title,
+    one type, the mean pair cosine of the definitions' 3-gram counts and the mean pair Jaccard of the relations.
+    Exact agreement is equivalent with .99; distinct verdicts report one minus the score; ``auto`` starts at .95.
     """
     rows = pages.join(groups, "page_id")
+    title, kind = F.nullif(T.norm_title(F.col("title")), F.lit("")), F.nullif(F.col("page_type"), F.lit(""))
     spread = rows.groupBy("grp").agg(
-        F.count_distinct("kb_id").alias("kbs"), F.count("*").alias("members"), F.min("page_id").alias("lead"),
-        (F.count_distinct(T.norm_title(F.col("title"))) == 1).cast("double").alias("title"), (F.count_distinct("page_type") == 1).cast("double").alias("type"),
+        F.count_distinct("kb_id").alias("kbs"), F.count("*").alias("members"),
+        (F.count_distinct(title) == 1).alias("title"), (F.count_distinct(kind) == 1).alias("type"),
     ).where("kbs > 1")
-    lead = spread.select("grp", "lead").join(rows.select("grp", F.col("page_id").alias("lead"), F.col("summary").alias("lead_text")), ["grp", "lead"])
-    alike = rows.join(lead, "grp").where("page_id != lead").select("grp", T.count_cosine(T.grams(F.col("summary"), 3), T.grams(F.col("lead_text"), 3)).alias("cosine"))
-    mean = alike.groupBy("grp").agg(F.avg("cosine").alias("definition"))
-    joined = spread.join(mean, "grp")
-    score = F.round(0.5 * F.col("title") + 0.25 * F.col("type") + 0.25 * F.col("definition"), 6)
-    verdict = F.when(score >= 0.9, "equivalent").when(score <= 0.55, "distinct").otherwise("unknown")
-    return joined.select("grp", "kbs", "members", score.alias("score"), verdict.alias("verdict"), F.when(score <= 0.55, F.round(1 - score, 6)).otherwise(score).alias("confidence"))
+    rows = rows.join(spread.select("grp"), "grp", "left_semi")
+    joined = spread.join(mean_cosine(rows, "summary"), "grp").join(mean_jaccard(rows, "relations"), "grp")
+    joined = joined.withColumns({c: F.round(c, 4) for c in ("definition", "relations")})
+    exact = F.col("title") & F.col("type") & (F.col("definition") >= SAME_DEFINITION) & (F.col("relations") >= SAME_RELATIONS)
+    score = F.round(sum((F.col(c).cast("double") * w for c, w in SIGNALS.items()), F.lit(0.0)), 4)
+    joined = joined.withColumn("score", F.when(exact, EXACT).otherwise(score))
+    verdict = F.when(F.col("score") >= EQUIVALENT, "equivalent").when(F.col("score") <= DISTINCT, "distinct").otherwise("unknown")
+    joined = joined.withColumn("verdict", verdict).withColumn("confidence", F.when(F.col("verdict") == "distinct", F.round(1 - F.col("score"), 4)).otherwise(F.col("score")))
+    return joined.withColumn("auto", (F.col("verdict") != "unknown") & (F.col("confidence") >= 0.95))
 
 
 def order_candidates(found: DataFrame) -> DataFrame:
@@ -174,14 +216,40 @@ def natural_order(rows: DataFrame, name: str) -> DataFrame:
     return parts.withColumn("place", F.row_number().over(Window.partitionBy("stem").orderBy("number", name))).drop("number")
 
 
-def score_cases(reports: DataFrame, affirm: str, patterns: list[str], forbidden: list[str], denial: str) -> DataFrame:
-    """case_id, verdict, patterns, clean, passed: a forbidden claim counts unless a denial stands in the 18 characters before it."""
-    said = F.coalesce("text", F.lit(""))
-    verdict = said.rlike(affirm)
-    every = reduce(lambda a, b: a & b, [said.rlike(p) for p in patterns], F.lit(True))
-    claims = [said.rlike(f"(?<!({denial}).{{0,18}}){claim}") for claim in forbidden]
-    clean = ~reduce(lambda a, b: a | b, claims, F.lit(False))
-    return reports.select("case_id", verdict.alias("verdict"), every.alias("patterns"), clean.alias("clean"), (verdict & every & clean).alias("passed"))
+#: Words that deny a claim after them; fixed values.
+DENIALS = ("没有出现", "未出现", "不存在", "并非", "不是", "不能", "不得", "禁止", "避免", "不构成")
+#: Signs that turn a verdict into its opposite where they stand right before it; fixed values.
+NEGATORS = {"符合": "不未无判"}
+
+
+def affirmed(text: Column, claim: Column, denials: tuple[str, ...] = DENIALS) -> Column:
+    """Whether a claim stands anywhere without a denial before it: at most 12 characters in between, none that ends a sentence."""
+    words = "|".join(denials)
+    return (claim != "") & F.regexp_like(text, F.concat(F.lit(f"(?<!(?:{words})[^。；\\n]{{0,12}})\\Q"), claim, F.lit("\\E")))
+
+
+def score_cases(reports: DataFrame, cases: DataFrame, denials: tuple[str, ...] = DENIALS, negators: dict[str, str] | None = None) -> DataFrame:
+    """case_id, verdict, patterns, clean, unleaked, required, nonempty, passed of reports (case_id, text, steps) by their case.
+
+    cases: case_id, expected, patterns, forbidden, markers, required (arrays).  The expected verdict stands without a
+    negating sign right before it; every pattern stands in the text or the steps; no forbidden claim is affirmed; no
+    marker of the case leaks; every required term stands.  A case passes if all hold and the report is not blank.
+    """
+    joined = reports.join(cases, "case_id").withColumn("text", F.coalesce("text", F.lit("")))
+    text = F.col("text")
+    verdict = (F.coalesce("expected", F.lit("")) != "") & text.contains(F.col("expected"))
+    for value, signs in (NEGATORS if negators is None else negators).items():
+        verdict = F.when(F.col("expected") == value, text.rlike(f"(?<![{signs}])\\Q{value}\\E")).otherwise(verdict)
+    checks = {
+        "verdict": verdict,
+        "patterns": F.forall("patterns", lambda p: text.contains(p) | F.coalesce("steps", F.lit("")).contains(p)),
+        "clean": ~F.exists("forbidden", lambda c: affirmed(text, c, denials)),
+        "unleaked": ~F.exists("markers", lambda m: text.contains(m)),
+        "required": F.forall("required", lambda r: text.contains(r)),
+        "nonempty": F.trim(text) != "",
+    }
+    passed = reduce(lambda a, b: a & b, checks.values())
+    return joined.select("case_id", *[c.alias(n) for n, c in checks.items()], passed.alias("passed"))
 
 
 def purge_scan(pages: DataFrame, children: dict[str, DataFrame]) -> DataFrame:

@@ -161,3 +161,54 @@ def merge_lines(old: Column, new: Column) -> dict[str, Column]:
     """The union of two lists of lines in order, and how many were added."""
     both = F.array_distinct(F.concat(old, new))
     return {"merged": both, "added": F.size(both) - F.size(F.array_distinct(old))}
+
+
+def context_map_checks(pages: DataFrame, mappings: DataFrame, kinds: list[str], undecided: DataFrame, cached: DataFrame) -> DataFrame:
+    """Findings on how bases refer to each other's pages.
+
+    pages: kb_id, slug, hash, version, concept_kb, concept (null where a page points to none), links (array of slugs);
+    mappings: source_kb, source, target_kb, target, kind, source_hash, target_hash, source_version, target_version;
+    undecided: group, kb_id, slug of same names that were found distinct; cached: kb_id, slug, hash of a cache.
+    G2 a concept that is not named or has no page, or another one than a page of the same slug elsewhere; G3 a mapped
+    page that is gone; G4 one that changed since; G5 a distinct group without any mapping between two of its pages; G6
+    a wrong kind, a missing end, or two directions that disagree; G7 a link to a page of another base alone; G8 a
+    cached page that changed or is gone.
+    """
+    live = pages.select("kb_id", "slug", F.col("hash").alias("now"), F.col("version").alias("now_version"))
+    label = F.concat_ws(" > ", F.coalesce(F.nullif("source", F.lit("")), F.lit("?")), F.coalesce(F.nullif("target", F.lit("")), F.lit("?")))
+
+    pointing = pages.where("concept is not null").select("kb_id", "slug", "concept_kb", "concept")
+    empty = findings(pointing.where("concept = ''"), "G2", "medium", F.col("slug"), F.lit("no concept named"))
+    mounted = pointing.where("concept != ''")
+    concepts = live.select(F.col("kb_id").alias("concept_kb"), F.col("slug").alias("concept"))
+    lost = findings(mounted.where("concept_kb != ''").join(concepts, ["concept_kb", "concept"], "left_anti"), "G2", "medium", F.col("slug"), F.concat_ws("/", "concept_kb", "concept"))
+    spread = mounted.groupBy("slug").agg(F.min("concept").alias("low"), F.max("concept").alias("high")).where("low != high")
+    torn = findings(spread, "G2", "medium", F.col("slug"), F.concat_ws(" / ", "low", "high"))
+
+    wrong = findings(mappings.where(~F.col("kind").isin(*kinds)), "G6", "medium", label, F.concat(F.lit("kind "), "kind"))
+    ends = ["source_kb", "source", "target_kb", "target"]
+    named = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit("")) != "" for c in ends])
+    partial = findings(mappings.where(~named), "G6", "medium", label, F.lit("an end is missing"))
+    whole = mappings.where(named)
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_kb").alias("kb_id"), F.col(s).alias("slug"), F.col(f"{s}_hash").alias("hash"), F.col(f"{s}_version").alias("version")) for s in ("source", "target")])).alias("s")
+    met = whole.select(label.alias("label"), sides).select("label", "s.*").join(live, ["kb_id", "slug"], "left")
+    gone = findings(met.where("now is null"), "G3", "high", F.col("label"), F.concat_ws(" ", "side", "kb_id", "slug"))
+    moved = F.when(F.coalesce("hash", F.lit("")) != "", F.col("hash") != F.col("now")).otherwise(False) | F.coalesce((F.col("version") > 0) & (F.col("now_version") > F.col("version")), F.lit(False))
+    stale = findings(met.where("now is not null").where(moved), "G4", "medium", F.col("label"), F.concat_ws(" ", "side", "kb_id", "slug"))
+    back = whole.select(F.col("source_kb").alias("target_kb"), F.col("source").alias("target"), F.col("target_kb").alias("source_kb"), F.col("target").alias("source"), F.col("kind").alias("back")).distinct()
+    torn_pairs = whole.join(back, ends).where("kind != back").where(F.struct("source_kb", "source") < F.struct("target_kb", "target"))
+    contrary = findings(torn_pairs, "G6", "medium", label, F.concat_ws(" / ", "kind", "back"))
+
+    one = undecided.select("group", F.col("kb_id").alias("source_kb"), F.col("slug").alias("source"))
+    other = undecided.select("group", F.col("kb_id").alias("target_kb"), F.col("slug").alias("target"))
+    covered = whole.select(*ends).join(one, ["source_kb", "source"]).join(other, ["group", "target_kb", "target"]).select("group")
+    open_groups = findings(undecided.select("group").distinct().join(covered, "group", "left_anti"), "G5", "high", F.col("group"), F.lit("no mapping"))
+
+    out = pages.select("kb_id", F.col("slug").alias("page"), F.explode("links").alias("slug")).distinct().join(live.select("kb_id", "slug"), ["kb_id", "slug"], "left_anti")
+    homes = live.select(F.col("kb_id").alias("home"), "slug")
+    foreign = out.join(homes, "slug").where("home != kb_id").groupBy("kb_id", "page").agg(F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("slugs"))
+    crossing = findings(foreign, "G7", "high", F.col("page"), F.col("slugs"))
+
+    old = cached.join(live, ["kb_id", "slug"], "left").where("now is null or now != hash")
+    outdated = findings(old, "G8", "low", F.col("slug"), F.col("kb_id"))
+    return reduce(DataFrame.unionByName, [empty, lost, torn, wrong, partial, gone, stale, contrary, open_groups, crossing, outdated])

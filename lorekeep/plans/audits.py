@@ -121,9 +121,22 @@ def j24_three_way_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.three_way_drift(take("slug % 3 = 0", "p_name"), take("slug % 4 = 0", "p_brand"), take("slug % 5 != 0", "p_name"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {KB_PAGES}, p AS (SELECT *, regexp_replace(lower(title), '[\s[:punct:]]+', '', 'g') AS k1, substr(regexp_replace(lower(summary), '[\s[:punct:]]+', '', 'g'), 1, 60) AS k2,
+  list_distinct(list_filter(string_split_regex(substr(content, 1, 120), '\s+'), lambda w: length(w) > 6)) AS rels, [substr(summary, i::INT, 3) FOR i IN range(1, greatest(1, length(summary) - 2) + 1) IF length(summary) > 0] AS g FROM kb_pages WHERE NOT deleted),
+links AS (SELECT a.page_id AS a, b.page_id AS b FROM p a JOIN p b ON a.k1 = b.k1 OR a.k2 = b.k2),
+walk AS (SELECT page_id, page_id AS other FROM p UNION SELECT w.page_id, l.b FROM walk w JOIN links l ON l.a = w.other), c AS (SELECT page_id, min(other) AS grp FROM walk GROUP BY 1),
+q AS (SELECT p.*, grp, map_from_entries([(x, len(list_filter(g, lambda y: y = x))) FOR x IN list_distinct(g)]) AS n FROM p JOIN c USING (page_id)),
+d AS (SELECT *, sqrt(list_sum([v * v FOR v IN map_values(n)])) AS norm FROM q),
+pairs AS (SELECT a.grp, CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE list_sum([a.n[x] * coalesce(b.n[x], 0) FOR x IN map_keys(a.n)]) / (a.norm * b.norm) END AS cosine,
+  CASE WHEN len(a.rels) + len(b.rels) = 0 THEN 1 ELSE len(list_intersect(a.rels, b.rels)) / len(list_distinct(a.rels || b.rels)) END AS jac FROM d a JOIN d b ON a.grp = b.grp AND a.page_id < b.page_id),
+m AS (SELECT grp, round(avg(cosine), 4) AS definition, round(avg(jac), 4) AS relations FROM pairs GROUP BY 1),
+s AS (SELECT grp, count(DISTINCT kb_id) AS kbs, count(*) AS members, count(DISTINCT nullif(k1, '')) = 1 AS title, count(DISTINCT nullif(page_type, '')) = 1 AS type FROM q GROUP BY grp HAVING count(DISTINCT kb_id) > 1),
+t AS (SELECT *, CASE WHEN title AND type AND definition >= 0.95 AND relations >= 0.8 THEN 0.99 ELSE round(0.45 * definition + 0.25 * relations + 0.15 * type::INT + 0.15 * title::INT, 4) END AS score FROM s JOIN m USING (grp)),
+v AS (SELECT *, CASE WHEN score >= 0.9 THEN 'equivalent' WHEN score <= 0.55 THEN 'distinct' ELSE 'unknown' END AS verdict FROM t),
+f AS (SELECT *, CASE WHEN verdict = 'distinct' THEN round(1 - score, 4) ELSE score END AS confidence FROM v) SELECT *, verdict <> 'unknown' AND confidence >= 0.95 AS auto FROM f""")
 def r1_context_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = kb_pages(spark, sf_dir).where(~F.col("deleted"))
+    p = p.withColumn("relations", F.filter(F.split(F.substring("content", 1, 120), r"\s+"), lambda w: F.length(w) > 6))
     keyed = p.select("page_id", T.norm_title(F.col("title")).alias("k1"), F.substring(T.norm_title(F.col("summary")), 1, 60).alias("k2"))
     groups = G.key_components(keyed, "page_id", ["k1", "k2"]).withColumnRenamed("component", "grp")
     return A.order_candidates(A.context_scan(p, groups))
@@ -136,11 +149,19 @@ def o3_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.natural_order(names, "name")
 
 
-@query("""SELECT conv_id * 100 + turn AS case_id, contains(text, 'the') AS verdict, regexp_matches(text, 'ing') AND regexp_matches(text, '[Tt]h') AS patterns, NOT contains(text, 'ention') AS clean,
-  contains(text, 'the') AND regexp_matches(text, 'ing') AND regexp_matches(text, '[Tt]h') AND NOT contains(text, 'ention') AS passed FROM conversations""")
+@query(r"""WITH c AS (SELECT conv_id * 100 + turn AS case_id, text, role AS steps, CASE WHEN conv_id % 2 = 0 THEN 'the' ELSE 'on' END AS expected, ['ing', role[1:3]] AS patterns, [CASE WHEN conv_id % 3 = 0 THEN 'ention' ELSE 'er' END, 'nd'] AS forbidden,
+  ['ç'] AS markers, CASE WHEN turn % 2 = 0 THEN ['a'] ELSE [] END AS required FROM conversations),
+p AS (SELECT case_id, claim, i FROM c, unnest(forbidden) f(claim), unnest(range(1, length(text) + 1)) u(i) WHERE substr(text, i, length(claim)) = claim),
+f AS (SELECT DISTINCT p.case_id FROM p JOIN c USING (case_id) WHERE NOT regexp_matches(substr(text, greatest(1, i - 18), i - greatest(1, i - 18)), '(the|is|le|en)[^。；\n]{0,12}$')),
+k AS (SELECT case_id, contains(text, expected) AND (expected <> 'on' OR regexp_matches(text, '(^|[^it])on')) AS verdict, len(list_filter(patterns, lambda x: NOT contains(text, x) AND NOT contains(steps, x))) = 0 AS patterns,
+  case_id NOT IN (SELECT case_id FROM f) AS clean, NOT contains(text, 'ç') AS unleaked, len(list_filter(required, lambda x: NOT contains(text, x))) = 0 AS required, trim(text) <> '' AS nonempty FROM c)
+SELECT *, verdict AND patterns AND clean AND unleaked AND required AND nonempty AS passed FROM k""")
 def a25_score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), "text")
-    return A.score_cases(reports, "the", ["ing", "[Tt]h"], ["ention"], "no such denial word")
+    t = table(spark, sf_dir, "conversations").withColumn("case_id", F.col("conv_id") * 100 + F.col("turn"))
+    texts = lambda *items: F.array(*[F.lit(x) for x in items]) if items else F.array().cast("array<string>")
+    cases = t.select("case_id", F.when(F.col("conv_id") % 2 == 0, "the").otherwise("on").alias("expected"), F.array(F.lit("ing"), F.substring("role", 1, 3)).alias("patterns"),
+        F.array(F.when(F.col("conv_id") % 3 == 0, "ention").otherwise("er"), F.lit("nd")).alias("forbidden"), texts("ç").alias("markers"), F.when(F.col("turn") % 2 == 0, texts("a")).otherwise(texts()).alias("required"))
+    return A.score_cases(t.select("case_id", "text", F.col("role").alias("steps")), cases, ("the", "is", "le", "en"), {"on": "it"})
 
 
 @query(f"""WITH {KB_PAGES} SELECT kb_id, any_value(pages) AS pages, any_value(deleted) AS deleted, count(e.k) AS edges FROM (SELECT kb_id, count(*) AS pages, count(*) FILTER (deleted) AS deleted FROM kb_pages GROUP BY 1) p

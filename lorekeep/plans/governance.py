@@ -38,12 +38,15 @@ def s6_read_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_call_log(begin.unionByName(done))
 
 
-@query("""SELECT user_id AS request, event_id AS round, CASE WHEN event_id % 2 = 0 THEN floor(value)::BIGINT END AS prompt, floor(value * 2)::BIGINT AS actual FROM events""")
+@query("""WITH e AS (SELECT *, user_id AS request, event_id % 5 AS round, floor(value)::BIGINT AS v FROM events), u AS (SELECT request, count(*) AS usages, sum(v)::BIGINT AS used, 's' || max(event_id) AS session FROM e GROUP BY 1)
+SELECT request, round, arg_max(v, event_id) FILTER (event_id % 2 = 0) AS prompt, arg_max(2 * v, event_id) AS actual, arg_min(v, event_id) FILTER (event_id % 3 > 0) AS context, session, usages, used FROM e JOIN u USING (request) GROUP BY ALL""")
 def s7_read_context_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    head = F.concat(F.lit("x request="), "user_id", F.lit(" round="), "event_id")
-    a = e.where("event_id % 2 = 0").select(F.concat(head, F.lit(" prompt="), F.floor("value")).alias("value"))
-    return S.read_context_log(a.unionByName(e.select(F.concat(head, F.lit(" actual="), F.floor(F.col("value") * 2)).alias("value"))))
+    e = table(spark, sf_dir, "events").withColumn("v", F.floor("value"))
+    head = F.concat(F.lit("x request="), "user_id", F.lit(" round="), F.col("event_id") % 5)
+    told = lambda rows, step, *parts: rows.select((F.col("event_id") * 10 + step).alias("line_no"), F.concat(*parts).alias("value"))
+    lines = told(e.where("event_id % 2 = 0"), 0, head, F.lit(" prompt="), "v").unionByName(told(e.where("event_id % 3 > 0"), 1, head, F.lit(" context="), "v"))
+    lines = lines.unionByName(told(e, 2, head, F.lit(" actual="), F.col("v") * 2)).unionByName(told(e, 3, F.lit("request="), "user_id", F.lit(" usage="), "v"))
+    return S.read_context_log(lines.unionByName(told(e, 4, F.lit("request="), "user_id", F.lit(" session=s"), "event_id")))
 
 
 @query("""WITH m AS (SELECT l_orderkey AS concept, l_linenumber AS pos, min(l_partkey) AS member FROM lineitem GROUP BY ALL) SELECT x.concept, x.member AS a, y.member AS b FROM m x JOIN m y ON x.concept = y.concept AND x.pos < y.pos""")
@@ -171,3 +174,39 @@ def u6_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.transform(c, lambda s: s["l_partkey"])
     out = V.merge_lines(part("a"), part("b"))
     return lines.where((F.size("a") > 0) & (F.size("b") > 0)).select("k", F.size(out["merged"]).alias("merged"), out["added"].alias("added"))
+
+
+CONTEXT = """p AS (SELECT 'k' || p_partkey % 4 AS kb_id, 's' || p_partkey // 2 AS slug, 'h' || p_size AS hash, 1 + p_partkey % 3 AS version, CASE WHEN p_partkey % 6 < 3 THEN 'k0' END AS concept_kb,
+  CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 's' || p_partkey % 500 WHEN 2 THEN 'c' || p_partkey END AS concept, ['s' || p_partkey % 300, 's' || (p_partkey * 7) % 2500] AS links FROM part),
+m AS (SELECT 'k' || o_orderkey % 4 AS source_kb, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 's' || o_custkey % 90 END AS source, 'k' || o_orderkey % 3 AS target_kb, 's' || (o_custkey * 3) % 90 AS target, ['equivalent', 'rename', 'unrelated', 'odd', 'rename'][1 + o_orderkey % 5] AS kind,
+  CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'h' || o_custkey % 50 END AS source_hash, '' AS target_hash, 1 + o_orderkey % 2 AS source_version, 2 AS target_version FROM orders),
+u AS (SELECT 'g' || c_custkey % 60 AS grp, 'k' || c_nationkey % 4 AS kb_id, 's' || c_custkey % 90 AS slug FROM customer), c AS (SELECT 'k' || s_suppkey % 4 AS kb_id, 's' || s_suppkey // 2 AS slug, 'h' || s_nationkey AS hash FROM supplier)"""
+
+
+@query(f"""WITH {CONTEXT}, w AS (SELECT *, coalesce(nullif(source, ''), '?') || ' > ' || coalesce(nullif(target, ''), '?') AS label, source <> '' AND target <> '' AS named FROM m),
+s AS (SELECT label, 'source' AS side, source_kb AS kb_id, source AS slug, source_hash AS hash, source_version AS version FROM w WHERE named UNION ALL SELECT label, 'target', target_kb, target, target_hash, target_version FROM w WHERE named),
+e AS (SELECT s.*, p.hash AS now, p.version AS now_version FROM s LEFT JOIN p USING (kb_id, slug)), o AS (SELECT DISTINCT kb_id, slug AS page, unnest(links) AS slug FROM p), b AS (SELECT DISTINCT source_kb, source, target_kb, target, kind FROM w WHERE named),
+x AS (SELECT DISTINCT f.grp FROM w JOIN u f ON f.kb_id = w.source_kb AND f.slug = w.source JOIN u t ON t.grp = f.grp AND t.kb_id = w.target_kb AND t.slug = w.target WHERE named)
+SELECT 'G2' AS "check", 'medium' AS severity, slug AS subject, 'no concept named' AS detail FROM p WHERE concept = ''
+UNION ALL SELECT 'G2', 'medium', slug, concept_kb || '/' || concept FROM p WHERE concept <> '' AND (concept_kb, concept) NOT IN (SELECT (kb_id, slug) FROM p)
+UNION ALL SELECT 'G2', 'medium', slug, min(concept) || ' / ' || max(concept) FROM p WHERE concept <> '' GROUP BY slug HAVING min(concept) <> max(concept)
+UNION ALL SELECT 'G6', 'medium', label, 'kind ' || kind FROM w WHERE kind = 'odd' UNION ALL SELECT 'G6', 'medium', label, 'an end is missing' FROM w WHERE NOT named
+UNION ALL SELECT 'G3', 'high', label, side || ' ' || kb_id || ' ' || slug FROM e WHERE now IS NULL
+UNION ALL SELECT 'G4', 'medium', label, side || ' ' || kb_id || ' ' || slug FROM e WHERE now IS NOT NULL AND ((hash <> '' AND hash <> now) OR now_version > version)
+UNION ALL SELECT 'G6', 'medium', w.label, w.kind || ' / ' || b.kind FROM w JOIN b ON b.source_kb = w.target_kb AND b.source = w.target AND b.target_kb = w.source_kb AND b.target = w.source WHERE named AND w.kind <> b.kind AND (w.source_kb, w.source) < (w.target_kb, w.target)
+UNION ALL SELECT 'G5', 'high', grp, 'no mapping' FROM (SELECT DISTINCT grp FROM u) WHERE grp NOT IN (SELECT grp FROM x)
+UNION ALL SELECT 'G7', 'high', page, array_to_string(list_sort(list(DISTINCT o.slug)), ',') FROM o JOIN p h ON h.slug = o.slug AND h.kb_id <> o.kb_id WHERE (o.kb_id, o.slug) NOT IN (SELECT (kb_id, slug) FROM p) GROUP BY o.kb_id, page
+UNION ALL SELECT 'G8', 'low', c.slug, c.kb_id FROM c LEFT JOIN p USING (kb_id, slug) WHERE p.hash IS NULL OR p.hash <> c.hash""")
+def c9_context_map_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    k = F.col("p_partkey")
+    concept = F.when(k % 6 == 0, "").when(k % 6 == 1, text("s", k % 500)).when(k % 6 == 2, text("c", k))
+    pages = table(spark, sf_dir, "part").select(text("k", k % 4).alias("kb_id"), text("s", F.expr("p_partkey div 2")).alias("slug"), text("h", F.col("p_size")).alias("hash"), (1 + k % 3).alias("version"),
+        F.when(k % 6 < 3, "k0").alias("concept_kb"), concept.alias("concept"), F.array(text("s", k % 300), text("s", k * 7 % 2500)).alias("links"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    kinds = F.get(F.array(*[F.lit(x) for x in ("equivalent", "rename", "unrelated", "odd", "rename")]), (o % 5).cast("int"))
+    mappings = table(spark, sf_dir, "orders").select(text("k", o % 4).alias("source_kb"), F.when(o % 50 == 0, "").otherwise(text("s", c % 90)).alias("source"), text("k", o % 3).alias("target_kb"), text("s", c * 3 % 90).alias("target"), kinds.alias("kind"),
+        F.when(o % 4 == 0, "").otherwise(text("h", c % 50)).alias("source_hash"), F.lit("").alias("target_hash"), (1 + o % 2).alias("source_version"), F.lit(2).cast("long").alias("target_version"))
+    undecided = table(spark, sf_dir, "customer").select(text("g", F.col("c_custkey") % 60).alias("group"), text("k", F.col("c_nationkey") % 4).alias("kb_id"), text("s", F.col("c_custkey") % 90).alias("slug"))
+    cached = table(spark, sf_dir, "supplier").select(text("k", F.col("s_suppkey") % 4).alias("kb_id"), text("s", F.expr("s_suppkey div 2")).alias("slug"), text("h", F.col("s_nationkey")).alias("hash"))
+    return V.context_map_checks(pages, mappings, ["equivalent", "rename", "unrelated"], undecided, cached)

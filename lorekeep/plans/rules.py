@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import graphs as G
 from lorekeep.operators import rules as R
 from lorekeep.plans.fixtures import KB_PAGES, kb_pages, subclasses, table
-from lorekeep.plans.graphs import CLOSURE
+from lorekeep.plans.graphs import CHAINS, CLOSURE
 from lorekeep.plans.registry import query
 
 RESOLVED = f"""{CLOSURE}, asked AS (SELECT p_partkey AS policy FROM part), cov AS (SELECT DISTINCT l_partkey AS policy, l_suppkey AS rule FROM lineitem WHERE l_linenumber = 1),
@@ -113,3 +114,63 @@ def s14_project_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = kb_pages(spark, sf_dir).select(F.col("page_id").alias("slug"), "page_type", F.col("content").alias("body"), F.create_map(F.lit("v"), F.col("version").cast("string")).alias("attrs"))
     e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 900).alias("src"), (F.col("l_partkey") % 900).alias("dst"))
     return R.project_nodes(k.where("slug % 13 != 0"), k.where("slug < 900"), e)[1].select("src", "dst")
+
+
+TASK_LINES = r"""tasks AS (SELECT 't' || p_partkey AS slug, p_partkey % 7 <> 0 AS is_task, 'dataobject: o' || p_partkey % 90 || ' rules=r' || p_partkey % 30 || ',r' || p_partkey % 11 || chr(10) || 'text: doc:' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '#page=3' WHEN p_partkey % 3 = 1 THEN '#row=3' ELSE '' END
+  || ';;# a note; ontology: C' || p_partkey % 40 || CASE WHEN p_partkey % 4 = 0 THEN ':closure=ancestors' WHEN p_partkey % 4 = 1 THEN ':closure=all' ELSE '' END AS entry,
+  CASE p_partkey % 5 WHEN 0 THEN 'dataobject: o' || p_partkey % 80 WHEN 1 THEN 'it used to be told in words' WHEN 2 THEN 'short' WHEN 3 THEN 'dataobject:;ontology:;text: session:5' ELSE '' END AS exit FROM part),
+pages AS (SELECT DISTINCT 'o' || s_suppkey AS slug FROM supplier WHERE s_suppkey < 85), classes AS (SELECT 'C' || n_nationkey AS class FROM nation), rules AS (SELECT 'r' || n_nationkey AS rule FROM nation),
+edges AS (SELECT 't' || p_partkey AS src, 'taskUsesDataObject' AS rel, 'o' || p_partkey % 90 AS dst FROM part WHERE p_partkey % 3 > 0 UNION SELECT 'o' || p_partkey % 80, 'dataObjectBelongsToTask', 't' || p_partkey FROM part WHERE p_partkey % 10 = 0)"""
+
+
+@query("WITH " + TASK_LINES + r""", l0 AS (SELECT slug, is_task, side, trim(unnest(string_split_regex(body, '[;\n]+'))) AS line FROM (SELECT slug, is_task, unnest(['entry', 'exit']) AS side, unnest([entry, exit]) AS body FROM tasks)),
+l AS (SELECT *, regexp_extract(line, '(^|\s)rules=(\S+)', 2) AS expr, trim(regexp_replace(line, '(^|\s)rules=\S+.*$', '')) AS head FROM l0 WHERE line <> '' AND NOT starts_with(line, '#')),
+k AS (SELECT *, regexp_extract(head, '^(dataobject|text|ontology):', 1) AS kind, trim(regexp_replace(head, '^[a-z]+:', '')) AS target FROM l),
+d AS (SELECT *, target IN (SELECT slug FROM pages) AS there, CASE side WHEN 'entry' THEN k.slug ELSE target END AS src, CASE side WHEN 'entry' THEN 'taskUsesDataObject' ELSE 'dataObjectBelongsToTask' END AS rel, CASE side WHEN 'entry' THEN target ELSE k.slug END AS dst FROM k WHERE kind = 'dataobject')
+SELECT 'TIO1' AS "check", 'high' AS severity, slug AS subject, side || ': ' || target AS detail FROM d WHERE NOT there
+UNION ALL SELECT 'TIO6', 'medium', slug, side || ': ' || target FROM d WHERE there AND is_task AND (src, rel, dst) NOT IN (SELECT (src, rel, dst) FROM edges)
+UNION ALL SELECT 'TIO2', CASE WHEN contains(target, '#row') THEN 'high' ELSE 'medium' END, slug, side || ': ' || target FROM k WHERE kind = 'text' AND (contains(target, '#row') OR starts_with(target, 'session:'))
+UNION ALL SELECT 'TIO3', 'high', slug, side || ': ' || target FROM k WHERE kind = 'ontology' AND regexp_replace(target, ':closure=(self|descendants|ancestors)$', '') NOT IN (SELECT class FROM classes)
+UNION ALL SELECT 'TIO5', 'medium', slug, side || ': ' || rule FROM (SELECT slug, side, unnest(string_split(expr, ',')) AS rule FROM k WHERE expr <> '') WHERE rule NOT IN (SELECT rule FROM rules)
+UNION ALL SELECT CASE WHEN length(head) > 12 THEN 'TIO9' ELSE 'TIO0' END, CASE WHEN length(head) > 12 THEN 'medium' ELSE 'high' END, slug, side || ': ' || head FROM k WHERE kind = ''""")
+def c12_task_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    slug, k = F.concat(F.lit("t"), "k"), F.col("k")
+    named = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    page = F.when(k % 3 == 0, "#page=3").when(k % 3 == 1, "#row=3").otherwise("")
+    closure = F.when(k % 4 == 0, ":closure=ancestors").when(k % 4 == 1, ":closure=all").otherwise("")
+    entry = F.concat(F.lit("dataobject: "), named("o", 90), F.lit(" rules="), named("r", 30), F.lit(","), named("r", 11), F.lit("\ntext: doc:"), k.cast("string"), page, F.lit(";;# a note; ontology: "), named("C", 40), closure)
+    leave = F.when(k % 5 == 0, F.concat(F.lit("dataobject: "), named("o", 80))).when(k % 5 == 1, "it used to be told in words").when(k % 5 == 2, "short").when(k % 5 == 3, "dataobject:;ontology:;text: session:5")
+    tasks = p.select(slug.alias("slug"), (k % 7 != 0).alias("is_task"), entry.alias("entry"), leave.alias("exit"))
+    pages = table(spark, sf_dir, "supplier").where("s_suppkey < 85").select(F.concat(F.lit("o"), "s_suppkey").alias("slug"))
+    nation = table(spark, sf_dir, "nation")
+    uses = p.where("k % 3 > 0").select(slug.alias("src"), F.lit("taskUsesDataObject").alias("rel"), named("o", 90).alias("dst"))
+    belongs = p.where("k % 10 = 0").select(named("o", 80).alias("src"), F.lit("dataObjectBelongsToTask").alias("rel"), slug.alias("dst"))
+    return R.task_io(tasks, pages, nation.select(F.concat(F.lit("C"), "n_nationkey").alias("class")), uses.unionByName(belongs), nation.select(F.concat(F.lit("r"), "n_nationkey").alias("rule")))
+
+
+NEEDS = """r AS (SELECT 'r' || p_partkey AS rule, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE split_part(p_name, ' ', 2) || '、 ' || split_part(p_name, ' ', 1) || ' (x);' || CASE WHEN p_partkey % 7 = 0 THEN 'wholly unknown' ELSE '' END END AS words, p_partkey AS k FROM part),
+c AS (SELECT p_partkey AS class, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS label, p_brand AS module FROM part WHERE p_size > 10),
+o AS (SELECT 'o' || s_suppkey AS slug, s_name || ' gives ' || n_name AS hay FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'p' || min(p_partkey), 'all ' || split_part(p_name, ' ', 2) FROM part WHERE p_name LIKE '% w%' GROUP BY 2)"""
+
+
+@query(rf"""WITH RECURSIVE {CHAINS}, {NEEDS}, w AS (SELECT DISTINCT rule, trim(unnest(string_split_regex(words, '[、，,;；/|]+'))) AS need FROM r WHERE words IS NOT NULL), n AS (SELECT need, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules FROM w WHERE need <> '' GROUP BY 1),
+x AS (SELECT need, min(slug) AS object FROM n JOIN o ON contains(hay, need) GROUP BY 1), i AS (SELECT need, trim(lower(regexp_replace(need, '[（(].*?[）)]', '', 'g'))) AS t FROM n WHERE need NOT IN (SELECT need FROM x)),
+s AS (SELECT need, class FROM i JOIN c ON contains(lower(label), t) OR contains(t, lower(label)) WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY need ORDER BY CASE WHEN lower(label) = t THEN 100 ELSE 60 END DESC, class) <= 5),
+st AS (SELECT count(DISTINCT class) AS n, min(class) AS first FROM s), h AS (SELECT ancestor, count(DISTINCT node) AS met, min(distance) FILTER (node = (SELECT first FROM st)) AS near FROM chain WHERE node IN (SELECT class FROM s) GROUP BY 1),
+m AS (SELECT arg_min(ancestor, near) AS merged FROM h, st WHERE met = n AND n > 1), l AS (SELECT need, list_sort(list(DISTINCT class)) AS cs FROM s GROUP BY 1),
+p AS (SELECT need, cs, CASE WHEN merged IS NOT NULL AND (list_contains(cs, merged) OR EXISTS (SELECT 1 FROM chain WHERE node = cs[1] AND ancestor = merged)) THEN merged ELSE cs[1] END AS class FROM l, m)
+SELECT need AS key, need, CASE WHEN object IS NULL THEN 'ontology' ELSE 'external' END AS source, '' AS source_type, coalesce(object, '') AS object, p.class, coalesce(array_to_string(cs, ','), '') AS candidates, CASE WHEN len(cs) > 1 THEN 'parent' ELSE 'each' END AS collect, module, rules,
+  CASE WHEN object IS NOT NULL THEN '' WHEN cs IS NULL THEN 'class_ambiguous' WHEN len(cs) > 1 THEN 'merge_parent_child' ELSE '' END AS question FROM n LEFT JOIN x USING (need) LEFT JOIN p USING (need) LEFT JOIN c ON c.class = p.class
+UNION ALL SELECT rule || ':c1', 'note ' || k, 'ontology', 'graph', '', k + 1, '', 'each', module, rule, '' FROM r LEFT JOIN c ON c.class = k + 1 WHERE k % 5 = 0 UNION ALL SELECT rule || ':c2', 'c2', 'external', 'external_query', 'o' || k, NULL, '', 'once', NULL, rule, '' FROM r WHERE k % 5 = 0""")
+def t21_plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    word = lambda n: F.element_at(F.split("p_name", " "), n)
+    spec = F.format_string('{"concepts": [{"id": "c1", "class": "%d", "note": "note %d"}, {"id": "c2", "kind": "external", "dataobject": "o%d", "collect": "once"}, {"note": "no id"}], "derived": [{"id": "d"}]}', k + 1, k, k)
+    words = F.concat(word(2), F.lit("、 "), word(1), F.lit(" (x);"), F.when(k % 7 == 0, "wholly unknown").otherwise(""))
+    rules = p.select(F.concat(F.lit("r"), k).alias("rule"), F.when(k % 5 == 0, spec).otherwise(words).alias("need"))
+    classes = p.where("p_size > 10").select(k.alias("class"), F.when(k % 3 == 0, F.col("p_name")).otherwise(word(1)).alias("label"), F.col("p_brand").alias("module"))
+    told = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("o"), "s_suppkey").alias("slug"), F.col("s_name").alias("title"), F.concat(F.lit("gives "), "n_name").alias("definition"))
+    parts = p.where("p_name like '% w%'").groupBy(word(2).alias("w")).agg(F.min(k).alias("least")).select(F.concat(F.lit("p"), "least").alias("slug"), F.lit("all").alias("title"), F.col("w").alias("definition"))
+    chains = G.ancestors(subclasses(spark, sf_dir).where("first"))
+    return R.plan_items(rules, classes, told.unionByName(parts), chains)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TELEMETRY = (
@@ -44,12 +44,24 @@ def read_call_log(lines: DataFrame) -> DataFrame:
     return grouped.withColumn("shape", F.when(F.col("ms").isNull(), "timeout").otherwise("done"))
 
 
-def read_context_log(lines: DataFrame) -> DataFrame:
-    """request, round and the last value of each metric of ``request=R round=N name=value`` lines."""
+def read_context_log(lines: DataFrame, last: tuple[str, ...] = ("prompt", "actual"), first: tuple[str, ...] = ("context",)) -> DataFrame:
+    """request, round and metrics of ``request=R round=N name=value`` lines (line_no, value), with the request's session and usage.
+
+    A metric in ``last`` keeps the value of the last line that names it, one in ``first`` the first.  Lines without a
+    round name the request's session (``session=S``, the last one counts) or add to its usage (``usage=N``).
+    """
     value = F.col("value")
-    pick = lambda name: F.regexp_extract(value, rf"\b{name}=(\d+)", 1).try_cast("long")
-    rows = lines.select(pick("request").alias("request"), pick("round").alias("round"), pick("prompt").alias("prompt"), pick("actual").alias("actual"))
-    return rows.where("request is not null and round is not null").groupBy("request", "round").agg(F.max("prompt").alias("prompt"), F.max("actual").alias("actual"))
+    number = lambda name: F.regexp_extract(value, rf"\b{name}=(\d+)", 1).try_cast("long")
+    picks = {name: number(name) for name in ("request", "round", "usage", *last, *first)}
+    rows = lines.select("line_no", *[c.alias(n) for n, c in picks.items()], F.nullif(F.regexp_extract(value, r"\bsession=(\S+)", 1), F.lit("")).alias("session"))
+    rows = rows.where("request is not null")
+
+    def met(name: str, place) -> Column:
+        return place(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(name)
+
+    rounds = rows.where("round is not null").groupBy("request", "round").agg(*[met(n, F.max_by) for n in last], *[met(n, F.min_by) for n in first])
+    whole = rows.where("round is null").groupBy("request").agg(met("session", F.max_by), F.count("usage").alias("usages"), F.sum("usage").alias("used"))
+    return rounds.join(whole, "request", "left").withColumn("usages", F.coalesce("usages", F.lit(0)))
 
 
 def read_sheet(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
