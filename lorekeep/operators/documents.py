@@ -35,13 +35,38 @@ def content_figures(images: DataFrame, least: int = 6000) -> DataFrame:
     return marked.select("doc", "page", "place", "md5", "reason", F.when(F.col("reason") == "kept", place).alias("number"))
 
 
+#: Characters at which a packed unit closes: a fixed value.
+PACKED_UNIT = 1500
+
+
 def outline_units(chunks: DataFrame) -> DataFrame:
-    """parent, children, chars: parent chunks with their children's ids in order; text chunks without a parent stand alone."""
-    kids = chunks.where("parent is not null").groupBy("parent").agg(
-        F.array_sort(F.collect_list(F.struct("place", "chunk"))).alias("kids"), F.sum("chars").alias("kid_chars"))
-    heads = chunks.where("parent is null").join(kids.withColumnRenamed("parent", "chunk"), "chunk", "left")
-    ids = F.array_join(F.transform("kids", lambda k: k["chunk"].cast("string")), ",")
-    return heads.select(F.col("chunk").alias("parent"), F.coalesce(ids, F.lit("")).alias("children"), F.coalesce("kid_chars", "chars").alias("chars"))
+    """doc, unit, kind, chunks, children, chars of chunks (doc, chunk, place, type, parent, chars).
+
+    A parent text is a unit with its children's ids in order; where a document has parent texts, a text without one
+    stands alone.  A document without any is packed: chunks in order, a unit closing when it has 1,500 characters.
+    """
+    parents = chunks.where("type = 'parent_text'")
+    kids = chunks.where("parent is not null").groupBy(F.col("parent").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("place", "chunk"))).alias("kids"))
+    told = lambda ids: F.array_join(F.transform(ids, lambda c: c.cast("string")), ",")
+    own = F.coalesce(F.transform("kids", lambda k: k["chunk"]), F.array().cast("array<bigint>"))
+    first = parents.join(kids, "chunk", "left").select(
+        "doc", F.col("chunk").alias("unit"), F.lit("parent").alias("kind"), told(F.concat(F.array("chunk"), own)).alias("chunks"), F.size(own).alias("children"), F.col("chars").cast("long").alias("chars"))
+    layered = parents.select("doc").distinct()
+    alone = chunks.where("type = 'text' and parent is null").join(layered, "doc", "left_semi").select(
+        "doc", F.col("chunk").alias("unit"), F.lit("orphan_text").alias("kind"), F.col("chunk").cast("string").alias("chunks"), F.lit(0).alias("children"), F.col("chars").cast("long").alias("chars"))
+    flat = chunks.join(layered, "doc", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "chunk", "chars"))).alias("all"))
+    start = F.struct(F.array().cast("array<struct<ids:array<bigint>,chars:bigint>>").alias("done"), F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("long").alias("chars"))
+
+    def add(acc: Column, chunk: Column) -> Column:
+        ids, chars = F.concat(acc["ids"], F.array(chunk["chunk"])), acc["chars"] + chunk["chars"].cast("long")
+        full = chars >= PACKED_UNIT
+        done = F.when(full, F.concat(acc["done"], F.array(F.struct(ids.alias("ids"), chars.alias("chars"))))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(full, F.array().cast("array<bigint>")).otherwise(ids).alias("ids"), F.when(full, F.lit(0).cast("long")).otherwise(chars).alias("chars"))
+
+    rest = lambda acc: F.when(F.size(acc["ids"]) > 0, F.concat(acc["done"], F.array(F.struct(acc["ids"].alias("ids"), acc["chars"].alias("chars"))))).otherwise(acc["done"])
+    packed = flat.select("doc", F.explode(F.aggregate("all", start, add, rest)).alias("u")).select(
+        "doc", F.get("u.ids", 0).alias("unit"), F.lit("packed_text").alias("kind"), told(F.col("u.ids")).alias("chunks"), (F.size("u.ids") - 1).alias("children"), "u.chars")
+    return first.unionByName(alone).unionByName(packed)
 
 
 def name_hits(texts: DataFrame, names: DataFrame, top: int = 3, least: int = 3) -> DataFrame:
@@ -92,3 +117,60 @@ def concept_preview(groups: DataFrame, existing: DataFrame) -> DataFrame:
     joined = best.join(first, "grp").join(existing.select("grp", F.lit(True).alias("there")), "grp", "left")
     state = F.when(F.col("there"), "exists").when(F.col("kbs") < 2, "single").otherwise("new")
     return joined.select("grp", "primary_slug", "members", "kbs", state.alias("state"))
+
+
+#: What makes a line of plain text a heading: fixed values.
+NUMBERED = r"^\s*(?:\*\*)?(\d+(?:\.\d+){0,3})(?:\*\*)?\s+\S"
+COUNTED = (r"^\s*第[一二三四五六七八九十百\d]+[章节部分篇]\s*", r"^\s*[一二三四五六七八九十]+、\s*\S", r"^\s*（[一二三四五六七八九十]+）\s*\S")
+SENTENCE_ENDS = "。，；：！？.,;:"
+LONGEST_HEADING, SHORT_HEADING, LONG_BODY, LONGEST_SECTION, SHORT_SECTION = 40, 20, 40, 6000, 500
+
+
+def plain_heading(line: Column, following: Column) -> Column:
+    """A short line without a sentence's end that is numbered, or that stands before a long one."""
+    s, n = F.trim(line), F.trim(F.coalesce(following, F.lit("")))
+    numbered = s.rlike(NUMBERED)
+    for pattern in COUNTED:
+        numbered = numbered | s.rlike(pattern)
+    ended = F.lit(SENTENCE_ENDS).contains(F.right(s, F.lit(1)))
+    return (s != "") & (F.length(s) <= LONGEST_HEADING) & ~ended & (numbered | ((F.length(s) <= SHORT_HEADING) & (F.length(n) >= LONG_BODY)))
+
+
+def split_long(text: Column, longest: int) -> Column:
+    """The parts of a text of at most ``longest`` characters where sentences allow it: cut behind their ends, nothing lost."""
+    pieces = F.filter(F.split(text, r"(?<=[。！？；\n])"), lambda p: p != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        full = (acc["open"] != "") & (F.length(acc["open"]) + F.length(piece) > longest)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, piece).otherwise(F.concat(acc["open"], piece)).alias("open"),
+        )
+
+    packed = F.aggregate(pieces, start, add, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    return F.when(F.length(text) <= longest, F.array(text)).otherwise(packed)
+
+
+def split_plain_text(docs: DataFrame, longest: int = LONGEST_SECTION) -> DataFrame:
+    """doc, place, part, title, number, text: the sections of plain texts (doc, text), cut at their headings.
+
+    Sections without a body are dropped, longer ones cut at sentence ends, and a short section that repeats the one
+    before it goes.  What stands before the first heading is left out; a text without headings, or with empty
+    sections alone, is one section without a title.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    order = Window.partitionBy("doc").orderBy("place")
+    lines = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")).alias("place", "line"))
+    marked = lines.withColumn("heading", plain_heading(F.col("line"), F.lead("line").over(order)))
+    section = F.max(F.when(F.col("heading"), F.col("place"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = marked.withColumn("section", section).where("section is not null")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("place", "line")))), lambda s: s["line"]), "\n")
+    cut = inside.groupBy("doc", "section").agg(F.max(F.when(F.col("heading"), F.col("line"))).alias("line"), strip(body).alias("body")).where("body != ''")
+    whole = docs.join(cut.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit(-1).alias("section"), F.lit("").alias("line"), strip(F.coalesce("text", F.lit(""))).alias("body")).where("body != ''")
+    parts = cut.unionByName(whole).select("doc", "section", "line", F.posexplode(split_long(F.col("body"), longest)).alias("part", "text"))
+    before = F.lag("text").over(Window.partitionBy("doc").orderBy("section", "part"))
+    repeated = F.coalesce((F.length("text") <= SHORT_SECTION) & (F.col("text") == before), F.lit(False))
+    kept = parts.withColumn("repeated", repeated).where("not repeated")
+    title = F.substring(F.trim("line"), 1, 80)
+    return kept.select("doc", F.col("section").alias("place"), "part", title.alias("title"), F.regexp_extract("line", NUMBERED, 1).alias("number"), "text")

@@ -131,3 +131,20 @@ def restore_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     joined = pages.join(own, ["kb_id", "slug"], "left")
     body = F.coalesce("node_body", "content", F.lit(""))
     return joined.withColumn("changed", ~F.coalesce("content", F.lit("")).eqNullSafe(body)).withColumn("content", body).drop("node_body")
+
+
+def alias_noise(pages: DataFrame) -> DataFrame:
+    """kb_id, slug, title, removed, kept of pages (kb_id, slug, title, aliases) that name their title among their aliases."""
+    title = F.trim(F.coalesce("title", F.lit("")))
+    named = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull() & (F.trim(a) != ""))
+    found = pages.withColumns({"kept": F.filter(named, lambda a: F.trim(a) != title), "removed": F.filter(named, lambda a: F.trim(a) == title)})
+    return found.where((title != "") & (F.size("removed") > 0)).select("kb_id", "slug", title.alias("title"), "removed", "kept")
+
+
+def clean_alias_noise(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages with the aliases that are no noise, one version on where anything changed, and the rows as they were."""
+    noise = alias_noise(pages).select("kb_id", "slug", F.col("kept").alias("clean"))
+    joined = pages.join(noise, ["kb_id", "slug"], "left")
+    changed = F.col("clean").isNotNull()
+    after = joined.withColumns({"aliases": F.coalesce("clean", "aliases"), "version": F.col("version") + changed.cast("int")})
+    return after.select(*pages.columns), joined.where(changed).select(*pages.columns)

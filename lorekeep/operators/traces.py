@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators.audits import findings
-from lorekeep.operators.graphs import schema_paths
+from lorekeep.operators.graphs import schema_paths, settled
 
 STEPS = "array<struct<name:string,iteration:int,args:string>>"
 
@@ -23,31 +23,64 @@ def read_trace(messages: DataFrame, retrieval: list[str]) -> DataFrame:
     )
 
 
+def common_substrings(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """left_id, right_id, common: longest common substrings of ``least`` or more characters (left_id, text; right_id, text).
+
+    Pairs meet by shared grams; grams that follow each other on one diagonal are a common substring, so the longest
+    run of them tells its length without comparing the texts.
+    """
+    placed = lambda rows, key, place: rows.select(key, F.posexplode(T.grams(F.col("text"), least)).alias(place, "gram")).where(F.length("gram") == least)
+    met = placed(left, "left_id", "i").join(placed(right, "right_id", "j"), "gram").withColumn("diagonal", F.col("i") - F.col("j"))
+    run = F.col("i") - F.row_number().over(Window.partitionBy("left_id", "right_id", "diagonal").orderBy("i"))
+    runs = met.withColumn("run", run).groupBy("left_id", "right_id", "diagonal", "run").agg(F.count("*").alias("n"))
+    return runs.groupBy("left_id", "right_id").agg((F.max("n") + least - 1).cast("int").alias("common"))
+
+
 def match_truth(questions: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
-    """question_id, truth_id, how: by qid, else by anchors (all of an entry's), else by bigram similarity; ties are refused.
+    """question_id, truth_id, how: by qid, else by anchors and intent, else by bigram similarity; ties are refused.
 
-    questions: question_id, qid, question; truth: truth_id, qid, anchors, question.  ``truth`` is a curated set and is
-    joined by qid and by shared bigrams, so only candidates that share one are compared.
+    questions: question_id, qid, question; truth (a curated set): truth_id, qids, anchors, intent, questions (arrays;
+    its question and aliases).  Of entries with one qid the first counts, as in the list.  An anchor counts if it
+    stands whole in the question or shares three characters in a row with it, and one of the intent words, if there
+    are any, must stand there too; the entry of the best anchor (whole, then longest) matches unless another is as
+    good.  A question without text matches nothing.
     """
-    grams = lambda c: F.array_distinct(T.grams(T.squash(F.lower(c)), 2))
-    by_qid = questions.where("qid != ''").join(truth.select("truth_id", "qid"), "qid").groupBy("question_id").agg(F.min("truth_id").alias("by_qid"))
-    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.lower("question"), r"\s+"))).alias("anchor"))
-    wanted = truth.select("truth_id", F.size("anchors").alias("need"), F.explode("anchors").alias("anchor"))
-    met = words.join(wanted, "anchor").groupBy("question_id", "truth_id", "need").agg(F.count("*").alias("n")).where("n = need")
-    by_anchor = met.groupBy("question_id").agg(F.min("truth_id").alias("low"), F.max("truth_id").alias("high"))
-    a = questions.select("question_id", grams("question").alias("ga"))
-    b = truth.select("truth_id", grams("question").alias("gb"))
-    shared = a.select("question_id", F.size("ga").alias("na"), F.explode("ga").alias("g")).join(b.select("truth_id", F.size("gb").alias("nb"), F.explode("gb").alias("g")), "g")
-    scored = shared.groupBy("question_id", "truth_id", "na", "nb").agg(F.count("*").alias("both"))
-    scored = scored.withColumn("score", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("score") >= threshold)
-    place = F.rank().over(Window.partitionBy("question_id").orderBy(F.desc("score")))
-    best = scored.withColumn("place", place).where("place = 1").groupBy("question_id").agg(F.min("truth_id").alias("near"), F.count("*").alias("ties"))
-    joined = questions.select("question_id").join(by_qid, "question_id", "left").join(by_anchor, "question_id", "left").join(best, "question_id", "left")
-    anchor = F.col("low").isNotNull() & (F.col("low") == F.col("high"))
-    near = F.col("near").isNotNull() & (F.col("ties") == 1)
-    how = F.when(F.col("by_qid").isNotNull(), "qid").when(anchor, "anchors").when(near, "similar").otherwise("none")
-    target = F.when(how == "qid", F.col("by_qid")).when(how == "anchors", F.col("low")).when(how == "similar", F.col("near"))
-    return joined.select("question_id", target.alias("truth_id"), how.alias("how"))
+    bare = lambda c: T.squash(F.lower(c))
+    asked = questions.select("question_id", F.trim(F.lower(F.coalesce("qid", F.lit("")))).alias("qid"), T.squash(T.question_core(F.col("question"))).alias("text")).where("text != ''")
+    asked = settled(asked, "asked")
+    qids = truth.select("truth_id", F.explode("qids").alias("q")).select("truth_id", F.trim(F.lower("q")).alias("qid")).where("qid != ''")
+    by_qid = asked.join(qids, "qid").groupBy("question_id").agg(F.min("truth_id").alias("by_qid"))
+
+    anchors = truth.select("truth_id", F.explode("anchors").alias("a")).select("truth_id", bare(F.col("a")).alias("text")).where("length(text) >= 2").distinct()
+    anchors = settled(anchors.withColumn("right_id", F.monotonically_increasing_id()), "anchors")
+    left = asked.select(F.col("question_id").alias("left_id"), "text")
+    short = common_substrings(left, anchors.where("length(text) = 2").select("right_id", "text"), 2)
+    long = common_substrings(left, anchors.where("length(text) > 2").select("right_id", "text"), 3)
+    met = short.unionByName(long).join(anchors, "right_id").withColumn("whole", (F.col("common") == F.length("text")).cast("int"))
+    best = met.groupBy(F.col("left_id").alias("question_id"), "truth_id").agg(F.max(F.struct("whole", "common")).alias("score"))
+    intent = truth.select("truth_id", F.transform(F.filter("intent", lambda w: w != ""), bare).alias("intent"))
+    told = best.join(intent, "truth_id").join(asked.select("question_id", "text"), "question_id")
+    told = told.where((F.size("intent") == 0) | F.exists("intent", lambda w: F.col("text").contains(w)))
+    by_anchor = _alone(told, "by_anchor")
+
+    grams = lambda c: F.array_distinct(T.grams(c, 2))
+    a = asked.select("question_id", grams(F.col("text")).alias("grams"))
+    cores = truth.select("truth_id", F.explode("questions").alias("q")).select("truth_id", T.squash(T.question_core(F.col("q"))).alias("core")).where("core != ''")
+    b = settled(cores.select("truth_id", grams(F.col("core")).alias("grams")).withColumn("form", F.monotonically_increasing_id()), "forms")
+    left = a.select("question_id", F.size("grams").alias("na"), F.explode("grams").alias("g"))
+    shared = left.join(b.select("truth_id", "form", F.size("grams").alias("nb"), F.explode("grams").alias("g")), "g")
+    alike = shared.groupBy("question_id", "truth_id", "form", "na", "nb").agg(F.count("*").alias("both"))
+    alike = alike.withColumn("score", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("score") >= threshold)
+    near = _alone(alike.groupBy("question_id", "truth_id").agg(F.max("score").alias("score")), "near")
+    joined = questions.select("question_id").join(by_qid, "question_id", "left").join(by_anchor, "question_id", "left").join(near, "question_id", "left")
+    how = F.when(F.col("by_qid").isNotNull(), "qid").when(F.col("by_anchor").isNotNull(), "anchor").when(F.col("near").isNotNull(), "sim").otherwise("none")
+    return joined.select("question_id", F.coalesce("by_qid", "by_anchor", "near").alias("truth_id"), how.alias("how"))
+
+
+def _alone(scored: DataFrame, name: str) -> DataFrame:
+    """question_id and the truth_id of the best score, only where no other entry has it."""
+    best = scored.groupBy("question_id").agg(F.max("score").alias("score"))
+    return scored.join(best, ["question_id", "score"]).groupBy("question_id").agg(F.min("truth_id").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
 def remembered_pages(sessions: DataFrame, pages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lorekeep.plans.graphs import CLOSURE
 from lorekeep.plans.registry import query
 
 
-@query("""WITH l AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS row, l_partkey, l_quantity FROM lineitem) SELECT doc, row, l_partkey::VARCHAR AS part, l_quantity::INTEGER::VARCHAR AS quantity FROM l""")
+@query("""WITH l AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER::VARCHAR)::INTEGER AS row, l_partkey, l_quantity FROM lineitem) SELECT doc, row, l_partkey::VARCHAR AS part, l_quantity::INTEGER::VARCHAR AS quantity FROM l""")
 def t8_md_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("| "), "l_partkey", F.lit(" | "), F.col("l_quantity").cast("int"), F.lit(" |"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))).alias("rows"))
@@ -30,12 +30,19 @@ def t18_content_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.content_figures(images).groupBy("reason").agg(F.count("*").alias("images"), F.count_distinct("doc").alias("docs"))
 
 
-@query("""WITH l AS (SELECT doc_id AS doc, i - 1 AS place, length(s[i]) AS chars FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) u(i)), c AS (SELECT doc * 100000 + place AS chunk, place, chars, CASE WHEN place % 10 > 0 THEN doc * 100000 + place - place % 10 END AS parent FROM l),
-k AS (SELECT parent, string_agg(chunk::VARCHAR, ',' ORDER BY place) AS children, sum(chars) AS chars FROM c WHERE parent IS NOT NULL GROUP BY 1) SELECT c.chunk AS parent, coalesce(children, '') AS children, coalesce(k.chars, c.chars)::BIGINT AS chars FROM c LEFT JOIN k ON k.parent = c.chunk WHERE c.parent IS NULL""")
+@query("""WITH RECURSIVE l AS (SELECT doc_id AS doc, i - 1 AS place, length(s[i]) AS chars FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) u(i)),
+c AS (SELECT doc, doc * 100000 + place AS chunk, place, chars, CASE WHEN doc % 2 = 0 AND place % 10 = 0 THEN 'parent_text' ELSE 'text' END AS type, CASE WHEN doc % 2 = 0 AND place % 10 BETWEEN 1 AND 8 THEN doc * 100000 + place - place % 10 END AS parent FROM l),
+k AS (SELECT parent, string_agg(chunk::VARCHAR, ',' ORDER BY place) AS kids, count(*) AS n FROM c WHERE parent IS NOT NULL GROUP BY 1),
+f AS (SELECT doc, place, chunk AS unit, chars::BIGINT AS used FROM c WHERE doc % 2 = 1 AND place = 0 UNION ALL SELECT c.doc, c.place, CASE WHEN f.used >= 1500 THEN c.chunk ELSE f.unit END, CASE WHEN f.used >= 1500 THEN c.chars ELSE f.used + c.chars END FROM f JOIN c ON c.doc = f.doc AND c.place = f.place + 1)
+SELECT c.doc, c.chunk AS unit, 'parent' AS kind, c.chunk || coalesce(',' || kids, '') AS chunks, coalesce(n, 0)::INTEGER AS children, c.chars::BIGINT AS chars FROM c LEFT JOIN k ON k.parent = c.chunk WHERE type = 'parent_text'
+UNION ALL SELECT doc, chunk, 'orphan_text', chunk::VARCHAR, 0, chars FROM c WHERE doc % 2 = 0 AND type = 'text' AND parent IS NULL
+UNION ALL SELECT f.doc, unit, 'packed_text', string_agg(c.chunk::VARCHAR, ',' ORDER BY c.place), (count(*) - 1)::INTEGER, sum(c.chars)::BIGINT FROM f JOIN c USING (doc, place) GROUP BY f.doc, unit""")
 def t19_outline_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
-    chunk = F.col("doc") * 100000 + F.col("place")
-    return D.outline_units(lines.select(chunk.alias("chunk"), "place", F.length("line").alias("chars"), F.when(F.col("place") % 10 > 0, chunk - F.col("place") % 10).alias("parent")))
+    chunk, step = F.col("doc") * 100000 + F.col("place"), F.col("place") % 10
+    even = F.col("doc") % 2 == 0
+    kind, parent = F.when(even & (step == 0), "parent_text").otherwise("text"), F.when(even & step.between(1, 8), chunk - step)
+    return D.outline_units(lines.select("doc", chunk.alias("chunk"), "place", kind.alias("type"), parent.alias("parent"), F.length("line").alias("chars")))
 
 
 @query()
@@ -72,3 +79,8 @@ f AS (SELECT grp, slug FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER
 def r7_concept_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = kb_pages(spark, sf_dir).withColumnRenamed("title", "grp")
     return D.concept_preview(k.select("grp", "slug", "kb_id", "version"), k.where("page_id % 50 = 0").select("grp").distinct())
+
+
+@query()
+def t6_split_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.split_plain_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))

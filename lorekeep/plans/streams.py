@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators.graphs import shared_folder
+from lorekeep.plans.fixtures import table
 from lorekeep.plans.registry import query
 from lorekeep.streaming import streams as X
 
@@ -65,3 +66,14 @@ SELECT session, epoch_us(min(ts)) AS start, arg_min(tool, ts) AS tool FROM s GRO
 def x4_stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _drained(spark, X.turns(_events(spark, sf_dir), ["view", "click"]), "complete")
     return out.select("session", F.unix_micros("start").alias("start"), "tool")
+
+
+@query("""SELECT CASE WHEN event_id % 10 IN (3, 7) THEN '' ELSE event_type END AS tool, count(*) FILTER (event_id % 10 NOT IN (3, 7)) AS calls, count(*) FILTER (event_id % 10 IN (3, 7)) AS bad FROM events GROUP BY 1""")
+def x1_stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    told = F.to_json(F.struct(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session"), F.col("event_type").alias("tool"), F.col("value").alias("ms"), F.col("props").alias("payload")))
+    kind = F.col("event_id") % 10
+    line = F.when(kind == 3, F.substring(told, 1, 20)).when(kind == 7, F.lit('{"other": 1}')).otherwise(told)
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex[:12]}"
+    e.select(line.alias("value")).write.text(path)
+    return _drained(spark, X.intake(X.read_calls(spark, path)), "complete")

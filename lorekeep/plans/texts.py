@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators import pages as P
 from lorekeep.operators import texts as X
 from lorekeep.plans.fixtures import table
 from lorekeep.plans.registry import query
@@ -97,6 +98,18 @@ def t10_derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(T.derive_aliases(F.array("p_name", "p_brand", F.lit(" "), "p_type", "p_brand"), F.col("p_brand")), ",").alias("aliases"))
 
 
+@query("""WITH p AS (SELECT 'k' || p_partkey % 3 AS kb_id, 's' || p_partkey AS slug, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE p_name END AS title, 1 + p_partkey % 2 AS version,
+  CASE p_partkey % 4 WHEN 0 THEN [p_name, p_brand] WHEN 1 THEN [' ' || p_name || ' ', p_type, ''] WHEN 2 THEN [p_brand] END AS aliases FROM part),
+n AS (SELECT *, list_filter(aliases, lambda a: trim(a) <> '' AND trim(a) <> trim(title)) AS kept, list_filter(aliases, lambda a: trim(a) = trim(title)) AS removed FROM p)
+SELECT kb_id, slug, title, array_to_string(CASE WHEN trim(title) <> '' AND len(removed) > 0 THEN kept ELSE aliases END, '|') AS aliases, version + (trim(title) <> '' AND coalesce(len(removed), 0) > 0)::INT AS version FROM n""")
+def t10_clean_alias_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    aliases = F.when(k % 4 == 0, F.array("p_name", "p_brand")).when(k % 4 == 1, F.array(F.concat(F.lit(" "), "p_name", F.lit(" ")), F.col("p_type"), F.lit(""))).when(k % 4 == 2, F.array("p_brand"))
+    pages = table(spark, sf_dir, "part").select(F.concat(F.lit("k"), k % 3).alias("kb_id"), F.concat(F.lit("s"), k).alias("slug"), F.when(k % 9 == 0, " ").otherwise(F.col("p_name")).alias("title"), (1 + k % 2).alias("version"), aliases.alias("aliases"))
+    after, _ = P.clean_alias_noise(pages)
+    return after.withColumn("aliases", F.array_join("aliases", "|"))
+
+
 @query("""WITH u AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'doc:a%20b' || doc_id || '#page=3' WHEN 1 THEN 'page:p' || doc_id || '#row=1' WHEN 2 THEN 'graph:n' || doc_id WHEN 3 THEN 'sheet:' WHEN 4 THEN 'odd:x' ELSE 'graph:n#x=1' END AS uri FROM documents),
 p AS (SELECT doc_id, regexp_extract(uri, '^([a-z]+):', 1) AS kind, url_decode(regexp_extract(uri, '^[a-z]+:([^#]*)', 1)) AS target, nullif(regexp_extract(uri, '#(.*)$', 1), '') AS section FROM u)
 SELECT *, CASE WHEN kind NOT IN ('doc', 'page', 'sheet', 'url', 'graph', 'session') THEN 'unknown kind' WHEN target = '' THEN 'no target' WHEN section IS NOT NULL AND kind IN ('graph', 'session') THEN 'no segment allowed'

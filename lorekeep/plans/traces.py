@@ -51,24 +51,34 @@ def p9_flatten_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", L.flatten_field(top, F.get_json_object("props", "$.k")).alias("k"))
 
 
-def _grams(column: str) -> str:
-    return f"list_distinct([substr(x, i::INT, 2) FOR i IN range(1, length(x))])".replace("x", f"regexp_replace(lower({column}), '\\s+', '', 'g')")
-
-
-@query(rf"""WITH q AS (SELECT conv_id * 100 + turn AS question_id, CASE WHEN conv_id % 11 = 0 THEN 'q' || turn ELSE '' END AS qid, text AS question FROM conversations WHERE role = 'user'),
-t AS (SELECT conv_id * 100 + turn AS truth_id, 'q' || conv_id AS qid, [split_part(lower(text), ' ', 1), split_part(lower(text), ' ', 2), split_part(lower(text), ' ', 3)] AS anchors, text AS question FROM conversations WHERE role = 'user' AND conv_id % 9 = 0),
-bq AS (SELECT question_id, min(truth_id) AS by_qid FROM q JOIN t ON q.qid = t.qid WHERE q.qid <> '' GROUP BY 1),
-w AS (SELECT question_id, list_distinct(string_split_regex(lower(question), '\s+')) AS ws FROM q), an AS (SELECT question_id, min(truth_id) AS low, max(truth_id) AS high FROM w JOIN t ON len(list_filter(anchors, lambda a: list_contains(ws, a))) = len(anchors) GROUP BY 1),
-gq AS (SELECT question_id, {_grams('question')} AS g FROM q), gt AS (SELECT truth_id, {_grams('question')} AS h FROM t), s AS (SELECT question_id, truth_id, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS score FROM gq, gt),
-b AS (SELECT question_id, min(truth_id) AS near, count(*) AS ties FROM (SELECT *, rank() OVER (PARTITION BY question_id ORDER BY score DESC) AS place FROM s WHERE score >= 0.62) WHERE place = 1 GROUP BY 1)
-SELECT question_id, CASE WHEN by_qid IS NOT NULL THEN by_qid WHEN low = high THEN low WHEN ties = 1 THEN near END AS truth_id, CASE WHEN by_qid IS NOT NULL THEN 'qid' WHEN low = high THEN 'anchors' WHEN ties = 1 THEN 'similar' ELSE 'none' END AS how
-FROM q LEFT JOIN bq USING (question_id) LEFT JOIN an USING (question_id) LEFT JOIN b USING (question_id)""")
+def _core(column: str) -> str:
+    out = f"lower({column})"
+    for pattern in (r"https?://\S+", r"\b[a-z]+-\d+\b", r"\bv?\d+(\.\d+)*\b", r"\b(please|kindly|could you|can you)\b"):
+        out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
+    return rf"regexp_replace(trim(regexp_replace({out}, '[\s?!.,;:]+', ' ', 'g')), '\s+', '', 'g')"
+
+
+@query(rf"""WITH q AS (SELECT conv_id * 100 + turn AS question_id, CASE WHEN conv_id % 11 = 0 THEN 'Q' || turn ELSE '' END AS qid, {_core('text')} AS core FROM conversations WHERE role = 'user'),
+t AS (SELECT conv_id * 100 + turn AS truth_id, 'q' || conv_id AS qid, list_distinct([lower(w) FOR w IN [split_part(text, ' ', 1), split_part(text, ' ', 2), split_part(text, ' ', 3)]]) AS anchors, CASE WHEN conv_id % 2 = 0 THEN [] ELSE ['the', 'en'] END AS intent, {_core('text')} AS core FROM conversations WHERE role = 'user' AND conv_id % 9 = 0),
+bq AS (SELECT question_id, min(truth_id) AS by_qid FROM q JOIN t ON lower(q.qid) = t.qid WHERE q.core <> '' GROUP BY 1),
+an AS (SELECT DISTINCT truth_id, intent, regexp_replace(unnest(anchors), '\s+', '', 'g') AS x FROM t), sub AS (SELECT truth_id, intent, x, len(s) AS n, s FROM (SELECT truth_id, intent, x, substr(x, i, j) AS s, j AS jj, length(x) - i + 1 AS rest FROM an, unnest(range(1, length(x) + 1)) u(i), unnest(range(2, length(x) + 1)) v(j) WHERE length(x) >= 2) WHERE jj <= rest),
+hit AS (SELECT question_id, truth_id, intent, core, x, max(length(s)) AS common FROM q JOIN sub ON contains(core, s) GROUP BY ALL),
+sc AS (SELECT question_id, truth_id, max((common = length(x))::INT * 1000 + common) AS score FROM hit WHERE (common = length(x) OR common >= 3) AND (len(intent) = 0 OR len(list_filter(intent, lambda w: contains(core, w))) > 0) GROUP BY ALL),
+ba AS (SELECT question_id, min(truth_id) AS by_anchor FROM (SELECT *, rank() OVER (PARTITION BY question_id ORDER BY score DESC) AS place FROM sc) WHERE place = 1 GROUP BY 1 HAVING count(*) = 1),
+gq AS (SELECT question_id, CASE WHEN length(core) < 2 THEN [core] ELSE list_distinct([substr(core, i::INT, 2) FOR i IN range(1, length(core))]) END AS g FROM q WHERE core <> ''), gt AS (SELECT truth_id, CASE WHEN length(core) < 2 THEN [core] ELSE list_distinct([substr(core, i::INT, 2) FOR i IN range(1, length(core))]) END AS h FROM t WHERE core <> ''),
+s AS (SELECT question_id, truth_id, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS score FROM gq, gt),
+bs AS (SELECT question_id, min(truth_id) AS near FROM (SELECT *, rank() OVER (PARTITION BY question_id ORDER BY score DESC) AS place FROM s WHERE score >= 0.62) WHERE place = 1 GROUP BY 1 HAVING count(*) = 1)
+SELECT question_id, coalesce(by_qid, by_anchor, near) AS truth_id, CASE WHEN by_qid IS NOT NULL THEN 'qid' WHEN by_anchor IS NOT NULL THEN 'anchor' WHEN near IS NOT NULL THEN 'sim' ELSE 'none' END AS how
+FROM q LEFT JOIN bq USING (question_id) LEFT JOIN ba USING (question_id) LEFT JOIN bs USING (question_id)""")
 def j15_match_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
     key = F.col("conv_id") * 100 + F.col("turn")
-    questions = users.select(key.alias("question_id"), F.when(F.col("conv_id") % 11 == 0, F.concat(F.lit("q"), "turn")).otherwise("").alias("qid"), F.col("text").alias("question"))
+    questions = users.select(key.alias("question_id"), F.when(F.col("conv_id") % 11 == 0, F.concat(F.lit("Q"), "turn")).otherwise("").alias("qid"), F.col("text").alias("question"))
     word = F.split(F.lower("text"), " ")
-    truth = users.where("conv_id % 9 = 0").select(key.alias("truth_id"), F.concat(F.lit("q"), "conv_id").alias("qid"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.coalesce(F.get(word, i), F.lit(""))).alias("anchors"), F.col("text").alias("question"))
+    anchors = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.coalesce(F.get(word, i), F.lit("")))
+    none = F.array().cast("array<string>")
+    truth = users.where("conv_id % 9 = 0").select(key.alias("truth_id"), F.array(F.concat(F.lit("q"), "conv_id")).alias("qids"), anchors.alias("anchors"),
+        F.when(F.col("conv_id") % 2 == 0, none).otherwise(F.array(F.lit("the"), F.lit("en"))).alias("intent"), F.array("text").alias("questions"))
     return R.match_truth(questions, truth, 0.62)
 
 

@@ -13,10 +13,22 @@ CALL = StructType([
 ])
 
 
+def parsed_calls(lines: DataFrame) -> DataFrame:
+    """The calls of JSON lines (value), and ``bad`` with a line that does not parse or names no call."""
+    call = F.from_json("value", CALL, {"mode": "PERMISSIVE"})
+    rows = lines.select(call.alias("c"), "value")
+    wrong = F.col("c").isNull() | F.col("c.call_id").isNull()
+    return rows.select("c.*", F.when(wrong, F.col("value")).alias("bad"))
+
+
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines as they arrive; what does not parse comes as a row in ``bad``."""
-    schema = StructType([*CALL.fields, StructField("bad", StringType())])
-    return spark.readStream.schema(schema).option("columnNameOfCorruptRecord", "bad").json(path)
+    """JSON lines as they arrive in a folder."""
+    return parsed_calls(spark.readStream.text(path))
+
+
+def intake(calls: DataFrame) -> DataFrame:
+    """tool, calls, bad: how many lines came in, running totals."""
+    return calls.groupBy(F.coalesce("tool", F.lit("")).alias("tool")).agg(F.count_if(F.col("bad").isNull()).alias("calls"), F.count("bad").alias("bad"))
 
 
 def sessions(calls: DataFrame, gap: str = "90 seconds", late: str = "10 minutes") -> DataFrame:
