@@ -3,12 +3,16 @@
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators import audits as A
+from lorekeep.operators import documents as D
 from lorekeep.operators import evaluation as E
 from lorekeep.operators import graphs as G
 from lorekeep.operators import lineage as L
 from lorekeep.operators import pages as P
 from lorekeep.operators import search as S
 from lorekeep.operators import windows as W
+from lorekeep.operators.traces import match_truth
+from lorekeep.sources.logs import read_context_log
 
 
 def one(spark, column):
@@ -32,12 +36,152 @@ def test_set_similarities_of_empty_sets(spark):
     assert one(spark, T.count_cosine(array("a", "a", "b"), array("a"))) > one(spark, T.set_cosine(array("a", "a", "b"), array("a")))
 
 
+def judged(spark, *sets):
+    found = E.compare_sets(*sets)
+    return spark.range(1).select(*[c.alias(n) for n, c in found.items()]).first()
+
+
 def test_any_of_groups(spark):
-    groups = F.array(array("x", "y"), array("z"))
-    found = E.compare_sets(array("a", "x", "q"), array("a", "b"), array("q"), groups)
-    row = spark.range(1).select(*[c.alias(n) for n, c in found.items()]).first()
-    assert (row.n_missing, row.n_extra, row.n_forbidden) == (2, 1, 1)
-    assert row.precision == 2 / 3 and row.recall == 0.5 and not row.strict
+    none = F.array().cast("array<array<string>>")
+    groups = F.array(array("b", "x"), array("z"))
+    row = judged(spark, array("a", "x", "q"), array("a", "b"), array("q"), groups)  # x clears b, its copy
+    assert (row.n_missing, row.n_extra, row.n_forbidden) == (0, 2, 1)
+    assert row.precision == 1 / 3 and row.recall == 1.0 and not row.strict
+    row = judged(spark, array("a", "q"), array("a", "b"), array(), groups)
+    assert (row.n_missing, row.n_extra, row.precision, row.recall) == (1, 1, 0.5, 0.5)
+    assert judged(spark, array("r1", "r2", "r3"), array("r1", "r2", "r3"), array("r9"), none).strict
+    assert judged(spark, array("r1", "r2"), array("r1", "r2", "r3"), array("r9"), none).n_missing == 1
+    assert judged(spark, array("r1", "r2", "r3", "r4"), array("r1", "r2", "r3"), array("r9"), none).n_extra == 1
+    wrong = judged(spark, array("r1", "r2", "r3", "r9"), array("r1", "r2", "r3"), array("r9"), none)
+    assert wrong.n_forbidden == 1 and not wrong.strict
+    nothing = judged(spark, array(), array(), array(), none)
+    assert (nothing.precision, nothing.recall, nothing.f1, nothing.strict) == (0.0, 0.0, 0.0, True)
+
+
+def test_evidence_score(spark):
+    fact = "rule string, status string, confidence string, source_type string, quote string, locator string, required boolean"
+    rows = [
+        ("full", "present", "high", "doc_table", "q", "p", None),  # .45 + .30 + .15 + .06
+        ("words", None, " Medium ", "table", "q", " ", True),  # coverage 1, trust .7, no locator
+        ("number", "present", "1.7", "rumour", "q", "p", True),  # clamped to 1, unknown source .5
+        ("blocked", "unavailable", "high", "graph", "q", "p", None), ("blocked", "present", "high", "graph", "q", "p", True),
+        ("free", "unavailable", "high", "graph", "q", "p", False), ("free", "present", "high", "graph", "q", "p", True),
+        ("odd", "guessed", "high", "graph", "q", "p", True), ("verified", "absent_verified", "high", "graph", "q", "p", True),
+    ]
+    checks = spark.createDataFrame([("number", "supported"), ("number", "unclear"), ("only", "supported")], "rule string, verdict string")
+    got = {r.rule: (r.score, r.gate, r.level) for r in E.evidence_score(spark.createDataFrame(rows, fact), checks).collect()}
+    assert got["full"] == (0.96, "ok", "high")
+    assert got["words"] == (round(0.45 + 0.30 * 0.7 + 0.06, 6), "ok", "medium")
+    assert got["number"] == (round(0.45 + 0.15 + 0.15 + 0.10 * 0.65, 6), "ok", "high")
+    assert got["blocked"] == (round(0.45 * 0.6 + 0.30 * 0.95 + 0.15 + 0.06, 6), "insufficient", "low")
+    assert got["free"][1:] == ("ok", "medium") and got["only"] == (0.1, "insufficient", "low")
+    assert got["odd"][0] == round(0.45 * 0.5 + 0.15 + 0.06, 6) and got["verified"][0] == round(0.45 + 0.15 + 0.06, 6)
+
+
+def test_conformance_keeps_intent_and_fitness_apart(spark):
+    rows = [(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "a", 2), (2, "old", 3), (3, "a", 1), (3, "zzz", 2)]
+    calls = spark.createDataFrame([(s, t, n, n) for s, t, n in rows], "session int, tool string, ts int, call_id int")
+    got = {r.session: r for r in E.conformance(calls, {"first": ["a"], "second": ["b"]}, ["old"]).collect()}
+    assert (got[1].intent, got[1].fitness, got[1].passed) == (1.0, 1.0, True)
+    assert (got[2].retired, got[2].intent, got[2].fitness, got[2].passed) == (1, 0.6667, 1.0, False)
+    assert (got[3].out_of_scope, got[3].intent, got[3].coverage, got[3].passed) == (1, 0.5, 0.5, False)
+
+
+def test_common_ancestor_walks_first_parents(spark):
+    tree = spark.createDataFrame([(4, 2, True), (5, 3, True), (5, 2, False), (2, 1, True), (3, 1, True)], "child int, parent int, first boolean")
+    groups = spark.createDataFrame([("g", 4, True), ("g", 5, False), ("alone", 4, True)], "grp string, node int, first boolean")
+    found = G.common_ancestor(groups, G.ancestors(tree.where("first"))).collect()
+    assert [(r.grp, r.common) for r in found] == [("g", 1)]  # over all parents it would be 2
+
+
+def test_context_log_keeps_the_last_value(spark):
+    lines = ["request=1 session=old", "request=1 round=1 prompt=9 context=5", "request=1 round=1 prompt=4 actual=7", "request=1 round=1 context=8", "request=1 usage=3", "request=1 session=new usage=4"]
+    row = read_context_log(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")).first()
+    assert (row.prompt, row.actual, row.context, row.session, row.usages, row.used) == (4, 7, 5, "new", 2, 7)
+
+
+def test_denied_claims(spark):
+    texts = ["系统不存在越权问题。", "系统存在越权问题", "并非越权问题；但有越权问题", "无法符合", "判定符合", "不符合"]
+    reports = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "case_id int, text string, steps string")
+    cases = spark.createDataFrame([(i, "符合", [], ["越权问题"], [], []) for i in range(6)], "case_id int, expected string, patterns array<string>, forbidden array<string>, markers array<string>, required array<string>")
+    got = {r.case_id: r for r in A.score_cases(reports, cases).collect()}
+    assert [got[i].clean for i in range(3)] == [True, False, False]
+    assert [got[i].verdict for i in (3, 4, 5)] == [True, True, False]
+
+
+def test_context_signals_are_means_over_all_pairs(spark):
+    import itertools
+    import math
+    from collections import Counter
+
+    texts = ["one text here", "one text there", "", "quite another", "one text here"]
+    rels = [["a", "b"], ["a"], [], [], ["b", "a"]]
+    rows = spark.createDataFrame([(1, i, t, r) for i, (t, r) in enumerate(zip(texts, rels, strict=True))], "grp int, page_id int, summary string, relations array<string>")
+
+    def cosine(x, y):
+        a, b = (Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in (x, y))
+        size = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return sum(a[g] * b[g] for g in a) / size if size else 0.0
+
+    def alike(x, y):
+        x, y = set(x), set(y)
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    pairs = list(itertools.combinations(range(5), 2))
+    assert abs(A.mean_cosine(rows, "summary").first().definition - sum(cosine(texts[i], texts[j]) for i, j in pairs) / 10) < 1e-9
+    assert abs(A.mean_jaccard(rows, "relations").first().relations - sum(alike(rels[i], rels[j]) for i, j in pairs) / 10) < 1e-9
+
+
+def test_truth_is_matched_by_the_more_specific_anchor(spark):
+    truth = spark.createDataFrame([
+        ("T1", ["n-1"], ["moving servers", "xy"], [], ["which rules for moving servers"]),
+        ("T2", ["N-1"], ["servers review"], ["rules"], ["all rules of the servers review policy"]),
+    ], "truth_id string, qids array<string>, anchors array<string>, intent array<string>, questions array<string>")
+    asked = [("by id", "n-1 ", "anything at all"), ("whole", "", "rules about moving servers please"), ("tie", "", "the rules: serv"), ("longer", "", "rules of a servers revue"), ("no intent", "", "about a servers review"), ("short", "", "xy"), ("none", "", "weather today"), ("blank", "n-1", "")]
+    got = {r.question_id: (r.truth_id, r.how) for r in match_truth(spark.createDataFrame(asked, "question_id string, qid string, question string"), truth, 0.62).collect()}
+    assert got == {"by id": ("T1", "qid"), "whole": ("T1", "anchor"), "tie": (None, "none"), "longer": ("T2", "anchor"), "no intent": ("T1", "anchor"), "short": ("T1", "anchor"), "none": (None, "none"), "blank": (None, "none")}
+
+
+def test_groups_of_questions_as_in_one_pass(spark):
+    import random
+
+    r = random.Random(3)
+    stems = ["which rules apply to moving servers", "who may sign a contract", "list all tasks of the review"]
+    rows = []
+    for n in range(160):
+        text = list(r.choice(stems))
+        for _ in range(r.randint(0, 9)):
+            text[r.randrange(len(text))] = r.choice("abcdef ")
+        rows.append((n, r.choice(["", "", "", "q1", "q2", "q3", "q4"]), "".join(text) if r.random() > 0.05 else "", r.randint(0, 40)))
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} or {t}
+    leaders, by_qid, want = [], {}, {}
+    for n, qid, core, _ in sorted(rows, key=lambda x: (x[3], x[0])):
+        if not core:
+            want[n] = by_qid.get(qid, "G0") if qid else "G0"
+            continue
+        name = by_qid.get(qid) if qid else None
+        if name is None:
+            scored = [(len(grams(core) & grams(c)) / len(grams(core) | grams(c)), -i) for i, (_, c) in enumerate(leaders)]
+            best = max(scored, default=(0.0, 0))
+            name = leaders[-best[1]][0] if best[0] >= 0.62 else f"G{n}"
+            if best[0] < 0.62:
+                leaders.append((name, core))
+        if qid:
+            by_qid[qid] = name
+        want[n] = name
+    got = {x.row_id: x.question_group for x in W.group_questions(spark.createDataFrame(rows, "row_id long, qid string, core string, ts int")).collect()}
+    assert got == {n: ("G0" if not core else want[n]) for n, _, core, _ in rows} and len(leaders) > 5
+
+
+def test_plain_text_sections(spark):
+    long = "这是一句话。" * 30
+    text = f"before\n1.2 First part\nbody one\n\n第三章 总则\n{long}\nShort line\n{'x' * 50}\n2 Empty\n3 Again\nbody one\n4 More\nbody one"
+    docs = spark.createDataFrame([(1, text), (2, "no headings here.\nat all."), (3, None), (4, " ")], "doc int, text string")
+    got = [(r.doc, r.title, r.number, r.text) for r in D.split_plain_text(docs, 100).orderBy("doc", "place", "part").collect()]
+    parts = [long[i : i + 96] for i in range(0, 180, 96)]
+    assert got[:1] == [(1, "1.2 First part", "1.2", "body one")]
+    assert [g[3] for g in got[1:3]] == parts and {g[1] for g in got[1:3]} == {"第三章 总则"}
+    assert got[3:] == [(1, "Short line", "", "x" * 50), (1, "3 Again", "3", "body one"), (2, "", "", "no headings here.\nat all.")]
 
 
 def test_ties_are_refused(spark):
@@ -60,7 +204,7 @@ def test_session_gap_is_strict(spark):
 
 def test_denied_beats_allowed_and_expired_is_no_denial(spark):
     items = spark.createDataFrame([(1, "A", "1.2"), (2, "A", "1.10"), (3, "B", "1.0"), (4, "A", "9")], "item_id int, software string, version string")
-    allow = spark.createDataFrame([("a", "1.2", "2", ""), ("b", None, None, "2020-01-01")], "software string, low string, high string, expires_at string")
+    allow = spark.createDataFrame([(1, "a", "", "1.2", "2", ""), (2, "b", "1.0", None, None, "2020-01-01"), (3, "B", "1.0", None, None, "")], "pos int, software string, version string, low string, high string, expires_at string")
     deny = spark.createDataFrame([("a", "1.2")], "software string, version string")
     found = {r.item_id: r.verdict for r in S.catalog_check(items, allow, deny, "2024-01-01").collect()}
     assert found == {1: "denied", 2: "allowed", 3: "expired", 4: "unknown"}
@@ -80,8 +224,8 @@ def test_fingerprint_ignores_order(spark):
 
 
 def test_cycles_and_diamonds(spark):
-    tree = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, 5), (5, 6), (6, 4), (7, 8), (7, 9), (8, 10), (9, 10)], "child int, parent int")
-    assert sorted(r.cycle for r in G.hierarchy_cycles(tree).collect()) == [[1], [2, 3], [4, 5, 6]]
+    tree = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, 5), (5, 6), (6, 4), (7, 8), (7, 9), (8, 10), (9, 10)] + [(20 + i, 20 + (i + 1) % 12) for i in range(12)], "child int, parent int")
+    assert sorted(r.cycle for r in G.hierarchy_cycles(tree).collect()) == [[1], [2, 3], [4, 5, 6], list(range(20, 32))]
     closure = G.ancestors(tree)
     assert closure.where("node = 7 and ancestor = 10").first().distance == 2
 
