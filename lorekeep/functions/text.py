@@ -44,6 +44,16 @@ def question_core(text: Column) -> Column:
     return F.trim(F.regexp_replace(core, r"[\s?!.,;:]+", " "))
 
 
+#: Where a question names its case: fixed values.
+CASE_NUMBERS = (r"编号\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})", r"(?i)\b(?:no|no\.|id)\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})")
+
+
+def extract_qid(text: Column) -> Column:
+    """The number of the case that a question names, in lower case; empty where it names none."""
+    found = [F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1), F.lit("")) for pattern in CASE_NUMBERS]
+    return F.lower(F.coalesce(*found, F.lit("")))
+
+
 def question_key(text: Column) -> Column:
     return F.substring(squash(F.lower(text)), 1, 80)
 
@@ -183,6 +193,13 @@ def render_title(template: str, values: dict[str, Column]) -> Column:
     return out
 
 
+def description_of(told: list[Column], unmapped: dict[str, Column], none: str = "（源表未提供）") -> Column:
+    """The columns that describe a row, then the ones that map to nothing as ``【name】value``; blank ones are left out."""
+    parts = [F.nullif(F.trim(c), F.lit("")) for c in told]
+    parts += [F.concat(F.lit(f"【{name}】"), F.nullif(F.trim(c.cast("string")), F.lit(""))) for name, c in unmapped.items()]
+    return F.coalesce(F.nullif(F.concat_ws("\n\n", *parts), F.lit("")), F.lit(none))
+
+
 def derive_summary(definition: Column, note: Column, fallback: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (definition, note)], fallback)
 
@@ -206,3 +223,10 @@ def parse_locator(uri: Column) -> dict[str, Column]:
         .when(section.isNotNull() & (F.element_at(F.split(section, "="), 1) != allowed[kind]), "wrong segment")
     )
     return {"kind": kind, "target": target, "section": section, "error": error}
+
+
+def build_locator(kind: Column, target: Column, segment: Column, value: Column) -> Column:
+    """The pointer that ``parse_locator`` reads back: ``kind:target#segment=value``, percent-encoded; null without a target."""
+    encoded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    tail = F.when(F.coalesce(segment, F.lit("")) != "", F.concat(F.lit("#"), segment, F.lit("="), encoded(value))).otherwise("")
+    return F.when(F.coalesce(target, F.lit("")) != "", F.concat(kind, F.lit(":"), encoded(target), tail))

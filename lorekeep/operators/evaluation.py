@@ -37,13 +37,14 @@ def version_match(version: Column, pattern: str) -> Column:
 
 
 def cohort_reasons(rows: DataFrame, since: Column, until: Column, version: str, selftest: Column, first: str) -> DataFrame:
-    """Adds ``reason``: why a row is left out, the first that applies, or null."""
+    """Adds ``reason``: why a row is left out, the first that applies, or null (self_report: what a call says of being first)."""
     reason = (
         F.when((F.col("ts") < since) | (F.col("ts") >= until), "out_of_range")
         .when(~version_match(F.col("version"), version), "version_mismatch")
         .when(selftest, "selftest")
         .when(F.col("qid").isNull(), "turn_missing")
         .when(F.col("tool") != first, "first_retrieval_other")
+        .when(~F.coalesce("self_report", F.lit(True)), "self_report_false")
     )
     return rows.withColumn("reason", reason)
 
@@ -244,35 +245,49 @@ def evidence_score(facts: DataFrame, checks: DataFrame, threshold: float = 0.6)
     return scored.select("rule", "score", F.when(failed, "insufficient").otherwise("ok").alias("gate"), level.alias("level"))
 
 
-def rule_run_summary(items: DataFrame, rules: DataFrame, verdicts: list[str]) -> DataFrame:
-    """Per rule (rules: rule) the count of every verdict, zeros included, n, traceable rate and vetoes."""
-    counts = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in verdicts]
-    grouped = rules.join(items, "rule", "left").groupBy("rule").agg(
-        *counts,
-        F.count("verdict").alias("n"),
-        F.avg(F.when(F.col("verdict").isNotNull(), (F.coalesce("quote", F.lit("")) != "").cast("double"))).alias("traceable"),
-        F.count_if((F.col("verdict") == verdicts[-1]) & (F.col("severity") == "high")).alias("vetoes"),
+def rule_run_summary(items: DataFrame, rules: DataFrame, verdicts: list[str], veto: tuple[str, str], threshold: float = 0.6, high: float = 0.8) -> DataFrame:
+    """Per rule (rules: rule, applies_when) the count of every verdict, zeros included, items, traceable, vetoes, gate, level.
+
+    An item (rule, verdict, quote, doc_loc, severity) is traceable with both a quote and a place; a veto has the
+    verdict and severity of ``veto``.  A rule with items passes by its traceable share; one without is
+    ``not_applicable`` if it applies under a condition, else ``not_triggered``.
+    """
+    counts = [F.count_if(F.trim("verdict") == v).alias(f"n_{v}") for v in verdicts]
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    traced = ~blank("quote") & ~blank("doc_loc")
+    marked = items.withColumn("item", F.lit(1))
+    grouped = rules.join(marked, "rule", "left").groupBy("rule").agg(
+        F.max("applies_when").alias("applies_when"), *counts, F.count("item").alias("n"), (F.count_if(traced) / F.nullif(F.count("item"), F.lit(0))).alias("traceable"),
+        F.count_if((F.trim("verdict") == veto[0]) & (F.trim("severity") == veto[1])).alias("vetoes"),
     )
-    gate = F.when(F.col("n") == 0, "not_triggered").when(F.col("vetoes") > 0, "insufficient").otherwise("ok")
-    return grouped.withColumn("gate", gate)
+    rate = F.coalesce("traceable", F.lit(0.0))
+    conditional = ~F.trim(F.coalesce("applies_when", F.lit(""))).isin("", "always")
+    gate = F.when(F.col("n") == 0, F.when(conditional, "not_applicable").otherwise("not_triggered")).when(rate >= threshold, "ok").otherwise("insufficient")
+    level = F.when(F.col("n") == 0, "n/a").when(rate >= high, "high").when(rate >= threshold, "medium").otherwise("low")
+    return grouped.withColumns({"traceable": rate, "gate": gate, "level": level}).drop("applies_when")
 
 
-def io_totals(calls: DataFrame) -> DataFrame:
-    """Per tool: calls, those whose IO is known, queries, ms, and the empty rate over known ones only."""
-    return calls.groupBy("tool").agg(
-        F.count("*").alias("calls"),
-        F.count_if("has_io").alias("known"),
-        F.sum(F.when(F.col("has_io"), F.col("queries")).otherwise(0)).alias("queries"),
-        F.sum("ms").alias("ms"),
-        (F.count_if(F.col("has_io") & (F.col("hits") == 0)) / F.count_if("has_io")).alias("empty_rate"),
+def io_totals(trips: DataFrame) -> DataFrame:
+    """Per call and kind of store, and over all kinds (``io``): trips, ms, errors, rows, hit, empty, unknown, empty_rate, ok.
+
+    trips: call, kind, ms, ok, rows (null where it can't be told).  A trip without rows is a failure; one that can't be
+    told is neither, so the empty rate is over known ones only.
+    """
+    known, rows = F.col("rows").isNotNull(), F.col("rows")
+    each = trips.withColumn("of", F.explode(F.array(F.col("kind"), F.lit("io"))))
+    out = each.groupBy("call", F.col("of").alias("kind")).agg(
+        F.count("*").alias("trips"), F.round(F.sum("ms"), 1).alias("ms"), F.count_if(~F.col("ok")).alias("errors"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.count_if(rows > 0).alias("hit"), F.count_if(rows == 0).alias("empty"), F.count_if(~known).alias("unknown"),
     )
+    rate = F.when(F.col("hit") + F.col("empty") > 0, F.round(F.col("empty") / (F.col("hit") + F.col("empty")), 4))
+    return out.withColumns({"empty_rate": rate, "ok": F.col("hit") > 0})
 
 
-def top_callers(calls: DataFrame, n: int = 6) -> DataFrame:
-    """Per tool the ``n`` sessions with most time."""
-    spent = calls.groupBy("tool", "session").agg(F.sum("ms").alias("ms"))
-    place = F.row_number().over(Window.partitionBy("tool").orderBy(F.desc("ms"), "session"))
-    return spent.withColumn("place", place).where(F.col("place") <= n)
+def top_callers(trips: DataFrame, n: int = 6) -> DataFrame:
+    """Per kind of store the ``n`` callers (who) with most trips, ties by name."""
+    made = trips.where(F.coalesce("who", F.lit("")) != "").groupBy("kind", "who").agg(F.count("*").alias("trips"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("trips"), "who"))
+    return made.withColumn("place", place).where(F.col("place") <= n)
 
 
 def coverage_matrix(calls: DataFrame) -> DataFrame:

@@ -49,6 +49,27 @@ def ancestors(subclasses: DataFrame, depth: int = MOST_ROUNDS) -> DataFrame:
     return found
 
 
+def module_closure(requires: DataFrame, key: DataFrame, downstream: bool = False) -> DataFrame:
+    """module, distance: what the modules of ``key`` (node) require, nearest first, or what requires them, furthest first.
+
+    Only what can be reached from the key is walked, not the whole hierarchy.
+    """
+    step = requires.select("child", "parent") if not downstream else requires.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    step = settled(step.where("child != parent").distinct(), "steps")
+    found = settled(key.select(F.col("node").alias("module"), F.lit(0).alias("distance")).distinct(), "closure")
+    frontier = found
+    for distance in range(1, MOST_ROUNDS + 1):
+        further = frontier.join(step, F.col("module") == F.col("child")).select(F.col("parent").alias("module")).distinct()
+        frontier = settled(further.join(found, "module", "left_anti").withColumn("distance", F.lit(distance)), "frontier")
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    else:
+        raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
+    out = found.where("distance > 0")
+    return out.orderBy(F.desc("distance") if downstream else "distance", "module")
+
+
 def top_ancestor(subclasses: DataFrame, closure: DataFrame) -> DataFrame:
     """node, top: the nearest ancestor without parents, ties by name."""
     has_parent = subclasses.select(F.col("child").alias("ancestor")).distinct()

@@ -29,6 +29,14 @@ def doc_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def doc_totals(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """documents by status, pages, pages without a source and citations, over all pages (slug, source_refs)."""
+    docs = index.groupBy("doc_id").agg(F.max("status").alias("status"))
+    by = docs.agg(F.count("*").alias("documents"), *[F.count_if(F.col("status") == s).alias(s) for s in ("live", "deleted", "missing")])
+    of = pages.agg(F.count("*").alias("pages"), F.count_if(F.size(F.coalesce("source_refs", F.array().cast("array<bigint>"))) == 0).alias("without_source"), F.sum(F.size("source_refs")).alias("citations"))
+    return by.crossJoin(of)  # one row each
+
+
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges whose target is no live node (nodes: slug)."""
     return edges.distinct().join(nodes.select(F.col("slug").alias("dst")), "dst", "left_anti")

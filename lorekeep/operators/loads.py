@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sheet_profile(rows: DataFrame) -> DataFrame:
-    """column, filled, distinct_values, is_unique of every column, in one pass."""
-    names = rows.columns
-    text = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names}
-    one = rows.agg(*[F.struct(F.count(text[c]).alias("filled"), F.count_distinct(text[c]).alias("distinct_values")).alias(c) for c in names])
-    long = one.unpivot([], names, "column", "s")
-    return long.select("column", "s.filled", "s.distinct_values", (F.col("s.filled") == F.col("s.distinct_values")).alias("is_unique"))
+def sheet_profile(rows: DataFrame, header: dict[str, str], order: str, sample: int = 3) -> DataFrame:
+    """column, header, duplicate, empty, filled, distinct_values, is_unique, sample of the columns of a sheet.
+
+    ``header`` names each column as the sheet does, so names may stand twice; ``order`` is the rows' order.  Blank cells
+    count as empty.  Cells are counted by column and value first, so a hot value is one row before the values are.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("")).alias("value")) for c in header]))
+    values = rows.select(cells.alias("c")).select("c.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = values.groupBy("column").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct_values"))
+    first = rows.orderBy(order).limit(sample).select(F.col(order).alias("o"), cells.alias("c"))
+    shown = first.groupBy("c.column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", F.coalesce("c.value", F.lit("")).alias("v")))), lambda s: s["v"]), "|").alias("sample"))
+    names = list(header.values())
+    listed = rows.sparkSession.createDataFrame([(c, n, names.count(n) > 1) for c, n in header.items()], "column string, header string, duplicate boolean")
+    out = listed.join(counts, "column", "left").join(shown, "column", "left").fillna(0, ["filled", "distinct_values"])
+    unique = (F.col("filled") > 0) & (F.col("filled") == F.col("distinct_values"))
+    return out.select("column", "header", "duplicate", (F.col("filled") == 0).alias("empty"), "filled", "distinct_values", unique.alias("is_unique"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 def plan_entities(sheet: DataFrame, key: str, existing: DataFrame) -> DataFrame:

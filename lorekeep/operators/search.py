@@ -54,19 +54,21 @@ def allowed_scope(attached: Column, domain: Column, work: Column, mode: Column)
     return F.when(mode == "all", attached).otherwise(F.array_intersect(F.array_union(domain, work), attached))
 
 
-def map_enums(rows: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
-    """``column`` by its business value; what has none stays and is flagged in ``unmapped``."""
+def map_enums(rows: DataFrame, column: str, names: dict[str, str], back: bool = False) -> DataFrame:
+    """``column`` by its business value, or ``back`` from it (the first value of a name); what has none stays and is flagged in ``unmapped``."""
+    names = dict(reversed([(v, k) for k, v in names.items()])) if back else names
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     value = table[F.col(column)]
     return rows.withColumn("unmapped", F.col(column).isNotNull() & value.isNull()).withColumn(column, F.coalesce(value, F.col(column)))
 
 
-def question_shape(terms: Column, classes: Column) -> dict[str, Column]:
-    """n_terms, bucket and shape of a question by its syntax alone."""
-    n = F.size(terms)
+def question_shape(mode: Column, terms: Column, classes: Column) -> dict[str, Column]:
+    """n_terms, bucket, level and shape of a question by its syntax alone: terms count in modes of key words, else as one."""
+    n = F.when(F.lower(F.trim(mode)).isin("keyword", "route"), F.size(terms)).otherwise(1)
     bucket = F.when(n >= 3, F.lit("3+")).otherwise(n.cast("string"))
-    kind = F.when((n == 0) & (classes == 0), "empty").when(classes == 0, "terms").when(n == 0, "class").otherwise("class+terms")
-    return {"n_terms": n, "bucket": bucket, "shape": F.concat_ws("/", kind, bucket)}
+    some, scoped = F.size(terms) > 0, F.size(classes) > 0
+    level = F.when(F.lower(F.trim(mode)) == "instances", "instance").when(scoped & some, "class+text").when(scoped, "class").when(some, "text").otherwise("none")
+    return {"n_terms": n, "bucket": bucket, "level": level, "shape": F.concat_ws("|", bucket, level)}
 
 
 def question_category(question: Column) -> Column:
@@ -77,13 +79,20 @@ def question_category(question: Column) -> Column:
     )
 
 
-def result_shape(receipt: Column) -> Column:
-    """timeout, error, dry, ok, ok_brief or silent of a call's JSON receipt, in that order."""
-    keys = F.json_object_keys(receipt)
-    has = lambda *names: F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))
+#: Fields of a receipt that hold its payload, and those by which a call was turned away; fixed values.
+PAYLOAD = ("count", "hits", "items", "rows", "pages", "rules", "candidates", "data")
+TURNED_AWAY = ("need_session", "need_kb_selection", "kb_unresolved", "retired")
+
+
+def result_shape(receipt: Column, done: Column) -> Column:
+    """timeout, guard, error, ok, dry, ok_brief or silent of a call's JSON receipt, in that order."""
+    keys = F.coalesce(F.json_object_keys(receipt), F.array().cast("array<string>"))
+    has = lambda names: F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))
+    says = lambda word: F.lower(F.get_json_object(receipt, "$.ok")).eqNullSafe(word) | F.lower(F.get_json_object(receipt, "$.applied")).eqNullSafe(word)
+    error = F.get_json_object(receipt, "$.error")
     return (
-        F.when(receipt.isNull(), "timeout").when(has("error"), "error").when(has("dry_run"), "dry")
-        .when(has("ok") & (F.size(keys) > 2), "ok").when(has("ok"), "ok_brief").otherwise("silent")
+        F.when(~done, "timeout").when(has(TURNED_AWAY), "guard").when(error.isNotNull() & ~error.isin("", "0", "false", "[]", "{}"), "error").when(says(F.lit("true")), "ok").when(says(F.lit("false")), "dry")
+        .when(has(PAYLOAD), "ok").when(F.size(keys) > 0, "ok_brief").otherwise("silent")
     )
 
 
@@ -214,13 +223,16 @@ def resolve_names(raw: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def cross_kb_same_key(pages: DataFrame) -> DataFrame:
-    """Groups of pages over several knowledge bases with one normal title (L2) or slug name (L1).
+    """Groups of pages over several knowledge bases with one slug name (L1), one class and normal title (L2) or both (L1+L2).
 
     One row per page of such a group: level, key, kb_id, page_id, kbs.  Pages are grouped by key, not paired.
     """
+    slug, title = F.col("norm_slug"), F.nullif(F.col("norm_title"), F.lit(""))
+    named = F.concat_ws("|", F.coalesce("page_type", F.lit("")), title)
+    both = F.when((slug != "") & title.isNotNull(), F.concat_ws("|", slug, named))
     out = None
-    for level, column in (("L1", "norm_slug"), ("L2", "norm_title")):
-        keyed = pages.select("kb_id", "page_id", F.col(column).alias("key")).where("key != ''")
+    for level, key in (("L1", slug), ("L2", F.when(title.isNotNull(), named)), ("L1+L2", both)):
+        keyed = pages.select("kb_id", "page_id", key.alias("key")).where("key != ''")
         wide = keyed.groupBy("key").agg(F.count_distinct("kb_id").alias("kbs")).where("kbs > 1")
         part = keyed.join(wide, "key").select(F.lit(level).alias("level"), "key", "kb_id", "page_id", "kbs")
         out = part if out is None else out.unionByName(part)

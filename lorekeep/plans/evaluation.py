@@ -10,12 +10,12 @@ from lorekeep.plans.fixtures import CALLS, calls, table
 from lorekeep.plans.registry import query
 
 REASON = """CASE WHEN ts < TIMESTAMP '2024-01-05' OR ts >= TIMESTAMP '2024-01-25' THEN 'out_of_range' WHEN NOT starts_with(version, 'v1') THEN 'version_mismatch'
-  WHEN call_id % 13 = 0 THEN 'selftest' WHEN qid = 11 THEN 'turn_missing' WHEN tool <> 'view' THEN 'first_retrieval_other' END"""
+  WHEN call_id % 13 = 0 THEN 'selftest' WHEN qid = 11 THEN 'turn_missing' WHEN tool <> 'view' THEN 'first_retrieval_other' WHEN call_id % 3 = 0 THEN 'self_report_false' END"""
 
 
 @query(f"WITH {CALLS} SELECT coalesce({REASON}, 'kept') AS reason, count(*) AS rows FROM calls GROUP BY 1")
 def p3_cohort_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calls(spark, sf_dir).withColumn("qid", F.when(F.col("qid") != 11, F.col("qid")))
+    rows = calls(spark, sf_dir).withColumns({"qid": F.when(F.col("qid") != 11, F.col("qid")), "self_report": F.when(F.col("call_id") % 3 < 2, F.col("call_id") % 3 == 1)})
     since, until = F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-25").cast("timestamp")
     return E.cohort_counts(E.cohort_reasons(rows, since, until, "v1", F.col("call_id") % 13 == 0, "view"))
 
@@ -170,29 +170,42 @@ def a14_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.evidence_score(*_facts(spark, sf_dir), 0.6)
 
 
-@query("""WITH i AS (SELECT l_partkey % 40 AS rule, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'open' ELSE 'fail' END AS verdict, CASE WHEN l_tax > 0.01 THEN 'q' END AS quote, CASE WHEN l_quantity > 49 THEN 'high' ELSE 'low' END AS severity
-  FROM lineitem WHERE l_partkey % 40 < 35), r AS (SELECT p_partkey AS rule FROM part WHERE p_partkey < 40),
-g AS (SELECT rule, count(*) FILTER (verdict = 'pass') AS n_pass, count(*) FILTER (verdict = 'open') AS n_open, count(*) FILTER (verdict = 'fail') AS n_fail, count(verdict) AS n,
-  avg((coalesce(quote, '') <> '')::INT) FILTER (verdict IS NOT NULL) AS traceable, count(*) FILTER (verdict = 'fail' AND severity = 'high') AS vetoes FROM r LEFT JOIN i USING (rule) GROUP BY rule)
-SELECT *, CASE WHEN n = 0 THEN 'not_triggered' WHEN vetoes > 0 THEN 'insufficient' ELSE 'ok' END AS gate FROM g""")
+@query("""WITH i AS (SELECT l_partkey AS rule, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'open' ELSE ' fail' END AS verdict, CASE WHEN l_tax > 0.01 THEN 'q' END AS quote, CASE WHEN l_linenumber % 5 > 0 THEN 'p' ELSE ' ' END AS doc_loc, CASE WHEN l_quantity > 40 THEN 'high' ELSE 'low' END AS severity FROM lineitem),
+r AS (SELECT p_partkey AS rule, CASE WHEN p_partkey % 3 = 0 THEN 'when asked' ELSE 'always' END AS applies FROM part UNION ALL SELECT -s_suppkey - 1, CASE WHEN s_suppkey % 2 = 0 THEN 'if new' END FROM supplier),
+g AS (SELECT rule, any_value(applies) AS applies, count(*) FILTER (verdict = 'pass') AS n_pass, count(*) FILTER (verdict = 'open') AS n_open, count(*) FILTER (trim(verdict) = 'fail') AS n_fail, count(verdict) AS n,
+  coalesce(count(*) FILTER (quote = 'q' AND doc_loc = 'p') / nullif(count(verdict), 0), 0) AS traceable, count(*) FILTER (trim(verdict) = 'fail' AND severity = 'high') AS vetoes FROM r LEFT JOIN i USING (rule) GROUP BY rule)
+SELECT * EXCLUDE (applies), CASE WHEN n = 0 AND coalesce(applies, 'always') <> 'always' THEN 'not_applicable' WHEN n = 0 THEN 'not_triggered' WHEN traceable >= 0.6 THEN 'ok' ELSE 'insufficient' END AS gate,
+  CASE WHEN n = 0 THEN 'n/a' WHEN traceable >= 0.8 THEN 'high' WHEN traceable >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM g""")
 def a15_rule_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "N", "open").otherwise("fail")
-    items = table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 35").select((F.col("l_partkey") % 40).alias("rule"), verdict.alias("verdict"),
-        F.when(F.col("l_tax") > 0.01, "q").alias("quote"), F.when(F.col("l_quantity") > 49, "high").otherwise("low").alias("severity"))
-    rules = table(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("rule"))
-    return E.rule_run_summary(items, rules, ["pass", "open", "fail"])
+    verdict = F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "N", "open").otherwise(" fail")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("rule"), verdict.alias("verdict"), F.when(F.col("l_tax") > 0.01, "q").alias("quote"),
+        F.when(F.col("l_linenumber") % 5 > 0, "p").otherwise(" ").alias("doc_loc"), F.when(F.col("l_quantity") > 40, "high").otherwise("low").alias("severity"))
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule"), F.when(F.col("p_partkey") % 3 == 0, "when asked").otherwise("always").alias("applies_when"))
+    rules = rules.unionByName(table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("rule"), F.when(F.col("s_suppkey") % 2 == 0, "if new").alias("applies_when")))
+    return E.rule_run_summary(items, rules, ["pass", "open", "fail"], ("fail", "high"))
 
 
-@query(f"""WITH {CALLS} SELECT tool, count(*) AS calls, count(*) FILTER (has_io) AS known, (sum(queries) FILTER (has_io))::BIGINT AS queries, sum(ms)::BIGINT AS ms,
-  count(*) FILTER (has_io AND hits = 0) / count(*) FILTER (has_io) AS empty_rate FROM calls GROUP BY tool""")
+TRIPS = """trips AS (SELECT user_id * 100 + event_id % 20 AS call, CASE WHEN event_id % 3 = 0 THEN 'graph' ELSE 'pg' END AS kind, round(value, 1) AS ms, event_id % 13 <> 0 AS ok,
+  CASE WHEN event_id % 7 > 0 THEN event_id % 4 END AS rows, CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type || event_id % 6 END AS who FROM events)"""
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select((F.col("user_id") * 100 + i % 20).alias("call"), F.when(i % 3 == 0, "graph").otherwise("pg").alias("kind"), F.round("value", 1).alias("ms"), (i % 13 != 0).alias("ok"),
+        F.when(i % 7 > 0, i % 4).alias("rows"), F.when(i % 10 == 0, "").otherwise(F.concat("event_type", i % 6)).alias("who"))
+
+
+@query(f"""WITH {TRIPS}, e AS (SELECT * FROM trips UNION ALL SELECT call, 'io', ms, ok, rows, who FROM trips),
+t AS (SELECT call, kind, count(*) AS trips, round(sum(ms), 1) AS ms, count(*) FILTER (NOT ok) AS errors, coalesce(sum(rows), 0)::BIGINT AS rows, count(*) FILTER (rows > 0) AS hit, count(*) FILTER (rows = 0) AS empty, count(*) FILTER (rows IS NULL) AS unknown FROM e GROUP BY ALL)
+SELECT *, round(empty / nullif(hit + empty, 0), 4) AS empty_rate, hit > 0 AS ok FROM t""")
 def a29_io_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.io_totals(calls(spark, sf_dir))
+    return E.io_totals(_trips(spark, sf_dir))
 
 
-@query(f"""WITH {CALLS}, s AS (SELECT tool, session, sum(ms)::BIGINT AS ms FROM calls GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY tool ORDER BY ms DESC, session)::INTEGER AS place FROM s QUALIFY place <= 6""")
+@query(f"""WITH {TRIPS}, s AS (SELECT kind, who, count(*) AS trips FROM trips WHERE who <> '' GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY kind ORDER BY trips DESC, who)::INTEGER AS place FROM s QUALIFY place <= 6""")
 def a29_top_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.top_callers(calls(spark, sf_dir))
+    return E.top_callers(_trips(spark, sf_dir))
 
 
 @query(f"""WITH {CALLS} SELECT tool, count(DISTINCT (qid, hits)) AS cases, count(*) FILTER (hits = 0) AS silent, count(*) FILTER (hits > 0 AND NOT degraded) AS ok, count(*) FILTER (hits > 0 AND degraded) AS ok_degraded FROM calls GROUP BY tool""")

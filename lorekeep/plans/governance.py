@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,3 +212,13 @@ def c9_context_map_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     undecided = table(spark, sf_dir, "customer").select(text("g", F.col("c_custkey") % 60).alias("group"), text("k", F.col("c_nationkey") % 4).alias("kb_id"), text("s", F.col("c_custkey") % 90).alias("slug"))
     cached = table(spark, sf_dir, "supplier").select(text("k", F.col("s_suppkey") % 4).alias("kb_id"), text("s", F.expr("s_suppkey div 2")).alias("slug"), text("h", F.col("s_nationkey")).alias("hash"))
     return V.context_map_checks(pages, mappings, ["equivalent", "rename", "unrelated"], undecided, cached)
+
+
+@query("""SELECT 'Z' || n_regionkey AS "check", CASE WHEN n_nationkey % 2 = 0 THEN 'high' ELSE 'low' END AS severity, 's' || s_suppkey AS subject, n_name AS detail, 'run2' AS run FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0""")
+def s10_write_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    found = s.select(F.concat(F.lit("Z"), "n_regionkey").alias("check"), F.when(F.col("n_nationkey") % 2 == 0, "high").otherwise("low").alias("severity"), F.concat(F.lit("s"), "s_suppkey").alias("subject"), F.col("n_name").alias("detail"), "s_suppkey")
+    path = f"{G.shared_folder(spark)}/reports-{uuid.uuid4().hex[:12]}"
+    for run, base, condition in (("run1", "b", "s_suppkey % 3 = 1"), ("run2", "b", "s_suppkey % 3 = 0"), ("run9", "other", "s_suppkey % 3 = 2")):
+        S.write_findings(found.where(condition).drop("s_suppkey"), path, run, base)
+    return S.read_findings(spark, path, "b").select("check", "severity", "subject", "detail", "run")

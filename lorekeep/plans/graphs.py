@@ -67,9 +67,12 @@ def g7_policy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {CLOSURE} SELECT ancestor AS module, distance FROM closure WHERE node = (SELECT max(child) FROM subclasses) AND distance > 0")
 def g12_module_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = subclasses(spark, sf_dir)
-    last = tree.agg(F.max("child").alias("node"))
-    closure = G.ancestors(tree).join(last, "node", "left_semi").where("distance > 0")
-    return closure.select(F.col("ancestor").alias("module"), "distance").orderBy("distance", "module")
+    return G.module_closure(tree, tree.agg(F.max("child").alias("node")))
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT node AS module, distance FROM closure WHERE ancestor = 2 AND distance > 0")
+def g12_module_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.module_closure(subclasses(spark, sf_dir), spark.range(2, 3).withColumnRenamed("id", "node"), downstream=True)
 
 
 @query("""WITH RECURSIVE e AS (
@@ -162,7 +165,8 @@ def w4_sibling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {CLOSURE} SELECT p_partkey AS page, p_name AS title FROM part WHERE p_partkey IN (SELECT node FROM closure WHERE ancestor = 5)""")
 def p14_instances_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    below = G.ancestors(subclasses(spark, sf_dir)).where("ancestor = 5").select(F.col("node").alias("page"))
+    key = spark.range(5, 6).withColumnRenamed("id", "node")
+    below = G.module_closure(subclasses(spark, sf_dir), key, downstream=True).select(F.col("module").alias("page")).unionByName(key.withColumnRenamed("node", "page"))
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.col("p_name").alias("title"))
     return pages.join(below, "page", "left_semi")
 

@@ -32,6 +32,12 @@ def a1_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.doc_stats(_index(spark, sf_dir))
 
 
+@query(f"""WITH {INDEX}, d AS (SELECT doc_id, max(status) AS status FROM doc_index GROUP BY 1) SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM d WHERE status = 'live') AS live, (SELECT count(*) FROM d WHERE status = 'deleted') AS deleted,
+  (SELECT count(*) FROM d WHERE status = 'missing') AS missing, count(*) AS pages, count(*) FILTER (len(source_refs) = 0) AS without_source, sum(len(source_refs))::BIGINT AS citations FROM order_pages""")
+def a1_doc_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.doc_totals(_index(spark, sf_dir), order_pages(spark, sf_dir))
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT * FROM edges WHERE rel = 'hasLine' AND dst NOT IN (SELECT 'part/' || p_partkey FROM part WHERE p_partkey % 11 <> 0)")
 def j3_dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = part_docs(spark, sf_dir).select(F.concat(F.lit("part/"), F.col("doc_id")).alias("slug"))

@@ -9,13 +9,13 @@ from lorekeep.operators import loads as L
 from lorekeep.plans.fixtures import table
 from lorekeep.plans.registry import query
 
-PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
+PART_HEADER = {"p_partkey": "key", "p_name": "name", "p_brand": "kind", "p_type": "name", "p_size": "size", "note": "note"}
 
 
-@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(nullif(trim({c}::VARCHAR), '')) AS filled, count(DISTINCT nullif(trim({c}::VARCHAR), '')) AS distinct_values,
-count(nullif(trim({c}::VARCHAR), '')) = count(DISTINCT nullif(trim({c}::VARCHAR), '')) AS is_unique FROM part""" for c in PART_COLUMNS))
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", '{n}' AS header, {list(PART_HEADER.values()).count(n) > 1} AS duplicate, count(nullif(trim({c}::VARCHAR), '')) = 0 AS empty, count(nullif(trim({c}::VARCHAR), '')) AS filled, count(DISTINCT nullif(trim({c}::VARCHAR), '')) AS distinct_values,
+count(nullif(trim({c}::VARCHAR), '')) > 0 AND count(nullif(trim({c}::VARCHAR), '')) = count(DISTINCT nullif(trim({c}::VARCHAR), '')) AS is_unique, (SELECT string_agg(coalesce(trim({c}::VARCHAR), ''), '|' ORDER BY p_partkey) FROM (SELECT *, ' ' AS note FROM part ORDER BY p_partkey LIMIT 3)) AS sample FROM (SELECT *, ' ' AS note FROM part)""" for c, n in PART_HEADER.items()))
 def a22_sheet_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.sheet_profile(table(spark, sf_dir, "part").select(*PART_COLUMNS))
+    return L.sheet_profile(table(spark, sf_dir, "part").withColumn("note", F.lit(" ")), PART_HEADER, "p_partkey")
 
 
 @query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row_no, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE 'p' || l_partkey END AS k FROM lineitem),

@@ -59,20 +59,29 @@ def p8_map_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.map_enums(table(spark, sf_dir, "orders"), "o_orderstatus", {"O": "open", "F": "filled"}).select("o_orderkey", "o_orderstatus", "unmapped")
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) > 12)) AS n, conv_id % 3 AS c, text FROM conversations)
-SELECT conv_id, turn, n::INTEGER AS n_terms, CASE WHEN n >= 3 THEN '3+' ELSE n::VARCHAR END AS bucket, CASE WHEN n = 0 AND c = 0 THEN 'empty' WHEN c = 0 THEN 'terms' WHEN n = 0 THEN 'class' ELSE 'class+terms' END || '/' || CASE WHEN n >= 3 THEN '3+' ELSE n::VARCHAR END AS shape,
-  CASE WHEN contains(text, '"') THEN 'phrase' WHEN regexp_matches(text, '(^|\s)-\w') THEN 'exclude' WHEN contains(text, '?') THEN 'question' WHEN len(string_split_regex(text, '\s+')) <= 2 THEN 'name' ELSE 'keywords' END AS category FROM w""")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'O' WHEN 'F' THEN 'F' ELSE 'else ' || o_orderstatus END AS code, o_orderstatus NOT IN ('O', 'F') AS unmapped FROM orders")
+def p8_map_enums_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"O": "open", "F": "filled", "X": "filled"}
+    told = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "filled").otherwise(F.concat(F.lit("else "), "o_orderstatus"))
+    return S.map_enums(table(spark, sf_dir, "orders").select("o_orderkey", told.alias("code")), "code", names, back=True)
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, ['keyword', 'Route ', 'instances', 'rules'][1 + turn % 4] AS mode, len(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) > 12)) AS terms, conv_id % 3 AS c, text FROM conversations), m AS (SELECT *, CASE WHEN turn % 4 < 2 THEN terms ELSE 1 END AS n FROM w),
+l AS (SELECT *, CASE WHEN n >= 3 THEN '3+' ELSE n::VARCHAR END AS bucket, CASE WHEN turn % 4 = 2 THEN 'instance' WHEN c > 0 AND terms > 0 THEN 'class+text' WHEN c > 0 THEN 'class' WHEN terms > 0 THEN 'text' ELSE 'none' END AS level FROM m)
+SELECT conv_id, turn, n::INTEGER AS n_terms, bucket, level, bucket || '|' || level AS shape,
+  CASE WHEN contains(text, '"') THEN 'phrase' WHEN regexp_matches(text, '(^|\s)-\w') THEN 'exclude' WHEN contains(text, '?') THEN 'question' WHEN len(string_split_regex(text, '\s+')) <= 2 THEN 'name' ELSE 'keywords' END AS category FROM l""")
 def p10_question_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 12)
-    shape = S.question_shape(terms, F.col("conv_id") % 3)
+    mode = F.get(F.array(*[F.lit(m) for m in ("keyword", "Route ", "instances", "rules")]), (F.col("turn") % 4).cast("int"))
+    shape = S.question_shape(mode, terms, F.array_repeat(F.lit("c"), (F.col("conv_id") % 3).cast("int")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in shape.items()], S.question_category(F.col("text")).alias("category"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' WHEN 2 THEN 'dry' WHEN 3 THEN 'ok' WHEN 4 THEN 'ok_brief' ELSE 'silent' END AS shape FROM events""")
+@query("""SELECT event_id, ['timeout', 'error', 'dry', 'ok', 'ok_brief', 'guard', 'ok', 'silent', 'dry', 'ok'][1 + event_id % 10] AS shape FROM events""")
 def p12_result_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    receipts = [F.lit(None).cast("string"), F.lit('{"error": 1, "ok": 0}'), F.lit('{"dry_run": true, "ok": 1}'), F.lit('{"ok": 1, "a": 1, "b": 2}'), F.lit('{"ok": 1}'), F.col("props")]
-    receipt = F.get(F.array(*receipts), (F.col("event_id") % 6).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", S.result_shape(receipt).alias("shape"))
+    receipts = ['{"ok": true}', '{"error": "no", "ok": true}', '{"ok": false, "items": []}', '{"ok": true, "error": ""}', '{"note": "x"}', '{"retired": 1, "error": "y"}', '{"hits": [1]}', "{}", '{"applied": false}', '{"applied": true}']
+    i = F.col("event_id") % 10
+    return table(spark, sf_dir, "events").select("event_id", S.result_shape(F.get(F.array(*[F.lit(r) for r in receipts]), i.cast("int")), i != 0).alias("shape"))
 
 
 VERSION = "p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3"
@@ -141,10 +150,11 @@ def j23_resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.resolve_names(dim.select(F.get(F.array(*forms), (key % 7).cast("int")).alias("raw")), dim.select("id", "name"))
 
 
-@query(rf"""WITH {KB_PAGES}, k AS (SELECT kb_id, page_id, 'L1' AS level, lower(regexp_replace(split_part(slug, '/', 1) || page_id // 3, '\s+', '', 'g')) AS key FROM kb_pages
-  UNION ALL SELECT kb_id, page_id, 'L2', regexp_replace(lower(title), '[\s!-/:-@\[-`{{-~]+', '', 'g') FROM kb_pages), w AS (SELECT level, key, count(DISTINCT kb_id) AS kbs FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT kb_id) > 1)
+@query(rf"""WITH {KB_PAGES}, n AS (SELECT kb_id, page_id, page_type, lower(regexp_replace(split_part(slug, '/', 1) || page_id // 3, '\s+', '', 'g')) AS s, regexp_replace(lower(title), '[\s[:punct:]]+', '', 'g') AS t FROM kb_pages),
+k AS (SELECT kb_id, page_id, 'L1' AS level, s AS key FROM n UNION ALL SELECT kb_id, page_id, 'L2', page_type || '|' || t FROM n WHERE t <> '' UNION ALL SELECT kb_id, page_id, 'L1+L2', s || '|' || page_type || '|' || t FROM n WHERE s <> '' AND t <> ''),
+w AS (SELECT level, key, count(DISTINCT kb_id) AS kbs FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT kb_id) > 1)
 SELECT level, key, kb_id, page_id, kbs FROM k JOIN w USING (level, key)""")
 def j6_cross_kb_same_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = kb_pages(spark, sf_dir)
     slug = F.concat(F.element_at(F.split("slug", "/"), 1), F.expr("page_id div 3"))
-    return S.cross_kb_same_key(p.select("kb_id", "page_id", T.norm_slug(slug).alias("norm_slug"), T.norm_title(F.col("title")).alias("norm_title")))
+    return S.cross_kb_same_key(p.select("kb_id", "page_id", "page_type", T.norm_slug(slug).alias("norm_slug"), T.norm_title(F.col("title")).alias("norm_title")))

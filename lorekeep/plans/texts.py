@@ -161,3 +161,27 @@ def j13_locate_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), (F.col("item_id") % 4).alias("doc"))
     chunks = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("doc"), F.col("doc_id").alias("chunk"), F.col("text").alias("content"))
     return X.locate_excerpts(quotes, chunks)
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '业务编号：AB-' || doc_id || '99，请判定' WHEN 1 THEN 'see No. X_' || doc_id || '000 now' WHEN 2 THEN 'id: ' || doc_id % 100 WHEN 3 THEN substr(text, 1, 60) END AS q FROM documents)
+SELECT doc_id, lower(coalesce(nullif(regexp_extract(q, '编号\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})', 1), ''), nullif(regexp_extract(q, '(?i)\b(?:no|no\.|id)\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})', 1), ''), '')) AS qid FROM t""")
+def t2_extract_qid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    q = F.when(i % 5 == 0, F.concat(F.lit("业务编号：AB-"), i, F.lit("99，请判定"))).when(i % 5 == 1, F.concat(F.lit("see No. X_"), i, F.lit("000 now"))).when(i % 5 == 2, F.concat(F.lit("id: "), i % 100)).when(i % 5 == 3, F.substring("text", 1, 60))
+    return table(spark, sf_dir, "documents").select("doc_id", T.extract_qid(q).alias("qid"))
+
+
+@query("""SELECT p_partkey, coalesce(nullif(concat_ws(chr(10) || chr(10), nullif(trim(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE ' ' END), ''), '【brand】' || nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN p_brand END), ''), '【size】' || CASE WHEN p_size > 25 THEN p_size END), ''), '（源表未提供）') AS description FROM part""")
+def t17_description_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    told = F.when(k % 2 == 0, F.col("p_name")).otherwise(" ")
+    return table(spark, sf_dir, "part").select("p_partkey", T.description_of([told], {"brand": F.when(k % 3 == 0, F.col("p_brand")), "size": F.when(F.col("p_size") > 25, F.col("p_size"))}).alias("description"))
+
+
+@query("""SELECT p_partkey, 'doc' AS kind, p_name || '/' || p_partkey AS target, CASE WHEN p_partkey % 2 = 0 THEN 'page=' || p_size || '%20a' END AS section, CASE WHEN p_partkey % 2 = 0 THEN 'doc:' || replace(p_name, ' ', '%20') || '%2F' || p_partkey || '#page=' || p_size || '%20a' ELSE 'doc:' || replace(p_name, ' ', '%20') || '%2F' || p_partkey END AS uri FROM part""")
+def t11_build_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    built = T.build_locator(F.lit("doc"), F.concat("p_name", F.lit("/"), k), F.when(k % 2 == 0, "page"), F.concat("p_size", F.lit(" a")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", built.alias("uri"))
+    read = T.parse_locator(F.col("uri"))
+    return rows.select("p_partkey", read["kind"].alias("kind"), read["target"].alias("target"), read["section"].alias("section"), "uri")

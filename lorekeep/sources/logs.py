@@ -80,6 +80,17 @@ def read_sheet(spark: SparkSession, path: str, separator: str = ",") -> DataFram
     return body.where(filled.isNotNull()).select("row_no", *[F.col(c).alias(n) for n, c in names.items()])
 
 
-def write_findings(found: DataFrame, path: str) -> None:
-    """Findings as Parquet, a folder per check."""
-    found.write.mode("overwrite").partitionBy("check").parquet(path)
+def write_findings(found: DataFrame, path: str, run: str, base: str) -> None:
+    """The findings of a run over a base, a folder per base, run and check, and a pointer to the run as the base's newest.
+
+    Other bases and earlier runs stay as they are; writing a run again replaces it.
+    """
+    found.write.mode("overwrite").partitionBy("check").parquet(f"{path}/findings/{base}/{run}")
+    pointer = found.sparkSession.createDataFrame([(base, run, found.count())], "base string, run string, findings long")
+    pointer.write.mode("overwrite").json(f"{path}/newest/{base}")
+
+
+def read_findings(spark: SparkSession, path: str, base: str) -> DataFrame:
+    """The findings of a base's newest run, with the run's name."""
+    run = spark.read.schema("base string, run string, findings long").json(f"{path}/newest/{base}").first()["run"]
+    return spark.read.parquet(f"{path}/findings/{base}/{run}").withColumn("run", F.lit(run))
