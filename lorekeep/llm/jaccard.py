@@ -14,7 +14,7 @@ filter on their rarest shingles picks the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import components
 from lorekeep.llm.shared import bounded_broadcast, discard, stored, stored_parts, text_of, tidy
+from lorekeep.llm.tokens import BLOCK_BYTES, segment_hashes, words_in
 
 #: Bits of a parity key; a chance collision only costs a verification.
 KEY_BITS = 48
@@ -40,8 +41,6 @@ SMALL_GROUP = 12
 RARITY_BITS = 20
 #: Class numbers (8 bytes each) of the candidates are broadcast up to this many.
 BROADCAST_CANDIDATES = 400_000
-#: Words kept in a worker's table of word hashes; a full table is emptied.
-CACHE_WORDS = 600_000
 
 _SLICED = [f"keys_{n}" for n in range(SLICES)]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -60,34 +59,49 @@ class Shingles:
     def __init__(self, width: int) -> None:
         self.width = width
         self.powers = np.array([pow(0x9E3779B97F4A7C15 | 1, width - 1 - i, 1 << 64) for i in range(width)], np.uint64)
-        self.index: dict[bytes, int] = {}
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if len(self.index) > CACHE_WORDS:
-            self.index = {}
-        index, digest = self.index, xxhash.xxh3_64_intdigest
-        for word in set(words).difference(index):
-            index[word] = digest(word)
-        return np.fromiter(map(index.__getitem__, words), np.uint64, len(words))
-
-    def set_of(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes; a text of fewer words is one shingle, one without words none."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = self._hashes(words)
-        if len(words) < self.width:
-            total = len(words)
-            for one in h.tolist():
-                total = (total * int(_ODD[1]) + one) & (1 << 64) - 1
-            return _mixed(np.array([total], np.uint64) ^ _ODD[2])
-        n = len(h) - self.width + 1
+    def sets_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's sorted distinct hashes; a text of fewer words is one shingle, one without words none."""
+        if not texts:
+            return []
+        data, starts, ends, owner = words_in([text.encode("utf-8", "surrogatepass").lower() for text in texts])
+        a, b = segment_hashes(np.frombuffer(data, np.uint8), starts, ends)
+        h = _mixed(a) + b
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        n = max(0, len(h) - self.width + 1)
         total = np.zeros(n, np.uint64)
         for i, power in enumerate(self.powers):
             total += h[i : i + n] * power
-        return np.unique(_mixed(total))
+        total = _mixed(total)
+        return [self._set(total, h, first, end) for first, end in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _set(self, total: np.ndarray, h: np.ndarray, first: int, end: int) -> np.ndarray:
+        if first == end:
+            return np.zeros(0, np.uint64)
+        if end - first < self.width:
+            whole = end - first
+            for one in h[first:end].tolist():
+                whole = (whole * int(_ODD[1]) + one) & (1 << 64) - 1
+            return _mixed(np.array([whole], np.uint64) ^ _ODD[2])
+        own = np.sort(total[first : end - self.width + 1])
+        fresh = np.empty(len(own), bool)
+        fresh[0] = True
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        return own[fresh]
+
+    def in_blocks(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The sets of many texts, computed some texts at a time."""
+        block, held = [], 0
+        for text in texts:
+            if block and held + len(text) > BLOCK_BYTES:
+                yield from self.sets_of(block)
+                block, held = [], 0
+            block.append(text)
+            held += len(text)
+        yield from self.sets_of(block)
+
+    def set_of(self, text: str) -> np.ndarray:
+        return self.sets_of([text])[0]
 
 
 class Bands:
@@ -181,8 +195,7 @@ def sketches(docs: DataFrame, width: int, num: int, den: int, row: str | None =
         for frame in frames:
             seen: set[tuple[int, int, int]] = set()  # of equal sets in a batch one carries the keys
             rows = []
-            for text in frame["text"]:
-                own = shingles.set_of(text)
+            for own in shingles.in_blocks(frame["text"]):
                 a = int(own.sum(dtype=np.uint64).view(np.int64))
                 b = int(np.bitwise_xor.reduce(_mixed(own + _ODD[3])).view(np.int64)) if len(own) else 0
                 mark = (len(own), a, b)
@@ -225,10 +238,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
         last, hub = None, np.zeros(0, np.uint64)
         for frame in frames:
             keep = []
-            for a, b in zip(frame["text_a"], frame["text_b"], strict=True):
+            for own, b in zip(shingles.in_blocks(frame["text_a"]), frame["text_b"], strict=True):
                 if b != last:
                     last, hub = b, shingles.set_of(b)
-                own = shingles.set_of(a)
                 both = len(np.intersect1d(own, hub, assume_unique=True))
                 keep.append(den * both >= num * (len(own) + len(hub) - both))
             yield frame.loc[keep, ["a", "b"]]
@@ -411,8 +423,7 @@ def _rare_pairs(texts: DataFrame, width: int, num: int, den: int, spent: list[Da
         shingles, often = Shingles(width), shared.value
         for frame in frames:
             chosen, sizes, lengths = [], [], []
-            for text in frame["text"]:
-                own = shingles.set_of(text)
+            for own in shingles.in_blocks(frame["text"]):
                 n = len(own)
                 order = np.lexsort((own, often[(own & np.uint64(cells - 1)).astype(np.int64)]))
                 longest = n - -(-num * n // den) + 1

@@ -48,19 +48,38 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each stretch of the bytes: with both, a chance collision is out of the question."""
-    n = 1 << max(10, (len(data) + 1).bit_length())
-    size = (ends - starts).astype(np.uint64)
-    out = []
-    for base in _BASES:
-        power, inverse = _powers(base, n)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-        h = ((sums[ends] - sums[starts]) * inverse[starts] + size) * np.uint64(base)
-        out.append(h ^ (h >> np.uint64(32)))
+    """Two 64-bit hashes of each stretch of the bytes: with both, a chance collision is out of the question.
+
+    Stretches come in order and do not overlap, so long data is hashed block by block.
+    """
+    out = np.empty((2, len(starts)), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, side="right")))
+        part = data[low : int(ends[to - 1])].astype(np.uint64) + np.uint64(1)
+        first, last = starts[at:to] - low, ends[at:to] - low
+        for n, base in enumerate(_BASES):
+            power, inverse = _powers(base, 1 << max(10, len(part).bit_length()))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * power[: len(part)], out=sums[1:])
+            h = ((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)) * np.uint64(base)
+            out[n, at:to] = h ^ (h >> np.uint64(32))
+        at = to
     return out[0], out[1]
 
 
+def words_in(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in a row, and each word's start, end and text; words end at ``[\\x20\\x09-\\x0D]``."""
+    data = b" ".join(texts)
+    bounds = np.concatenate([[0], np.cumsum([len(text) + 1 for text in texts])])
+    cuts = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8)])
+    starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
+    keep = ends > starts
+    starts, ends = starts[keep], ends[keep]
+    return data, starts, ends, np.searchsorted(bounds, starts, side="right") - 1
+
+
 class _Words:
     """Ids of words by their hashes: an open-addressing table of numbers, and the ids of all words as one flat array.
 
