@@ -65,13 +65,23 @@ def edge_checks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ).unionByName(findings(grouped.where("src = dst"), "A5", "medium", name, F.lit("loop")))
 
 
-def provenance_checks(index: DataFrame, pages: DataFrame) -> DataFrame:
-    """C1 pages without references, C2 pages by the worst state of their sources (missing before deleted)."""
-    bare = pages.where(F.size("source_refs") == 0)
+def provenance_checks(index: DataFrame, pages: DataFrame, sessions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """C1 to C4 of pages (kb_id, slug, page_type, source_refs, content, imported) by what they come from.
+
+    C1 an instance page without references and without a session (sessions: slug), unless it was imported; C2 a page by
+    the worst state of its sources (missing before deleted); C3 another page that claims a source and has none; C4 nodes
+    (node, knowledge_id, source_doc) that come from nowhere.
+    """
+    bare = pages.where(F.size(F.coalesce("source_refs", F.array().cast("array<bigint>"))) == 0).join(sessions.select("slug").distinct(), "slug", "left_anti")
+    claims = F.coalesce("content", F.lit("")).rlike("（来源[:：]") | F.coalesce("content", F.lit("")).contains("<sources>")
     worst = index.where("status != 'live'").groupBy("kb_id", "slug").agg(F.max("status").alias("status"), F.count("*").alias("n"))
-    return findings(bare, "C1", "high", F.col("slug"), F.lit("no source")).unionByName(
-        findings(worst, "C2", "high", F.col("slug"), F.concat_ws(":", "status", "n"))
-    )
+    parts = [
+        findings(bare.where(is_instance(F.col("page_type")) & ~F.coalesce("imported", F.lit(False))), "C1", "high", F.col("slug"), F.when(claims, "no source, but claimed").otherwise("no source")),
+        findings(worst, "C2", "high", F.col("slug"), F.concat_ws(":", "status", "n")),
+        findings(bare.where(~is_instance(F.col("page_type")) & claims), "C3", "low", F.col("slug"), F.lit("claimed")),
+        findings(nodes.where("knowledge_id is null and source_doc is null"), "C4", "medium", F.col("node"), F.lit("no source")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cardinality_checks(values: DataFrame, bounds: DataFrame, closure: DataFrame) -> DataFrame:
@@ -88,12 +98,14 @@ def cardinality_checks(values: DataFrame, bounds: DataFrame, closure: DataFrame)
     return joined.withColumn("verdict", verdict).where("verdict is not null").select("node", "prop", "n", "verdict")
 
 
-def holding_checks(holdings: DataFrame) -> DataFrame:
-    """O1 percent outside 0..100, O2 half or more without control, O4 no date, O5 self holding (holder, held, percent, control, as_of)."""
+def holding_checks(holdings: DataFrame, entities: DataFrame) -> DataFrame:
+    """O1 percent outside 0..100, O2 half or more without control, O3 an entity (entity, controller) without a last
+    controller, O4 no date, O5 self holding (holder, held, percent, control, as_of)."""
     name = F.concat_ws(">", "holder", "held")
     parts = [
         findings(holdings.where("percent < 0 or percent > 100"), "O1", "high", name, F.round("percent", 2)),
         findings(holdings.where("percent >= 50 and not control"), "O2", "medium", name, F.round("percent", 2)),
+        findings(entities.where("controller is null"), "O3", "low", F.col("entity"), F.lit("")),
         findings(holdings.where("as_of is null"), "O4", "low", name, F.lit("")),
         findings(holdings.where("holder = held"), "O5", "high", name, F.lit("")),
     ]
@@ -109,7 +121,47 @@ def crud_matrix(uses: DataFrame) -> DataFrame:
 def write_conflicts(uses: DataFrame) -> DataFrame:
     """E1: attributes that several services write, with the services."""
     writes = uses.where(F.col("kinds").rlike("[CUD]")).groupBy("attribute").agg(F.array_sort(F.collect_set("service")).alias("services"))
-    return findings(writes.where(F.size("services") > 1), "E1", "high", F.col("attribute"), F.array_join("services", ","))
+    return findings(writes.where(F.size("services") > 1), "E1", "medium", F.col("attribute"), F.array_join("services", ","))
+
+
+def service_design(services: DataFrame, operations: DataFrame, uses: DataFrame, depends: DataFrame, keys: DataFrame, refs: DataFrame) -> DataFrame:
+    """Findings on services by what their operations do to attributes.
+
+    services: service; operations: service, operation, method, idempotent, retry; uses: operation, attribute, kinds
+    (letters of CRUD); depends: operation, needs (an operation); keys: attribute, role; refs: attribute, target.
+    E1 an attribute with several writers; E2 a service that reads what only others write, low if one of its operations
+    depends on one of theirs, else medium; E3 a service without operations, an operation without attributes or method,
+    a write that is not idempotent and has no retry; E4 a foreign key without a target, or one whose target is no key.
+    """
+    uses = uses.withColumn("kinds", F.upper(F.coalesce("kinds", F.lit(""))))
+    owned = uses.join(operations.select("operation", "service"), "operation").select("service", "attribute", "kinds")
+    writers = owned.where(F.col("kinds").rlike("[CUD]")).select("attribute", F.col("service").alias("writer")).distinct()
+    readers = owned.where(F.col("kinds").contains("R")).select("attribute", "service").distinct()
+    outside = readers.join(writers.withColumnRenamed("writer", "service"), ["attribute", "service"], "left_anti").join(writers.select("attribute").distinct(), "attribute", "left_semi")
+    of = operations.select("operation", "service")
+    through = depends.join(of, "operation").join(of.select(F.col("operation").alias("needs"), F.col("service").alias("writer")), "needs").select("service", "writer").distinct()
+    declared = outside.join(writers, "attribute").join(through, ["service", "writer"], "left_semi").select("attribute", "service").distinct()
+    told = lambda rows: rows.groupBy("attribute").agg(F.array_join(F.array_sort(F.collect_set("service")), ",").alias("who"))
+    direct = outside.join(declared, ["attribute", "service"], "left_anti")
+
+    bare = services.join(operations.select("service").distinct(), "service", "left_anti")
+    touched = uses.select("operation").distinct()
+    idle = operations.join(touched, "operation", "left_anti")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    writes = uses.where(F.col("kinds").rlike("[CUD]")).select("operation").distinct()
+    risky = operations.where((F.lower(F.trim("idempotent")) == "false") & blank("retry")).join(writes, "operation", "left_semi")
+
+    roles = keys.select("attribute", F.upper(F.trim(F.coalesce("role", F.lit("")))).alias("role"))
+    loose = roles.where("role = 'FK'").join(refs.select("attribute").distinct(), "attribute", "left_anti")
+    aimed = refs.join(roles.select(F.col("attribute").alias("target"), F.col("role").alias("kind")), "target", "left")
+    parts = [
+        write_conflicts(owned), findings(told(declared), "E2", "low", F.col("attribute"), F.concat(F.lit("declared "), "who")), findings(told(direct), "E2", "medium", F.col("attribute"), F.concat(F.lit("direct "), "who")),
+        findings(bare, "E3", "low", F.col("service"), F.lit("no operations")), findings(idle, "E3", "medium", F.col("operation"), F.lit("no attributes")),
+        findings(operations.where(blank("method")), "E3", "low", F.col("operation"), F.lit("no method")), findings(risky, "E3", "low", F.col("operation"), F.lit("no retry")),
+        findings(loose, "E4", "medium", F.col("attribute"), F.lit("no target")), findings(aimed.where("kind is null"), "E4", "medium", F.col("attribute"), F.concat(F.lit("missing "), "target")),
+        findings(aimed.where("kind not in ('PK', 'UNIQUE')"), "E4", "medium", F.col("attribute"), F.concat(F.lit("no key "), "target")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def replica_state(masters: DataFrame, replicas: DataFrame) -> DataFrame:

@@ -87,18 +87,24 @@ def rule_lint(rules: DataFrame, vague: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def design_shapes(services: DataFrame, uses: DataFrame, wants: DataFrame) -> DataFrame:
-    """S1 no inputs, S2 read-only with an effect, S5 attributes a service's rules want and it neither reads nor writes, S6 write without version.
+def design_shapes(contracts: DataFrame, effects: DataFrame, entities: DataFrame, depends: DataFrame, uses: DataFrame, wants: DataFrame) -> DataFrame:
+    """Findings on service contracts (contract, read_only, key, version).
 
-    services: service, version; uses: service, attribute, effect (in, out); wants: service, attribute.
+    S1 a write without an idempotency key; S2 a read-only one with an effect (effects: contract, effect); S3 more than
+    one entity (entities: contract, entity); S4 a key without a dependency (depends: contract, dependency); S5 attributes
+    its rules constrain (wants: contract, attribute) and it neither takes nor gives (uses: contract, attribute); S6 a
+    write without a version.
     """
-    io = uses.groupBy("service").agg(F.count_if(F.col("effect") == "in").alias("inputs"), F.count_if(F.col("effect") == "out").alias("outputs"))
-    joined = services.join(io, "service", "left").fillna(0, ["inputs", "outputs"])
-    uncovered = wants.distinct().join(uses.select("service", "attribute").distinct(), ["service", "attribute"], "left_anti")
-    return findings(joined.where("inputs = 0"), "S1", "medium", F.col("service"), F.lit("")).unionByName(
-        findings(joined.where("read_only and outputs > 0"), "S2", "high", F.col("service"), F.col("outputs"))
-    ).unionByName(findings(uncovered, "S5", "medium", F.col("service"), F.col("attribute"))).unionByName(
-        findings(joined.where("outputs > 0 and version is null"), "S6", "low", F.col("service"), F.lit("")))
+    writes = contracts.where("not read_only")
+    wide = entities.groupBy("contract").agg(F.count_distinct("entity").alias("n")).where("n > 1")
+    loose = contracts.where("key is not null").join(depends.select("contract").distinct(), "contract", "left_anti")
+    uncovered = wants.distinct().join(uses.select("contract", "attribute").distinct(), ["contract", "attribute"], "left_anti")
+    parts = [
+        findings(writes.where("key is null"), "S1", "high", F.col("contract"), F.lit("")), findings(effects.join(contracts.where("read_only"), "contract", "left_semi").distinct(), "S2", "high", F.col("contract"), F.col("effect")),
+        findings(wide, "S3", "high", F.col("contract"), F.col("n")), findings(loose, "S4", "high", F.col("contract"), F.col("key")),
+        findings(uncovered, "S5", "high", F.col("contract"), F.col("attribute")), findings(writes.where("version is null"), "S6", "medium", F.col("contract"), F.lit("")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def design_summary(uses: DataFrame) -> DataFrame:
@@ -114,6 +120,15 @@ def module_identity(classes: DataFrame, modules: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).where("problem is not null").select("class", "problem")
 
 
+def prefix_drift(artifacts: DataFrame, registry: DataFrame, built_in: DataFrame) -> DataFrame:
+    """module, prefix, expected, origin where an artifact's prefix (module, prefix) is not the registered one, or the built-in one of a module that is not registered."""
+    named = lambda table, name: table.select("module", F.nullif(F.trim("prefix"), F.lit("")).alias(name))
+    joined = named(artifacts, "prefix").join(named(registry, "registered"), "module", "left").join(named(built_in, "built"), "module", "left")
+    expected = F.coalesce("registered", "built")
+    drift = joined.withColumn("expected", expected).where("prefix != expected")
+    return drift.select("module", "prefix", "expected", F.when(F.col("registered").isNotNull(), "registry").otherwise("built-in").alias("origin"))
+
+
 def graph_audit(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """slug, problem of pages and nodes (slug, page_type, body): missing_instance, orphan_instance, type_mismatch, content_mismatch."""
     n = nodes.select("slug", F.col("page_type").alias("node_type"), F.col("body").alias("node_body"), F.lit(True).alias("in_graph"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators.audits import findings
-from lorekeep.operators.graphs import schema_paths, settled
+from lorekeep.operators.graphs import module_closure, schema_paths, settled
 
 STEPS = "array<struct<name:string,iteration:int,args:string>>"
 
@@ -98,16 +100,40 @@ def alias_checks(pages: DataFrame) -> DataFrame:
     return findings(differ, "W5", "low", F.col("slug"), F.lit("summary")).unionByName(findings(named, "W7", "low", F.col("slug"), F.col("title")))
 
 
-def catalogue_queries(classes: DataFrame, subclasses: DataFrame, props: DataFrame) -> DataFrame:
-    """query, item, n: Q1 relations between modules, Q4 domains and ranges in other modules, Q5 classes without parent."""
-    module = classes.select(F.col("class").alias("domain"), F.col("module").alias("from_module"))
-    target = classes.select(F.col("class").alias("range"), F.col("module").alias("to_module"))
-    both = props.join(module, "domain").join(target, "range").where("from_module != to_module")
-    q1 = both.groupBy(F.concat_ws(">", "from_module", "to_module").alias("item")).agg(F.count("*").alias("n")).select(F.lit("Q1").alias("query"), "item", "n")
-    q4 = both.select(F.lit("Q4").alias("query"), F.col("name").alias("item"), F.lit(1).cast("long").alias("n"))
-    roots = classes.join(subclasses.select(F.col("child").alias("class")), "class", "left_anti")
-    q5 = roots.select(F.lit("Q5").alias("query"), F.col("class").cast("string").alias("item"), F.lit(1).cast("long").alias("n"))
-    return q1.unionByName(q4).unionByName(q5)
+#: Kinds of restriction that bind a rule: fixed values.
+BINDING = ("minCardinality", "cardinality", "maxCardinality", "someValuesFrom", "allValuesFrom")
+
+
+def catalogue_queries(classes: DataFrame, subclasses: DataFrame, props: DataFrame, restrictions: DataFrame, members: DataFrame, rules: DataFrame, contracts: DataFrame) -> DataFrame:
+    """query, item, detail: Q1 object relations between modules, Q2 what binds the rule classes, Q3 enumerations with their
+    values and users, Q4 properties whose ends lie in other modules, Q5 classes without a parent, Q6 all restrictions, Q7
+    what service contracts require.
+
+    classes: class, module, local; props: name, kind, module, domain, range; restrictions: owner, prop, kind, value; members: class,
+    value; rules and contracts: node (a class and all below it).
+    """
+    named = lambda side: classes.select(F.col("class").alias(side), F.col("module").alias(f"{side}_module"), F.concat_ws(":", "module", "local").alias(f"{side}_name"))
+    ends = settled(props.join(named("domain"), "domain").join(named("range"), "range"), "ends")
+    relation = F.concat_ws(".", "module", "name")
+    both = F.concat_ws(">", "domain_name", "range_name")
+    q1 = ends.where("kind = 'object' and domain_module != range_module").select(F.lit("Q1").alias("query"), relation.alias("item"), both.alias("detail"))
+    q4 = ends.where("domain_module != module or range_module != module").select(F.lit("Q4").alias("query"), F.concat_ws(" ", relation, "kind").alias("item"), both.alias("detail"))
+
+    told = F.concat_ws(" ", "prop", "kind", F.col("value").cast("string"))
+    owned = settled(restrictions.join(named("owner"), "owner").withColumn("told", told), "owned")
+    below = lambda roots: module_closure(subclasses, roots, downstream=True).select(F.col("module").alias("owner")).unionByName(roots.select(F.col("node").alias("owner"))).distinct()
+    q2 = owned.where(F.col("kind").isin(*BINDING)).join(below(rules), "owner", "left_semi").select(F.lit("Q2").alias("query"), F.col("owner_name").alias("item"), F.col("told").alias("detail")).distinct()
+    q6 = owned.select(F.lit("Q6").alias("query"), F.col("owner_name").alias("item"), F.col("told").alias("detail"))
+    q7 = below(contracts).join(named("owner"), "owner").join(owned.select("owner", "told"), "owner", "left").select(F.lit("Q7").alias("query"), F.col("owner_name").alias("item"), F.coalesce("told", F.lit("")).alias("detail"))
+
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    values = members.groupBy("class").agg(listed("value").alias("values"))
+    users = props.groupBy(F.col("range").alias("class")).agg(listed("name").alias("users"))
+    enums = values.join(classes, "class").join(users, "class", "left")
+    q3 = enums.select(F.lit("Q3").alias("query"), F.concat_ws(":", "module", "local").alias("item"), F.concat_ws("|", "values", F.coalesce("users", F.lit(""))).alias("detail"))
+    orphans = classes.join(subclasses.select(F.col("child").alias("class")), "class", "left_anti")
+    q5 = orphans.select(F.lit("Q5").alias("query"), F.concat_ws(":", "module", "local").alias("item"), F.lit("").alias("detail"))
+    return reduce(DataFrame.unionByName, [q1, q2, q3, q4, q5, q6, q7])
 
 
 def route_recipe(props: DataFrame, route: list[str], hops: int = 2) -> DataFrame:

@@ -44,11 +44,17 @@ def c1_edge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.edge_checks(edges(spark, sf_dir).where("rel = 'hasLine'").withColumn("dst", looped), nodes)
 
 
-@query(f"""WITH {INDEX}, w AS (SELECT kb_id, slug, max(status) AS status, count(*) AS n FROM doc_index WHERE status <> 'live' GROUP BY ALL)
-SELECT 'C1' AS "check", 'high' AS severity, slug::VARCHAR AS subject, 'no source' AS detail FROM order_pages WHERE len(source_refs) = 0 UNION ALL SELECT 'C2', 'high', slug::VARCHAR, status || ':' || n FROM w""")
+@query(f"""WITH {INDEX}, w AS (SELECT kb_id, slug, max(status) AS status, count(*) AS n FROM doc_index WHERE status <> 'live' GROUP BY ALL),
+p AS (SELECT slug, CASE WHEN slug % 3 = 0 THEN 'index' ELSE 'o:' || page_type END AS kind, slug % 6 < 2 AS claims, slug % 10 = 1 AS imported FROM order_pages WHERE len(source_refs) = 0 AND slug % 4 > 0)
+SELECT 'C1' AS "check", 'high' AS severity, slug::VARCHAR AS subject, CASE WHEN claims THEN 'no source, but claimed' ELSE 'no source' END AS detail FROM p WHERE kind <> 'index' AND NOT imported
+UNION ALL SELECT 'C2', 'high', slug::VARCHAR, status || ':' || n FROM w UNION ALL SELECT 'C3', 'low', slug::VARCHAR, 'claimed' FROM p WHERE kind = 'index' AND claims UNION ALL SELECT 'C4', 'medium', c_custkey::VARCHAR, 'no source' FROM customer WHERE c_custkey % 9 = 0 AND c_nationkey > 3""")
 def c3_provenance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = order_pages(spark, sf_dir)
-    return A.provenance_checks(L.doc_index(pages, part_docs(spark, sf_dir)), pages)
+    pages, slug = order_pages(spark, sf_dir), F.col("slug")
+    body = F.when(slug % 6 == 0, "so（来源：x）").when(slug % 6 == 1, "a <sources> b").otherwise("plain")
+    told = pages.withColumns({"page_type": F.when(slug % 3 == 0, "index").otherwise(F.concat(F.lit("o:"), "page_type")), "content": body, "imported": slug % 10 == 1})
+    c = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(c.alias("node"), F.when(c % 9 > 0, c).alias("knowledge_id"), F.when(F.col("c_nationkey") < 4, "d").alias("source_doc"))
+    return A.provenance_checks(L.doc_index(pages, part_docs(spark, sf_dir)), told, pages.where("slug % 4 = 0").select("slug"), nodes)
 
 
 @query(f"""WITH RECURSIVE {CLOSURE}, b(class, prop, low, high) AS (VALUES (0, 'x', 1, 9), (1, 'x', 2, 6), (2, 'y', 3, 99)),
@@ -66,11 +72,12 @@ HOLD = "h AS (SELECT l_suppkey AS holder, l_partkey % 100 AS held, l_quantity *
 
 
 @query(f"""WITH {HOLD}, n AS (SELECT *, holder || '>' || held AS name FROM h) SELECT 'O1' AS "check", 'high' AS severity, name AS subject, round(percent, 2)::VARCHAR AS detail FROM n WHERE percent < 0 OR percent > 100
-UNION ALL SELECT 'O2', 'medium', name, round(percent, 2)::VARCHAR FROM n WHERE percent >= 50 AND NOT control UNION ALL SELECT 'O4', 'low', name, '' FROM n WHERE as_of IS NULL UNION ALL SELECT 'O5', 'high', name, '' FROM n WHERE holder = held""")
+UNION ALL SELECT 'O2', 'medium', name, round(percent, 2)::VARCHAR FROM n WHERE percent >= 50 AND NOT control UNION ALL SELECT 'O3', 'low', s_suppkey::VARCHAR, '' FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT 'O4', 'low', name, '' FROM n WHERE as_of IS NULL UNION ALL SELECT 'O5', 'high', name, '' FROM n WHERE holder = held""")
 def c18_holding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("holder"), (F.col("l_partkey") % 100).alias("held"), (F.col("l_quantity") * 2.5 - 5).alias("percent"),
         (F.col("l_returnflag") == "A").alias("control"), F.when(F.col("l_linenumber") > 1, F.col("l_shipdate")).alias("as_of"))
-    return A.holding_checks(h)
+    entities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.when(F.col("s_suppkey") % 7 > 0, F.col("s_nationkey")).alias("controller"))
+    return A.holding_checks(h, entities)
 
 
 USES = "u AS (SELECT 's' || l_suppkey % 12 AS service, l_orderkey AS operation, 'a' || l_partkey % 60 AS attribute, CASE l_returnflag WHEN 'A' THEN 'CR' WHEN 'N' THEN 'R' ELSE 'UD' END AS kinds FROM lineitem)"
@@ -87,11 +94,35 @@ def a17_crud_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.crud_matrix(_uses(spark, sf_dir))
 
 
-@query(f"""WITH {USES}, w AS (SELECT attribute, list_sort(list(DISTINCT service)) AS s FROM u WHERE kinds <> 'R' GROUP BY 1) SELECT 'E1' AS "check", 'high' AS severity, attribute AS subject, array_to_string(s, ',') AS detail FROM w WHERE len(s) > 1""")
+@query(f"""WITH {USES}, w AS (SELECT attribute, list_sort(list(DISTINCT service)) AS s FROM u WHERE kinds <> 'R' GROUP BY 1) SELECT 'E1' AS "check", 'medium' AS severity, attribute AS subject, array_to_string(s, ',') AS detail FROM w WHERE len(s) > 1""")
 def c6_write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.write_conflicts(_uses(spark, sf_dir))
 
 
+@query("""WITH sv AS (SELECT DISTINCT 's' || s_suppkey % 14 AS service FROM supplier), op AS (SELECT o_orderkey AS operation, 's' || o_custkey % 12 AS service, CASE WHEN o_orderkey % 9 > 0 THEN 'GET' END AS method, CASE WHEN o_orderkey % 4 = 0 THEN ' False' END AS idempotent, CASE WHEN o_orderkey % 8 = 0 THEN 'again' END AS retry FROM orders),
+us AS (SELECT l_orderkey AS operation, 'a' || l_partkey % 400 AS attribute, CASE l_returnflag WHEN 'A' THEN 'cr' WHEN 'N' THEN 'R' ELSE 'UD' END AS kinds FROM lineitem WHERE l_linenumber = 1), dp AS (SELECT o_orderkey AS operation, o_orderkey + 1 AS needs FROM orders WHERE o_orderkey % 3 = 0),
+ks AS (SELECT 'a' || p_partkey AS attribute, ['PK', 'unique ', 'FK', ''][1 + p_partkey % 4] AS role FROM part), rf AS (SELECT 'a' || p_partkey AS attribute, 'a' || (p_partkey * 3) % 2500 AS target FROM part WHERE p_partkey % 8 = 2),
+ow AS (SELECT service, attribute, upper(kinds) AS kinds FROM us JOIN op USING (operation)), wr AS (SELECT DISTINCT attribute, service FROM ow WHERE regexp_matches(kinds, '[CUD]')), rd AS (SELECT DISTINCT attribute, service FROM ow WHERE contains(kinds, 'R')),
+ot AS (SELECT * FROM rd WHERE (attribute, service) NOT IN (SELECT (attribute, service) FROM wr) AND attribute IN (SELECT attribute FROM wr)), th AS (SELECT DISTINCT a.service, b.service AS writer FROM dp JOIN op a ON a.operation = dp.operation JOIN op b ON b.operation = dp.needs),
+de AS (SELECT DISTINCT ot.attribute, ot.service FROM ot JOIN wr ON wr.attribute = ot.attribute JOIN th ON th.service = ot.service AND th.writer = wr.service), ai AS (SELECT rf.*, upper(trim(role)) AS kind FROM rf LEFT JOIN ks ON ks.attribute = rf.target)
+SELECT 'E1' AS "check", 'medium' AS severity, attribute AS subject, string_agg(service, ',' ORDER BY service) AS detail FROM wr GROUP BY attribute HAVING count(*) > 1
+UNION ALL SELECT 'E2', 'low', attribute, 'declared ' || string_agg(service, ',' ORDER BY service) FROM de GROUP BY attribute UNION ALL SELECT 'E2', 'medium', attribute, 'direct ' || string_agg(service, ',' ORDER BY service) FROM ot WHERE (attribute, service) NOT IN (SELECT (attribute, service) FROM de) GROUP BY attribute
+UNION ALL SELECT 'E3', 'low', service, 'no operations' FROM sv WHERE service NOT IN (SELECT service FROM op) UNION ALL SELECT 'E3', 'medium', operation::VARCHAR, 'no attributes' FROM op WHERE operation NOT IN (SELECT operation FROM us)
+UNION ALL SELECT 'E3', 'low', operation::VARCHAR, 'no method' FROM op WHERE method IS NULL UNION ALL SELECT 'E3', 'low', operation::VARCHAR, 'no retry' FROM op WHERE idempotent IS NOT NULL AND retry IS NULL AND operation IN (SELECT operation FROM us WHERE kinds <> 'R')
+UNION ALL SELECT 'E4', 'medium', attribute, 'no target' FROM ks WHERE role = 'FK' AND attribute NOT IN (SELECT attribute FROM rf) UNION ALL SELECT 'E4', 'medium', attribute, 'missing ' || target FROM ai WHERE kind IS NULL UNION ALL SELECT 'E4', 'medium', attribute, 'no key ' || target FROM ai WHERE kind NOT IN ('PK', 'UNIQUE')""")
+def c6_service_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, p = F.col("o_orderkey"), F.col("p_partkey")
+    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    named = lambda prefix, c: F.concat(F.lit(prefix), c)
+    services = table(spark, sf_dir, "supplier").select(named("s", F.col("s_suppkey") % 14).alias("service")).distinct()
+    operations = orders.select(o.alias("operation"), named("s", F.col("o_custkey") % 12).alias("service"), F.when(o % 9 > 0, "GET").alias("method"), F.when(o % 4 == 0, " False").alias("idempotent"), F.when(o % 8 == 0, "again").alias("retry"))
+    kinds = F.when(F.col("l_returnflag") == "A", "cr").when(F.col("l_returnflag") == "N", "R").otherwise("UD")
+    uses = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("operation"), named("a", F.col("l_partkey") % 400).alias("attribute"), kinds.alias("kinds"))
+    depends = orders.where("o_orderkey % 3 = 0").select(o.alias("operation"), (o + 1).alias("needs"))
+    keys = part.select(named("a", p).alias("attribute"), F.get(F.array(*[F.lit(r) for r in ("PK", "unique ", "FK", "")]), (p % 4).cast("int")).alias("role"))
+    return A.service_design(services, operations, uses, depends, keys, part.where("p_partkey % 8 = 2").select(named("a", p).alias("attribute"), named("a", p * 3 % 2500).alias("target")))
+
+
 @query("""WITH m AS (SELECT p_partkey AS slug, 1 + p_partkey % 3 AS version FROM part WHERE p_partkey % 11 <> 0), r AS (SELECT p_partkey AS slug, sha1(p_name) AS hash, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE sha1(p_name) END AS synced_hash, CASE WHEN p_partkey % 7 > 0 THEN 1 + p_partkey % 2 END AS synced_version FROM part)
 SELECT slug, CASE WHEN synced_version IS NULL THEN 'unbound' WHEN version IS NULL THEN 'master_missing' WHEN hash <> synced_hash THEN 'local_drift' WHEN synced_version < version THEN 'outdated' ELSE 'in_sync' END AS state FROM r LEFT JOIN m USING (slug)""")
 def r3_replica_state(spark: SparkSession, sf_dir: str) -> DataFrame:

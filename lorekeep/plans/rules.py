@@ -77,14 +77,19 @@ def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"), F.when(F.col("l_returnflag") == "A", "out").otherwise("in").alias("effect"))
 
 
-@query(f"""WITH {USES}, s AS (SELECT s_suppkey AS service, s_suppkey % 4 = 0 AS read_only, CASE WHEN s_suppkey % 3 > 0 THEN 1 END AS version FROM supplier), io AS (SELECT service, count(*) FILTER (effect = 'in') AS i, count(*) FILTER (effect = 'out') AS o FROM u GROUP BY 1), j AS (SELECT s.*, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM s LEFT JOIN io USING (service)),
-w AS (SELECT DISTINCT l_suppkey AS service, l_partkey % 30 AS attribute FROM lineitem WHERE l_linenumber > 3)
-SELECT 'S1' AS "check", 'medium' AS severity, service::VARCHAR AS subject, '' AS detail FROM j WHERE i = 0 UNION ALL SELECT 'S2', 'high', service::VARCHAR, o::VARCHAR FROM j WHERE read_only AND o > 0
-UNION ALL SELECT 'S5', 'medium', service::VARCHAR, attribute::VARCHAR FROM w WHERE (service, attribute) NOT IN (SELECT (service, attribute) FROM u) UNION ALL SELECT 'S6', 'low', service::VARCHAR, '' FROM j WHERE o > 0 AND version IS NULL""")
+@query("""WITH c AS (SELECT o_orderkey AS contract, o_orderkey % 3 = 0 AS read_only, CASE WHEN o_orderkey % 4 > 0 THEN 'k' || o_custkey END AS key, CASE WHEN o_orderkey % 5 > 0 THEN 1 END AS version FROM orders), l AS (SELECT *, l_orderkey AS contract FROM lineitem)
+SELECT 'S1' AS "check", 'high' AS severity, contract::VARCHAR AS subject, '' AS detail FROM c WHERE NOT read_only AND key IS NULL
+UNION ALL SELECT 'S2', 'high', contract::VARCHAR, effect FROM (SELECT DISTINCT contract, l_returnflag AS effect FROM l WHERE l_linenumber > 5) JOIN c USING (contract) WHERE read_only
+UNION ALL SELECT 'S3', 'high', contract::VARCHAR, n::VARCHAR FROM (SELECT contract, count(DISTINCT l_suppkey % 3) AS n FROM l GROUP BY 1) WHERE n > 1
+UNION ALL SELECT 'S4', 'high', contract::VARCHAR, key FROM c WHERE key IS NOT NULL AND contract NOT IN (SELECT contract FROM l WHERE l_linenumber = 2)
+UNION ALL SELECT 'S5', 'high', contract::VARCHAR, a::VARCHAR FROM (SELECT DISTINCT contract, l_partkey % 30 AS a FROM l WHERE l_linenumber > 3) WHERE (contract, a) NOT IN (SELECT (contract, l_partkey % 30) FROM l WHERE l_linenumber < 4)
+UNION ALL SELECT 'S6', 'medium', contract::VARCHAR, '' FROM c WHERE NOT read_only AND version IS NULL""")
 def c19_design_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    services = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("service"), (F.col("s_suppkey") % 4 == 0).alias("read_only"), F.when(F.col("s_suppkey") % 3 > 0, 1).alias("version"))
-    wants = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"))
-    return R.design_shapes(services, _uses(spark, sf_dir), wants)
+    o = F.col("o_orderkey")
+    contracts = table(spark, sf_dir, "orders").select(o.alias("contract"), (o % 3 == 0).alias("read_only"), F.when(o % 4 > 0, F.concat(F.lit("k"), "o_custkey")).alias("key"), F.when(o % 5 > 0, 1).alias("version"))
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "contract").withColumn("attribute", F.col("l_partkey") % 30)
+    return R.design_shapes(contracts, lines.where("l_linenumber > 5").select("contract", F.col("l_returnflag").alias("effect")), lines.select("contract", (F.col("l_suppkey") % 3).alias("entity")),
+        lines.where("l_linenumber = 2").select("contract", F.col("l_partkey").alias("dependency")), lines.where("l_linenumber < 4").select("contract", "attribute"), lines.where("l_linenumber > 3").select("contract", "attribute"))
 
 
 @query(f"""WITH {USES} SELECT attribute, coalesce(array_to_string(list_sort(list(DISTINCT service) FILTER (effect = 'out')), ','), '') AS writers, coalesce(array_to_string(list_sort(list(DISTINCT service) FILTER (effect = 'in')), ','), '') AS readers FROM u GROUP BY 1""")
@@ -100,6 +105,17 @@ def c24_module_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.module_identity(classes, p.where("p_brand != 'Brand#2'").select(F.col("p_brand").alias("module"), F.lower("p_brand").alias("short")).distinct())
 
 
+@query("""WITH a AS (SELECT 'm' || p_partkey AS module, CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE lower(p_type) END AS prefix FROM part), r AS (SELECT 'm' || p_partkey AS module, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE lower(p_type) END AS prefix FROM part WHERE p_size < 30),
+b AS (SELECT 'm' || p_partkey AS module, lower(split_part(p_name, ' ', 1)) AS prefix FROM part WHERE p_partkey % 2 = 0), j AS (SELECT module, nullif(trim(a.prefix), '') AS prefix, nullif(r.prefix, '') AS reg, b.prefix AS built FROM a LEFT JOIN r USING (module) LEFT JOIN b USING (module))
+SELECT module, prefix, coalesce(reg, built) AS expected, CASE WHEN reg IS NOT NULL THEN 'registry' ELSE 'built-in' END AS origin FROM j WHERE prefix <> coalesce(reg, built)""")
+def c24_prefix_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    module = F.concat(F.lit("m"), k).alias("module")
+    artifacts = p.select(module, F.when(k % 11 == 0, " ").otherwise(F.lower("p_type")).alias("prefix"))
+    registry = p.where("p_size < 30").select(module, F.when(k % 5 == 0, "").when(k % 3 == 0, F.lower("p_brand")).otherwise(F.lower("p_type")).alias("prefix"))
+    return R.prefix_drift(artifacts, registry, p.where("p_partkey % 2 = 0").select(module, F.lower(F.element_at(F.split("p_name", " "), 1)).alias("prefix")))
+
+
 @query(f"""WITH {KB_PAGES}, p AS (SELECT slug, page_type, content AS body FROM kb_pages WHERE page_id % 13 <> 0), n AS (SELECT slug, CASE WHEN page_id % 7 = 0 THEN 'x:Y' ELSE page_type END AS node_type, CASE WHEN page_id % 5 = 0 THEN content || '.' ELSE content END AS node_body FROM kb_pages WHERE page_id % 11 <> 0)
 SELECT coalesce(p.slug, n.slug) AS slug, CASE WHEN n.slug IS NULL THEN 'missing_instance' WHEN p.slug IS NULL THEN 'orphan_instance' WHEN page_type <> node_type THEN 'type_mismatch' ELSE 'content_mismatch' END AS problem FROM p FULL JOIN n ON n.slug = p.slug WHERE n.slug IS NULL OR p.slug IS NULL OR page_type <> node_type OR body <> node_body""")
 def c14_graph_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

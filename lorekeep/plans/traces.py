@@ -11,7 +11,7 @@ from lorekeep.operators import loads as L
 from lorekeep.operators import traces as R
 from lorekeep.operators.graphs import shared_folder
 from lorekeep.plans.fixtures import KB_PAGES, SUBCLASSES, kb_pages, subclasses, table
-from lorekeep.plans.graphs import PROPS
+from lorekeep.plans.graphs import CLOSURE, PROPS
 from lorekeep.plans.registry import query
 from lorekeep.sources.logs import read_sheet
 
@@ -96,14 +96,25 @@ def c13_alias_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.alias_checks(k.select("slug", "title", "summary", definition.alias("definition"), F.array(F.lit("other"), F.when(F.col("page_id") % 4 == 0, F.col("title"))).alias("aliases")))
 
 
-@query(f"""WITH {SUBCLASSES}, c AS (SELECT p_partkey AS class, p_brand AS module FROM part), p AS (SELECT 'p' || l_orderkey || '.' || l_linenumber AS name, l_partkey AS domain, l_suppkey AS range FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
-b AS (SELECT name, a.module AS f, d.module AS t FROM p JOIN c a ON a.class = domain JOIN c d ON d.class = range WHERE a.module <> d.module)
-SELECT 'Q1' AS query, f || '>' || t AS item, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 'Q4', name, 1 FROM b UNION ALL SELECT 'Q5', class::VARCHAR, 1 FROM c WHERE class NOT IN (SELECT child FROM subclasses)""")
+@query(f"""WITH RECURSIVE {CLOSURE}, c AS (SELECT p_partkey AS class, p_brand AS module, 'L' || p_partkey AS local, p_brand || ':L' || p_partkey AS name FROM part),
+p AS (SELECT 'p' || l_orderkey || '.' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'object' ELSE 'data' END AS kind, 'Brand#' || l_linenumber AS module, min(l_partkey) AS domain, min(l_suppkey) AS range FROM lineitem GROUP BY l_orderkey, l_linenumber),
+r AS (SELECT l_partkey AS owner, 'q' || l_linenumber AS prop, CASE l_returnflag WHEN 'A' THEN 'minCardinality' WHEN 'N' THEN 'someValuesFrom' ELSE 'hasValue' END AS kind, max(l_quantity)::INTEGER AS value FROM lineitem GROUP BY ALL), v AS (SELECT p_partkey AS class, unnest(['x', p_type, p_brand]) AS value FROM part WHERE p_partkey % 9 = 0),
+e AS (SELECT p.*, a.module AS dm, b.module AS rm, a.name || '>' || b.name AS ends FROM p JOIN c a ON a.class = domain JOIN c b ON b.class = range), o AS (SELECT r.*, c.name, prop || ' ' || kind || ' ' || value AS told FROM r JOIN c ON c.class = owner),
+u AS (SELECT range AS class, string_agg(name, ',' ORDER BY name) AS users FROM p GROUP BY 1)
+SELECT 'Q1' AS query, module || '.' || name AS item, ends AS detail FROM e WHERE kind = 'object' AND dm <> rm UNION ALL SELECT DISTINCT 'Q2', name, told FROM o WHERE kind <> 'hasValue' AND owner IN (SELECT node FROM closure WHERE ancestor = 3 UNION SELECT 3)
+UNION ALL SELECT 'Q3', name, vs || '|' || coalesce(users, '') FROM (SELECT class, string_agg(DISTINCT value, ',' ORDER BY value) AS vs FROM v GROUP BY 1) JOIN c USING (class) LEFT JOIN u USING (class) UNION ALL SELECT 'Q4', module || '.' || name || ' ' || kind, ends FROM e WHERE dm <> module OR rm <> module
+UNION ALL SELECT 'Q5', name, '' FROM c WHERE class NOT IN (SELECT child FROM subclasses) UNION ALL SELECT 'Q6', name, told FROM o
+UNION ALL SELECT 'Q7', c.name, coalesce(told, '') FROM c LEFT JOIN o ON o.owner = c.class WHERE c.class IN (SELECT node FROM closure WHERE ancestor = 5 UNION SELECT 5)""")
 def c16_catalogue_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("class"), F.col("p_brand").alias("module"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("domain"), F.min("l_suppkey").alias("range"))
-    props = lines.select(F.concat(F.lit("p"), "l_orderkey", F.lit("."), "l_linenumber").alias("name"), "domain", "range")
-    return R.catalogue_queries(classes, subclasses(spark, sf_dir), props)
+    k, part, lines = F.col("p_partkey"), table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    classes = part.select(k.alias("class"), F.col("p_brand").alias("module"), F.concat(F.lit("L"), k).alias("local"))
+    props = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("domain"), F.min("l_suppkey").alias("range"))
+    props = props.select(F.concat(F.lit("p"), "l_orderkey", F.lit("."), "l_linenumber").alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "object").otherwise("data").alias("kind"), F.concat(F.lit("Brand#"), "l_linenumber").alias("module"), "domain", "range")
+    kind = F.when(F.col("l_returnflag") == "A", "minCardinality").when(F.col("l_returnflag") == "N", "someValuesFrom").otherwise("hasValue")
+    restrictions = lines.groupBy(F.col("l_partkey").alias("owner"), F.concat(F.lit("q"), "l_linenumber").alias("prop"), kind.alias("kind")).agg(F.max("l_quantity").cast("int").alias("value"))
+    members = part.where("p_partkey % 9 = 0").select(k.alias("class"), F.explode(F.array(F.lit("x"), "p_type", "p_brand")).alias("value"))
+    root = lambda n: spark.range(n, n + 1).withColumnRenamed("id", "node")
+    return R.catalogue_queries(classes, subclasses(spark, sf_dir), props, restrictions, members, root(3), root(5))
 
 
 @query(f"""WITH {PROPS}, step AS (SELECT domain AS a, range AS b, '>' || name AS via FROM props UNION SELECT range, domain, '<' || name FROM props), legs(leg, s, e) AS (VALUES (1, 'C0', 'C3'), (2, 'C3', 'C6')),
