@@ -458,6 +458,68 @@ def test_quality_sample_is_bounded(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0, "copy 0"), (2, 1, "two"), (3, 1, "three")]
 
 
+def brute_score(net, text):
+    """The network's answer window by window, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n = max(1, -(-len(text) // quality.HALF))
+    data = text + bytes((n + 1) * quality.HALF - len(text))
+    pooled = []
+    for half in range(n):
+        best = np.full(quality.FILTERS, -np.inf)
+        for spot in range(quality.SPOTS):
+            at = half * quality.HALF + spot * quality.STEP
+            window = np.concatenate([p["embed"][b] for b in data[at : at + quality.WINDOW]])
+            best = np.maximum(best, window @ p["filter"])
+        pooled.append(best + p["bias"])
+    chunks = [np.maximum(a, b) for a, b in zip(pooled, pooled[1:], strict=False)] or pooled
+    fill = min(1.0, len(text) / (2 * quality.HALF))
+    scores = [np.maximum(np.append(np.maximum(h, 0), fill) @ p["hidden"] + p["hidden_bias"], 0) @ p["out"] for h in chunks]
+    return p["mix"][0] * np.mean(scores) + p["mix"][1] * min(scores) + p["mix"][2]
+
+
+def test_network_against_plain_sums():
+    r = random.Random(12)
+    net = quality.ByteConv.fresh(3)
+    texts = [b"", b"a", b"x" * 128, b"y" * 129, bytes(r.randrange(256) for _ in range(1000)), "é ü 日本".encode() * 40]
+    assert np.allclose(net.logits(texts), [brute_score(net, t) for t in texts], atol=1e-4)
+    assert np.allclose(quality.ByteConv.from_bytes(net.to_bytes()).logits(texts), net.logits(texts))
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(i, ("good words here " if i % 2 else "@@@@ #### ") * 20 + str(i), "s") for i in range(60)]
+    rows += [(1, rows[1][1], "s"), (1, rows[1][1], "s"), (None, None, "s"), (None, "", "s"), (99, "x" * 300_000, "s")]
+    docs = frame(spark, rows).withColumn("quality_score", F.lit("mine")).withColumn("score", F.lit(5))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, None), (None, 1), (5, 7)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and len({r.score for r in got if r.doc_id is None}) == 1
+    one_class = quality.quality_scores(docs, labels.where("quality = 1")).collect()
+    assert len(one_class) == len(rows) and all(0 <= r.score <= 1 for r in one_class)
+
+
+def test_jaccard_of_rows_without_ids(spark):
+    text = lambda stem, last: " ".join([f"{stem}{i}" for i in range(60)] + [last])
+    rows = [(None, text("a", "x"), "s"), (None, text("a", "y"), "s"), (7, text("a", "z"), "s"), (None, text("b", "x"), "s"), (None, text("b", "y"), "s"), (None, None, "s"), (3, "", "s"), (4, " \n", "s")]
+    rows += [(9, "word " * 40_000, "s"), (8, "word " * 30_000, "s"), (5, "word word", "s")]  # one shingle over and over
+    got = sorted(map(str, jaccard.jaccard_classes(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()))
+    want = [(None, 58, 7), (None, 58, 7), (7, 58, 7), (None, 58, None), (None, 58, None), (None, 0, None), (3, 0, 3), (4, 0, 4), (9, 1, 8), (8, 1, 8), (5, 1, 5)]
+    assert got == sorted(f"Row(doc_id={d}, n_shingles={n}, component_id={c})" for d, n, c in want)
+
+
+def test_temporal_list_of_odd_rows(spark):
+    entries = [("x.org", "block", "2024-01-01"), ("x.org", "allow", "2024-01-01"), ("2.3.4", "block", "2024-01-01"), ("1.2.3.5", "block", "2024-01-01"), ("[::1]", "block", "2024-01-01"), ("X.com ", "block", "2024-01-01"), ("x.org", None, "2024-02-01"), ("x.org", "block", "2024-01-01")]
+    entries = spark.createDataFrame(entries, "domain string, action string, at string").withColumn("id", F.lit(1)).withColumn("host", F.lit("y"))
+    cases = ["http://x.org/" + "p" * 100_000, "http://a.x.org", "http://a.x.org", "http://1.2.3.4/", "http://1.2.3.5:80/", "http://user@[::1]:8080/x", "HTTP://WWW.X.COM./", "", "http://", "ftp://x.org"]
+    captures = spark.createDataFrame([(n, u, "2024-03-01") for n, u in enumerate(cases)] + [(None, "http://x.org", None)] * 2, "id long, url string, fetched string")
+    captures = captures.withColumns({"matched": F.lit("z"), "action": F.lit("z"), "domain": F.lit("z"), "rid": F.lit("z")})
+    got = urls.filter_captures(captures, entries).collect()
+    assert len(got) == len(cases) + 2
+    found = {r.id: (r.matched, r.action) for r in got if r.id is not None}
+    none = (None, "none")
+    assert [found[n] for n in range(len(cases))] == [("x.org", "block"), ("x.org", "block"), ("x.org", "block"), none, ("1.2.3.5", "block"), ("[::1]", "block"), ("x.com", "block"), none, none, ("x.org", "block")]
+    assert all(r.action == "none" for r in got if r.id is None)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [(1, "x", "s")]).where("doc_id > 1")
     for made in (
