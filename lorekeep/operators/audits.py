@@ -175,22 +175,44 @@ def replica_state(masters: DataFrame, replicas: DataFrame) -> DataFrame:
     return joined.select("slug", state.alias("state"))
 
 
-def attribute_drift(a: DataFrame, b: DataFrame) -> DataFrame:
-    """slug, missing, keys: attribute maps (slug, attrs) that differ key by key; a page without node is reported so."""
-    x = a.select("slug", F.explode("attrs").alias("key", "va"))
-    y = b.select("slug", F.explode("attrs").alias("key", "vb"))
-    differ = x.join(y, ["slug", "key"], "full_outer").where(~F.col("va").eqNullSafe(F.col("vb")))
+def canonical(value: Column) -> Column:
+    """A value without blanks around it; JSON objects and lists with their keys in order."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    return F.coalesce(F.when(text.rlike(r"^[\[{]"), F.to_json(F.try_parse_json(text))), text)
+
+
+def attribute_drift(pages: DataFrame, nodes: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """slug, missing, keys: attributes of a page (slug, attrs) whose node (slug, attrs) has another value; a page without
+    a node is reported so.  Keys count without their prefix, but for those in ``skip``; values in canonical form."""
+    key = F.element_at(F.split("key", ":"), -1)
+    x = pages.select("slug", F.explode("attrs").alias("key", "value")).select("slug", key.alias("key"), canonical(F.col("value")).alias("va")).where(F.col("key") != "").where(~F.col("key").isin(*skip))
+    y = nodes.select("slug", F.explode("attrs").alias("key", "value")).select("slug", "key", canonical(F.col("value")).alias("vb"))
+    differ = x.join(y, ["slug", "key"], "left").where(F.col("va") != F.coalesce("vb", F.lit("")))
     keys = differ.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
-    joined = a.select("slug").join(b.select("slug", F.lit(True).alias("there")), "slug", "left").join(keys, "slug", "left")
+    joined = pages.select("slug").join(nodes.select("slug", F.lit(True).alias("there")), "slug", "left").join(keys, "slug", "left")
     absent = F.col("there").isNull()
     return joined.where(absent | F.col("keys").isNotNull()).select("slug", absent.alias("missing"), F.when(~absent, F.col("keys")).alias("keys"))
 
 
-def three_way_drift(meta: DataFrame, graph: DataFrame, body: DataFrame) -> DataFrame:
-    """slug, key, value, drift of three carriers (slug, key, value): meta before graph before body; drift if any differ."""
-    tagged = [t.select("slug", "key", F.lit(n).alias("carrier"), "value") for n, t in enumerate((meta, graph, body))]
-    both = reduce(DataFrame.unionByName, tagged).where("value is not null")
-    return both.groupBy("slug", "key").agg(F.min_by("value", "carrier").alias("value"), (F.count_distinct("value") > 1).alias("drift"))
+def three_way_drift(meta: DataFrame, graph: DataFrame, body: DataFrame, summaries: DataFrame, carriers: tuple[str, ...] = ()) -> DataFrame:
+    """slug, key, source, value, drift of three carriers (slug, key, value) of attributes.
+
+    A page's values come from its metadata if it has any there, else from the graph, else from the body.  A key drifts
+    if its values differ, or if it is the one that a page's summary (slug, key, value) tells and the summary is not its
+    only value.  Blank values are none, and keys that carry the body itself (``carriers``) are left out.
+    """
+    names = ("meta", "graph", "body")
+    tagged = [t.select("slug", "key", F.lit(n).alias("carrier"), F.trim("value").alias("value")) for n, t in enumerate((meta, graph, body))]
+    every = reduce(DataFrame.unionByName, tagged).where("coalesce(value, '') != ''").where(~F.col("key").isin(*carriers))
+    first = every.groupBy("slug").agg(F.min("carrier").alias("first"))
+    told = summaries.select("slug", "key", F.nullif(F.trim("value"), F.lit("")).alias("summary")).where("summary is not null")
+    keys = every.join(first, "slug").groupBy("slug", "key").agg(
+        F.max(F.when(F.col("carrier") == F.col("first"), F.col("value"))).alias("value"), F.min("value").alias("low"), F.max("value").alias("high"))
+    joined = keys.join(told, ["slug", "key"], "full_outer").join(first, "slug", "left")
+    differs = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    untold = F.col("summary").isNotNull() & ~(F.col("low").eqNullSafe(F.col("summary")) & F.col("high").eqNullSafe(F.col("summary")))
+    source = F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), F.col("first")), F.lit("none"))
+    return joined.select("slug", "key", source.alias("source"), "value", (differs | untold).alias("drift"))
 
 
 #: Fixed values of the context scan: weights of the signals, bounds of the verdicts, and of exact agreement.

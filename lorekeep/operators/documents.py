@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators.graphs import settled
+from lorekeep.operators.traces import common_substrings
 
 
 def md_table(lines: DataFrame) -> DataFrame:
@@ -69,17 +71,22 @@ def outline_units(chunks: DataFrame) -> DataFrame:
     return first.unionByName(alone).unionByName(packed)
 
 
-def name_hits(texts: DataFrame, names: DataFrame, top: int = 3, least: int = 3) -> DataFrame:
-    """text_id, name, common, place: names sharing the longest substring with a text (text_id, text).
+def name_hits(texts: DataFrame, names: DataFrame, top: int = 2) -> DataFrame:
+    """text_id, name, common, place: the names (name) that a text (text_id, text) speaks of, without blanks and marks.
 
-    Candidates share a gram of ``least`` characters; only they are compared by the common substring.
+    A name is met by three characters in a row, or by two that both begin with; the longest common part comes first,
+    then the longer name.
     """
-    grams = lambda c: F.explode(F.array_distinct(T.grams(F.lower(c), least)))
-    a = texts.select("text_id", "text", grams("text").alias("gram"))
-    pairs = a.join(names.select("name", grams("name").alias("gram")), "gram").select("text_id", "text", "name").distinct()
-    scored = pairs.withColumn("common", T.lcs_len(F.lower("text"), F.lower("name"))).where(F.col("common") >= least)
-    place = F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("common"), F.length("name"), "name"))
-    return scored.withColumn("place", place).where(F.col("place") <= top).select("text_id", "name", "common", "place")
+    left = texts.select(F.col("text_id").alias("left_id"), T.norm_title(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''")
+    right = names.select("name").distinct().withColumn("text", T.norm_title(F.coalesce("name", F.lit("")))).where("length(text) > 1")
+    right = settled(right.withColumn("right_id", F.monotonically_increasing_id()), "names")
+    long = common_substrings(left, right.select("right_id", "text"), 3)
+    head = F.substring("text", 1, 2).alias("head")
+    short = left.where("length(text) > 1").select("left_id", head).join(right.select("right_id", head), "head").select("left_id", "right_id").distinct()
+    short = short.join(long.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti").withColumn("common", F.lit(2))
+    found = long.unionByName(short).join(right.select("right_id", "name", F.length("text").alias("size")), "right_id")
+    place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("common"), F.desc("size"), "name"))
+    return found.withColumn("place", place).where(F.col("place") <= top).select(F.col("left_id").alias("text_id"), "name", "common", "place")
 
 
 def url_stem(url: Column) -> Column:

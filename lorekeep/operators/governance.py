@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.audits import findings
+from lorekeep.operators.search import contained
 
 
 def mapping_pairs(members: DataFrame) -> DataFrame:
@@ -135,12 +136,18 @@ def clean_up_plan(pages: DataFrame, index: DataFrame) -> DataFrame:
     return joined.groupBy(kind.alias("kind")).agg(F.count("*").alias("pages"))
 
 
-def candidate_facts(items: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
-    """item, doc, place: the first ``most`` lines of each document that hold an item's keyword.
+#: Keywords that are held by every task up to so many; more are met by shared grams.
+BROADCAST_KEYWORDS = 10_000
 
-    ``items`` (item, keyword) is a short list of needs and is broadcast.
-    """
-    met = lines.join(F.broadcast(items), F.col("line").contains(F.col("keyword")))
+
+def candidate_facts(items: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
+    """item, doc, place: the first ``most`` lines of each document (doc, place, line) that hold an item's keyword (item, keyword)."""
+    if items.count() <= BROADCAST_KEYWORDS:
+        met = lines.join(F.broadcast(items), F.col("line").contains(F.col("keyword"))).select("item", "doc", "place")
+    else:
+        whole = lines.select(F.struct("doc", "place").alias("whole_id"), F.col("line").alias("whole"))
+        found = contained(items.select(F.col("item").alias("part_id"), F.col("keyword").alias("part")), whole)
+        met = found.select(F.col("part_id").alias("item"), "whole_id.doc", "whole_id.place")
     place = F.row_number().over(Window.partitionBy("item", "doc").orderBy("place"))
     return met.withColumn("n", place).where(F.col("n") <= most).select("item", "doc", "place")
 

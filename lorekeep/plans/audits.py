@@ -132,24 +132,33 @@ def r3_replica_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.replica_state(masters, replicas)
 
 
-@query("""WITH a AS (SELECT p_partkey AS slug, unnest(['name', 'brand', 'size']) AS key, unnest([p_name, p_brand, p_size::VARCHAR]) AS v FROM part),
-b AS (SELECT p_partkey AS slug, unnest(['name', 'brand', 'type']) AS key, unnest([p_name, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_brand END, p_type]) AS v FROM part WHERE p_partkey % 10 <> 0),
-d AS (SELECT coalesce(a.slug, b.slug) AS slug, coalesce(a.key, b.key) AS key FROM a FULL JOIN b ON a.slug = b.slug AND a.key = b.key WHERE a.v IS DISTINCT FROM b.v), k AS (SELECT slug, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM d GROUP BY 1)
-SELECT slug, slug % 10 = 0 AS missing, CASE WHEN slug % 10 <> 0 THEN keys END AS keys FROM k""")
+@query("""WITH a AS (SELECT p_partkey AS slug, unnest(['x:name', 'brand', 'y:size', 'skipped', 'j']) AS key, unnest([p_name || ' ', p_brand, p_size::VARCHAR, p_type, '{"b": 1, "a": ' || p_size || '}']) AS v FROM part),
+b AS (SELECT p_partkey AS slug, unnest(['name', 'brand', 'type', 'j']) AS key, unnest([p_name, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_brand END, p_type, '{"a":' || CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END || ',"b":1}']) AS v FROM part WHERE p_partkey % 10 <> 0),
+c AS (SELECT slug, split_part(key, ':', -1) AS key, CASE WHEN key = 'j' THEN regexp_replace(v, '^.*"a": ([0-9]+).*$', '{"a":\\1,"b":1}') ELSE trim(v) END AS v FROM a WHERE key <> 'skipped'),
+d AS (SELECT c.slug, array_to_string(list_sort(list(DISTINCT c.key)), ',') AS keys FROM c LEFT JOIN b ON b.slug = c.slug AND b.key = c.key WHERE c.v <> coalesce(b.v, '') GROUP BY 1)
+SELECT slug, slug % 10 = 0 AS missing, CASE WHEN slug % 10 <> 0 THEN keys END AS keys FROM d""")
 def j18_attribute_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("slug", F.col("p_partkey"))
-    a = p.select("slug", F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("attrs"))
+    size = F.col("p_size").cast("string")
+    a = p.select("slug", F.create_map(F.lit("x:name"), F.concat("p_name", F.lit(" ")), F.lit("brand"), "p_brand", F.lit("y:size"), size, F.lit("skipped"), "p_type", F.lit("j"), F.concat(F.lit('{"b": 1, "a": '), size, F.lit("}"))).alias("attrs"))
     brand = F.when(F.col("slug") % 3 == 0, "x").otherwise(F.col("p_brand"))
-    b = p.where("slug % 10 != 0").select("slug", F.create_map(F.lit("name"), "p_name", F.lit("brand"), brand, F.lit("type"), "p_type").alias("attrs"))
-    return A.attribute_drift(a, b)
+    told = F.concat(F.lit('{"a":'), F.when(F.col("slug") % 4 == 0, "0").otherwise(size), F.lit(',"b":1}'))
+    b = p.where("slug % 10 != 0").select("slug", F.create_map(F.lit("name"), "p_name", F.lit("brand"), brand, F.lit("type"), "p_type", F.lit("j"), told).alias("attrs"))
+    return A.attribute_drift(a, b, ("skipped",))
 
 
-@query("""WITH t AS (SELECT p_partkey AS slug, 'n' AS key, 0 AS carrier, p_name AS value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'n', 1, p_brand FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 'n', 2, p_name FROM part WHERE p_partkey % 5 <> 0)
-SELECT slug, key, arg_min(value, carrier) AS value, count(DISTINCT value) > 1 AS drift FROM t GROUP BY ALL""")
+@query("""WITH t AS (SELECT p_partkey AS slug, 'n' AS key, 0 AS carrier, p_name AS value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'n', 1, p_brand FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 'n', 2, p_name FROM part WHERE p_partkey % 5 <> 0
+  UNION ALL SELECT p_partkey, 'd', 2, p_type FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'd', 0, ' ' || p_type FROM part WHERE p_partkey % 14 = 0), s AS (SELECT p_partkey AS slug, 'd' AS key, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE ' ' END AS summary FROM part WHERE p_partkey % 11 > 2),
+f AS (SELECT slug, min(carrier) AS first FROM t GROUP BY 1), k AS (SELECT slug, key, max(trim(value)) FILTER (carrier = first) AS value, min(trim(value)) AS low, max(trim(value)) AS high FROM t JOIN f USING (slug) GROUP BY ALL), u AS (SELECT * FROM s WHERE trim(summary) <> '')
+SELECT slug, key, CASE first WHEN 0 THEN 'meta' WHEN 1 THEN 'graph' WHEN 2 THEN 'body' ELSE 'none' END AS source, value, coalesce(low <> high, false) OR (summary IS NOT NULL AND (low IS DISTINCT FROM summary OR high IS DISTINCT FROM summary)) AS drift FROM k FULL JOIN u USING (slug, key) LEFT JOIN f USING (slug)""")
 def j24_three_way_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("slug", F.col("p_partkey")).withColumn("key", F.lit("n"))
-    take = lambda cond, c: p.where(cond).select("slug", "key", F.col(c).alias("value"))
-    return A.three_way_drift(take("slug % 3 = 0", "p_name"), take("slug % 4 = 0", "p_brand"), take("slug % 5 != 0", "p_name"))
+    p = table(spark, sf_dir, "part").withColumn("slug", F.col("p_partkey"))
+    take = lambda cond, key, c: p.where(cond).select("slug", F.lit(key).alias("key"), c.alias("value"))
+    name, kind = F.col("p_name"), F.col("p_type")
+    meta = take("slug % 3 = 0", "n", name).unionByName(take("slug % 14 = 0", "d", F.concat(F.lit(" "), kind))).unionByName(take("slug % 6 = 0", "articleBody", name))
+    body = take("slug % 5 != 0", "n", name).unionByName(take("slug % 7 = 0", "d", kind))
+    summaries = take("slug % 11 > 2", "d", F.when(F.col("slug") % 2 == 0, kind).otherwise(" "))
+    return A.three_way_drift(meta, take("slug % 4 = 0", "n", F.col("p_brand")), body, summaries, ("articleBody",))
 
 
 @query(rf"""WITH RECURSIVE {KB_PAGES}, p AS (SELECT *, regexp_replace(lower(title), '[\s[:punct:]]+', '', 'g') AS k1, substr(regexp_replace(lower(summary), '[\s[:punct:]]+', '', 'g'), 1, 60) AS k2,

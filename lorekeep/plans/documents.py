@@ -45,10 +45,14 @@ def t19_outline_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.outline_units(lines.select("doc", chunk.alias("chunk"), "place", kind.alias("type"), parent.alias("parent"), F.length("line").alias("chars")))
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey AS text_id, regexp_replace(lower(p_name), '[\\s[:punct:]]+', '', 'g') AS x FROM part), n AS (SELECT DISTINCT p_type AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT substr(p_name, 1, 2) || ' q' FROM part),
+k AS (SELECT name, regexp_replace(lower(name), '[\\s[:punct:]]+', '', 'g') AS y FROM n), s AS (SELECT name, y, i, j FROM k, unnest(range(1, length(y) + 1)) u(i), unnest(range(2, length(y) + 1)) v(j) WHERE i + j <= length(y) + 1 AND length(y) > 1),
+h AS (SELECT text_id, name, y, x, max(j) AS common FROM t JOIN s ON contains(x, substr(y, i, j)) GROUP BY ALL)
+SELECT text_id, name, common::INTEGER AS common, row_number() OVER (PARTITION BY text_id ORDER BY common DESC, length(y) DESC, name)::INTEGER AS place FROM h WHERE common >= 3 OR (length(x) > 1 AND starts_with(y, x[1:2])) QUALIFY place <= 2""")
 def j14_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
-    names = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).union(table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), 2))).distinct()
+    p = table(spark, sf_dir, "part")
+    texts = p.select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
+    names = p.select(F.col("p_type").alias("name")).union(p.select(F.element_at(F.split("p_name", " "), 2))).union(p.select("p_brand")).union(p.select(F.concat(F.substring("p_name", 1, 2), F.lit(" q"))))
     return D.name_hits(texts, names)
 
 
