@@ -347,3 +347,37 @@ def template_usage(headings: DataFrame, templates: DataFrame, pages: DataFrame)
     met = wanted.join(headings, "page").where(F.col("title").contains(F.col("section")) | F.col("section").contains(F.col("title")))
     gone = wanted.join(met.select("page", "section").distinct(), ["page", "section"], "left_anti")
     return gone.groupBy("page").agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("missing"))
+
+
+def _picked(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """page, type, fits (how many templates apply to the page), template (the only one)."""
+    of = templates.select("template", F.explode(F.array_distinct(F.filter("types", lambda t: F.coalesce(t, F.lit("")) != ""))).alias("type"))
+    found = of.groupBy("type").agg(F.count("*").alias("fits"), F.min("template").alias("template"), F.array_join(F.array_sort(F.collect_set("template")), ",").alias("names"))
+    return pages.join(found, "type", "left").withColumn("fits", F.coalesce("fits", F.lit(0)))
+
+
+def template_sections(pages: DataFrame, headings: DataFrame, templates: DataFrame) -> DataFrame:
+    """T1 the required sections that a page's headings lack, T2 templates that can't be used and pages with several.
+
+    pages: page, type; headings: page, title; templates: template, types, sections (arrays; the required ones).  A
+    heading meets a section that holds it or that it holds.  A page that several templates fit is told, not judged.
+    """
+    picked = _picked(pages, templates)
+    sections = templates.select("template", F.explode(F.array_distinct("sections")).alias("section"))
+    wanted = picked.where("fits = 1").select("page", "template").join(sections, "template")
+    met = wanted.join(headings, "page").where((F.coalesce("title", F.lit("")) != "") & (F.col("title").contains(F.col("section")) | F.col("section").contains(F.col("title"))))
+    gone = wanted.join(met.select("page", "section").distinct(), ["page", "section"], "left_anti")
+    lacking = gone.groupBy("page", "template").agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("missing"))
+    blank = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
+    parts = [
+        findings(lacking, "T1", "medium", F.col("page"), F.concat_ws(": ", "template", "missing")), findings(picked.where("fits > 1"), "T2", "low", F.col("page"), F.concat(F.lit("several: "), "names")),
+        findings(templates.where(blank(F.col("sections"))), "T2", "low", F.col("template"), F.lit("no sections")), findings(templates.where(blank(F.col("types"))), "T2", "low", F.col("template"), F.lit("no types")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def template_totals(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """pages, checked, no_template, ambiguous and templates."""
+    picked = _picked(pages, templates)
+    counts = picked.agg(F.count("*").alias("pages"), F.count_if(F.col("fits") == 1).alias("checked"), F.count_if(F.col("fits") == 0).alias("no_template"), F.count_if(F.col("fits") > 1).alias("ambiguous"))
+    return counts.crossJoin(templates.agg(F.count("*").alias("templates")))  # one row each

@@ -132,6 +132,16 @@ def pairing(rows: DataFrame) -> DataFrame:
     return arms.select("session", "qid", F.when(F.size("arms") > 1, F.lit("both")).otherwise(F.element_at("arms", 1)).alias("seen_by"))
 
 
+def pairing_summary(rows: DataFrame, arms: tuple[str, str] = ("hint", "plain")) -> DataFrame:
+    """<arm>_groups, paired, only_<arm>, arm_missing, comparable: how many question groups (session, qid) each arm saw."""
+    seen = [F.max((F.col("arm") == arm).cast("int")).alias(arm) for arm in arms]
+    groups = rows.where(F.col("arm").isin(*arms)).groupBy("session", "qid").agg(*seen)
+    a, b = (F.col(arm) == 1 for arm in arms)
+    counts = groups.agg(F.count_if(a).alias(f"{arms[0]}_groups"), F.count_if(b).alias(f"{arms[1]}_groups"), F.count_if(a & b).alias("paired"), F.count_if(a & ~b).alias(f"only_{arms[0]}"), F.count_if(b & ~a).alias(f"only_{arms[1]}"))
+    missing = F.when(F.col(f"{arms[1]}_groups") == 0, arms[1]).when(F.col(f"{arms[0]}_groups") == 0, arms[0]).otherwise("")
+    return counts.withColumns({"arm_missing": missing, "comparable": F.col("paired") > 0})
+
+
 def paired_rows(rows: DataFrame) -> DataFrame:
     """Rows of questions that both arms saw."""
     return rows.join(pairing(rows).where("seen_by = 'both'"), ["session", "qid"], "left_semi")

@@ -229,3 +229,30 @@ def a27_template_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = lines.select(F.col("doc").alias("page"), F.col("line").alias("title"))
     templates = spark.createDataFrame([("en", "The "), ("en", "Is "), ("fr", "Le "), ("de", "Der")], "type string, section string")
     return A.template_usage(headings, templates, docs.select(F.col("doc_id").alias("page"), F.col("lang").alias("type")))
+
+
+TEMPLATES = """t AS (SELECT * FROM (VALUES ('t-en', ['en0', 'en1'], ['The ', 'Is ', 'zzz']), ('t-fr', ['fr0', ''], ['Le ']), ('t-fr2', ['fr0', 'fr1'], ['La ']), ('t-none', ['de0'], []::VARCHAR[]), ('t-loose', []::VARCHAR[], ['Der']), ('t-de', ['de1'], ['Der', 'Und'])) v(template, types, sections)),
+p AS (SELECT doc_id AS page, lang || doc_id % 2 AS type FROM documents), f AS (SELECT type, count(*) AS fits, min(template) AS template, string_agg(template, ',' ORDER BY template) AS names FROM (SELECT template, unnest(types) AS type FROM t) WHERE type <> '' GROUP BY 1),
+k AS (SELECT page, coalesce(fits, 0) AS fits, template, names FROM p LEFT JOIN f USING (type))"""
+
+
+def _templates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    lines = X.lines_of(docs.select(F.col("doc_id").alias("doc"), "text"))
+    templates = [("t-en", ["en0", "en1"], ["The ", "Is ", "zzz"]), ("t-fr", ["fr0", ""], ["Le "]), ("t-fr2", ["fr0", "fr1"], ["La "]), ("t-none", ["de0"], []), ("t-loose", [], ["Der"]), ("t-de", ["de1"], ["Der", "Und"])]
+    pages = docs.select(F.col("doc_id").alias("page"), F.concat("lang", F.col("doc_id") % 2).alias("type"))
+    return pages, lines.select(F.col("doc").alias("page"), F.col("line").alias("title")), spark.createDataFrame(templates, "template string, types array<string>, sections array<string>")
+
+
+@query(f"""WITH {TEMPLATES}, h AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS title FROM documents), w AS (SELECT page, k.template, unnest(list_distinct(sections)) AS section FROM k JOIN t ON t.template = k.template WHERE fits = 1),
+m AS (SELECT DISTINCT w.page, section FROM w JOIN h USING (page) WHERE title <> '' AND (contains(title, section) OR contains(section, title)))
+SELECT 'T1' AS "check", 'medium' AS severity, page::VARCHAR AS subject, template || ': ' || string_agg(section, ',' ORDER BY section) AS detail FROM w WHERE (page, section) NOT IN (SELECT (page, section) FROM m) GROUP BY page, template
+UNION ALL SELECT 'T2', 'low', page::VARCHAR, 'several: ' || names FROM k WHERE fits > 1 UNION ALL SELECT 'T2', 'low', template, 'no sections' FROM t WHERE len(sections) = 0 UNION ALL SELECT 'T2', 'low', template, 'no types' FROM t WHERE len(types) = 0""")
+def c11_template_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.template_sections(*_templates(spark, sf_dir))
+
+
+@query(f"""WITH {TEMPLATES} SELECT count(*) AS pages, count(*) FILTER (fits = 1) AS checked, count(*) FILTER (fits = 0) AS no_template, count(*) FILTER (fits > 1) AS ambiguous, (SELECT count(*) FROM t) AS templates FROM k""")
+def a27_template_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, _, templates = _templates(spark, sf_dir)
+    return A.template_totals(pages, templates)

@@ -69,6 +69,12 @@ def a9_by_question_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = f"""{CALLS}, pairs AS (SELECT session, qid, CASE WHEN count(DISTINCT arm) > 1 THEN 'both' ELSE any_value(arm) END AS seen_by FROM calls GROUP BY ALL)"""
 
 
+@query(f"""WITH {CALLS}, c AS (SELECT * FROM calls WHERE arm = 'hint' OR session % 3 > 0), g AS (SELECT bool_or(arm = 'hint') AS h, bool_or(arm = 'plain') AS p FROM c GROUP BY session, qid)
+SELECT count(*) FILTER (h) AS hint_groups, count(*) FILTER (p) AS plain_groups, count(*) FILTER (h AND p) AS paired, count(*) FILTER (h AND NOT p) AS only_hint, count(*) FILTER (p AND NOT h) AS only_plain, '' AS arm_missing, count(*) FILTER (h AND p) > 0 AS comparable FROM g""")
+def a10_pairing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.pairing_summary(calls(spark, sf_dir).where("arm = 'hint' or session % 3 > 0"))
+
+
 @query(f"WITH {PAIRS} SELECT * FROM pairs")
 def a10_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pairing(calls(spark, sf_dir))
