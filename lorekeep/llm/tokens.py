@@ -32,12 +32,11 @@ _INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
 #: Ids are below this, so statistics by id have a bounded size whatever the input.
 TERMS = 1 << 16
 #: Bytes whose words are hashed at once, to bound a worker's memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _made_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a base and of its inverse, modulo 2^64."""
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
@@ -47,6 +46,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=2)
+def _block_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(base, BLOCK_BYTES + 1)
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each stretch of the bytes: with both, a chance collision is out of the question.
 
@@ -60,7 +64,7 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
         part = data[low : int(ends[to - 1])].astype(np.uint64) + np.uint64(1)
         first, last = starts[at:to] - low, ends[at:to] - low
         for n, base in enumerate(_BASES):
-            power, inverse = _powers(base, 1 << max(10, len(part).bit_length()))
+            power, inverse = _block_powers(base) if len(part) <= BLOCK_BYTES else _made_powers(base, len(part) + 1)
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(part * power[: len(part)], out=sums[1:])
             h = ((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)) * np.uint64(base)
