@@ -112,10 +112,19 @@ def holding_checks(holdings: DataFrame, entities: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def crud_matrix(uses: DataFrame) -> DataFrame:
-    """service, attribute, C, R, U, D: how many operations of each kind (service, operation, attribute, kinds)."""
-    each = uses.select("service", "operation", "attribute", F.explode(F.split("kinds", "")).alias("kind")).where("kind != ''").distinct()
-    return each.groupBy("service", "attribute").pivot("kind", ["C", "R", "U", "D"]).agg(F.count(F.lit(1))).fillna(0)
+def crud_matrix(uses: DataFrame, keys: DataFrame) -> DataFrame:
+    """service, attribute, key_role, C, R, U, D, written: how many operations of each kind (service, operation, attribute,
+    kinds) touch an attribute, and its role as a key (keys: attribute, role)."""
+    each = uses.select("service", "operation", "attribute", F.explode(F.split(F.upper("kinds"), "")).alias("kind")).where("kind != ''").distinct()
+    counts = each.groupBy("service", "attribute").pivot("kind", ["C", "R", "U", "D"]).agg(F.count(F.lit(1))).fillna(0)
+    roles = keys.groupBy("attribute").agg(F.max(F.upper(F.trim("role"))).alias("key_role"))
+    out = counts.join(roles, "attribute", "left").withColumn("key_role", F.coalesce("key_role", F.lit("")))
+    return out.withColumn("written", (F.col("C") + F.col("U") + F.col("D")) > 0).select("service", "attribute", "key_role", "C", "R", "U", "D", "written")
+
+
+def crud_totals(matrix: DataFrame) -> DataFrame:
+    """service, attributes, written, read_only, keys of the matrix."""
+    return matrix.groupBy("service").agg(F.count("*").alias("attributes"), F.count_if("written").alias("written"), F.count_if(~F.col("written")).alias("read_only"), F.count_if(F.col("key_role") != "").alias("keys"))
 
 
 def write_conflicts(uses: DataFrame) -> DataFrame:

@@ -88,10 +88,25 @@ def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey") % 12).alias("service"), F.col("l_orderkey").alias("operation"), F.concat(F.lit("a"), F.col("l_partkey") % 60).alias("attribute"), kinds.alias("kinds"))
 
 
-@query(f"""WITH {USES}, k AS (SELECT DISTINCT service, operation, attribute, unnest(string_split(kinds, '')) AS kind FROM u)
-SELECT service, attribute, count(*) FILTER (kind = 'C') AS C, count(*) FILTER (kind = 'R') AS R, count(*) FILTER (kind = 'U') AS U, count(*) FILTER (kind = 'D') AS D FROM k GROUP BY ALL""")
+MATRIX = f"""{USES}, k AS (SELECT DISTINCT service, operation, attribute, unnest(string_split(kinds, '')) AS kind FROM u), r AS (SELECT 'a' || p_partkey AS attribute, CASE WHEN p_partkey % 4 = 0 THEN 'PK' WHEN p_partkey % 4 = 1 THEN 'FK' ELSE '' END AS role FROM part),
+m AS (SELECT service, attribute, count(*) FILTER (kind = 'C') AS C, count(*) FILTER (kind = 'R') AS R, count(*) FILTER (kind = 'U') AS U, count(*) FILTER (kind = 'D') AS D FROM k GROUP BY ALL),
+x AS (SELECT m.service, m.attribute, coalesce(role, '') AS key_role, C, R, U, D, C + U + D > 0 AS written FROM m LEFT JOIN r USING (attribute))"""
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    roles = table(spark, sf_dir, "part").select(F.concat(F.lit("a"), k).alias("attribute"), F.when(k % 4 == 0, "pk ").when(k % 4 == 1, "FK").otherwise("").alias("role"))
+    return A.crud_matrix(_uses(spark, sf_dir), roles)
+
+
+@query(f"WITH {MATRIX} SELECT * FROM x")
 def a17_crud_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.crud_matrix(_uses(spark, sf_dir))
+    return _matrix(spark, sf_dir)
+
+
+@query(f"WITH {MATRIX} SELECT service, count(*) AS attributes, count(*) FILTER (written) AS written, count(*) FILTER (NOT written) AS read_only, count(*) FILTER (key_role <> '') AS keys FROM x GROUP BY 1")
+def a17_crud_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.crud_totals(_matrix(spark, sf_dir))
 
 
 @query(f"""WITH {USES}, w AS (SELECT attribute, list_sort(list(DISTINCT service)) AS s FROM u WHERE kinds <> 'R' GROUP BY 1) SELECT 'E1' AS "check", 'medium' AS severity, attribute AS subject, array_to_string(s, ',') AS detail FROM w WHERE len(s) > 1""")
