@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import StringType
 
 #: Name space of page ids, as hexadecimal bytes.
 PAGE_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -113,24 +113,6 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-@F.pandas_udf(IntegerType())
-def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common substring."""
-
-    def one(x: str, y: str) -> int:
-        best, before = 0, [0] * (len(y) + 1)
-        for c in x or "":
-            row = [0] * (len(y) + 1)
-            for j, d in enumerate(y, 1):
-                if c == d:
-                    row[j] = before[j - 1] + 1
-                    best = max(best, row[j])
-            before = row
-        return best
-
-    return pd.Series([one(x, y or "") for x, y in zip(a, b, strict=True)])
-
-
 def snippet(body: Column, terms: list[str], width: int) -> Column:
     """Blanks collapsed; the first term found and ``width`` characters around it, with ellipses."""
     flat = F.trim(F.regexp_replace(body, r"\s+", " "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators.graphs import settled
+from lorekeep.operators.search import contained
 from lorekeep.operators.traces import common_substrings
 
 
@@ -89,19 +90,38 @@ def name_hits(texts: DataFrame, names: DataFrame, top: int = 2) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= top).select(F.col("left_id").alias("text_id"), "name", "common", "place")
 
 
-def url_stem(url: Column) -> Column:
-    """The last part of a URL's path without extension."""
-    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-z]+://[^/]*", "")
-    return F.regexp_replace(F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1), r"\.[A-Za-z0-9]+$", "")
+def reference_stem(reference: Column) -> Column:
+    """What a reference names: the last part of its path without query, anchor and extension; all of it where that is empty."""
+    ref = F.trim(F.coalesce(reference, F.lit("")))
+    tail = F.regexp_replace(F.element_at(F.split(F.rtrim(ref, F.lit("/")), "/"), -1), r"[?#].*$", "")
+    stem = F.regexp_replace(tail, r"\.[^.]*$", "")
+    return F.coalesce(F.nullif(stem, F.lit("")), ref)
 
 
-def find_reference(refs: DataFrame, pages: DataFrame) -> DataFrame:
-    """ref_id, page, how: the page whose slug's last part is a reference's stem (ref_id, url), the shortest slug first."""
-    tail = F.element_at(F.split("slug", "/"), -1)
-    best = pages.groupBy(tail.alias("stem")).agg(F.min(F.struct(F.length("slug").alias("n"), "slug")).alias("best"))
-    joined = refs.withColumn("stem", url_stem(F.col("url"))).join(best, "stem", "left")
-    how = F.when(F.col("stem") == "", "no stem").when(F.col("best").isNull(), "not found").otherwise("page")
-    return joined.select("ref_id", F.col("best.slug").alias("page"), how.alias("how"))
+def find_reference(refs: DataFrame, pages: DataFrame, docs: DataFrame, most: int = 3, rules: str = "bmm:") -> DataFrame:
+    """ref_id, source (wiki, doc), hits, reason of references (ref_id, reference) to standards.
+
+    First the pages (slug, title, page_type; no rules) whose title or slug holds the stem, shortest title first; else
+    the documents (doc_id, title) whose title does.  A URL that nothing holds would have to be fetched, which is not done.
+    """
+    asked = refs.select("ref_id", F.trim(F.coalesce("reference", F.lit(""))).alias("ref"), F.lower(reference_stem(F.col("reference"))).alias("part"))
+    asked = settled(asked, "references")
+    parts = asked.where("part != ''").select("part").distinct().select(F.col("part").alias("part_id"), "part")
+    kept = pages.where(~F.coalesce("page_type", F.lit("")).startswith(rules)).select("slug", F.coalesce("title", F.lit("")).alias("title"))
+    either = F.explode(F.array(F.lower("title"), F.lower("slug"))).alias("whole")
+    held = contained(parts, kept.select(F.struct(F.length("title").alias("size"), "slug").alias("whole_id"), either))
+    named = contained(parts, docs.select(F.struct("doc_id", F.lit(0).alias("zero")).alias("whole_id"), F.lower(F.coalesce("title", F.lit(""))).alias("whole")))
+
+    def best(found: DataFrame, name: str, key: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("part_id").orderBy("whole_id"))
+        top = found.withColumn("place", place).where(F.col("place") <= most)
+        hits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(f"whole_id.{key}").cast("string").alias("h")))), lambda s: s["h"]), ",")
+        return top.groupBy(F.col("part_id").alias("part")).agg(hits.alias(name))
+
+    joined = asked.join(best(held, "wiki", "slug"), "part", "left").join(best(named, "doc", "doc_id"), "part", "left")
+    source = F.when(F.col("wiki").isNotNull(), "wiki").when(F.col("doc").isNotNull(), "doc").otherwise("")
+    reason = F.when(F.col("ref") == "", "no_reference").when(source != "", "").when(F.lower("ref").rlike("^https?://"), "fetch_disabled").otherwise("not_found")
+    return joined.select("ref_id", source.alias("source"), F.coalesce("wiki", "doc", F.lit("")).alias("hits"), reason.alias("reason"))
 
 
 def catalog_diff(projection: DataFrame, artifact: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ MOST_ROUNDS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share; on one machine a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/lorekeep-{spark.sparkContext.applicationId}"

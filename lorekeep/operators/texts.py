@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as T
+
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc, place, line."""
@@ -61,11 +63,22 @@ def extract_relations(lines: DataFrame) -> DataFrame:
 
 
 def locate_excerpts(quotes: DataFrame, chunks: DataFrame, head: int = 12) -> DataFrame:
-    """quote_id, chunk, how: the document's first chunk that holds a quote, blanks aside; else that holds its start."""
-    squash = lambda c: F.regexp_replace(c, r"\s+", "")
-    both = quotes.join(chunks, "doc").withColumn("body", squash(F.col("content"))).withColumn("wanted", squash(F.col("quote")))
-    whole = F.min(F.when(F.col("body").contains(F.col("wanted")), F.col("chunk")))
-    start = F.min(F.when(F.col("body").contains(F.substring("wanted", 1, head)), F.col("chunk")))
-    found = both.groupBy("quote_id").agg(whole.alias("whole"), start.alias("start"))
+    """quote_id, chunk, how: the document's first chunk that holds a quote, blanks aside; else that holds its start.
+
+    A chunk that holds the quote also holds its start, so quotes (quote_id, quote, doc) and chunks (doc, chunk,
+    content) meet by the start's characters; each body is squashed once.
+    """
+    squash = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    asked = quotes.select("quote_id", "doc", squash("quote").alias("wanted")).withColumn("start", F.substring("wanted", 1, head))
+    bodies = chunks.select("doc", "chunk", squash("content").alias("body"))
+    lengths = [row[0] for row in asked.where("start != ''").select(F.length("start")).distinct().collect()]  # ``head`` at most
+    keys = ["quote_id", "doc", "chunk", "wanted"]
+    met = asked.where("start = ''").join(bodies, "doc").select(*keys)  # stands anywhere
+    for n in sorted(lengths):
+        own = bodies.where(F.length("body") >= n).select("doc", "chunk", F.explode(F.array_distinct(T.grams(F.col("body"), n))).alias("start"))
+        met = met.unionByName(asked.where(F.length("start") == n).join(own, ["doc", "start"]).select(*keys))
+    held = met.join(bodies, ["doc", "chunk"]).withColumn("whole", F.col("body").contains(F.col("wanted")))
+    found = held.groupBy("quote_id").agg(F.min(F.when(F.col("whole"), F.col("chunk"))).alias("whole"), F.min("chunk").alias("start"))
+    joined = quotes.select("quote_id").distinct().join(found, "quote_id", "left")
     how = F.when(F.col("whole").isNotNull(), "whole").when(F.col("start").isNotNull(), "start").otherwise("none")
-    return found.select("quote_id", F.coalesce("whole", "start").alias("chunk"), how.alias("how"))
+    return joined.select("quote_id", F.coalesce("whole", "start").alias("chunk"), how.alias("how"))

@@ -56,11 +56,18 @@ def j14_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.name_hits(texts, names)
 
 
-@query(r"""WITH r AS (SELECT page_id AS ref_id, regexp_replace(regexp_replace(split_part(rtrim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), '/', -1), '\.[A-Za-z0-9]+$', ''), '', '') AS stem FROM pages),
-b AS (SELECT doc_id::VARCHAR AS stem, lang || '/doc/' || doc_id AS slug FROM documents) SELECT ref_id, slug AS page, CASE WHEN r.stem = '' THEN 'no stem' WHEN slug IS NULL THEN 'not found' ELSE 'page' END AS how FROM r LEFT JOIN b USING (stem)""")
+@query(rf"""WITH {KB_PAGES}, r AS (SELECT page_id AS ref_id, trim(CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://x.org/en/doc/' || page_id || '.html?a=1#b' WHEN 2 THEN '/docs/The .pdf' WHEN 3 THEN ' ' ELSE 'Eren.txt' END) AS ref FROM pages),
+s AS (SELECT ref_id, ref, regexp_replace(split_part(rtrim(ref, '/'), '/', -1), '[?#].*$', '') AS tail FROM r), a AS (SELECT ref_id, ref, lower(coalesce(nullif(regexp_replace(tail, '\.[^.]*$', ''), ''), ref)) AS part FROM s),
+w AS (SELECT part, string_agg(slug, ',' ORDER BY n) AS hits FROM (SELECT part, slug, row_number() OVER (PARTITION BY part ORDER BY length(title), slug) AS n FROM (SELECT DISTINCT part FROM a WHERE part <> '') JOIN kb_pages ON contains(lower(title), part) OR contains(lower(slug), part) WHERE NOT starts_with(page_type, 'onto') QUALIFY n <= 3) GROUP BY 1),
+d AS (SELECT part, string_agg(item_id::VARCHAR, ',' ORDER BY n) AS hits FROM (SELECT part, item_id, row_number() OVER (PARTITION BY part ORDER BY item_id) AS n FROM (SELECT DISTINCT part FROM a WHERE part <> '') JOIN benchmark ON contains(lower(text), part) QUALIFY n <= 3) GROUP BY 1)
+SELECT ref_id, CASE WHEN w.hits IS NOT NULL THEN 'wiki' WHEN d.hits IS NOT NULL THEN 'doc' ELSE '' END AS source, coalesce(w.hits, d.hits, '') AS hits, CASE WHEN ref = '' THEN 'no_reference' WHEN w.hits IS NOT NULL OR d.hits IS NOT NULL THEN '' WHEN regexp_matches(lower(ref), '^https?://') THEN 'fetch_disabled' ELSE 'not_found' END AS reason
+FROM a LEFT JOIN w USING (part) LEFT JOIN d USING (part)""")
 def j20_find_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ref_id"), "url")
-    return D.find_reference(refs, kb_pages(spark, sf_dir).select("slug"))
+    i = F.col("page_id")
+    reference = F.when(i % 5 == 0, F.col("url")).when(i % 5 == 1, F.concat(F.lit("https://x.org/en/doc/"), i, F.lit(".html?a=1#b"))).when(i % 5 == 2, "/docs/The .pdf").when(i % 5 == 3, " ").otherwise("Eren.txt")
+    refs = table(spark, sf_dir, "pages").select(i.alias("ref_id"), reference.alias("reference"))
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("title"))
+    return D.find_reference(refs, kb_pages(spark, sf_dir), docs, rules="onto")
 
 
 @query("""WITH a AS (SELECT DISTINCT p_type AS kind, p_name AS name FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT p_type AS kind, p_name AS name FROM part WHERE p_partkey % 5 = 0)
