@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,14 +69,21 @@ def attr_key(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(name, "[:/.]"), -1), r"[\[\](){}]", "")
 
 
+def sliding(items: Column, size: Column, n: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Every n neighbours of an array of ``size`` items joined, in order; the array is passed n times, whatever its length."""
+    wide = F.greatest(size - (n - 1), F.lit(1))
+    out = F.slice(items, F.lit(1), wide)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, F.lit(k + 1), wide), join)
+    return out
+
+
 def grams(text: Column, n: int) -> Column:
     """The n-grams of a text, in order; the text itself where it is shorter; none of an empty one."""
     body = F.coalesce(text, F.lit(""))
     size = F.length(body)
     whole = F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array(body))
-    return F.when(size < n, whole).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))), lambda i: F.substring(body, i, n))
-    )
+    return F.when(size < n, whole).otherwise(sliding(F.split(body, ""), size, n, lambda a, b: F.concat(a, b)))
 
 
 def set_cosine(a: Column, b: Column) -> Column:

@@ -129,7 +129,7 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     Each part asks by the rarest of its grams of three characters, or of its length if it is shorter, so only wholes
     that hold this gram are searched.
     """
-    cut = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
+    cut = lambda text, n: F.array_distinct(T.grams(text, n))
     posted = wholes.select("whole_id", "whole", F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.length("whole") >= n, cut(F.col("whole"), n)).alias("grams")) for n in (1, 2, 3)]), lambda s: s["grams"].isNotNull())).alias("s"))
     posted = settled(posted.select("whole_id", "whole", "s.n", F.explode("s.grams").alias("gram")), "posted")
     often = posted.groupBy("n", "gram").agg(F.count("*").alias("df"))
@@ -164,7 +164,7 @@ def class_candidates(terms: DataFrame, classes: DataFrame, closure: DataFrame, n
     firm = label.endswith(k) | (F.length(k) * 4 >= F.length(label) * 3)
     score = F.when(equal, 100).when(within & firm, 90 - gap).when(within, 55).when((label != "") & k.contains(label), 70 - gap).when(F.col("local").contains(k), 60)
     scored = pairs.join(asked, "term").join(listed, "class").withColumn("score", score).withColumn("strong", ~(within & ~firm & ~equal)).where("score is not null")
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "name"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "name", "class"))
     top = scored.withColumn("place", place).where(F.col("place") <= n).select("term", "class", "score", "strong", "place")
     first = top.where("strong").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("place", "class", "score"))).alias("s")).where("size(s) > 1")
     first = first.select("term", F.get("s", 0).alias("a"), F.get("s", 1).alias("b")).where("a.score - b.score < 10").select("term", F.col("a.class").alias("a"), F.col("b.class").alias("b"))
@@ -242,11 +242,10 @@ def cross_kb_same_key(pages: DataFrame) -> DataFrame:
 def gram_codes(text: Column, n: int) -> Column:
     """The distinct n-grams (n up to 3) of a text as numbers, 21 bits a character: nothing is lost, and numbers are cheaper than strings."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-    size = F.size(codes)
-    whole = F.aggregate(F.slice(codes, 1, n), F.lit(0).cast("bigint"), lambda acc, c: F.shiftleft(acc, 21) + c)
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), size - n))
-    grams = F.transform(places, lambda i: sum((F.shiftleft(F.get(codes, i + k), 21 * (n - 1 - k)) for k in range(n)), F.lit(0)))
-    return F.array_distinct(F.when(size < n, F.array(whole)).otherwise(grams))
+    size = F.length(text)
+    push = lambda a, b: F.shiftleft(a, 21) + b
+    whole = F.aggregate(F.slice(codes, 1, n), F.lit(0).cast("bigint"), push)
+    return F.array_distinct(F.when(size < n, F.array(whole)).otherwise(T.sliding(codes, size, n, push)))
 
 
 def prefix_pairs(sets: DataFrame, shared: Callable[..., Column], probe: Column, index: Column, across: bool = False) -> DataFrame:

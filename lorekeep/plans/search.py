@@ -109,7 +109,7 @@ c AS (SELECT p_partkey AS class, 'm' || p_size || ':' || split_part(p_name, ' ',
 k AS (SELECT term, regexp_replace(lower(term), '[\s[:punct:]]+', '', 'g') AS key FROM t), l AS (SELECT class, name, regexp_replace(lower(label), '[\s[:punct:]]+', '', 'g') AS label, regexp_replace(lower(split_part(name, ':', -1)), '[\s[:punct:]]+', '', 'g') AS local, regexp_replace(lower(name), '[\s[:punct:]]+', '', 'g') AS whole FROM c),
 s AS (SELECT term, class, name, key IN (label, local, whole) AS same, contains(label, key) AS within, ends_with(label, key) OR length(key) * 4 >= length(label) * 3 AS firm, contains(key, label) AND label <> '' AS around, contains(local, key) AS loc, least(abs(length(label) - length(key)), 20) AS gap FROM k, l WHERE length(key) >= 2),
 r AS (SELECT term, class, name, CASE WHEN same THEN 100 WHEN within AND firm THEN 90 - gap WHEN within THEN 55 WHEN around THEN 70 - gap WHEN loc THEN 60 END AS score, same OR NOT within OR firm AS strong FROM s),
-p AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, name) AS place FROM r WHERE score IS NOT NULL QUALIFY place <= 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, name, class) AS place FROM r WHERE score IS NOT NULL QUALIFY place <= 3),
 f AS (SELECT term, list(class ORDER BY place) AS cs, list(score ORDER BY place) AS ss FROM p WHERE strong GROUP BY 1 HAVING count(*) > 1),
 x AS (SELECT term FROM f WHERE ss[1] - ss[2] < 10 AND NOT EXISTS (SELECT 1 FROM closure WHERE (node = cs[1] AND ancestor = cs[2]) OR (node = cs[2] AND ancestor = cs[1])))
 SELECT term, class, score::INTEGER AS score, strong, place::INTEGER AS place, term IN (SELECT term FROM x) AS ambiguous FROM p""")
