@@ -47,7 +47,7 @@ def question_core(text: Column) -> Column:
 
 
 #: Where a question names its case: fixed values.
-CASE_NUMBERS = (r"编号\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})", r"(?i)\b(?:no|no\.|id)\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})")
+CASE_NUMBERS = (r"编号\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})", r"(?i)(?<![\p{L}\p{N}_])(?:no|no\.|id)\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})")
 
 
 def extract_qid(text: Column) -> Column:

@@ -164,7 +164,7 @@ def j13_locate_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '业务编号：AB-' || doc_id || '99，请判定' WHEN 1 THEN 'see No. X_' || doc_id || '000 now' WHEN 2 THEN 'id: ' || doc_id % 100 WHEN 3 THEN substr(text, 1, 60) END AS q FROM documents)
-SELECT doc_id, lower(coalesce(nullif(regexp_extract(q, '编号\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})', 1), ''), nullif(regexp_extract(q, '(?i)\b(?:no|no\.|id)\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})', 1), ''), '')) AS qid FROM t""")
+SELECT doc_id, lower(coalesce(nullif(regexp_extract(q, '编号\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})', 1), ''), nullif(regexp_extract(q, '(?i)(?:^|[^\pL\pN_])(?:no|no\.|id)\s*[：:#]?\s*([A-Za-z0-9][A-Za-z0-9\-_/]{3,})', 1), ''), '')) AS qid FROM t""")
 def t2_extract_qid(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     q = F.when(i % 5 == 0, F.concat(F.lit("业务编号：AB-"), i, F.lit("99，请判定"))).when(i % 5 == 1, F.concat(F.lit("see No. X_"), i, F.lit("000 now"))).when(i % 5 == 2, F.concat(F.lit("id: "), i % 100)).when(i % 5 == 3, F.substring("text", 1, 60))
