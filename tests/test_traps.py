@@ -10,8 +10,9 @@ from lorekeep.operators import graphs as G
 from lorekeep.operators import lineage as L
 from lorekeep.operators import pages as P
 from lorekeep.operators import search as S
+from lorekeep.operators import texts as X
 from lorekeep.operators import windows as W
-from lorekeep.operators.traces import match_truth
+from lorekeep.operators.traces import common_substrings, match_truth
 from lorekeep.sources.logs import read_context_log
 
 
@@ -248,3 +249,50 @@ def test_full_width_names(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert G.components(none).count() == 0
+
+
+def test_names_inside_texts_against_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    text = lambda most: "".join(r.choice("abcé 日") for _ in range(r.randint(0, most)))
+    parts, wholes = [text(5) for _ in range(60)] + ["", "zz"], [text(30) for _ in range(80)] + ["", "é"]
+    a = spark.createDataFrame(list(enumerate(parts)), "part_id int, part string")
+    b = spark.createDataFrame(list(enumerate(wholes)), "whole_id int, whole string")
+    got = sorted((x.part_id, x.whole_id) for x in S.contained(a, b).collect())
+    assert got == sorted((i, j) for i, p in enumerate(parts) for j, w in enumerate(wholes) if p and p in w)
+
+
+def test_similar_sets_against_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    sets = [sorted(r.sample(range(40), r.randint(1, 12))) for _ in range(90)]
+    sets += [sorted({*s, r.randrange(40)}) for s in sets[:40]]
+    rows = spark.createDataFrame([(i, i % 2, len(s), s) for i, s in enumerate(sets)], "id long, kind int, n int, grams array<bigint>")
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    for across in (False, True):
+        got = sorted((x.id, x.id_b) for x in S.jaccard_pairs(rows, 0.6, across).collect())
+        assert got == [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(i, j) >= 0.6 and (not across or i % 2 != j % 2)]
+        assert got
+
+
+def test_common_substrings_against_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in range(30)]
+    names = ["".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(20)]
+    a = spark.createDataFrame(list(enumerate(texts)), "left_id int, text string")
+    b = spark.createDataFrame(list(enumerate(names)), "right_id int, text string")
+    got = {(x.left_id, x.right_id): x.common for x in common_substrings(a, b, 3).collect()}
+    longest = lambda x, y: max((j - i for i in range(len(y)) for j in range(i + 1, len(y) + 1) if y[i:j] in x), default=0)
+    want = {(i, j): longest(x, y) for i, x in enumerate(texts) for j, y in enumerate(names)}
+    assert got == {k: n for k, n in want.items() if n >= 3}
+
+
+def test_excerpts(spark):
+    chunks = spark.createDataFrame([(1, 1, "nothing here"), (1, 2, "it says: a long\nquote of words, more"), (1, 3, "a longquote"), (2, 9, None)], "doc int, chunk int, content string")
+    quotes = spark.createDataFrame([(1, 1, "a long quote of words"), (2, 1, "a longquote of no words"), (3, 1, "absent words at all"), (4, 2, "x"), (5, 1, "says"), (6, 3, "a long")], "quote_id int, doc int, quote string")
+    got = {x.quote_id: (x.chunk, x.how) for x in X.locate_excerpts(quotes, chunks).collect()}
+    assert got == {1: (2, "whole"), 2: (2, "start"), 3: (None, "none"), 4: (None, "none"), 5: (2, "whole"), 6: (None, "none")}
