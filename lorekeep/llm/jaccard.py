@@ -282,6 +282,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         discard(*spent)
+        tidy(docs.sparkSession)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -350,6 +351,7 @@ def _hub_pairs(apart: DataFrame, step: int) -> DataFrame:
     else:
         met = apart.groupBy("key").agg(F.count("*").alias("met"))
         weight = stored(apart.join(met, "key").groupBy("rep").agg(F.sum("met").alias("weight")), "weights")
+        tidy(apart.sparkSession)
         apart = apart.join(weight, "rep")
         rank = F.struct(F.col("weight"), -F.col("rep"))
     spread = apart.groupBy("key").agg(
@@ -445,12 +447,6 @@ def _rare_pairs(texts: DataFrame, width: int, num: int, den: int, spent: list[Da
 
     rare = stored(texts.mapInPandas(first, "shingle long, rep long, n_shingles long, component long, place int"), "rare-shingles")
     spent.append(rare)
-    alone = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rare = rare.join(alone.where("low != high").select("shingle"), "shingle", "left_semi")
-    other = rare.select(
-        "shingle", F.col("rep").alias("other"), F.col("n_shingles").alias("other_n"),
-        F.col("component").alias("other_component"), F.col("place").alias("other_place"),
-    )
     least = F.ceil(num * (F.col("n_shingles") + F.col("other_n")) / F.lit(num + den))
     near = (
         (F.col("rep") < F.col("other"))
@@ -458,7 +454,23 @@ def _rare_pairs(texts: DataFrame, width: int, num: int, den: int, spent: list[Da
         & (F.col("place") <= F.col("n_shingles") - least + 1)
         & (F.col("other_place") <= F.col("other_n") - least + 1)
     )
-    return rare.join(other, "shingle").where(near).drop("shingle", "place", "other_place").distinct()
+
+    def slices() -> Iterator[DataFrame]:
+        """The pairs by slices of the shingles: only one slice's shuffle files stand on disk at a time."""
+        for n in range(SLICES):
+            own = rare.where(F.pmod("shingle", F.lit(SLICES)) == n)
+            alone = own.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            own = own.join(alone.where("low != high").select("shingle"), "shingle", "left_semi")
+            other = own.select(
+                "shingle", F.col("rep").alias("other"), F.col("n_shingles").alias("other_n"),
+                F.col("component").alias("other_component"), F.col("place").alias("other_place"),
+            )
+            yield own.join(other, "shingle").where(near).drop("shingle", "place", "other_place").distinct()
+            tidy(rare.sparkSession)
+
+    pairs = stored_parts(slices(), "rare-pairs")
+    spent.append(pairs)
+    return pairs
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
