@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, jaccard, licences, mixing, neighbours, packing, pii, quality, urls, wavelet
+from lorekeep.llm import conversations, exact_dedup, jaccard, licences, mixing, neighbours, packing, pii, quality, urls, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_exact_dedup,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         op8_temporal_list,
         op9_lexical_packing,
         op10_mixing,
+        op11_audit_repair,
     )
     return {query.__name__: query for query in own}
 
@@ -80,4 +85,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_block_neighbours": neighbours.OP4_SQL,
         "op8_temporal_list": urls.OP8_SQL,
-        "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
+        "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL,
+        "op11_audit_repair": conversations.OP11_SQL}
