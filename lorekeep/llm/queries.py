@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import conversations, exact_dedup, jaccard, licences, mixing, neighbours, packing, pii, quality, urls, wavelet
+from lorekeep.llm import conversations, exact_dedup, jaccard, licences, mixing, negatives, neighbours, packing, pii, quality, urls, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,11 @@ def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.shifted_labels(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows, "vec_id % 100 = 0")
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_exact_dedup,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
         op9_lexical_packing,
         op10_mixing,
         op11_audit_repair,
+        op13_angular_negatives,
     )
     return {query.__name__: query for query in own}
 
@@ -86,4 +92,4 @@ def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_block_neighbours": neighbours.OP4_SQL,
         "op8_temporal_list": urls.OP8_SQL,
         "op7_parity_join": jaccard.OP7_SQL, "op10_mixing": mixing.OP10_SQL,
-        "op11_audit_repair": conversations.OP11_SQL}
+        "op11_audit_repair": conversations.OP11_SQL, "op13_angular_negatives": negatives.OP13_SQL}
