@@ -158,9 +158,11 @@ class Best:
 
 def by_anchor(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pairs in the order of ``rows``, one anchor after another."""
-    starts = np.flatnonzero(np.diff(rows, prepend=-1))
-    for at, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+    ends = np.flatnonzero(np.diff(rows, append=-1)) + 1
+    at = 0
+    for end in ends.tolist():
         yield int(rows[at]), cols[at:end], scores[at:end]
+        at = end
 
 
 def _blocks(rows: DataFrame, size: int, sample: list[np.ndarray], name: str, windows: bool = False) -> DataFrame:
