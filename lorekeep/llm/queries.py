@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import conversations, exact_dedup, jaccard, licences, mixing, negatives, neighbours, packing, pii, quality, urls, wavelet
+from lorekeep.llm import conversations, exact_dedup, html_text, jaccard, licences, mixing, negatives, neighbours, packing, pii, quality, urls, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,10 @@ def op11_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.shifted_labels(table(spark, sf_dir, "embeddings"))
     return negatives.hard_negatives(rows, "vec_id % 100 = 0")
@@ -83,6 +87,7 @@ def queries() -> dict[str, Query]:
         op9_lexical_packing,
         op10_mixing,
         op11_audit_repair,
+        op12_page_difference,
         op13_angular_negatives,
     )
     return {query.__name__: query for query in own}
