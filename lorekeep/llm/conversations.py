@@ -457,10 +457,12 @@ def _audits(open_blocks: DataFrame) -> DataFrame:
         combined = tables.groupBy("conv", F.floor(F.col("at") / FAN_IN).alias("group")).applyInArrow(_combine, CELLS)
         tables, most = stored(combined, "conversation-tables"), most // FAN_IN
 
+    schema = pa.schema([("conv", pa.string()), ("cost", pa.int64()), ("audit", pa.string())])
+
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches, 16):
             cost, audit = closed(_unpacked(row["cells"]))
-            yield pa.RecordBatch.from_pylist([{"conv": row["conv"], "cost": cost, "audit": audit}])
+            yield pa.RecordBatch.from_pylist([{"conv": row["conv"], "cost": cost, "audit": audit}], schema)
 
     return tables.mapInArrow(close, "conv string, cost long, audit string")
 

@@ -39,6 +39,8 @@ EXACT_DOUBLE = 1 << 53
 def references(vectors: list[np.ndarray], width: int, many: int = REFERENCES) -> np.ndarray:
     """Unit directions among rows of a sample, each the farthest from those before it; axes where none has that width."""
     found = [v for v in vectors if len(v) == width]
+    if not width:
+        return np.empty((0, 0))
     rows = np.array([v for v in found if np.isfinite(v).all() and (v != 0).any()], np.float64).reshape(-1, width)
     if not len(rows):
         return np.eye(min(many, width), width)
@@ -181,7 +183,7 @@ def _blocks(rows: DataFrame, size: int, sample: list[np.ndarray], name: str, win
                 yield group.assign(width=width, near=first, angle=angles[np.arange(len(group)), first])
 
     def whole(vectors: pd.Series, width: int) -> np.ndarray:
-        return np.floor(256 * np.array(vectors.tolist(), np.float64).reshape(-1, width))
+        return np.floor(256 * np.array(vectors.tolist(), np.float64).reshape(len(vectors), width))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
