@@ -80,7 +80,10 @@ def question_category(question: Column) -> Column:
 
 
 #: Fields of a receipt that hold its payload, and those by which a call was turned away; fixed values.
-PAYLOAD = ("count", "hits", "items", "rows", "pages", "rules", "candidates", "data")
+PAYLOAD = (
+    "count", "hits", "items", "rules", "pages", "nodes", "edges", "tools", "catalog", "images_found", "by_document", "chunks", "rows",
+    "total",
+)
 TURNED_AWAY = ("need_session", "need_kb_selection", "kb_unresolved", "retired")
 
 

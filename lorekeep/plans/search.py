@@ -77,11 +77,21 @@ def p10_question_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in shape.items()], S.question_category(F.col("text")).alias("category"))
 
 
-@query("""SELECT event_id, ['timeout', 'error', 'dry', 'ok', 'ok_brief', 'guard', 'ok', 'silent', 'dry', 'ok'][1 + event_id % 10] AS shape FROM events""")
+#: Receipts of calls and the shapes they have.
+RECEIPTS = [
+    ("{}", "silent"), ('{"error": "no", "ok": true}', "error"), ('{"ok": false, "items": []}', "dry"), ('{"ok": true, "error": ""}', "ok"),
+    ('{"note": "x"}', "ok_brief"), ('{"retired": 1, "error": "y"}', "guard"), ('{"hits": [1]}', "ok"), ('{"applied": false}', "dry"),
+    ('{"applied": true}', "ok"), ('{"nodes": []}', "ok"), ('{"edges": 3}', "ok"), ('{"tools": {}}', "ok"), ('{"catalog": "c"}', "ok"),
+    ('{"images_found": 0}', "ok"), ('{"by_document": []}', "ok"), ('{"chunks": null}', "ok"), ('{"total": 0}', "ok"),
+    ('{"candidates": []}', "ok_brief"), ('{"data": [1]}', "ok_brief"), ('{"need_session": false}', "guard"),
+]
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 21 = 20 THEN 'timeout' ELSE {[shape for _, shape in RECEIPTS]}[1 + event_id % 21] END AS shape FROM events""")
 def p12_result_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    receipts = ['{"ok": true}', '{"error": "no", "ok": true}', '{"ok": false, "items": []}', '{"ok": true, "error": ""}', '{"note": "x"}', '{"retired": 1, "error": "y"}', '{"hits": [1]}', "{}", '{"applied": false}', '{"applied": true}']
-    i = F.col("event_id") % 10
-    return table(spark, sf_dir, "events").select("event_id", S.result_shape(F.get(F.array(*[F.lit(r) for r in receipts]), i.cast("int")), i != 0).alias("shape"))
+    i = F.col("event_id") % 21
+    receipt = F.get(F.array(*[F.lit(text) for text, _ in RECEIPTS]), i.cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", S.result_shape(receipt, i != 20).alias("shape"))
 
 
 VERSION = "p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators.graphs import shared_folder
 from lorekeep.plans.fixtures import table
 from lorekeep.plans.registry import query
+from lorekeep.streaming import state as Y
 from lorekeep.streaming import streams as X
 
 
@@ -41,11 +42,18 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 CALLS = "c AS (SELECT event_id AS call_id, ts, user_id AS session, event_type AS tool, value AS ms, props AS payload FROM events)"
 
 
-@query(f"""WITH {CALLS}, o AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts) >= 3600000000, true) AS opens FROM c),
+_LABEL = "CASE WHEN call_id % 31 = 0 THEN 'L' || call_id % 3 END"
+
+
+@query(f"""WITH {CALLS}, k AS (SELECT session % 3 AS session, {_LABEL} AS label, ts, call_id, ms FROM c),
+o AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts) > 90000000, true) AS opens FROM k WHERE label IS NULL),
 s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM o)
-SELECT session, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 3600000000 AS finish, count(*) AS calls, round(sum(ms), 4) AS ms FROM s GROUP BY session, part""")
+SELECT session::VARCHAR AS session, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS finish, count(*) AS calls, round(sum(ms), 4) AS ms
+FROM s GROUP BY session, part
+UNION ALL SELECT label, epoch_us(min(ts)), epoch_us(max(ts)), count(*), round(sum(ms), 4) FROM k WHERE label IS NOT NULL GROUP BY label""")
 def x2_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _drained(spark, X.sessions(_events(spark, sf_dir), "1 hour"), "complete")
+    calls = _events(spark, sf_dir).withColumns({"session": F.col("session") % 3, "label": F.expr(_LABEL)})
+    out = _drained(spark, X.sessions(calls), "complete")
     return out.select("session", F.unix_micros("start").alias("start"), F.unix_micros("finish").alias("finish"), "calls", F.round("ms", 4).alias("ms"))
 
 
@@ -77,17 +85,44 @@ def x5_stream_arm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("day").cast("date").cast("string").alias("day"), "arm", "calls", F.round("ms", 4).alias("ms"))
 
 
-@query("SELECT DISTINCT event_type AS tool, props AS payload FROM events")
+def _timed(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``_arriving`` over two parts of the calls and a far one, with the state store that timers need."""
+    key, store = Y.STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        return _arriving(spark, _call_parts(spark, sf_dir), made)
+    finally:
+        spark.conf.set(key, before)
+
+
+#: The calls that are not behind the watermark when they come: in the first part all, in the second those after it.
+_IN_TIME = f"""{CALLS}, p AS (SELECT *, epoch_us(ts) AS us, ts < TIMESTAMP '2024-01-20' AND call_id % 5 <> 0 AS early FROM c)"""
+
+
+def _spans(key: str, taken: str, ttl: int) -> str:
+    """Folds the calls of a key in time: a span lasts ``ttl`` microseconds from the call that opened it."""
+    return f"""{_IN_TIME}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM p WHERE early), t AS (SELECT {key} AS owner, p.* FROM p, m WHERE {taken} AND (early OR ts > mark)),
+g AS (SELECT owner, list({{'us': us, 'call_id': call_id, 'tool': tool}} ORDER BY us, call_id) AS l FROM t GROUP BY owner),
+f AS (SELECT owner, list_reduce(l, lambda z, x: CASE WHEN x.us - z.span.us > {ttl} THEN {{'span': x, 'out': list_append(z.out, {{'c': x, 'first': x}})}} ELSE {{'span': z.span, 'out': list_append(z.out, {{'c': x, 'first': z.span}})}} END,
+  {{'span': {{'us': -1000000000000000, 'call_id': -1::BIGINT, 'tool': ''}}, 'out': [{{'c': l[1], 'first': l[1]}}][1:0]}}) AS z FROM g),
+o AS (SELECT owner, o.c.us AS us, o.c.call_id AS call_id, o.c.tool AS tool, o.c.call_id = o.first.call_id AS opens, o.first.tool AS first_tool FROM (SELECT owner, unnest(z.out) AS o FROM f))"""
+
+
+@query(f"""WITH {_spans("tool || '|' || props_k", "tool IN ('view', 'click', 'buy') AND call_id % 3 > 0", 600_000_000).replace("props AS payload", "props AS payload, json_extract_string(props, '$.k')::INT % 3 AS props_k")},
+every AS (SELECT call_id, us, tool, opens AS runs FROM o UNION ALL SELECT call_id, us, tool, true FROM p WHERE NOT (tool IN ('view', 'click', 'buy') AND call_id % 3 > 0)) SELECT * FROM every""")
 def x3_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(spark, X.deduplicated(_events(spark, sf_dir), "100 days"), "append").select("tool", "payload")
+    def made(calls: DataFrame) -> DataFrame:
+        mode = F.when(F.col("call_id") % 3 > 0, F.lit(" Apply ")).when(F.col("call_id") % 2 > 0, F.lit("dry_run"))
+        payload = F.when(F.col("call_id") >= 0, (F.get_json_object("payload", "$.k").cast("int") % 3).cast("string"))
+        return Y.executed(calls.withColumns({"mode": mode, "payload": payload}), ["view", "click", "buy"])
 
+    return _timed(spark, sf_dir, made).where("call_id >= 0")
 
-@query(f"""WITH {CALLS}, f AS (SELECT * FROM c WHERE tool IN ('view', 'click')), o AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts) >= 1800000000, true) AS opens FROM f),
-s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM o)
-SELECT session, epoch_us(min(ts)) AS start, arg_min(tool, ts) AS tool FROM s GROUP BY session, part""")
+
+@query(f"""WITH {_spans("session::VARCHAR", "tool IN ('view', 'click')", 1_800_000_000)} SELECT owner AS turn, us, call_id, tool, opens, first_tool FROM o""")
 def x4_stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _drained(spark, X.turns(_events(spark, sf_dir), ["view", "click"]), "complete")
-    return out.select("session", F.unix_micros("start").alias("start"), "tool")
+    return _timed(spark, sf_dir, lambda calls: Y.turns(calls, ["view", "click"]))
 
 
 @query("""SELECT CASE WHEN event_id % 10 IN (3, 7) THEN '' ELSE event_type END AS tool, count(*) FILTER (event_id % 10 NOT IN (3, 7)) AS calls, count(*) FILTER (event_id % 10 IN (3, 7)) AS bad FROM events GROUP BY 1""")

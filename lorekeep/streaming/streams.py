@@ -31,25 +31,17 @@ def intake(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.coalesce("tool", F.lit("")).alias("tool")).agg(F.count_if(F.col("bad").isNull()).alias("calls"), F.count("bad").alias("bad"))
 
 
-def sessions(calls: DataFrame, gap: str = "90 seconds", late: str = "10 minutes") -> DataFrame:
-    """session, start, finish, calls by event-time gaps, final once the watermark has passed."""
-    grouped = calls.withWatermark("ts", late).groupBy("session", F.session_window("ts", gap).alias("w"))
-    out = grouped.agg(F.count("*").alias("calls"), F.sum("ms").alias("ms"))
-    return out.select("session", F.col("w.start").alias("start"), F.col("w.end").alias("finish"), "calls", "ms")
-
-
-def deduplicated(calls: DataFrame, window: str = "10 minutes") -> DataFrame:
-    """Calls of a tool with one payload within the window run once; the state is dropped behind the watermark."""
-    keyed = calls.withColumn("key", F.sha1(F.concat_ws("\u001f", "tool", "payload").cast("binary")))
-    return keyed.withWatermark("ts", window).dropDuplicatesWithinWatermark(["key"]).drop("key")
-
-
-def turns(calls: DataFrame, tools: list[str], ttl: str = "30 minutes") -> DataFrame:
-    """session, start, tool: the first retrieval of every turn; a turn ends when nothing comes for ``ttl``."""
-    found = calls.where(F.col("tool").isin(tools)).withWatermark("ts", ttl)
-    grouped = found.groupBy("session", F.session_window("ts", ttl).alias("w"))
-    out = grouped.agg(F.min(F.struct("ts", "call_id", "tool")).alias("first"))
-    return out.select("session", F.col("w.start").alias("start"), F.col("first.tool").alias("tool"))
+def sessions(calls: DataFrame, gap: int = 90, late: str = "10 minutes") -> DataFrame:
+    """session, start, finish, calls, ms by event-time gaps of more than ``gap`` seconds.
+
+    Calls with a label (session, label, ts, ms) are sessions of their own, whatever their gaps.
+    """
+    named = F.coalesce("label", F.col("session").cast("string")).alias("session")
+    # a gap of exactly ``gap`` seconds stays in the session; a label outlives any gap
+    length = F.when(F.col("label").isNull(), f"{gap} seconds 1 microsecond").otherwise("100000 days")
+    grouped = calls.withWatermark("ts", late).groupBy(named, F.col("label").isNotNull().alias("labelled"), F.session_window("ts", length).alias("w"))
+    out = grouped.agg(F.min("ts").alias("start"), F.max("ts").alias("finish"), F.count("*").alias("calls"), F.sum("ms").alias("ms"))
+    return out.drop("w")
 
 
 def arm_metrics(calls: DataFrame, late: str = "1 hour") -> DataFrame:
