@@ -36,25 +36,6 @@ def capped(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def page_checks(pages: DataFrame) -> DataFrame:
-    """A6 no class, A7 slug outside its class, C1 no body, W5 empty summary, D1 same class and title in one base."""
-    live = pages.where(~F.col("deleted"))
-    module = F.element_at(F.split("page_type", ":"), 1)
-    untyped = live.where(~is_instance(F.col("page_type")) & ~F.col("page_type").startswith("ontology:"))
-    outside = live.where(is_instance(F.col("page_type")) & (F.element_at(F.split("slug", "/"), 1) != module))
-    bare = live.where(F.trim(F.coalesce("content", F.lit(""))) == "")
-    unsummed = live.where(F.trim(F.coalesce("summary", F.lit(""))) == "")
-    twins = live.groupBy("kb_id", "page_type", T.norm_title(F.col("title")).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
-    parts = [
-        findings(untyped, "A6", "medium", F.col("slug"), F.col("page_type")),
-        findings(outside, "A7", "low", F.col("slug"), F.col("page_type")),
-        findings(bare, "C1", "high", F.col("slug"), F.lit("")),
-        findings(unsummed, "W5", "low", F.col("slug"), F.lit("")),
-        findings(twins, "D1", "medium", F.concat_ws("/", "kb_id", "page_type", "name"), F.col("n")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def edge_checks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A1 dangling, A5 duplicate edges and self loops of (src, rel, dst)."""
     grouped = edges.groupBy("src", "rel", "dst").agg(F.count("*").alias("n"))

@@ -112,22 +112,6 @@ def ontology_lint(classes: DataFrame, subclasses: DataFrame, props: DataFrame) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def dependency_check(owners: DataFrame, determinants: DataFrame) -> DataFrame:
-    """F2 an attribute owned by several services, F3 a determinant nobody owns, F4 a dependent owned elsewhere.
-
-    owners: attribute, service; determinants: determinant, dependent.
-    """
-    several = owners.groupBy("attribute").agg(F.array_sort(F.collect_set("service")).alias("services")).where(F.size("services") > 1)
-    first = owners.groupBy("attribute").agg(F.min("service").alias("service"))
-    left = determinants.join(first.select(F.col("attribute").alias("determinant"), F.col("service").alias("a")), "determinant", "left")
-    both = left.join(first.select(F.col("attribute").alias("dependent"), F.col("service").alias("b")), "dependent", "left")
-    unowned = both.where("a is null").select("determinant").distinct()
-    elsewhere = both.where("a is not null and b is not null and a != b").distinct()
-    return findings(several, "F2", "high", F.col("attribute"), F.array_join("services", ",")).unionByName(
-        findings(unowned, "F3", "medium", F.col("determinant"), F.lit(""))
-    ).unionByName(findings(elsewhere, "F4", "medium", F.concat_ws(">", "determinant", "dependent"), F.concat_ws(">", "a", "b")))
-
-
 def clean_up_plan(pages: DataFrame, index: DataFrame) -> DataFrame:
     """kind, pages: pages without source, those whose sources are all gone, mixed ones to strip (index: slug, status)."""
     per = index.groupBy("slug").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "live").alias("gone"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import audits as A
+from lorekeep.operators import design as B
 from lorekeep.operators import graphs as G
 from lorekeep.operators import lineage as L
 from lorekeep.operators import texts as X
@@ -17,22 +18,41 @@ from lorekeep.plans.registry import query
 
 PUNCT = r"[\s!-/:-@\[-`{-~]+"
 INSTANCE = "contains(page_type, ':') AND NOT starts_with(page_type, 'ontology:') AND page_type NOT IN ('index', 'summary')"
-PAGE_FOUND = KB_PAGES + r""", live AS (SELECT * FROM kb_pages WHERE NOT deleted), found AS (
-SELECT 'A6' AS "check", 'medium' AS severity, slug AS subject, page_type AS detail FROM live WHERE NOT (INSTANCE) AND NOT starts_with(page_type, 'ontology:')
-UNION ALL SELECT 'A7', 'low', slug, page_type FROM live WHERE INSTANCE AND split_part(slug, '/', 1) <> split_part(page_type, ':', 1)
-UNION ALL SELECT 'C1', 'high', slug, '' FROM live WHERE trim(content) = ''
+#: Metadata and editors of pages, with classes and slugs that do not fit.
+TOLD_PAGES = KB_PAGES + """, told AS (SELECT * REPLACE (CASE WHEN page_id % 29 = 0 THEN 'xx:Doc' WHEN page_id % 31 = 0 THEN split_part(slug, '/', 1) || ':Page' ELSE page_type END AS page_type),
+[NULL, '{"class": "' || page_type || '"}', '{"type": "Doc", "model": "de"}', '{"class": " Doc "}', '{"class": "", "type": "en:Doc"}', '{}', '{"note": 1}'][1 + page_id % 7] AS metadata,
+[NULL, 'agent', 'bi-123', 'someone', ' ingest '][1 + page_id % 5] AS editor FROM kb_pages)"""
+PAGE_FOUND = TOLD_PAGES + r""", live AS (SELECT * FROM told WHERE NOT deleted), e AS (SELECT *, [NULL, CASE WHEN page_id % 29 = 0 OR page_id % 31 = 0 THEN NULL ELSE page_type END, 'de:Doc', 'Doc', 'en:Doc', NULL, NULL][1 + page_id % 7] AS says FROM live WHERE INSTANCE),
+found AS (SELECT 'A3' AS "check", 'medium' AS severity, slug AS subject, says AS detail FROM (SELECT * REPLACE (CASE WHEN page_id % 7 = 1 THEN json_extract_string(metadata, '$.class') ELSE says END AS says) FROM e) WHERE says <> page_type
+UNION ALL SELECT 'A6', 'low', slug, 'no metadata' FROM e WHERE page_id % 7 IN (0, 5)
+UNION ALL SELECT 'A6', 'low', slug, trim(editor) FROM e WHERE page_id % 7 NOT IN (0, 5) AND page_id % 5 = 3
+UNION ALL SELECT 'A7', 'medium', slug, page_type FROM e WHERE split_part(slug, '/', 1) <> split_part(page_type, ':', 1) OR lower(split_part(page_type, ':', 2)) <> 'doc'
 UNION ALL SELECT 'W5', 'low', slug, '' FROM live WHERE trim(summary) = ''
-UNION ALL SELECT 'D1', 'medium', kb_id || '/' || page_type || '/' || name, n::VARCHAR FROM (SELECT kb_id, page_type, regexp_replace(lower(title), 'PUNCT', '', 'g') AS name, count(*) AS n FROM live GROUP BY ALL HAVING count(*) > 1))""".replace("INSTANCE", INSTANCE).replace("PUNCT", PUNCT)
+UNION ALL SELECT 'D1', 'medium', slug, page_type || ' ' || n FROM (SELECT kb_id, page_type, regexp_replace(lower(title), 'PUNCT', '', 'g') AS name, count(*) AS n, min(slug) AS slug FROM e GROUP BY ALL HAVING count(*) > 1))""".replace("INSTANCE", INSTANCE).replace("PUNCT", PUNCT)
+
+
+def _told_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    kind = F.when(p % 29 == 0, "xx:Doc").when(p % 31 == 0, F.concat(F.element_at(F.split("slug", "/"), 1), F.lit(":Page"))).otherwise(F.col("page_type"))
+    own = F.concat(F.lit('{"class": "'), F.col("page_type"), F.lit('"}'))
+    texts = ['{"type": "Doc", "model": "de"}', '{"class": " Doc "}', '{"class": "", "type": "en:Doc"}', "{}", '{"note": 1}']
+    metadata = F.get(F.array(F.lit(None), own, *[F.lit(t) for t in texts]), (p % 7).cast("int"))
+    editor = F.get(F.array(*[F.lit(e) for e in (None, "agent", "bi-123", "someone", " ingest ")]), (p % 5).cast("int"))
+    return kb_pages(spark, sf_dir).withColumns({"metadata": metadata, "editor": editor, "page_type": kind})
+
+
+def _page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.page_checks(_told_pages(spark, sf_dir), ("agent", "pipeline", "ingest", ""), ("bi-",))
 
 
 @query(f"WITH {PAGE_FOUND} SELECT * FROM found")
 def c1_page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.order_findings(A.page_checks(kb_pages(spark, sf_dir)))
+    return A.order_findings(_page_checks(spark, sf_dir))
 
 
 @query(f'WITH {PAGE_FOUND} SELECT "check", severity, count(*) AS n FROM found GROUP BY ALL')
 def a28_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.finding_counts(A.page_checks(kb_pages(spark, sf_dir)))
+    return A.finding_counts(_page_checks(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES}, e AS (SELECT src, rel, CASE WHEN substr(src, 7)::BIGINT % 90 = 0 THEN src ELSE dst END AS dst FROM edges WHERE rel = 'hasLine'), g AS (SELECT src, rel, dst, count(*) AS n FROM e GROUP BY ALL)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import design as B
 from lorekeep.operators import governance as V
 from lorekeep.operators import graphs as G
 from lorekeep.operators import lineage as L
@@ -133,15 +134,38 @@ def c15_ontology_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ontology_lint(classes, subs, props)
 
 
-@query("""WITH o AS (SELECT DISTINCT 'a' || l_partkey % 90 AS attribute, 's' || l_suppkey % 9 AS service FROM lineitem WHERE l_partkey % 90 < 80), d AS (SELECT DISTINCT 'a' || l_partkey % 90 AS determinant, 'a' || l_suppkey % 90 AS dependent FROM lineitem),
-f AS (SELECT attribute, min(service) AS service FROM o GROUP BY 1), b AS (SELECT d.*, x.service AS a, y.service AS b FROM d LEFT JOIN f x ON x.attribute = determinant LEFT JOIN f y ON y.attribute = dependent)
-SELECT 'F2' AS "check", 'high' AS severity, attribute AS subject, array_to_string(list_sort(list(service)), ',') AS detail FROM o GROUP BY attribute HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'F3', 'medium', determinant, '' FROM b WHERE a IS NULL UNION ALL SELECT 'F4', 'medium', determinant || '>' || dependent, a || '>' || b FROM b WHERE a <> b""")
+_WAYS = ["自维护", "引用外部", "只读缓存", "", "自维护（主）", "other"]
+
+
+@query(f"""WITH l AS (SELECT 's' || l_suppkey % 12 AS service, l_partkey % 70 AS a, l_suppkey % 90 AS b, l_orderkey, l_linenumber, l_partkey FROM lineitem),
+own AS (SELECT DISTINCT service, 'Obj.A' || a || '（x）' AS attribute, 'a' || a AS key, {_WAYS}[1 + (l_partkey + l_linenumber) % 6] AS way FROM l WHERE l_orderkey % 7 = 0),
+fd AS (SELECT DISTINCT 'f' || l_orderkey % 60 AS title, CASE WHEN l_linenumber = 1 THEN 'determinant' ELSE 'dependent' END AS role, 'a' || b AS key FROM l WHERE l_orderkey % 11 = 0),
+owners AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT service)) AS services FROM own WHERE contains(way, '自维护') GROUP BY key),
+det AS (SELECT key, min(title) AS title FROM fd WHERE role = 'determinant' GROUP BY key), dep AS (SELECT key, min(title) AS title FROM fd WHERE role = 'dependent' GROUP BY key),
+rightful AS (SELECT title, list(DISTINCT s) AS r FROM (SELECT title, unnest(services) AS s FROM fd JOIN owners USING (key) WHERE role = 'determinant') GROUP BY title),
+outs AS (SELECT key, list_sort(list_filter(services, lambda s: NOT list_contains(r, s))) AS o FROM owners JOIN dep USING (key) JOIN rightful USING (title)),
+svc AS (SELECT 's' || s_suppkey AS service, s_suppkey % 4 = 0 AS rootless, s_suppkey % 3 AS n, 'Obj.A' || s_suppkey * 7 % 90 || ' + `a' || s_suppkey % 90 || '`' AS keys, 'a' || s_suppkey * 7 % 90 AS k1, 'a' || s_suppkey % 90 AS k2 FROM supplier)
+SELECT 'F1' AS "check", 'low' AS severity, service AS subject, attribute || ':' || way AS detail FROM own WHERE way IN ('', 'other')
+UNION ALL SELECT 'F1', CASE WHEN key IN (SELECT key FROM det) THEN 'critical' ELSE 'high' END, key, array_to_string(services, ',') FROM owners WHERE n > 1
+UNION ALL SELECT 'F2', 'medium', title, key FROM det WHERE key NOT IN (SELECT key FROM owners)
+UNION ALL SELECT 'F3', 'high', key, array_to_string(o, ',') FROM outs WHERE len(o) > 0
+UNION ALL SELECT 'F4', 'high', service, keys FROM svc WHERE k1 NOT IN (SELECT key FROM det) AND k2 NOT IN (SELECT key FROM det)
+UNION ALL SELECT 'F5', 'high', service, '' FROM svc WHERE rootless UNION ALL SELECT 'F6', 'medium', service, 'e1,e2' FROM svc WHERE n = 2""")
 def c7_dependency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines, s = table(spark, sf_dir, "lineitem"), F.col("s_suppkey")
     name = lambda p, c, n: F.concat(F.lit(p), F.col(c) % n)
-    owners = lines.where("l_partkey % 90 < 80").select(name("a", "l_partkey", 90).alias("attribute"), name("s", "l_suppkey", 9).alias("service")).distinct()
-    pairs = lines.select(name("a", "l_partkey", 90).alias("determinant"), name("a", "l_suppkey", 90).alias("dependent")).distinct()
-    return V.dependency_check(owners, pairs)
+    way = F.get(F.array(*[F.lit(w) for w in _WAYS]), ((F.col("l_partkey") + F.col("l_linenumber")) % 6).cast("int"))
+    own = lines.where("l_orderkey % 7 = 0").select(
+        name("s", "l_suppkey", 12).alias("service"), F.concat(name("Obj.A", "l_partkey", 70), F.lit("（x）")).alias("attribute"), way.alias("way")
+    ).distinct()
+    role = F.when(F.col("l_linenumber") == 1, "determinant").otherwise("dependent")
+    dependencies = lines.where("l_orderkey % 11 = 0").select(name("f", "l_orderkey", 60).alias("title"), role.alias("role"), name("ea:Thing.a", "l_suppkey", 90).alias("attribute")).distinct()
+    keys = F.concat(F.lit("Obj.A"), s * 7 % 90, F.lit(" + `a"), s % 90, F.lit("`"))
+    services = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), s).alias("service"), F.when(s % 4 > 0, F.array(F.lit("need/x"))).alias("derived_from"),
+        F.slice(F.array(F.lit("e1"), F.lit("e2")), F.lit(1), (s % 3).cast("int")).alias("entities"), keys.alias("keys"),
+    )
+    return B.dependency_check(services, own, services.select("service", "keys"), dependencies)
 
 
 @query(f"""WITH {INDEX}, p AS (SELECT slug, count(*) AS n, count(*) FILTER (status <> 'live') AS gone FROM doc_index GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'no_source' WHEN gone = n THEN 'delete' WHEN gone > 0 THEN 'strip' ELSE 'keep' END AS kind, count(*) AS pages FROM order_pages LEFT JOIN p USING (slug) GROUP BY 1""")
