@@ -143,21 +143,74 @@ def cyclic_core(step: DataFrame) -> DataFrame:
     return step
 
 
-def hierarchy_cycles(subclasses: DataFrame) -> DataFrame:
-    """cycle (sorted members), length: each cycle of parents once, as a set of nodes, of any length.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least member): nodes of (child, parent) that reach each other; single nodes are left out.
 
-    What no cycle can pass is peeled off first; then paths grow until none is left open.  A path starts at its least
-    node, so that each cycle is walked once.
+    What no cycle can pass is peeled off.  The greatest node that reaches a node colours it; of a colour, those that reach
+    its own node form a component with it, by as many rounds as the longest way.  The rest goes on without them.
     """
-    step = settled(subclasses.select("child", "parent").distinct(), "steps")
-    loops = step.where("child = parent").select(F.array("child").alias("cycle"))
-    step = cyclic_core(step.where("child != parent"))
-    paths = step.where("parent > child").select(F.col("child").alias("start"), F.array("child", "parent").alias("path"))
-    while not paths.isEmpty():
-        grown = settled(paths.join(step, F.element_at("path", -1) == F.col("child")).where("parent >= start"), "cycle-paths")
-        loops = loops.unionByName(grown.where("parent = start").select(F.array_sort("path").alias("cycle")))
-        paths = grown.where(~F.array_contains("path", F.col("parent"))).select("start", F.concat("path", F.array("parent")).alias("path"))
-    return loops.distinct().withColumn("length", F.size("cycle"))
+    step = cyclic_core(settled(edges.where("child != parent").select("child", "parent").distinct(), "steps"))
+    found = None
+    while not step.isEmpty():
+        colour = step.select(F.col("child").alias("node")).union(step.select("parent")).distinct().withColumn("colour", F.col("node"))
+        colour = settled(colour, "colours")
+        while True:
+            sent = step.join(colour, F.col("child") == F.col("node")).groupBy("parent").agg(F.max("colour").alias("sent"))
+            after = colour.join(sent, F.col("node") == F.col("parent"), "left")
+            after = settled(after.select("node", F.greatest("colour", "sent").alias("colour"), F.col("colour").alias("old")), "colours")
+            if after.where("colour != old").isEmpty():
+                break
+            colour = after.drop("old")
+        inside = step.join(colour.select(F.col("node").alias("child"), F.col("colour").alias("a")), "child")
+        inside = inside.join(colour.select(F.col("node").alias("parent"), F.col("colour").alias("b")), "parent").where("a = b")
+        inside = settled(inside.select("child", "parent", F.col("a").alias("colour")), "coloured-steps")
+        members = frontier = settled(colour.where("node = colour"), "members")
+        while not frontier.isEmpty():
+            back = inside.join(frontier.select(F.col("node").alias("parent"), "colour"), ["parent", "colour"]).select(F.col("child").alias("node"), "colour").distinct()
+            frontier = settled(back.join(members, ["node", "colour"], "left_anti"), "frontier")
+            members = members.unionByName(frontier)
+        members = settled(members, "members")
+        found = members if found is None else found.unionByName(members)
+        for end in ("child", "parent"):
+            step = step.join(members.select(F.col("node").alias(end)), end, "left_anti")
+        step = cyclic_core(settled(step.select("child", "parent"), "steps"))
+    if found is None:
+        found = edges.sparkSession.createDataFrame([], edges.select(F.col("child").alias("node"), F.col("child").alias("colour")).schema)
+    sized = found.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return found.join(sized, "colour").select("node", "component")
+
+
+#: Cycles are listed in components of at most so many nodes; of larger ones the component alone is told.
+LISTED_NODES = 1000
+
+
+def hierarchy_cycles(subclasses: DataFrame, most: int = LISTED_NODES) -> DataFrame:
+    """component, size, cycle, length: for every edge (child, parent) on a cycle the shortest cycle through it, each once.
+
+    ``cycle`` is the sorted set of its nodes; of several shortest ones the least sequence of nodes counts, from the
+    edge's parent on.  A node that is its own parent is a cycle of one.  A component of more than ``most`` nodes has
+    one row, with a null cycle.
+    """
+    edges = settled(subclasses.select("child", "parent").distinct(), "steps")
+    members = settled(strong_components(edges), "strong-components")
+    sizes = members.groupBy("component").agg(F.count("*").cast("int").alias("size"))
+    listed = members.join(sizes.where(F.col("size") <= most), "component").select("node", "component")
+    inner = edges.where("child != parent").join(listed.select(F.col("node").alias("child"), "component"), "child")
+    inner = inner.join(listed.select(F.col("node").alias("parent"), F.col("component").alias("c")), "parent").where("component = c").drop("c")
+    inner = settled(inner.select("child", "parent", "component"), "inner-steps")
+    seen = frontier = settled(listed.select(F.col("node").alias("start"), "node", F.array("node").alias("path")), "cycle-paths")
+    while not frontier.isEmpty():
+        grown = frontier.join(inner, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node"), F.concat("path", F.array("parent")).alias("path"))
+        fresh = grown.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path"))
+        frontier = settled(fresh, "cycle-paths")
+        seen = seen.unionByName(frontier)
+    closed = inner.join(seen, (F.col("parent") == F.col("start")) & (F.col("child") == F.col("node")))
+    cycles = closed.select("component", F.array_sort("path").alias("cycle")).distinct()
+    loops = edges.where("child = parent").join(members.select(F.col("node").alias("child"), "component"), "child", "left")
+    cycles = cycles.unionByName(loops.select(F.coalesce("component", "child").alias("component"), F.array("child").alias("cycle")))
+    large = sizes.where(F.col("size") > most).select("component", F.lit(None).cast(cycles.schema["cycle"].dataType).alias("cycle"))
+    every = cycles.unionByName(large).join(sizes, "component", "left")
+    return every.select("component", F.coalesce("size", F.lit(1)).alias("size"), "cycle", F.size("cycle").alias("length"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -129,18 +129,24 @@ def catalog_check(items: DataFrame, allow: DataFrame, deny: DataFrame, today: st
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """part_id, whole_id: which parts (part_id, part) stand in which wholes (whole_id, whole).
 
-    Each part asks by the rarest of its grams of three characters, or of its length if it is shorter, so only wholes
-    that hold this gram are searched.
+    Each part asks by the rarest of its grams of three characters, or of its length if it is shorter.  Postings hold
+    grams and ids alone, and only grams that some part has; the texts join when the rarest grams have picked candidates.
     """
     cut = lambda text, n: F.array_distinct(T.grams(text, n))
-    posted = wholes.select("whole_id", "whole", F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.length("whole") >= n, cut(F.col("whole"), n)).alias("grams")) for n in (1, 2, 3)]), lambda s: s["grams"].isNotNull())).alias("s"))
-    posted = settled(posted.select("whole_id", "whole", "s.n", F.explode("s.grams").alias("gram")), "posted")
-    often = posted.groupBy("n", "gram").agg(F.count("*").alias("df"))
-    own = F.array(*[F.when(F.least(F.length("part"), F.lit(3)) == n, cut(F.col("part"), n)) for n in (1, 2, 3)])
-    asked = parts.where("part != ''").select("part_id", "part", F.least(F.length("part"), F.lit(3)).alias("n"), F.explode(F.flatten(F.filter(own, lambda g: g.isNotNull()))).alias("gram"))
-    rare = asked.join(often, ["n", "gram"], "left").groupBy("part_id", "part", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rare"))
-    rare = rare.where("rare.df > 0").select("part_id", "part", "n", F.col("rare.gram").alias("gram"))
-    return rare.join(posted, ["n", "gram"]).where(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id").distinct()
+    size = F.least(F.length("part"), F.lit(3))
+    own = F.when(size == 1, cut(F.col("part"), 1)).when(size == 2, cut(F.col("part"), 2)).otherwise(cut(F.col("part"), 3))
+    asked = parts.where("part != ''").select("part_id", "part", F.explode(own).alias("gram"))
+    wanted = settled(asked.select("gram").distinct(), "asked-grams")
+    sizes = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # three numbers at most
+    grams = [F.when(F.length("whole") >= n, cut(F.col("whole"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    posted = wholes.select("whole_id", F.explode(F.concat(*grams) if grams else F.array().cast("array<string>")).alias("gram"))
+    posted = settled(posted.join(wanted, "gram", "left_semi"), "posted-grams")
+    often = posted.groupBy("gram").agg(F.count("*").alias("df"))
+    # a part with a gram that stands nowhere is found nowhere
+    rare = asked.join(often, "gram", "left").groupBy("part_id", "part").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rare"))
+    met = rare.where("rare.df > 0").select("part_id", "part", F.col("rare.gram").alias("gram")).join(posted, "gram").select("part_id", "part", "whole_id")
+    return met.join(wholes, "whole_id").where(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id").distinct()
+
 
 
 def class_candidates(terms: DataFrame, classes: DataFrame, closure: DataFrame, n: int = 3) -> DataFrame:
