@@ -57,13 +57,6 @@ def same_name_group(pages: DataFrame, mappings: DataFrame) -> DataFrame:
     return joined.withColumn("warning", F.when(F.col("decided") == 0, "same_name_no_decision").otherwise(""))
 
 
-def class_view(props: DataFrame, closure: DataFrame) -> DataFrame:
-    """class, name, owner, inherited: properties a class has by its own or its nearest ancestor's domain (name, domain)."""
-    reach = closure.select(F.col("node").alias("class"), F.col("ancestor").alias("domain"), "distance")
-    best = reach.join(props, "domain").groupBy("class", "name").agg(F.min(F.struct("distance", "domain")).alias("near"))
-    return best.select("class", "name", F.col("near.domain").alias("owner"), (F.col("near.distance") > 0).alias("inherited"))
-
-
 def category_path(pages: DataFrame, firsts: DataFrame, depth: int) -> DataFrame:
     """page, path: the class chain over first parents (child, parent), from the top, cut to ``depth`` levels above.
 
@@ -92,26 +85,6 @@ def slug_references(edges: DataFrame, arrays: DataFrame, bodies: DataFrame, slug
     return every.groupBy("slug").pivot("kind", ["edge_refs", "array_refs", "body_refs"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-def ontology_lint(classes: DataFrame, subclasses: DataFrame, props: DataFrame) -> DataFrame:
-    """E1 undeclared parents, E3 one local name in several modules, E6 properties without ends, W1 no label, W4 root classes.
-
-    classes: class, module, local, label; subclasses: child, parent; props: name, domain, range.
-    """
-    names = classes.select(F.col("class").alias("parent"))
-    undeclared = subclasses.join(names, "parent", "left_anti").select("parent").distinct()
-    collide = classes.groupBy("local").agg(F.count_distinct("module").alias("n")).where("n > 1")
-    endless = props.where("domain is null and range is null")
-    unlabelled = classes.where(F.trim(F.coalesce("label", F.lit(""))) == "")
-    roots = classes.join(subclasses.select(F.col("child").alias("class")), "class", "left_anti")
-    none = F.lit("")
-    parts = [
-        findings(undeclared, "E1", "high", F.col("parent"), none), findings(collide, "E3", "high", F.col("local"), F.col("n")),
-        findings(endless, "E6", "medium", F.col("name"), none), findings(unlabelled, "W1", "low", F.col("class"), none),
-        findings(roots, "W4", "info", F.col("class"), none),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def clean_up_plan(pages: DataFrame, index: DataFrame) -> DataFrame:
     """kind, pages: pages without source, those whose sources are all gone, mixed ones to strip (index: slug, status)."""
     per = index.groupBy("slug").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "live").alias("gone"))

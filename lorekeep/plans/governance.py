@@ -94,13 +94,6 @@ def j22_same_name_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.same_name_group(p, p.where("page_id % 97 = 0").select("page_id"))
 
 
-@query(f"""WITH RECURSIVE {CLOSURE}, p AS (SELECT 'p' || n_nationkey AS name, n_nationkey % 12 AS domain FROM nation)
-SELECT node AS class, name, domain AS owner, distance > 0 AS inherited FROM closure JOIN p ON domain = ancestor QUALIFY row_number() OVER (PARTITION BY node, name ORDER BY distance, domain) = 1""")
-def g10_class_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), "n_nationkey").alias("name"), (F.col("n_nationkey") % 12).alias("domain"))
-    return V.class_view(props, G.ancestors(subclasses(spark, sf_dir)))
-
-
 @query(f"""WITH RECURSIVE {SUBCLASSES}, f AS (SELECT child, parent FROM subclasses WHERE first), w AS (SELECT p_partkey AS page, p_partkey AS last, p_partkey::VARCHAR AS path, 0 AS n FROM part
   UNION ALL SELECT page, coalesce(parent, last), CASE WHEN parent IS NULL THEN path ELSE parent || '/' || path END, n + 1 FROM w LEFT JOIN f ON child = last WHERE n < 3) SELECT page, path FROM w WHERE n = 3""")
 def g16_category_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,17 +116,6 @@ def g18_slug_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.slug_references(lines.where("l_linenumber = 1").select(F.col("slug").alias("dst")), arrays, bodies, slugs)
 
 
-@query("""WITH c AS (SELECT p_partkey AS class, p_brand AS module, p_name AS local, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE p_name END AS label FROM part WHERE p_partkey % 17 <> 3), s AS (SELECT p_partkey AS child, p_partkey // 4 AS parent FROM part WHERE p_partkey > 5)
-SELECT 'E1' AS "check", 'high' AS severity, parent::VARCHAR AS subject, '' AS detail FROM (SELECT DISTINCT parent FROM s WHERE parent NOT IN (SELECT class FROM c)) UNION ALL SELECT 'E3', 'high', local, count(DISTINCT module)::VARCHAR FROM c GROUP BY local HAVING count(DISTINCT module) > 1
-UNION ALL SELECT 'E6', 'medium', 'p' || n_nationkey, '' FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT 'W1', 'low', class::VARCHAR, '' FROM c WHERE trim(label) = '' UNION ALL SELECT 'W4', 'info', class::VARCHAR, '' FROM c WHERE class NOT IN (SELECT child FROM s)""")
-def c15_ontology_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    classes = p.where("p_partkey % 17 != 3").select(F.col("p_partkey").alias("class"), F.col("p_brand").alias("module"), F.col("p_name").alias("local"), F.when(F.col("p_partkey") % 9 == 0, " ").otherwise(F.col("p_name")).alias("label"))
-    subs = p.where("p_partkey > 5").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 4").alias("parent"))
-    props = table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), "n_nationkey").alias("name"), F.when(F.col("n_nationkey") % 2 > 0, F.lit("d")).alias("domain"), F.when(F.col("n_nationkey") % 3 > 0, F.lit("r")).alias("range"))
-    return V.ontology_lint(classes, subs, props)
-
-
 _WAYS = ["自维护", "引用外部", "只读缓存", "", "自维护（主）", "other"]
 
 
