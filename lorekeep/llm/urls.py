@@ -14,6 +14,8 @@ from lorekeep.llm.shared import bounded_broadcast, stored
 
 #: Interval rows (about 100 bytes) that may be broadcast; a longer list is joined by a shuffle on the domain.
 BROADCAST_ENTRIES = 100_000
+#: Captures of a domain that one order of time holds.
+HOT_CAPTURES = 1_000_000
 
 
 #: Hosts that are numbers: a dotted IP number, or one in brackets.
@@ -53,8 +55,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The captures (id, url, fetched) with host, matched, action (``none`` where nothing was in force).
 
     A capture without a host or fetch time matches nothing.  Each row of ``captures`` gives one row; repeated rows
-    stay repeated.  Each capture meets as many domains as its host has labels (127 at most in DNS), each with at most
-    one interval in force, so a host that holds a third of the rows adds no more than that.
+    stay repeated.  Each capture asks for as many domains as its host has labels (127 at most in DNS).  Captures and
+    intervals of a domain stand in one order of time, and a running value tells the interval that began last, so a
+    capture meets one interval however long the history is.  A domain of more than ``HOT_CAPTURES`` captures is dealt
+    to several such orders, each with all its intervals.
     """
     listed = stored(intervals(entries), "url-intervals")
     rows = stored(
@@ -64,12 +68,23 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
         "captures",
     )
     asked = rows.where("host is not null and fetched is not null").select(
-        "rid", "fetched", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain")
+        "rid", F.col("fetched").alias("at"), F.posexplode(domains_of(F.col("host"))).alias("depth", "domain")
     )
-    listed = bounded_broadcast(listed, listed.count(), BROADCAST_ENTRIES)
-    met = asked.join(listed, "domain").where(
-        (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
+    sizes = asked.groupBy("domain").agg(F.count("*").alias("n")).join(listed.select("domain").distinct(), "domain", "left_semi")
+    sizes = stored(sizes.select("domain", F.ceil(F.col("n") / HOT_CAPTURES).alias("parts")), "url-domains")
+    sizes = bounded_broadcast(sizes, sizes.count(), BROADCAST_ENTRIES)
+    span = F.struct("valid_to", "action").alias("span")
+    begun = listed.join(sizes, "domain").select(
+        "domain", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"), F.col("valid_from").alias("at"), F.lit(0).alias("side"),
+        F.lit(None).cast("long").alias("rid"), F.lit(None).cast("int").alias("depth"), span,
     )
+    part = F.pmod(F.xxhash64("rid"), "parts") + 1
+    met = asked.join(sizes, "domain").select(
+        "domain", part.alias("part"), "at", F.lit(1).alias("side"), "rid", "depth", F.lit(None).cast(begun.schema["span"].dataType).alias("span")
+    )
+    order = Window.partitionBy("domain", "part").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = begun.unionByName(met).withColumn("span", F.last("span", ignorenulls=True).over(order)).where("side = 1 and span is not null")
+    met = met.where(F.col("span.valid_to").isNull() | (F.col("at") < F.col("span.valid_to"))).select("rid", "depth", "domain", "span.action")
     best = met.groupBy("rid").agg(F.min(F.struct("depth", "domain", "action")).alias("best"))
     return rows.join(best, "rid", "left").select(
         "id", "url", "fetched", "host", F.col("best.domain").alias("matched"),
