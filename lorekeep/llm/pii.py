@@ -14,7 +14,9 @@ from collections import Counter
 from collections.abc import Callable, Container, Iterable, Iterator
 from itertools import chain, product
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information that a term may reveal, and the documents that must show it.
 DISCLOSURE = 0.8
 SUPPORT = 2
+#: The filter of admissible terms: so many numbers of 64 bits (8 MB), whatever the corpus holds.
+FILTER_WORDS = 1 << 20
 #: Entities, and revealing terms, may be broadcast up to so many rows (10 MB); longer tables are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 #: Things counted in a task before they leave it, and rows whose words are spread at once, to bound a worker's memory.
@@ -138,6 +142,25 @@ def entities_of(text: str) -> set[str]:
     return {entity(kind, text[a:b]) for kind, a, b in read(text)[0]}
 
 
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bit for the hash of every ``term``: ``FILTER_WORDS`` numbers of 64 bits whatever their count."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_WORDS * 64))
+    word, place = F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
+    rows = terms.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return bits
+
+
+def passed(bits: np.ndarray, words: set[str]) -> list[str]:
+    """The words whose bit is set."""
+    held = list(words)
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in held], np.uint64).view(np.int64)
+    place = hashes % (len(bits) * 64)
+    fine = bits[place >> 6] >> (place & 63) & 1
+    return [w for w, yes in zip(held, fine.tolist(), strict=True) if yes]
+
+
 def revealing_terms(docs: DataFrame, threshold: float, support: int) -> DataFrame:
     """entity, term, disclosure of the terms that reveal an entity, over all documents.
 
@@ -152,6 +175,8 @@ def revealing_terms(docs: DataFrame, threshold: float, support: int) -> DataFram
     total, highest = entities.agg(F.count("*"), F.max(most)).first()
     terms = _counted(docs, lambda text: set(words_of(read(text)[1])) - {""}, ["term"])
     counts = stored(terms.where(F.col("n").between(support, highest if highest is not None else 0.0)).withColumnRenamed("n", "with_term"), "pii-counts")
+    # words that are no admissible terms are not paired: a filter of fixed size knows all that are, and few others
+    bits = docs.sparkSession.sparkContext.broadcast(term_filter(counts))
     # entities met too rarely need not be paired, where they are few enough to be told
     known = None
     if total <= BROADCAST_TERMS:
@@ -161,7 +186,7 @@ def revealing_terms(docs: DataFrame, threshold: float, support: int) -> DataFram
         spans, rest = read(text)
         own = {entity(kind, text[a:b]) for kind, a, b in spans}
         own = own if known is None else own & known.value
-        return product(own, set(words_of(rest)) - {""}) if own else iter(())
+        return product(own, passed(bits.value, set(words_of(rest)) - {""})) if own else iter(())
 
     paired = _counted(docs, pairs, ["entity", "term"]).where(F.col("n") >= support).withColumnRenamed("n", "together")
     paired = paired.join(counts, "term").join(bounded_broadcast(entities, total, BROADCAST_TERMS), "entity")
