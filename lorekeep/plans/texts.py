@@ -50,7 +50,7 @@ MDL = """mdl AS (SELECT doc, (i - 1)::INTEGER AS place, CASE WHEN i % 3 = 1 THEN
   FROM (SELECT doc_id AS doc, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) u(i))"""
 
 
-def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
     level = 1 + (F.expr("(place + 1) div 3") + F.col("doc")) % 3
     return lines.withColumn("line", F.when(F.col("place") % 3 == 0, F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), "line")).otherwise(F.col("line")))
@@ -60,7 +60,7 @@ def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT a.doc, a.place, a.level, a.line, coalesce(min(b.place), any_value(a.last)) AS finish FROM h a LEFT JOIN h b ON b.doc = a.doc AND b.place > a.place AND b.level > 0 AND b.level <= a.level WHERE a.level > 0 GROUP BY ALL)
 SELECT doc, place, level::INTEGER AS level, trim(regexp_replace(line, '^#+ ', '')) AS title, finish - place - 1 AS body_lines FROM f""")
 def t5_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.sections(_md(spark, sf_dir))
+    return X.sections(marked_lines(spark, sf_dir))
 
 
 @query(f"""WITH {MDL}, s AS (SELECT doc, place, CASE WHEN place % 4 = 0 THEN '## S' || (place // 4 + doc) % 3 ELSE line END AS line FROM mdl),
@@ -68,7 +68,7 @@ c AS (SELECT *, last_value(CASE WHEN starts_with(line, '## ') THEN trim(substr(l
 SELECT doc, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT coalesce(cur = 'S1', false)), '') AS text FROM c GROUP BY doc""")
 def t4_strip_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.concat(F.lit("## S"), (F.expr("place div 4") + F.col("doc")) % 3)
-    lines = _md(spark, sf_dir).withColumn("line", F.when(F.col("place") % 4 == 0, heading).otherwise(F.col("line")))
+    lines = marked_lines(spark, sf_dir).withColumn("line", F.when(F.col("place") % 4 == 0, heading).otherwise(F.col("line")))
     return X.strip_sections(lines, ["S1"])
 
 
