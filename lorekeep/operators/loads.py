@@ -99,23 +99,6 @@ def flatten_field(top: Column, nested: Column) -> Column:
     return F.coalesce(F.nullif(top, F.lit("")), nested)
 
 
-def import_dataset(parents: DataFrame, children: DataFrame, kb: str) -> DataFrame:
-    """child_id, parent_id under new ids of a knowledge base; a child of an unknown parent keeps none."""
-    new = lambda c: F.sha1(F.concat(F.lit(kb + "/"), F.col(c).cast("string")).cast("binary"))
-    ids = parents.select("parent_id", new("parent_id").alias("new_parent"))
-    return children.join(ids, "parent_id", "left").select(new("child_id").alias("child_id"), F.col("new_parent").alias("parent_id"))
-
-
-def export_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, rows, checksum: independent of row order and of the number of files."""
-    out = None
-    for name, rows in tables.items():
-        whole = F.xxhash64(*rows.columns).cast("decimal(38,0)")
-        one = rows.agg(F.count("*").alias("rows"), F.sum(whole).alias("checksum")).select(F.lit(name).alias("table"), "rows", "checksum")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def alias_index(terms: DataFrame) -> DataFrame:
     """alias, terms, conflict of (term, aliases): an alias that several terms claim is a conflict."""
     each = terms.select("term", F.explode("aliases").alias("alias")).select("term", F.lower(F.trim("alias")).alias("alias")).where("alias != ''")

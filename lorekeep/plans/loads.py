@@ -71,18 +71,6 @@ def l7_batch_upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.batch_upsert_items(items, new, ["A", "N", "R"])
 
 
-@query("""SELECT sha1('kb9/' || o_orderkey) AS child_id, CASE WHEN c_custkey IS NOT NULL THEN sha1('kb9/' || c_custkey) END AS parent_id FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey""")
-def s9_import_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = table(spark, sf_dir, "customer").where("c_custkey % 5 != 0").select(F.col("c_custkey").alias("parent_id"))
-    children = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child_id"), F.col("o_custkey").alias("parent_id"))
-    return L.import_dataset(parents, children, "kb9")
-
-
-@query()
-def s8_export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.export_manifest({name: table(spark, sf_dir, name) for name in ("orders", "lineitem", "part")})
-
-
 @query("""WITH t AS (SELECT p_brand AS term, unnest([split_part(p_name, ' ', 1), upper(p_type), '']) AS alias FROM part), a AS (SELECT lower(trim(alias)) AS alias, list_sort(list(DISTINCT term)) AS terms FROM t WHERE alias <> '' GROUP BY 1)
 SELECT alias, array_to_string(terms, ',') AS terms, len(terms) > 1 AS conflict FROM a""")
 def a20_alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
