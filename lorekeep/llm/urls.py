@@ -14,8 +14,8 @@ from lorekeep.llm.shared import bounded_broadcast, stored
 
 #: Interval rows (about 100 bytes) that may be broadcast; a longer list is joined by a shuffle on the domain.
 BROADCAST_ENTRIES = 100_000
-#: Captures of a domain that one order of time holds.
-HOT_CAPTURES = 1_000_000
+#: Captures of a domain that one order of time holds, or as many as the domain has intervals.
+HOT_CAPTURES = 1000
 
 
 #: Hosts that are numbers: a dotted IP number, or one in brackets.
@@ -57,8 +57,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     A capture without a host or fetch time matches nothing.  Each row of ``captures`` gives one row; repeated rows
     stay repeated.  Each capture asks for as many domains as its host has labels (127 at most in DNS).  Captures and
     intervals of a domain stand in one order of time, and a running value tells the interval that began last, so a
-    capture meets one interval however long the history is.  A domain of more than ``HOT_CAPTURES`` captures is dealt
-    to several such orders, each with all its intervals.
+    capture meets one interval however long the history is.  A domain of more captures than ``HOT_CAPTURES`` and than
+    it has intervals is dealt to several such orders, each with all its intervals.
     """
     listed = stored(intervals(entries), "url-intervals")
     rows = stored(
@@ -70,8 +70,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = rows.where("host is not null and fetched is not null").select(
         "rid", F.col("fetched").alias("at"), F.posexplode(domains_of(F.col("host"))).alias("depth", "domain")
     )
-    sizes = asked.groupBy("domain").agg(F.count("*").alias("n")).join(listed.select("domain").distinct(), "domain", "left_semi")
-    sizes = stored(sizes.select("domain", F.ceil(F.col("n") / HOT_CAPTURES).alias("parts")), "url-domains")
+    history = listed.groupBy("domain").agg(F.count("*").alias("intervals"))
+    sizes = asked.groupBy("domain").agg(F.count("*").alias("n")).join(history, "domain")
+    sizes = stored(sizes.select("domain", F.ceil(F.col("n") / F.greatest("intervals", F.lit(HOT_CAPTURES))).alias("parts")), "url-domains")
     sizes = bounded_broadcast(sizes, sizes.count(), BROADCAST_ENTRIES)
     span = F.struct("valid_to", "action").alias("span")
     begun = listed.join(sizes, "domain").select(
