@@ -18,70 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.licence_texts import CONFIRM, LEARN, NAMES, SAID, UNVERSIONED, said_by
 from lorekeep.llm.shared import text_of
 
-#: Notices by family: fixed values.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "Apache License Version 2.0, January 2004",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "mit": (
-        "Released under the MIT License.",
-        "Licensed under the MIT license.",
-        "The MIT License (MIT)",
-        "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ),
-    "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "GNU General Public License Version 3, 29 June 2007",
-        "You should have received a copy of the GNU General Public License along with this program.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ),
-    "lgpl": (
-        "Licensed under the GNU Lesser General Public License, version 2.1 or later.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-    ),
-    "agpl-3.0": (
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "SPDX-License-Identifier: AGPL-3.0-only",
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "mpl-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ),
-    "cc-by": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "cc-by-sa": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "cc0": (
-        "Dedicated to the public domain under CC0 1.0 Universal.",
-        "This is free and unencumbered software released into the public domain.",
-    ),
-    "proprietary": (
-        "All rights reserved.",
-        "Copyright (c) 2020 Example Corporation. All rights reserved.",
-        "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
-    ),
-}
 UNKNOWN = "unknown"
-FAMILIES = (UNKNOWN, *TEMPLATES)
+FAMILIES = (UNKNOWN, *NAMES)
 #: Words of half a window: windows of 16 words overlap by 8, so a notice of up to 8 words lies whole in one.
 HALF = 8
 BUCKET_BITS = 15
@@ -89,9 +30,9 @@ BUCKETS = 1 << BUCKET_BITS
 #: The unknown class is learned from whole documents: of the first so many by a hash of doc_id, those of at most so
 #: many bytes, and of their windows so many.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WINDOWS = 400, 16384, 3000
-#: Share of a template's word pairs that confirms a prediction.
-CONFIRM = 0.6
-VARIATIONS = 40
+#: Share of a template's word pairs that confirms a prediction; names must stand there whole.
+ENOUGH = 0.6
+VARIATIONS = 24
 #: Words kept in a worker's table of word hashes; a full table is emptied.
 CACHE_WORDS = 600_000
 #: Characters scored at once, to bound a worker's memory.
@@ -155,13 +96,20 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False)) or {(w, "") for w in words}
 
 
-_TEMPLATE_PAIRS = [(f, _pairs(words_of(t))) for f, ts in TEMPLATES.items() for t in ts]
+def _templates() -> list[tuple[str, set[tuple[str, str]], float]]:
+    """family, word pairs and how many of them are enough, of passages and names; a name of one word stands alone."""
+    made = [(f, _pairs(words_of(t)), ENOUGH) for f, ts in CONFIRM.items() for t in ts]
+    return made + [(f, _pairs(words_of(n)), 1.0) for f, ns in NAMES.items() for n in ns]
+
+
+_TEMPLATES = _templates()
 
 
 def confirmed(words: list[str], family: str | None = None) -> bool:
-    """Whether the words hold enough of a template, of the family or of any."""
-    own = _pairs(words)
-    return any(family in (None, f) and len(t & own) >= CONFIRM * len(t) for f, t in _TEMPLATE_PAIRS)
+    """Whether the words hold enough of a template, of the family or of any; versions are confirmed by what they share too."""
+    own = _pairs(words) | {(w, "") for w in words}
+    fits = (None,) if family is None else (family, *(f for f, versions in UNVERSIONED.items() if family in versions))
+    return any((family is None or f in fits) and len(t & own) >= share * len(t) for f, t, share in _TEMPLATES)
 
 
 class Classifier:
@@ -217,28 +165,49 @@ class Classifier:
         p = self._chances(self.bias + sums / np.sqrt(np.maximum(counts, 1))[:, None])
         best = p.argmax(axis=1)
         hits = np.flatnonzero((best > 0) & (more | (half == 0)))
-        for group in np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(best[hits]) != 0) | (np.diff(paragraph[hits]) != 0)) + 1):
-            if len(group):
-                one = int(paragraph[group[0]])
-                family = FAMILIES[int(best[group[0]])]
-                a, b = begin[one]
-                low, high = int(half[group[0]]) * HALF, min(sizes[one], (int(half[group[-1]]) + 2) * HALF)
-                at = int(first[one])
-                sure = confirmed(words[at + low : at + high], family)
-                start, end = _stretch(texts[owner[one]][a:b], low, high)
-                out[owner[one]].append((family, float(p[group, best[group]].max()), sure, a + start, a + end))
+        spans: list[tuple[int, int]] = []
+        spans_of = -1  # the paragraph whose words' places are known
+        for family, group in runs(hits, best, paragraph):
+            one = int(paragraph[group[0]])
+            a, b = begin[one]
+            low, high = int(half[group[0]]) * HALF, min(sizes[one], (int(half[group[-1]]) + 2) * HALF)
+            at = int(first[one])
+            sure = confirmed(words[at + low : at + high], family)
+            if spans_of != one:
+                spans, spans_of = places(texts[owner[one]][a:b]), one
+            chance = float(p[group, best[group]].max())
+            out[owner[one]].append((family, chance, sure, a + spans[low][0], a + spans[high - 1][1]))
         return out
 
 
-def _stretch(text: str, low: int, high: int) -> tuple[int, int]:
-    """Where the words ``low`` to ``high`` (exclusive) of a text stand; lower case may be longer than the text."""
+def runs(hits: np.ndarray, best: np.ndarray, paragraph: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Windows of a paragraph that follow each other and are of one family; text without a version goes with its version."""
+    held: list[int] = []
+    family = ""
+    for hit in hits.tolist():
+        own = FAMILIES[int(best[hit])]
+        joins = bool(held) and hit == held[-1] + 1 and paragraph[hit] == paragraph[held[-1]]
+        if joins and (own == family or family in UNVERSIONED.get(own, ())):
+            held.append(hit)
+        elif joins and own in UNVERSIONED.get(family, ()):
+            held.append(hit)
+            family = own
+        else:
+            if held:
+                yield family, np.array(held)
+            held, family = [hit], own
+    if held:
+        yield family, np.array(held)
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Where each word of a text stands; lower case may be longer than the text."""
     lower = text.lower()
     spans = [m.span() for m in _WORD.finditer(lower)]
-    start, end = spans[low][0], spans[high - 1][1]
     if len(lower) == len(text):
-        return start, end
+        return spans
     origin = [i for i, c in enumerate(text) for _ in c.lower()]
-    return origin[start], origin[end - 1] + 1
+    return [(origin[a], origin[b - 1] + 1) for a, b in spans]
 
 
 def windows_of(words: list[str]) -> list[list[str]]:
@@ -257,17 +226,34 @@ def examples(unknown: list[str], seed: int = 5) -> list[tuple[list[str], int]]:
         return filler[r.integers(0, len(filler), r.integers(low, high))].tolist()
 
     rows = []
-    for label, family in enumerate(FAMILIES):
-        for template in TEMPLATES.get(family, ()):
-            words = words_of(template)
+
+    def amid(kept: list[str], family: str) -> None:
+        """A window that begins near the start of the words, amid others."""
+        before = some(0, 2 * HALF)
+        text = [*before, *kept, *some(0, 2 * HALF)]
+        at = max(0, min(len(before), int(r.integers(-HALF, HALF // 2)) + len(before)))
+        tell(text[at : at + 2 * HALF], family)
+
+    def tell(window: list[str], family: str) -> None:
+        rows.append((window, FAMILIES.index(said_by(family, window))))
+
+    for family in NAMES:
+        for name in NAMES.get(family, ()):
+            for said in SAID:
+                words = words_of(said.format(name))
+                for _ in range(VARIATIONS // 4):
+                    amid(words, family)
+        for passage in LEARN.get(family, ()):
+            words = words_of(passage)
             for n in range(VARIATIONS):
                 kept = [w for w in words if n < 4 or r.random() > 0.08]
-                before = some(0, 2 * HALF)
-                text = [*before, *kept, *some(0, 2 * HALF)]
-                at = max(0, min(len(before), int(r.integers(-HALF, HALF // 2)) + len(before)))  # where its window begins
-                rows.append((text[at : at + 2 * HALF], label))
+                amid(kept, family)
+                # and any window of it, as it stands in a whole notice
+                at = int(r.integers(0, max(1, len(kept) - HALF)))
+                if len(kept) - at >= HALF:
+                    tell(kept[at : at + 2 * HALF], family)
     # words that notices are made of, alone among others, are no notice
-    telling = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    telling = sorted({w for table in (LEARN, NAMES) for ts in table.values() for t in ts for w in words_of(t)})
     for n in range(VARIATIONS * 12):
         around = some(3, 2 * HALF)
         for _ in range(n % 3):
@@ -323,7 +309,7 @@ def licence_findings(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
     model = train(sample_of(texts))
     weights, bias, temperature = model.weights.astype(np.float32), model.bias, model.temperature
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 4 MB, whatever the input
     names = ["family", "probability", "confirmed", "start", "end"]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,11 +317,13 @@ def licence_findings(docs: DataFrame) -> DataFrame:
         for frame in frames:
             rows: list[list[dict]] = []
             batch: list[str] = []
+            held = 0
             for text in frame["text"]:
                 batch.append(text)
-                if sum(map(len, batch)) > AT_ONCE:
+                held += len(text)
+                if held > AT_ONCE:
                     rows += [[dict(zip(names, f, strict=True)) for f in found] for found in own.scan(batch)]
-                    batch = []
+                    batch, held = [], 0
             rows += [[dict(zip(names, f, strict=True)) for f in found] for found in own.scan(batch)]
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "findings": rows})
 
