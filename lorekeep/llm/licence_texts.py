@@ -35,7 +35,7 @@ NAMES: dict[str, tuple[str, ...]] = {
     "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC-4.0"),
     "cc-by-nc-sa": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0", "CC BY-NC-SA 3.0", "CC-BY-NC-SA-4.0"),
     "cc-by-nd": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0"),
-    "proprietary": (),
+    "proprietary": ("all rights reserved",),
 }
 
 #: Families that say no version; a stretch of one beside a version is part of it.
@@ -183,9 +183,11 @@ CONFIRM: dict[str, tuple[str, ...]] = {
     "cc-by-nc": ("NonCommercial: You may not use the material for commercial purposes",),
     "cc-by-nc-sa": ("Attribution NonCommercial ShareAlike",),
     "cc-by-nd": ("NoDerivatives: If you remix, transform, or build upon the material, you may not distribute the modified material",),
-    "proprietary": ("All rights reserved.", "Unauthorized copying of this file is strictly prohibited."),
+    "proprietary": ("Unauthorized copying of this file is strictly prohibited.",),
 }
 
 #: References are learned with these words around a name, and tested with the others.
 SAID = ("Licensed under the {}.", "This work is licensed under the {}", "SPDX-License-Identifier: {}", "released under the terms of the {}", "See the {} for details", "under {}.", "{}", "license: {}", "Dual licensed under {}")
+#: The same for reserved rights, which are no licence.
+SAID_RESERVED = ("{}", "{}.", "Copyright {}.", "2024 {}")
 SAID_ELSEWHERE = ("Distributed under {}.", "available under the {} licence", "It may be used under {}", "You can redistribute it under the {}", "published under {}", "Released under the {}.")

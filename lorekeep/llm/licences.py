@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.licence_texts import CONFIRM, LEARN, NAMES, SAID, UNVERSIONED, said_by
+from lorekeep.llm.licence_texts import CONFIRM, LEARN, NAMES, SAID, SAID_RESERVED, UNVERSIONED, said_by
 from lorekeep.llm.shared import text_of
 
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *NAMES)
 #: Words of half a window: windows of 16 words overlap by 8, so a notice of up to 8 words lies whole in one.
 HALF = 8
-BUCKET_BITS = 15
+BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 #: The unknown class is learned from whole documents: of the first so many by a hash of doc_id, those of at most so
 #: many bytes, and of their windows so many.
@@ -33,6 +33,8 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WINDOWS = 400, 16384, 3000
 #: Share of a template's word pairs that confirms a prediction; names must stand there whole.
 ENOUGH = 0.6
 VARIATIONS = 24
+#: Windows of scattered words of notices, and of repeated words, that are no notice.
+CONFUSIONS = 900
 #: Words kept in a worker's table of word hashes; a full table is emptied.
 CACHE_WORDS = 600_000
 #: Characters scored at once, to bound a worker's memory.
@@ -172,6 +174,7 @@ class Classifier:
             a, b = begin[one]
             low, high = int(half[group[0]]) * HALF, min(sizes[one], (int(half[group[-1]]) + 2) * HALF)
             at = int(first[one])
+            family = said_by(family, words[at + low : at + high])
             sure = confirmed(words[at + low : at + high], family)
             if spans_of != one:
                 spans, spans_of = places(texts[owner[one]][a:b]), one
@@ -239,7 +242,7 @@ def examples(unknown: list[str], seed: int = 5) -> list[tuple[list[str], int]]:
 
     for family in NAMES:
         for name in NAMES.get(family, ()):
-            for said in SAID:
+            for said in SAID_RESERVED * 4 if family == "proprietary" else SAID:
                 words = words_of(said.format(name))
                 for _ in range(VARIATIONS // 4):
                     amid(words, family)
@@ -254,12 +257,12 @@ def examples(unknown: list[str], seed: int = 5) -> list[tuple[list[str], int]]:
                     tell(kept[at : at + 2 * HALF], family)
     # words that notices are made of, alone among others, are no notice
     telling = sorted({w for table in (LEARN, NAMES) for ts in table.values() for t in ts for w in words_of(t)})
-    for n in range(VARIATIONS * 12):
+    for n in range(CONFUSIONS):
         around = some(3, 2 * HALF)
         for _ in range(n % 3):
             around.insert(int(r.integers(0, len(around))), str(r.choice(telling)))
         rows.append((around, 0))
-    rows += [(some(1, 3) * HALF, 0) for _ in range(VARIATIONS * 4)]  # repeated words
+    rows += [(some(1, 3) * HALF, 0) for _ in range(CONFUSIONS)]  # repeated words
     picked = r.permutation(len(own))[:SAMPLE_WINDOWS]
     return rows + [(own[i], 0) for i in picked]
 
@@ -309,7 +312,7 @@ def licence_findings(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
     model = train(sample_of(texts))
     weights, bias, temperature = model.weights.astype(np.float32), model.bias, model.temperature
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 4 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 7 MB, whatever the input
     names = ["family", "probability", "confirmed", "start", "end"]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import exact_dedup, jaccard, licences, mixing, neighbours, packing, pii, quality, urls, wavelet
-from lorekeep.llm.licence_texts import CONFIRM, LEARN, NAMES, SAID_ELSEWHERE, UNVERSIONED
+from lorekeep.llm.licence_texts import CONFIRM, LEARN, NAMES, SAID_ELSEWHERE, UNVERSIONED, said_by
 from lorekeep.llm.tokens import WordTokenizer, public_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -419,6 +419,7 @@ def brute_licences(model, text):
         for family, low, high in runs:
             if family != "unknown":
                 own = words[low : high + 2 * licences.HALF]
+                family = said_by(family, own)
                 out.append((family, own, licences.confirmed(own, family)))
     return out
 
