@@ -76,23 +76,6 @@ def task_tree(links: DataFrame) -> DataFrame:
     return grouped
 
 
-def slug_references(edges: DataFrame, arrays: DataFrame, bodies: DataFrame, slugs: DataFrame) -> DataFrame:
-    """slug, edge_refs, array_refs, body_refs: where slugs are mentioned (bodies: text with [[slug]] links)."""
-    by_edge = edges.select(F.col("dst").alias("slug"), F.lit("edge_refs").alias("kind"))
-    by_array = arrays.select(F.explode("refs").alias("slug"), F.lit("array_refs").alias("kind"))
-    by_body = bodies.select(F.explode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("slug"), F.lit("body_refs").alias("kind"))
-    every = by_edge.unionByName(by_array).unionByName(by_body).join(slugs, "slug", "left_semi")
-    return every.groupBy("slug").pivot("kind", ["edge_refs", "array_refs", "body_refs"]).agg(F.count(F.lit(1))).fillna(0)
-
-
-def clean_up_plan(pages: DataFrame, index: DataFrame) -> DataFrame:
-    """kind, pages: pages without source, those whose sources are all gone, mixed ones to strip (index: slug, status)."""
-    per = index.groupBy("slug").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "live").alias("gone"))
-    joined = pages.select("slug").join(per, "slug", "left")
-    kind = F.when(F.col("n").isNull(), "no_source").when(F.col("gone") == F.col("n"), "delete").when(F.col("gone") > 0, "strip").otherwise("keep")
-    return joined.groupBy(kind.alias("kind")).agg(F.count("*").alias("pages"))
-
-
 def candidate_facts(items: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
     """item, doc, place: the first ``most`` lines of each document (doc, place, line) that hold an item's keyword (item, keyword)."""
     whole = lines.select(F.struct("doc", "place").alias("whole_id"), F.col("line").alias("whole"))

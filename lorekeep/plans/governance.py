@@ -106,16 +106,6 @@ def g14_task_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.task_tree(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("parent")))
 
 
-@query("""WITH r AS (SELECT 'p' || l_partkey AS slug, 'edge_refs' AS kind FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'p' || l_partkey, 'array_refs' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber > 3) UNION ALL SELECT 'p' || l_partkey, 'body_refs' FROM lineitem WHERE l_linenumber = 2)
-SELECT slug, count(*) FILTER (kind = 'edge_refs') AS edge_refs, count(*) FILTER (kind = 'array_refs') AS array_refs, count(*) FILTER (kind = 'body_refs') AS body_refs FROM r WHERE substr(slug, 2)::BIGINT % 7 = 0 GROUP BY slug""")
-def g18_slug_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumn("slug", F.concat(F.lit("p"), "l_partkey"))
-    arrays = lines.where("l_linenumber > 3").groupBy("l_orderkey").agg(F.collect_set("slug").alias("refs"))
-    bodies = lines.where("l_linenumber = 2").select(F.concat(F.lit("see [["), "slug", F.lit("]] and more")).alias("text"))
-    slugs = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("slug"))
-    return V.slug_references(lines.where("l_linenumber = 1").select(F.col("slug").alias("dst")), arrays, bodies, slugs)
-
-
 _WAYS = ["自维护", "引用外部", "只读缓存", "", "自维护（主）", "other"]
 
 
@@ -150,12 +140,6 @@ def c7_dependency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.dependency_check(services, own, services.select("service", "keys"), dependencies)
 
 
-@query(f"""WITH {INDEX}, p AS (SELECT slug, count(*) AS n, count(*) FILTER (status <> 'live') AS gone FROM doc_index GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'no_source' WHEN gone = n THEN 'delete' WHEN gone > 0 THEN 'strip' ELSE 'keep' END AS kind, count(*) AS pages FROM order_pages LEFT JOIN p USING (slug) GROUP BY 1""")
-def c21_clean_up_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = order_pages(spark, sf_dir)
-    return V.clean_up_plan(pages, L.doc_index(pages, part_docs(spark, sf_dir)))
-
-
 @query("""WITH l AS (SELECT doc_id AS doc, i - 1 AS place, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) u(i)), k AS (SELECT item_id AS item, split_part(text, ' ', 3) AS keyword FROM benchmark WHERE length(split_part(text, ' ', 3)) > 5)
 SELECT item, doc, place::INTEGER AS place FROM l JOIN k ON contains(line, keyword) QUALIFY row_number() OVER (PARTITION BY item, doc ORDER BY place) <= 5""")
 def t20_candidate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
