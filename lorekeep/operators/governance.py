@@ -70,12 +70,6 @@ def category_path(pages: DataFrame, firsts: DataFrame, depth: int) -> DataFrame:
     return chain.select("page", F.array_join("path", "/").alias("path"))
 
 
-def task_tree(links: DataFrame) -> DataFrame:
-    """child, parent, others: the first parent by name and how many more there are (child, parent)."""
-    grouped = links.groupBy("child").agg(F.min("parent").alias("parent"), (F.count_distinct("parent") - 1).alias("others"))
-    return grouped
-
-
 def candidate_facts(items: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
     """item, doc, place: the first ``most`` lines of each document (doc, place, line) that hold an item's keyword (item, keyword)."""
     whole = lines.select(F.struct("doc", "place").alias("whole_id"), F.col("line").alias("whole"))

@@ -101,11 +101,6 @@ def g16_category_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.category_path(pages, subclasses(spark, sf_dir).where("first"), 3)
 
 
-@query("SELECT l_partkey AS child, min(l_suppkey) AS parent, count(DISTINCT l_suppkey) - 1 AS others FROM lineitem GROUP BY 1")
-def g14_task_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.task_tree(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("parent")))
-
-
 _WAYS = ["自维护", "引用外部", "只读缓存", "", "自维护（主）", "other"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "j7_near_duplicates"
 #: Modules of this package that register queries.
-MODULES = ("pages", "lineage", "graphs", "search", "evaluation", "windows", "texts", "loads", "audits", "governance", "rules", "documents", "traces", "streams", "influence", "ontology", "excerpts", "transfers", "changes")
+MODULES = ("pages", "lineage", "graphs", "search", "evaluation", "windows", "texts", "loads", "audits", "governance", "rules", "documents", "traces", "streams", "influence", "ontology", "excerpts", "transfers", "changes", "tasks")
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
