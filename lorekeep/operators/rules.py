@@ -43,14 +43,21 @@ def rule_replay(samples: DataFrame, threshold: float = 0.9) -> DataFrame:
     return one.withColumn("gate", F.when((F.col("consistency") >= threshold) & (F.col("false_claims") == 0), "pass").otherwise("review"))
 
 
-def rule_report_stats(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rule, n, passed, missed, phantom: results by rule slug or title; names that are no rule are phantoms."""
+def rule_report_stats(rows: DataFrame, rules: DataFrame, ingests: DataFrame) -> DataFrame:
+    """rule, n, passed, missed, phantom, high, medium, low, absent: results by rule slug or title.
+
+    rows: name, verdict, human, level, ingest; rules: rule, title; ingests: ingest.  A name that is no rule is a phantom;
+    ``absent`` counts the distinct ingests that a rule's rows claim and that do not exist.
+    """
     names = rules.select("rule", F.explode(F.array_distinct(F.array("rule", "title"))).alias("name"))
-    joined = rows.join(names, "name", "left")
+    known = ingests.select("ingest", F.lit(True).alias("known")).distinct()
+    joined = rows.join(names, "name", "left").join(known, "ingest", "left")
     key = F.coalesce("rule", "name")
+    levels = [F.count_if(F.col("level") == level).alias(level) for level in ("high", "medium", "low")]
     return joined.groupBy(key.alias("rule")).agg(
         F.count("*").alias("n"), F.count_if(F.col("verdict") == "pass").alias("passed"),
         F.count_if(F.col("human") & (F.col("verdict") == "pass")).alias("missed"), F.max(F.col("rule").isNull()).alias("phantom"),
+        *levels, F.count_distinct(F.when(F.col("known").isNull(), F.col("ingest"))).alias("absent"),
     )
 
 
@@ -148,8 +155,9 @@ def project_nodes(pages: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple
     return built, kept
 
 
-#: Pointers that can be read back, by kind.
+#: Pointers that can be read back, by kind; fixed values.
 RESOLVERS = ("doc", "page", "sheet", "url", "graph")
+#: Relations between tasks and data objects; fixed values.
 _USES, _BELONGS = "taskUsesDataObject", "dataObjectBelongsToTask"
 
 

@@ -240,9 +240,9 @@ def a25_score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {KB_PAGES} SELECT kb_id, any_value(pages) AS pages, any_value(deleted) AS deleted, count(e.k) AS edges FROM (SELECT kb_id, count(*) AS pages, count(*) FILTER (deleted) AS deleted FROM kb_pages GROUP BY 1) p
-LEFT JOIN (SELECT 'src' || l_suppkey % 25 AS k FROM lineitem WHERE l_suppkey % 25 > 3) e ON e.k = p.kb_id GROUP BY kb_id""")
+LEFT JOIN (SELECT 'src' || l_suppkey % 40 AS k FROM lineitem) e ON e.k = p.kb_id GROUP BY kb_id""")
 def c23_purge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 25 > 3").select(F.concat(F.lit("src"), F.col("l_suppkey") % 25).alias("kb_id"))
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("src"), F.col("l_suppkey") % 40).alias("kb_id"))
     return A.purge_scan(kb_pages(spark, sf_dir), {"edges": e})
 
 

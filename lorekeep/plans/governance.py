@@ -58,14 +58,14 @@ def r2_mapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.mapping_pairs(m)
 
 
-PAIRS = "m AS (SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_partkey % 300 AS a, l_suppkey % 300 AS b, CASE l_returnflag WHEN 'A' THEN 'same' WHEN 'N' THEN 'wider' ELSE 'odd' END AS kind, CASE WHEN l_linenumber = 3 THEN 'h0' ELSE 'h' || l_suppkey % 300 END AS hash_b FROM lineitem), p AS (SELECT p_partkey AS slug, 'h' || p_partkey AS hash FROM part WHERE p_partkey < 300 AND p_partkey % 13 <> 0)"
+PAIRS = "m AS (SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_partkey AS a, l_suppkey AS b, CASE l_returnflag WHEN 'A' THEN 'same' WHEN 'N' THEN 'wider' ELSE 'odd' END AS kind, CASE WHEN l_linenumber = 3 THEN 'h0' ELSE 'h' || l_suppkey END AS hash_b FROM lineitem), p AS (SELECT p_partkey AS slug, 'h' || p_partkey AS hash FROM part WHERE p_partkey % 13 <> 0)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("l_returnflag") == "A", "same").when(F.col("l_returnflag") == "N", "wider").otherwise("odd")
-    stored = F.when(F.col("l_linenumber") == 3, "h0").otherwise(F.concat(F.lit("h"), F.col("l_suppkey") % 300))
-    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), (F.col("l_partkey") % 300).alias("a"), (F.col("l_suppkey") % 300).alias("b"), kind.alias("kind"), stored.alias("hash_b"))
-    return pairs, table(spark, sf_dir, "part").where("p_partkey < 300 and p_partkey % 13 != 0").select(F.col("p_partkey").alias("slug"), F.concat(F.lit("h"), "p_partkey").alias("hash"))
+    stored = F.when(F.col("l_linenumber") == 3, "h0").otherwise(F.concat(F.lit("h"), "l_suppkey"))
+    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), kind.alias("kind"), stored.alias("hash_b"))
+    return pairs, table(spark, sf_dir, "part").where("p_partkey % 13 != 0").select(F.col("p_partkey").alias("slug"), F.concat(F.lit("h"), "p_partkey").alias("hash"))
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT b AS a, a AS b, min(kind) AS lo, max(kind) AS hi FROM m GROUP BY ALL),

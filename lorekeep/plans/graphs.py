@@ -50,12 +50,12 @@ def g3_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.common_ancestor(groups, G.ancestors(subclasses(spark, sf_dir).where("first")))
 
 
-@query("""WITH RECURSIVE d AS (SELECT doc_id, substr(text, 1, 40) AS k1, source || (doc_id // 40) AS k2 FROM documents),
+@query("""WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS k1, source || (doc_id // 40) AS k2 FROM documents),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.k1 = b.k1 OR a.k2 = b.k2),
 walk AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT w.doc_id, l.b FROM walk w JOIN links l ON l.a = w.other)
 SELECT doc_id, min(other) AS component FROM walk GROUP BY doc_id""")
 def g4_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("k1"), F.concat("source", F.expr("doc_id div 40")).alias("k2"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k1"), F.concat("source", F.expr("doc_id div 40")).alias("k2"))
     return G.key_components(rows, "doc_id", ["k1", "k2"])
 
 

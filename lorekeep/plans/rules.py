@@ -40,22 +40,29 @@ def a23_rule_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rule_replay(table(spark, sf_dir, "lineitem").select(verdict.alias("verdict"), F.when(F.col("l_partkey") % 50 == 0, "fail").otherwise(verdict).alias("baseline"), F.when(F.col("l_linenumber") > 6, "low").otherwise("high").alias("level")))
 
 
-@query("""WITH r AS (SELECT 'r' || p_partkey AS rule, 'Rule ' || p_partkey AS title FROM part WHERE p_partkey < 300), x AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'r' ELSE 'Rule ' END || l_partkey % 330 AS name, l_returnflag = 'A' AS pass, l_linestatus = 'F' AS human FROM lineitem),
-n AS (SELECT rule, rule AS name FROM r UNION SELECT rule, title FROM r) SELECT coalesce(rule, name) AS rule, count(*) AS n, count(*) FILTER (pass) AS passed, count(*) FILTER (human AND pass) AS missed, bool_or(rule IS NULL) AS phantom FROM x LEFT JOIN n USING (name) GROUP BY coalesce(rule, name)""")
+@query("""WITH r AS (SELECT 'r' || p_partkey AS rule, 'Rule ' || p_partkey AS title FROM part WHERE p_partkey % 9 > 0), x AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'r' ELSE 'Rule ' END || l_partkey AS name, l_returnflag = 'A' AS pass, l_linestatus = 'F' AS human,
+  CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level, CASE WHEN l_linenumber > 2 THEN 'i' || l_suppkey END AS ingest FROM lineitem), i AS (SELECT 'i' || s_suppkey AS ingest FROM supplier WHERE s_suppkey % 8 > 0),
+n AS (SELECT rule, rule AS name FROM r UNION SELECT rule, title FROM r) SELECT coalesce(rule, name) AS rule, count(*) AS n, count(*) FILTER (pass) AS passed, count(*) FILTER (human AND pass) AS missed, bool_or(rule IS NULL) AS phantom,
+  count(*) FILTER (level = 'high') AS high, count(*) FILTER (level = 'medium') AS medium, count(*) FILTER (level = 'low') AS low, count(DISTINCT ingest) FILTER (ingest NOT IN (SELECT ingest FROM i)) AS absent FROM x LEFT JOIN n USING (name) GROUP BY coalesce(rule, name)""")
 def a24_rule_report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = table(spark, sf_dir, "part").where("p_partkey < 300").select(F.concat(F.lit("r"), "p_partkey").alias("rule"), F.concat(F.lit("Rule "), "p_partkey").alias("title"))
-    name = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "r").otherwise("Rule "), F.col("l_partkey") % 330)
-    rows = table(spark, sf_dir, "lineitem").select(name.alias("name"), F.when(F.col("l_returnflag") == "A", "pass").otherwise("fail").alias("verdict"), (F.col("l_linestatus") == "F").alias("human"))
-    return R.rule_report_stats(rows, rules)
-
-
-@query("""WITH c AS (SELECT l_partkey AS rule, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey)), ',') AS policies FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), r AS (SELECT p_partkey AS rule, coalesce(nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ' ' END), ''), p_type) AS definition FROM part)
+    rules = table(spark, sf_dir, "part").where("p_partkey % 9 > 0").select(F.concat(F.lit("r"), "p_partkey").alias("rule"), F.concat(F.lit("Rule "), "p_partkey").alias("title"))
+    n = F.col("l_linenumber")
+    name = F.concat(F.when(n % 2 == 0, "r").otherwise("Rule "), "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        name.alias("name"), F.when(F.col("l_returnflag") == "A", "pass").otherwise("fail").alias("verdict"), (F.col("l_linestatus") == "F").alias("human"),
+        F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low").alias("level"), F.when(n > 2, F.concat(F.lit("i"), "l_suppkey")).alias("ingest"),
+    )
+    ingests = table(spark, sf_dir, "supplier").where("s_suppkey % 8 > 0").select(F.concat(F.lit("i"), "s_suppkey").alias("ingest"))
+    return R.rule_report_stats(rows, rules, ingests)
+
+
+@query("""WITH c AS (SELECT l_partkey AS rule, array_to_string(list_sort(list(DISTINCT 's' || l_suppkey)), ',') AS policies FROM lineitem GROUP BY 1), r AS (SELECT p_partkey AS rule, coalesce(nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ' ' END), ''), p_type) AS definition FROM part)
 SELECT rule, coalesce(policies, '') AS policies, definition, CASE WHEN rule % 5 = 0 THEN 'h' || rule ELSE 'r-' || substr(sha1(definition), 1, 6) END AS hash, CASE WHEN rule % 4 = 0 THEN 'size > 3' ELSE 'always' END AS applies_when FROM r LEFT JOIN c USING (rule)""")
 def j25_rule_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     rules = table(spark, sf_dir, "part").select(key.alias("rule"), F.when(key % 3 == 0, F.col("p_name")).otherwise(" ").alias("definition"), F.col("p_type").alias("note"),
         F.when(key % 5 == 0, F.concat(F.lit("h"), key)).otherwise("").alias("hash"), F.when(key % 4 == 0, "size > 3").alias("applies_when"))
-    covers = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("rule"), F.concat(F.lit("s"), "l_suppkey").alias("policy"))
+    covers = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("rule"), F.concat(F.lit("s"), "l_suppkey").alias("policy"))
     return R.rule_contracts(rules, covers)
 
 
@@ -70,11 +77,11 @@ def c20_rule_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rule_lint(rules, ["soon", "proper"])
 
 
-USES = "u AS (SELECT l_suppkey AS service, l_partkey % 30 AS attribute, CASE WHEN l_returnflag = 'A' THEN 'out' ELSE 'in' END AS effect FROM lineitem WHERE l_linenumber <= 3)"
+USES = "u AS (SELECT l_suppkey AS service, l_partkey % 30 AS attribute, CASE WHEN l_returnflag = 'A' THEN 'out' ELSE 'in' END AS effect FROM lineitem)"
 
 
 def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"), F.when(F.col("l_returnflag") == "A", "out").otherwise("in").alias("effect"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("service"), (F.col("l_partkey") % 30).alias("attribute"), F.when(F.col("l_returnflag") == "A", "out").otherwise("in").alias("effect"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS contract, o_orderkey % 3 = 0 AS read_only, CASE WHEN o_orderkey % 4 > 0 THEN 'k' || o_custkey END AS key, CASE WHEN o_orderkey % 5 > 0 THEN 1 END AS version FROM orders), l AS (SELECT *, l_orderkey AS contract FROM lineitem)
@@ -125,17 +132,17 @@ def c14_graph_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.graph_audit(k.where("page_id % 13 != 0").select("slug", "page_type", F.col("content").alias("body")), nodes)
 
 
-@query(f"""WITH {KB_PAGES}, e AS (SELECT l_orderkey % 900 AS src, l_partkey % 900 AS dst FROM lineitem WHERE l_linenumber = 1), gone AS (SELECT page_id FROM kb_pages WHERE page_id < 900 AND page_id % 13 = 0) SELECT src, dst FROM e WHERE src NOT IN (SELECT page_id FROM gone) AND dst NOT IN (SELECT page_id FROM gone)""")
+@query(f"""WITH {KB_PAGES}, e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), gone AS (SELECT page_id FROM kb_pages WHERE page_id % 13 = 0) SELECT src, dst FROM e WHERE src NOT IN (SELECT page_id FROM gone) AND dst NOT IN (SELECT page_id FROM gone)""")
 def s14_project_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = kb_pages(spark, sf_dir).select(F.col("page_id").alias("slug"), "page_type", F.col("content").alias("body"), F.create_map(F.lit("v"), F.col("version").cast("string")).alias("attrs"))
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 900).alias("src"), (F.col("l_partkey") % 900).alias("dst"))
-    return R.project_nodes(k.where("slug % 13 != 0"), k.where("slug < 900"), e)[1].select("src", "dst")
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return R.project_nodes(k.where("slug % 13 != 0"), k, e)[1].select("src", "dst")
 
 
-TASK_LINES = r"""tasks AS (SELECT 't' || p_partkey AS slug, p_partkey % 7 <> 0 AS is_task, 'dataobject: o' || p_partkey % 90 || ' rules=r' || p_partkey % 30 || ',r' || p_partkey % 11 || chr(10) || 'text: doc:' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '#page=3' WHEN p_partkey % 3 = 1 THEN '#row=3' ELSE '' END
+TASK_LINES = r"""tasks AS (SELECT 't' || p_partkey AS slug, p_partkey % 7 <> 0 AS is_task, 'dataobject: o' || p_partkey % 130 || ' rules=r' || p_partkey % 30 || ',r' || p_partkey % 11 || chr(10) || 'text: doc:' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '#page=3' WHEN p_partkey % 3 = 1 THEN '#row=3' ELSE '' END
   || ';;# a note; ontology: C' || p_partkey % 40 || CASE WHEN p_partkey % 4 = 0 THEN ':closure=ancestors' WHEN p_partkey % 4 = 1 THEN ':closure=all' ELSE '' END AS entry,
   CASE p_partkey % 5 WHEN 0 THEN 'dataobject: o' || p_partkey % 80 WHEN 1 THEN 'it used to be told in words' WHEN 2 THEN 'short' WHEN 3 THEN 'dataobject:;ontology:;text: session:5' ELSE '' END AS exit FROM part),
-pages AS (SELECT DISTINCT 'o' || s_suppkey AS slug FROM supplier WHERE s_suppkey < 85), classes AS (SELECT 'C' || n_nationkey AS class FROM nation), rules AS (SELECT 'r' || n_nationkey AS rule FROM nation),
+pages AS (SELECT DISTINCT 'o' || s_suppkey AS slug FROM supplier), classes AS (SELECT 'C' || n_nationkey AS class FROM nation), rules AS (SELECT 'r' || n_nationkey AS rule FROM nation),
 edges AS (SELECT 't' || p_partkey AS src, 'taskUsesDataObject' AS rel, 'o' || p_partkey % 90 AS dst FROM part WHERE p_partkey % 3 > 0 UNION SELECT 'o' || p_partkey % 80, 'dataObjectBelongsToTask', 't' || p_partkey FROM part WHERE p_partkey % 10 = 0)"""
 
 
@@ -155,10 +162,10 @@ def c12_task_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
     page = F.when(k % 3 == 0, "#page=3").when(k % 3 == 1, "#row=3").otherwise("")
     closure = F.when(k % 4 == 0, ":closure=ancestors").when(k % 4 == 1, ":closure=all").otherwise("")
-    entry = F.concat(F.lit("dataobject: "), named("o", 90), F.lit(" rules="), named("r", 30), F.lit(","), named("r", 11), F.lit("\ntext: doc:"), k.cast("string"), page, F.lit(";;# a note; ontology: "), named("C", 40), closure)
+    entry = F.concat(F.lit("dataobject: "), named("o", 130), F.lit(" rules="), named("r", 30), F.lit(","), named("r", 11), F.lit("\ntext: doc:"), k.cast("string"), page, F.lit(";;# a note; ontology: "), named("C", 40), closure)
     leave = F.when(k % 5 == 0, F.concat(F.lit("dataobject: "), named("o", 80))).when(k % 5 == 1, "it used to be told in words").when(k % 5 == 2, "short").when(k % 5 == 3, "dataobject:;ontology:;text: session:5")
     tasks = p.select(slug.alias("slug"), (k % 7 != 0).alias("is_task"), entry.alias("entry"), leave.alias("exit"))
-    pages = table(spark, sf_dir, "supplier").where("s_suppkey < 85").select(F.concat(F.lit("o"), "s_suppkey").alias("slug"))
+    pages = table(spark, sf_dir, "supplier").select(F.concat(F.lit("o"), "s_suppkey").alias("slug"))
     nation = table(spark, sf_dir, "nation")
     uses = p.where("k % 3 > 0").select(slug.alias("src"), F.lit("taskUsesDataObject").alias("rel"), named("o", 90).alias("dst"))
     belongs = p.where("k % 10 = 0").select(named("o", 80).alias("src"), F.lit("dataObjectBelongsToTask").alias("rel"), slug.alias("dst"))
@@ -166,8 +173,8 @@ def c12_task_io(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEEDS = """r AS (SELECT 'r' || p_partkey AS rule, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE split_part(p_name, ' ', 2) || '、 ' || split_part(p_name, ' ', 1) || ' (x);' || CASE WHEN p_partkey % 7 = 0 THEN 'wholly unknown' ELSE '' END END AS words, p_partkey AS k FROM part),
-c AS (SELECT p_partkey AS class, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS label, p_brand AS module FROM part WHERE p_size > 10),
-o AS (SELECT 'o' || s_suppkey AS slug, s_name || ' gives ' || n_name AS hay FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'p' || min(p_partkey), 'all ' || split_part(p_name, ' ', 2) FROM part WHERE p_name LIKE '% w%' GROUP BY 2)"""
+c AS (SELECT p_partkey AS class, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS label, p_brand AS module FROM part),
+o AS (SELECT 'o' || s_suppkey AS slug, s_name || ' gives ' || n_name AS hay FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'p' || min(p_partkey), 'all ' || split_part(p_name, ' ', 2) FROM part GROUP BY 2)"""
 
 
 @query(rf"""WITH RECURSIVE {CHAINS}, {NEEDS}, w AS (SELECT DISTINCT rule, trim(unnest(string_split_regex(words, '[、，,;；/|]+'))) AS need FROM r WHERE words IS NOT NULL), n AS (SELECT need, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules FROM w WHERE need <> '' GROUP BY 1),
@@ -185,8 +192,8 @@ def t21_plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.format_string('{"concepts": [{"id": "c1", "class": "%d", "note": "note %d"}, {"id": "c2", "kind": "external", "dataobject": "o%d", "collect": "once"}, {"note": "no id"}], "derived": [{"id": "d"}]}', k + 1, k, k)
     words = F.concat(word(2), F.lit("、 "), word(1), F.lit(" (x);"), F.when(k % 7 == 0, "wholly unknown").otherwise(""))
     rules = p.select(F.concat(F.lit("r"), k).alias("rule"), F.when(k % 5 == 0, spec).otherwise(words).alias("need"))
-    classes = p.where("p_size > 10").select(k.alias("class"), F.when(k % 3 == 0, F.col("p_name")).otherwise(word(1)).alias("label"), F.col("p_brand").alias("module"))
+    classes = p.select(k.alias("class"), F.when(k % 3 == 0, F.col("p_name")).otherwise(word(1)).alias("label"), F.col("p_brand").alias("module"))
     told = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("o"), "s_suppkey").alias("slug"), F.col("s_name").alias("title"), F.concat(F.lit("gives "), "n_name").alias("definition"))
-    parts = p.where("p_name like '% w%'").groupBy(word(2).alias("w")).agg(F.min(k).alias("least")).select(F.concat(F.lit("p"), "least").alias("slug"), F.lit("all").alias("title"), F.col("w").alias("definition"))
+    parts = p.groupBy(word(2).alias("w")).agg(F.min(k).alias("least")).select(F.concat(F.lit("p"), "least").alias("slug"), F.lit("all").alias("title"), F.col("w").alias("definition"))
     chains = G.ancestors(subclasses(spark, sf_dir).where("first"))
     return R.plan_items(rules, classes, told.unionByName(parts), chains)
