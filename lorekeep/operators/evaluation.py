@@ -370,13 +370,18 @@ def link_nearest(left: DataFrame, right: DataFrame, tolerance: int, threshold: f
     own = ["right_id", "arm", F.lit(1).cast("long").alias("calls"), "hits", "ms", "queries", "degraded"]
     near = settled(near.groupBy("left_id").agg(F.min(F.struct(gap.alias("gap"), *own)).alias("n")).select("left_id", F.lit("near").alias("linked"), *[F.col(f"n.{c}") for c in found]), "near")
     lone = rest.join(near.select("left_id"), "left_id", "left_anti")
-    told = lone.select((F.col("left_id") * 2).alias("id"), F.lit(0).alias("kind"), "session", "core")
-    told = told.unionByName(groups.select((F.col("right_id") * 2 + 1).alias("id"), F.lit(1).alias("kind"), "session", "core")).where("core != ''")
-    sets = told.select("id", "kind", F.transform(gram_codes(F.col("core"), 2), lambda g: F.xxhash64(F.col("session"), g)).alias("grams"))
-    alike = jaccard_pairs(settled(sets.withColumn("n", F.size("grams")), "question-sets"), threshold, across=True)
-    ask, answer = [F.when((F.col("kind") == n), F.col("id")).otherwise(F.col("id_b")) for n in (0, 1)]
-    alike = alike.select(F.floor(ask / 2).alias("left_id"), F.floor((answer - 1) / 2).alias("right_id"), "score")
-    best = alike.groupBy("left_id").agg(F.min(F.struct(-F.col("score"), "right_id")).alias("b")).select("left_id", F.col("b.right_id").alias("right_id"))
+    # questions repeat: each distinct one is compared once, whatever sessions ask it
+    asked = lone.where("core != ''").select("core").distinct().withColumn("kind", F.lit(0))
+    told = asked.unionByName(groups.where("core != ''").select("core").distinct().withColumn("kind", F.lit(1)))
+    told = settled(told.withColumn("id", F.monotonically_increasing_id()), "questions")
+    sets = told.select("id", "kind", gram_codes(F.col("core"), 2).alias("grams")).withColumn("n", F.size("grams"))
+    alike = jaccard_pairs(settled(sets, "question-sets"), threshold, across=True)
+    ask, answer = [F.when(F.col("kind") == n, F.col("id")).otherwise(F.col("id_b")) for n in (0, 1)]
+    pairs = alike.select(ask.alias("ask"), answer.alias("answer"), "score")
+    named = lambda n, core, key: told.where(F.col("kind") == n).select(F.col("core").alias(core), F.col("id").alias(key))
+    pairs = settled(pairs.join(named(0, "core", "ask"), "ask").join(named(1, "core_b", "answer"), "answer").select("core", "core_b", "score"), "question-pairs")
+    met = lone.select("left_id", "session", "core").join(pairs, "core").join(groups.select("session", F.col("core").alias("core_b"), "right_id"), ["session", "core_b"])
+    best = met.groupBy("left_id").agg(F.min(F.struct(-F.col("score"), "right_id")).alias("b")).select("left_id", F.col("b.right_id").alias("right_id"))
     similar = best.join(groups, "right_id").select("left_id", F.lit("similar").alias("linked"), *found)
     linked = exact.unionByName(near).unionByName(similar)
     return l.select("left_id").join(linked, "left_id", "left").fillna({"linked": "none"})
