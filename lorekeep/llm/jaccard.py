@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import components
-from lorekeep.llm.shared import bounded_broadcast, discard, stored, stored_parts, text_of, tidy
+from lorekeep.llm.shared import batches_of, bounded_broadcast, discard, stored, stored_parts, text_of, tidy
 from lorekeep.llm.tokens import BLOCK_BYTES, segment_hashes, words_in
 
 #: Bits of a parity key; a chance collision only costs a verification.
@@ -33,6 +33,8 @@ CUTS = 4
 SLICES = 4
 #: Groups of equal sets (40 bytes each) are broadcast up to this many.
 BROADCAST_HEADS = 400_000
+#: Rows of whole texts that a worker is given at once.
+BATCH_ROWS = 1000
 #: Rounds in which a parity's classes are compared with one hub before they are compared pair by pair.
 HUB_ROUNDS = 2
 #: A parity of at most so many classes is compared pair by pair; of a larger one the rarest shingles are joined.
@@ -262,6 +264,11 @@ def jaccard_classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     words (null, empty or blank text) has the empty set and stands alone.  Repeated rows belong to one class; null
     doc_ids come last.  An empty table gives an empty result; other columns are ignored.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _classes(docs, width, num, den, row)
+
+
+def _classes(docs: DataFrame, width: int, num: int, den: int, row: str | None) -> DataFrame:
     sketched = sketches(docs, width, num, den, row)
     members = _members(sketched)
     postings = stored_parts(_shared_postings(sketched, members), "postings")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def stored_parts(parts: Iterable[DataFrame], name: str, compression: str = "zstd
     return table
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables stored in this block hand so many rows at once to Python: whole texts of many rows would fill a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now, not when the driver next needs memory."""
     gc.collect()
