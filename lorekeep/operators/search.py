@@ -257,18 +257,27 @@ def gram_codes(text: Column, n: int) -> Column:
     return F.array_distinct(F.when(size < n, F.array(whole)).otherwise(T.sliding(codes, size, n, push)))
 
 
+#: Buckets in which grams are counted: half a megabyte, whatever the number of texts.
+RARITY = 1 << 16
+
+
 def prefix_pairs(sets: DataFrame, shared: Callable[..., Column], probe: Column, index: Column, across: bool = False) -> DataFrame:
     """Pairs (id < id_b) of sets (id, n, kind, grams) that may be alike, from the rarest grams of each.
 
     ``shared(n, n_b, kind, kind_b)`` is the least number of shared grams of sets of m <= n grams that are alike;
     ``probe`` bounds it from below by the larger size alone, ``index`` by the smaller; ``across`` asks for pairs of
-    different kinds only.  In the order from rare to common, the first shared gram is among the first m - shared + 1 of the smaller and n - shared + 1 of the larger
-    set.  So smaller sets are posted by few grams, larger ones ask by more, and a met pair stays only if both places
+    different kinds only.  In the order from rare to common, the first shared gram is among the first m - shared + 1
+    of the smaller and n - shared + 1 of the larger set.  So smaller sets are posted by few grams, larger ones ask by more, and a met pair stays only if both places
     allow for it.
     """
-    posted = sets.select("id", "kind", "n", F.explode("grams").alias("gram"))
-    counted = posted.join(posted.groupBy("gram").agg(F.count("*").alias("df")), "gram")
-    ranked = counted.groupBy("id", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))  # of one text
+    # any order that is the same for all sets will do; by counts in a table of fixed size no set's grams need a shuffle
+    bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(RARITY)).cast("int")
+    met = sets.select(F.explode("grams").alias("g")).groupBy(bucket(F.col("g")).alias("bucket")).agg(F.count("*").alias("df"))
+    every = sets.sparkSession.range(RARITY).select(F.col("id").cast("int").alias("bucket")).join(met, "bucket", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("df", F.lit(0)).alias("df")))), lambda x: x["df"]).alias("table"))
+    table = settled(table, "gram-counts")
+    order = F.array_sort(F.transform("grams", lambda g: F.struct(F.get("table", bucket(g)).alias("df"), g.alias("gram"))))
+    ranked = sets.crossJoin(F.broadcast(table)).select("id", "kind", "n", order.alias("ranked"))  # one row
     prefix = ranked.select("id", "kind", "n", F.posexplode(F.slice("ranked", F.lit(1), (F.col("n") - probe + 1).cast("int"))).alias("place", "g"))
     prefix = settled(prefix.select("id", "kind", "n", F.col("g.gram").alias("gram"), (F.col("place") + 1).alias("place")), "gram-prefixes")
     small = prefix.where(F.col("place") <= F.col("n") - index + 1)
