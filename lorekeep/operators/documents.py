@@ -130,11 +130,18 @@ def catalog_diff(projection: DataFrame, artifact: DataFrame) -> DataFrame:
     return one.unionByName(artifact.join(projection, ["kind", "name"], "left_anti").withColumn("side", F.lit("artifact")))
 
 
-def link_targets(pages: DataFrame, ranges: DataFrame, closure: DataFrame) -> DataFrame:
-    """relation, page: pages (page, class) of a class below a relation's range (relation, class)."""
+def link_targets(asked: DataFrame, pages: DataFrame, ranges: DataFrame, closure: DataFrame) -> DataFrame:
+    """ask_id, page, place: the pages a relation may point at, for a page that asks (asked: ask_id, relation, page, q).
+
+    pages: page, class, title; ranges: relation, class.  Pages are of a class at or below the relation's range, the asking
+    page is left out, and where ``q`` is not empty titles hold it, whatever its case; by class, then title, then page.
+    """
     below = closure.select(F.col("node").alias("class"), F.col("ancestor"))
     reach = ranges.withColumnRenamed("class", "ancestor").join(below, "ancestor").select("relation", "class").distinct()
-    return reach.join(pages, "class").select("relation", "page")
+    met = asked.select("ask_id", "relation", F.col("page").alias("own"), F.lower(F.coalesce("q", F.lit(""))).alias("q")).join(reach, "relation").join(pages, "class")
+    met = met.where((F.col("page") != F.col("own")) & F.lower("title").contains(F.col("q")))
+    place = F.row_number().over(Window.partitionBy("ask_id").orderBy("class", "title", "page"))
+    return met.select("ask_id", "page", place.alias("place"))
 
 
 def concept_preview(groups: DataFrame, existing: DataFrame) -> DataFrame:

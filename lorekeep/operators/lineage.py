@@ -168,9 +168,15 @@ def missing_fetch_log(pages: DataFrame, cache: DataFrame) -> DataFrame:
     return cited.join(cache.select("url"), "url", "left_anti").groupBy("url").agg(F.count("*").alias("pages"))
 
 
-def graph_summary(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """page_type, nodes, edges_out of the first ``limit`` nodes by slug and the edges between them."""
-    kept = nodes.orderBy("slug").limit(limit).select("slug", "page_type")
+def graph_summary(nodes: DataFrame, edges: DataFrame, limit: int, model: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """page_type, nodes, edges_out, relations of the first ``limit`` nodes by slug and the edges between them.
+
+    nodes: slug, page_type, model; only those of ``model`` and of ``types`` are taken where these are given.
+    ``relations`` are the distinct kinds of the kept edges that leave nodes of a type.
+    """
+    wanted = nodes.where(F.col("model") == model) if model is not None else nodes
+    wanted = wanted.where(F.col("page_type").isin(types)) if types is not None else wanted
+    kept = wanted.orderBy("slug").limit(limit).select("slug", "page_type")
     inner = edges.distinct().join(kept.select(F.col("slug").alias("src"), "page_type"), "src").join(kept.select(F.col("slug").alias("dst")), "dst", "left_semi")
-    out = inner.groupBy("page_type").agg(F.count("*").alias("edges_out"))
-    return kept.groupBy("page_type").agg(F.count("*").alias("nodes")).join(out, "page_type", "left").fillna(0, ["edges_out"])
+    out = inner.groupBy("page_type").agg(F.count("*").alias("edges_out"), F.array_join(F.array_sort(F.collect_set("rel")), ",").alias("relations"))
+    return kept.groupBy("page_type").agg(F.count("*").alias("nodes")).join(out, "page_type", "left").fillna(0, ["edges_out"]).fillna("", ["relations"])

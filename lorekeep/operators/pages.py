@@ -48,8 +48,18 @@ def kb_page_stats(pages: DataFrame) -> DataFrame:
     )
 
 
+#: How each metric of a base is computed, as its reports say.
+FORMULAS = {
+    "pages": "count of live pages", "without_source": "count of pages without sources", "types": "count of distinct types",
+    "mean_version": "sum over types of mean version x pages / pages",
+}
+
+
 def kb_metrics(pages: DataFrame) -> DataFrame:
-    """name, value: live pages, those without source, types, and the mean version weighted by each type's pages."""
+    """name, value, formula, hash: live pages, those without source, types, and the mean version weighted by each type's pages.
+
+    ``hash`` is the same on every row and follows from all names and values, to six places.
+    """
     by_type = pages.groupBy("page_type").agg(
         F.count("*").alias("n"), F.count_if(F.size("source_refs") == 0).alias("bare"), F.avg("version").alias("version")
     )
@@ -59,7 +69,10 @@ def kb_metrics(pages: DataFrame) -> DataFrame:
         F.count("*").cast("double").alias("types"),
         (F.sum(F.col("version") * F.col("n")) / F.sum("n")).alias("mean_version"),
     )
-    return total.unpivot([], ["pages", "without_source", "types", "mean_version"], "name", "value")
+    told = [F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("decimal(20,6)").cast("string"), F.lit(""))) for name in sorted(FORMULAS)]
+    total = total.withColumn("hash", F.md5(F.concat_ws(";", *told).cast("binary")))
+    formula = F.create_map(*[F.lit(x) for pair in FORMULAS.items() for x in pair])
+    return total.unpivot(["hash"], list(FORMULAS), "name", "value").withColumn("formula", formula[F.col("name")])
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str], version: str, row_id: str) -> DataFrame:

@@ -40,7 +40,7 @@ def strip_sections(lines: DataFrame, titles: list[str]) -> DataFrame:
 
 
 def strip_running_headers(pages: DataFrame, ratio: float = 0.3, edge: int = 2, longest: int = 60) -> DataFrame:
-    """doc, page, kept and dropped lines of paged lines (doc, page, place, line).
+    """doc, page, kept and dropped lines, and the text that is left, of paged lines (doc, page, place, line).
 
     A short line among the first or last two of a page that stands on at least max(2, pages * ratio) pages goes
     everywhere in its document, if that has three pages or more.
@@ -51,7 +51,9 @@ def strip_running_headers(pages: DataFrame, ratio: float = 0.3, edge: int = 2, l
     seen = marked.where(F.col("edge") & (F.length("line") <= longest) & (F.trim("line") != "")).groupBy("doc", "line").agg(F.count_distinct("page").alias("on"))
     running = seen.join(total, "doc").where((F.col("pages") >= 3) & (F.col("on") >= F.greatest(F.lit(2), F.floor(F.col("pages") * ratio))))
     joined = pages.join(running.select("doc", "line", F.lit(True).alias("running")), ["doc", "line"], "left")
-    return joined.groupBy("doc", "page").agg(F.count_if(F.col("running").isNull()).alias("kept"), F.count_if("running").alias("dropped"))
+    left = F.array_sort(F.collect_list(F.when(F.col("running").isNull(), F.struct("place", "line"))))
+    text = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
+    return joined.groupBy("doc", "page").agg(F.count_if(F.col("running").isNull()).alias("kept"), F.count_if("running").alias("dropped"), text.alias("text"))
 
 
 def extract_relations(lines: DataFrame) -> DataFrame:

@@ -78,11 +78,15 @@ def u5_catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.catalog_diff(take(3), take(5))
 
 
-@query(f"""WITH RECURSIVE {CLOSURE}, r AS (SELECT 'p' || n_nationkey AS relation, n_nationkey AS c FROM nation) SELECT DISTINCT relation, p_partkey AS page FROM r JOIN closure ON ancestor = c JOIN part ON p_partkey = node""")
+@query(f"""WITH RECURSIVE {CLOSURE}, r AS (SELECT 'p' || n_nationkey AS relation, n_nationkey AS c FROM nation), a AS (SELECT n_nationkey AS ask_id, 'p' || n_nationkey AS relation, n_nationkey * 4 AS own, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'RED' ELSE 'in' END AS q FROM nation)
+SELECT ask_id, p_partkey AS page, row_number() OVER (PARTITION BY ask_id ORDER BY p_partkey, p_name)::INTEGER AS place FROM a JOIN r USING (relation) JOIN (SELECT DISTINCT node, ancestor FROM closure) ON ancestor = c JOIN part ON p_partkey = node WHERE p_partkey <> own AND contains(lower(p_name), lower(q))""")
 def g19_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.col("p_partkey").alias("class"))
-    ranges = table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), "n_nationkey").alias("relation"), F.col("n_nationkey").cast("long").alias("class"))
-    return D.link_targets(pages, ranges, G.ancestors(subclasses(spark, sf_dir)))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.col("p_partkey").alias("class"), F.col("p_name").alias("title"))
+    n = F.col("n_nationkey").cast("long")
+    relation = F.concat(F.lit("p"), n).alias("relation")
+    nation = table(spark, sf_dir, "nation")
+    asked = nation.select(n.alias("ask_id"), relation, (n * 4).alias("page"), F.when(n % 3 == 0, "").when(n % 3 == 1, "RED").otherwise("in").alias("q"))
+    return D.link_targets(asked, pages, nation.select(relation, n.alias("class")), G.ancestors(subclasses(spark, sf_dir)))
 
 
 @query(f"""WITH {KB_PAGES}, g AS (SELECT title AS grp, slug, kb_id, version FROM kb_pages), e AS (SELECT DISTINCT title AS grp FROM kb_pages WHERE page_id % 50 = 0), t AS (SELECT grp, count(*) AS members, count(DISTINCT kb_id) AS kbs FROM g GROUP BY 1),

@@ -153,11 +153,12 @@ def j21_missing_fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EDGES}, n AS (SELECT 'part/' || p_partkey AS slug, p_type AS page_type FROM part UNION ALL SELECT 'supplier/' || s_suppkey, 'supplier' FROM supplier),
-kept AS (SELECT * FROM n ORDER BY slug LIMIT 1500),
-e AS (SELECT DISTINCT src, rel, dst FROM edges), i AS (SELECT k.page_type FROM e JOIN kept k ON k.slug = e.src WHERE e.dst IN (SELECT slug FROM kept))
-SELECT page_type, count(*) AS nodes, coalesce(any_value(o.edges_out), 0)::BIGINT AS edges_out
-FROM kept LEFT JOIN (SELECT page_type, count(*) AS edges_out FROM i GROUP BY 1) o USING (page_type) GROUP BY page_type""")
+kept AS (SELECT * FROM n WHERE page_type <> 'PROMO' ORDER BY slug LIMIT 1500),
+e AS (SELECT DISTINCT src, rel, dst FROM edges), i AS (SELECT k.page_type, rel FROM e JOIN kept k ON k.slug = e.src WHERE e.dst IN (SELECT slug FROM kept))
+SELECT page_type, count(*) AS nodes, coalesce(any_value(o.edges_out), 0)::BIGINT AS edges_out, coalesce(any_value(o.relations), '') AS relations
+FROM kept LEFT JOIN (SELECT page_type, count(*) AS edges_out, array_to_string(list_sort(list(DISTINCT rel)), ',') AS relations FROM i GROUP BY 1) o USING (page_type) GROUP BY page_type""")
 def a21_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("slug"), F.col("p_type").alias("page_type")).unionByName(
         table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), F.col("s_suppkey")).alias("slug"), F.lit("supplier").alias("page_type")))
-    return L.graph_summary(nodes, edges(spark, sf_dir).select("src", "rel", "dst"), 1500)
+    types = [r.page_type for r in nodes.select("page_type").distinct().collect() if r.page_type != "PROMO"]  # a handful
+    return L.graph_summary(nodes.withColumn("model", F.lit("kb")), edges(spark, sf_dir).select("src", "rel", "dst"), 1500, "kb", types)

@@ -57,11 +57,13 @@ def a2_kb_page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ORDER_PAGES}, t AS (
-  SELECT page_type, count(*) AS n, count(*) FILTER (len(source_refs) = 0) AS bare, avg(1 + slug % 3) AS version FROM order_pages GROUP BY page_type)
-SELECT 'pages' AS name, sum(n)::DOUBLE AS value FROM t
-UNION ALL SELECT 'without_source', sum(bare)::DOUBLE FROM t
-UNION ALL SELECT 'types', count(*)::DOUBLE FROM t
-UNION ALL SELECT 'mean_version', sum(version * n) / sum(n) FROM t""")
+  SELECT page_type, count(*) AS n, count(*) FILTER (len(source_refs) = 0) AS bare, avg(1 + slug % 3) AS version FROM order_pages GROUP BY page_type),
+m AS (SELECT sum(n)::DOUBLE AS pages, sum(bare)::DOUBLE AS bare, count(*)::DOUBLE AS types, sum(version * n) / sum(n) AS mean FROM t),
+h AS (SELECT *, md5('mean_version=' || mean::DECIMAL(20, 6) || ';pages=' || pages::DECIMAL(20, 6) || ';types=' || types::DECIMAL(20, 6) || ';without_source=' || bare::DECIMAL(20, 6)) AS hash FROM m)
+SELECT 'pages' AS name, pages AS value, 'count of live pages' AS formula, hash FROM h
+UNION ALL SELECT 'without_source', bare, 'count of pages without sources', hash FROM h
+UNION ALL SELECT 'types', types, 'count of distinct types', hash FROM h
+UNION ALL SELECT 'mean_version', mean, 'sum over types of mean version x pages / pages', hash FROM h""")
 def a3_kb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.kb_metrics(order_pages(spark, sf_dir).withColumn("version", 1 + F.col("slug") % 3))
 

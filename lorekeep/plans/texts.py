@@ -76,7 +76,7 @@ def t4_strip_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT doc, n // 4 AS page, n % 4 AS place, CASE WHEN n % 4 = 0 THEN 'Head ' || doc % 5 ELSE line END AS line FROM l),
 e AS (SELECT *, max(place) OVER (PARTITION BY doc, page) AS m FROM p), t AS (SELECT doc, count(DISTINCT page) AS pages FROM p GROUP BY doc),
 r AS (SELECT doc, line FROM e JOIN t USING (doc) WHERE (place < 2 OR place > m - 2) AND length(line) <= 60 AND trim(line) <> '' AND pages >= 3 GROUP BY doc, line, pages HAVING count(DISTINCT page) >= greatest(2, floor(pages * 0.3)))
-SELECT p.doc, p.page, count(*) FILTER (r.line IS NULL) AS kept, count(*) FILTER (r.line IS NOT NULL) AS dropped FROM p LEFT JOIN r ON r.doc = p.doc AND r.line = p.line GROUP BY ALL""")
+SELECT p.doc, p.page, count(*) FILTER (r.line IS NULL) AS kept, count(*) FILTER (r.line IS NOT NULL) AS dropped, coalesce(string_agg(p.line, chr(10) ORDER BY place) FILTER (r.line IS NULL), '') AS text FROM p LEFT JOIN r ON r.doc = p.doc AND r.line = p.line GROUP BY ALL""")
 def t7_strip_running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
     head = F.when(F.col("place") % 4 == 0, F.concat(F.lit("Head "), F.col("doc") % 5)).otherwise(F.col("line"))
