@@ -23,6 +23,11 @@ def _ascii(text: Column) -> Column:
     return ~text.rlike("[^\\x00-\\x7F]")
 
 
+def upper_letters(text: Column) -> Column:
+    """Upper case, letter by letter: a sharp s becomes its capital, not two letters that lower case would not turn back."""
+    return F.upper(F.translate(text, "ß", "ẞ"))
+
+
 def norm_slug(text: Column) -> Column:
     """Compatibility form, lower case, no blanks; ``-`` and ``_`` stay."""
     folded = F.when(_ascii(text), text).otherwise(nfkc(F.when(~_ascii(text), text)))

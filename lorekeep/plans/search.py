@@ -138,7 +138,7 @@ f AS (SELECT query, slug, min(CASE WHEN slug = q THEN 0 WHEN regexp_replace(slug
 SELECT query, slug, rank, count(*) OVER (PARTITION BY query) > 1 AND rank >= 2 AS ambiguous FROM b WHERE rank = best""")
 def j19_lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = kb_pages(spark, sf_dir)
-    kinds = {0: F.col("slug"), 1: F.col("page_id").cast("string"), 2: F.col("title"), 3: F.concat(F.lit("base/"), "slug"), 4: F.upper(F.substring("title", 5, 12))}
+    kinds = {0: F.col("slug"), 1: F.col("page_id").cast("string"), 2: F.col("title"), 3: F.concat(F.lit("base/"), "slug"), 4: T.upper_letters(F.substring("title", 5, 12))}
     asked = [p.where(F.col("page_id") % 10 == n).select(c.alias("query")) for n, c in kinds.items()]
     return S.lookup_page(reduce(DataFrame.unionByName, asked).distinct(), p)
 
