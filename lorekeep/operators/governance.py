@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.audits import findings
+from lorekeep.operators.graphs import settled
 from lorekeep.operators.search import contained
 
 
@@ -133,9 +134,12 @@ def context_map_checks(pages: DataFrame, mappings: DataFrame, kinds: list[str],
     torn_pairs = whole.join(back, ends).where("kind != back").where(F.struct("source_kb", "source") < F.struct("target_kb", "target"))
     contrary = findings(torn_pairs, "G6", "medium", label, F.concat_ws(" / ", "kind", "back"))
 
-    one = undecided.select("group", F.col("kb_id").alias("source_kb"), F.col("slug").alias("source"))
-    other = undecided.select("group", F.col("kb_id").alias("target_kb"), F.col("slug").alias("target"))
-    covered = whole.select(*ends).join(one, ["source_kb", "source"]).join(other, ["group", "target_kb", "target"]).select("group")
+    # only which ends are mapped counts, not how often; each pair of ends meets each group once
+    same = settled(undecided.select("group", "kb_id", "slug").distinct(), "undecided")
+    one = same.select("group", F.col("kb_id").alias("source_kb"), F.col("slug").alias("source"))
+    other = same.select("group", F.col("kb_id").alias("target_kb"), F.col("slug").alias("target"))
+    mapped = settled(whole.select(*ends).distinct(), "mapped-ends")
+    covered = mapped.join(one, ["source_kb", "source"]).join(other, ["group", "target_kb", "target"]).select("group").distinct()
     open_groups = findings(undecided.select("group").distinct().join(covered, "group", "left_anti"), "G5", "high", F.col("group"), F.lit("no mapping"))
 
     out = pages.select("kb_id", F.col("slug").alias("page"), F.explode("links").alias("slug")).distinct().join(live.select("kb_id", "slug"), ["kb_id", "slug"], "left_anti")
