@@ -1,4 +1,4 @@
-"""Matches by the cosine of vectors, where names and words have found none."""
+"""Matches by the cosine of vectors, where names and words have found none, and pairs of alike sets by tiles."""
 
 from __future__ import annotations
 
@@ -33,6 +33,93 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
     return settled(made.withColumn("block", F.monotonically_increasing_id()), name)
 
 
+def _tiles(left: DataFrame, right: DataFrame, data: list[str], pairs: DataFrame) -> DataFrame:
+    """A row for each pair (a, b) of blocks with the data of both, named by their side; numbers of blocks meet, data joins by them."""
+    named = lambda rows, side: rows.select(F.col("block").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in data])
+    return pairs.join(named(left, "a"), "a").join(named(right, "b"), "b")
+
+
+#: Sets in a block, and rows and grams of a part of a tile: a part's matrices are 16 MB each.
+SETS, ROWS, GRAMS = 4096, 1024, 4096
+
+
+def _set_blocks(sets: DataFrame, name: str) -> DataFrame:
+    """block, low, high, ids, sizes, grams, places: sets (id, grams) packed in order of their size; empty ones are left out."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), SETS):
+                part = frame.iloc[at : at + SETS]
+                sizes = part["grams"].map(len).to_numpy("<i4")
+                grams, places = np.unique(np.concatenate(part["grams"].to_list()).astype("<i8"), return_inverse=True)
+                yield pd.DataFrame({
+                    "low": [int(sizes.min())], "high": [int(sizes.max())], "ids": [part["id"].to_numpy("<i8").tobytes()], "sizes": [sizes.tobytes()],
+                    "grams": [grams.tobytes()], "places": [places.astype("<u4" if len(grams) > 65535 else "<u2").tobytes()],
+                })
+
+    size = F.size("grams")
+    kept = sets.select(F.col("id").cast("long").alias("id"), "grams").where(size > 0).repartitionByRange(size, "id").sortWithinPartitions(size, "id")
+    made = kept.mapInPandas(pack, "low int, high int, ids binary, sizes binary, grams binary, places binary")
+    return settled(made.withColumn("block", F.monotonically_increasing_id()), name)
+
+
+def alike_sets(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """id, id_b, score: pairs of sets (id, grams: distinct numbers) of left and right whose Jaccard reaches the threshold.
+
+    Without ``right`` the pairs of left with itself, each once with id < id_b.  Every pair whose sizes allow for it is compared,
+    as products of blocks in tiles of bounded size: where sets of a few thousand common grams are many, no filter on rare
+    ones leaves out enough.  Tiles hand on only the pairs that reach the threshold.
+    """
+    own = right is None
+    a = _set_blocks(left, "set-blocks")
+    b = a if own else _set_blocks(right, "other-set-blocks")
+    spans = [x.select(F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for x, s in ((a, "a"), (b, "b"))]
+    fits = (F.col("a_high") >= F.col("b_low") * threshold - 1e-6) & (F.col("b_high") >= F.col("a_low") * threshold - 1e-6)
+    pairs = spans[0].crossJoin(spans[1]).where(fits & (F.col("a") <= F.col("b")) if own else fits)  # a row for thousands of sets
+    met = _tiles(a, b, ["ids", "sizes", "grams", "places"], pairs.select("a", "b"))
+
+    def side(row: pd.Series, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        grams = np.frombuffer(row[f"{s}_grams"], "<i8")
+        places = np.frombuffer(row[f"{s}_places"], "<u4" if len(grams) > 65535 else "<u2").astype(np.int64)
+        return np.frombuffer(row[f"{s}_ids"], "<i8"), np.frombuffer(row[f"{s}_sizes"], "<i4").astype(np.int64), grams, places
+
+    def matrix(columns: np.ndarray, owners: np.ndarray, rows: tuple[int, int], grams: tuple[int, int]) -> np.ndarray:
+        """The sets of some rows over some grams as zeros and ones."""
+        at, to = np.searchsorted(owners, rows)
+        owner, column = owners[at:to] - rows[0], columns[at:to]
+        fine = (column >= grams[0]) & (column < grams[1])
+        out = np.zeros((rows[1] - rows[0], grams[1] - grams[0]), np.float32)
+        out[owner[fine], column[fine] - grams[0]] = 1
+        return out
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        row = frame.iloc[0]
+        (ids, sizes, grams, places), (ids_b, sizes_b, grams_b, places_b) = side(row, "a"), side(row, "b")
+        shared, here, there = np.intersect1d(grams, grams_b, assume_unique=True, return_indices=True)
+        columns, columns_b = np.full(len(grams), -1), np.full(len(grams_b), -1)
+        columns[here] = columns_b[there] = np.arange(len(shared))
+        columns, columns_b = columns[places], columns_b[places_b]
+        owners, owners_b = np.repeat(np.arange(len(ids)), sizes), np.repeat(np.arange(len(ids_b)), sizes_b)
+        cut = lambda n, step: [(x, min(x + step, n)) for x in range(0, n, step)]
+        found = []
+        for x in cut(len(ids), ROWS):
+            for y in cut(len(ids_b), ROWS):
+                both = np.zeros((x[1] - x[0], y[1] - y[0]), np.float32)
+                for g in cut(len(shared), GRAMS):
+                    both += matrix(columns, owners, x, g) @ matrix(columns_b, owners_b, y, g).T
+                score = both / (sizes[x[0] : x[1], None] + sizes_b[None, y[0] : y[1]] - both.astype(np.float64))
+                i, j = np.nonzero(score >= threshold)
+                one, two = ids[x[0] : x[1]][i], ids_b[y[0] : y[1]][j]
+                keep = slice(None)
+                if own:
+                    keep = one < two if row["a"] == row["b"] else one != two
+                    one, two = np.minimum(one, two), np.maximum(one, two)
+                found.append(pd.DataFrame({"id": one[keep], "id_b": two[keep], "score": score[i, j][keep]}))
+        return pd.concat(found)
+
+    return met.groupBy("a", "b").applyInPandas(tile, "id long, id_b long, score double")
+
+
 def nearest_alone(questions: DataFrame, truth: DataFrame, threshold: float = 0.8) -> DataFrame:
     """question_id, truth_id, cosine: the truth nearest to each question, of that cosine or more, if no other is as near.
 
@@ -41,23 +128,19 @@ def nearest_alone(questions: DataFrame, truth: DataFrame, threshold: float = 0.8
     broken components take no part.
     """
     left, right = _blocks(questions, "question-blocks"), _blocks(truth, "truth-blocks")
-    met = left.select("width", F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("data").alias("a_data")).join(
-        right.select("width", F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("data").alias("b_data")), "width")
-
-    def tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                asked, known = np.frombuffer(row.a_ids, "<i8"), np.frombuffer(row.b_ids, "<i8")
-                scores = np.round(np.frombuffer(row.a_data).reshape(len(asked), -1) @ np.frombuffer(row.b_data).reshape(len(known), -1).T, 9)
-                two = min(2, len(known))
-                order = np.argpartition(-scores, two - 1, axis=1)[:, :two]
-                found = np.take_along_axis(scores, order, axis=1)
-                a, n = np.nonzero(found >= threshold)
-                if len(a):
-                    yield pd.DataFrame({"question_id": asked[a], "truth_id": known[order[a, n]], "cosine": found[a, n]})
-
-    # a block at a time: a batch of tiles would hold many blocks
-    found = met.repartition("a", "b").mapInPandas(tiles, "question_id long, truth_id long, cosine double")
+    met = _tiles(left, right, ["ids", "data"], left.select("width", F.col("block").alias("a")).join(right.select("width", F.col("block").alias("b")), "width").select("a", "b"))
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        row = frame.iloc[0]
+        asked, known = np.frombuffer(row.a_ids, "<i8"), np.frombuffer(row.b_ids, "<i8")
+        scores = np.round(np.frombuffer(row.a_data).reshape(len(asked), -1) @ np.frombuffer(row.b_data).reshape(len(known), -1).T, 9)
+        two = min(2, len(known))
+        order = np.argpartition(-scores, two - 1, axis=1)[:, :two]
+        found = np.take_along_axis(scores, order, axis=1)
+        a, n = np.nonzero(found >= threshold)
+        return pd.DataFrame({"question_id": asked[a], "truth_id": known[order[a, n]], "cosine": found[a, n]})
+
+    found = met.groupBy("a", "b").applyInPandas(tile, "question_id long, truth_id long, cosine double")
     best = found.groupBy("question_id").agg(F.max("cosine").alias("cosine"))
     alone = found.join(best, ["question_id", "cosine"]).groupBy("question_id", "cosine").agg(F.min("truth_id").alias("truth_id"), F.count_distinct("truth_id").alias("n"))
     return alone.where("n = 1").select("question_id", "truth_id", "cosine")

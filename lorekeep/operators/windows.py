@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.graphs import MOST_ROUNDS, settled
-from lorekeep.operators.search import gram_codes, jaccard_pairs
+from lorekeep.operators.search import gram_codes
+from lorekeep.operators.vectors import alike_sets
 
 
 def sessionize(calls: DataFrame, gap: int = 90) -> DataFrame:
@@ -139,9 +140,8 @@ def group_questions(rows: DataFrame, threshold: float = 0.62) -> DataFrame:
     firsts = asked.where("qid != '' and core != ''").groupBy("qid").agg(F.min(order).alias("first")).select("qid", F.col("first.row_id").alias("first_row"))
     asked = asked.join(firsts, "qid", "left")
     alone = asked.where("core != '' and (qid = '' or first_row = row_id)")
-    cores = settled(alone.groupBy("core").agg(F.min(order).alias("at")).withColumn("id", F.col("at.row_id")), "cores")
-    sets = cores.select("id", F.lit(0).alias("kind"), gram_codes(F.col("core"), 2).alias("grams")).withColumn("n", F.size("grams"))
-    pairs = jaccard_pairs(settled(sets, "core-sets"), threshold).select("id", "id_b", "score")
+    cores = settled(alone.groupBy("core").agg(F.min(order).alias("at")).withColumn("id", F.monotonically_increasing_id()), "cores")
+    pairs = alike_sets(cores.select("id", gram_codes(F.col("core"), 2).alias("grams")), None, threshold)
     at = cores.select("id", "at")
     pairs = pairs.join(at, "id").join(at.select(F.col("id").alias("id_b"), F.col("at").alias("at_b")), "id_b")
     ahead = F.col("at") < F.col("at_b")
