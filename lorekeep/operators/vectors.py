@@ -33,10 +33,16 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
     return settled(made.withColumn("block", F.monotonically_increasing_id()), name)
 
 
+#: Tasks that tiles are dealt to, at most.
+MOST_TASKS = 2000
+
+
 def _tiles(left: DataFrame, right: DataFrame, data: list[str], pairs: DataFrame) -> DataFrame:
     """A row for each pair (a, b) of blocks with the data of both, named by their side; numbers of blocks meet, data joins by them."""
     named = lambda rows, side: rows.select(F.col("block").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in data])
-    return pairs.join(named(left, "a"), "a").join(named(right, "b"), "b")
+    met = pairs.join(named(left, "a"), "a").join(named(right, "b"), "b")
+    # tiles are small to shuffle and long to work on: a number that is told is not merged into a few tasks
+    return met.repartition(max(1, min(pairs.count(), MOST_TASKS)), "a", "b")
 
 
 #: Sets in a block, and rows and grams of a part of a tile: a part's matrices are 16 MB each.
