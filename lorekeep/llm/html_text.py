@@ -342,8 +342,7 @@ def _show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = lines_of(row["html"])
                 hashes = np.array([xxhash.xxh64_intdigest(x.text) for x in lines], np.uint64).view("<i8")
                 sizes = np.array([len(x.text) for x in lines], "<i4")
-                inside = any(x.level == 2 and not x.gone for x in lines)
-                free = np.array([not x.gone and x.level < 2 and not inside for x in lines], bool)
+                free = np.array([not x.gone and x.level < 2 for x in lines], bool)
                 out.append(Neighbour(row["key"], row["host"], row["path"], hashes, sizes, free).row())
             yield pa.RecordBatch.from_pylist(out, schema)
 
