@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators.graphs import settled
+from lorekeep.operators.vectors import sketched_pairs
 
 
 def parse_query(query: str) -> tuple[list[str], list[str]]:
@@ -305,16 +306,13 @@ def near_duplicates(pages: DataFrame, same: float = 0.86, cross: float = 0.93) -
     """a, b, a_pages, b_pages, cosine: pairs of texts whose 3-gram sets are alike (pages: page_id, page_type, body).
 
     The set cosine reaches ``same`` within a type and ``cross`` between types.  Pages of one type and text are one
-    class, named by its least page_id.  Sets of m <= n grams within t share t * sqrt(m * n) or more; candidates
-    found by that are compared whole.
+    class, named by its least page_id.  Pairs whose sketches allow for the cosine are compared whole.
     """
     body = F.coalesce("body", F.lit(""))
     classes = pages.where(body != "").groupBy("page_type", body.alias("body")).agg(F.min("page_id").alias("id"), F.count("*").alias("pages"))
     sets = settled(classes.select("id", F.col("page_type").alias("kind"), "pages", gram_codes(F.col("body"), 3).alias("grams")).withColumn("n", F.size("grams")), "gram-sets")
-    up = lambda c: F.ceil(c - 1e-6)
     limit = lambda a, b: F.when(a == b, same).otherwise(cross)
-    shared = lambda n, m, a, b: up(limit(a, b) * F.sqrt(n.cast("double") * m))
-    pairs = prefix_pairs(sets, shared, up(same * same * F.col("n")), up(same * F.col("n")))
+    pairs = sketched_pairs(sets, min(same, cross))
     left = sets.select("id", "kind", F.col("pages").alias("a_pages"), "grams")
     right = sets.select(F.col("id").alias("id_b"), F.col("kind").alias("kind_b"), F.col("pages").alias("b_pages"), F.col("grams").alias("grams_b"))
     scored = pairs.join(left, "id").join(right, "id_b").withColumn("cosine", F.round(T.set_cosine(F.col("grams"), F.col("grams_b")), 9))

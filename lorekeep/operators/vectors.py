@@ -126,6 +126,86 @@ def alike_sets(left: DataFrame, right: DataFrame | None, threshold: float) -> Da
     return met.groupBy("a", "b").applyInPandas(tile, "id long, id_b long, score double")
 
 
+#: Sets in a block of sketches, words of 64 bits in a sketch, words that are compared first, and rows of a tile compared at once.
+SKETCHES, WORDS, FIRST, STRIP = 16384, 8, 2, 64
+
+
+def _sketches(grams: pd.Series) -> np.ndarray:
+    """The parity of how many grams fall on each bit: two sets differ in no more bits than grams."""
+    bits, sizes = WORDS * 64, grams.map(len).to_numpy()
+    codes = np.concatenate(grams.to_list()).astype("<i8").view("<u8")
+    codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    places = ((codes >> np.uint64(40)) % np.uint64(bits)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(grams)), sizes) * bits + places, minlength=len(grams) * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1).view("<u8")
+
+
+def sketched_pairs(sets: DataFrame, cosine: float) -> DataFrame:
+    """id, id_b: pairs (id < id_b) of sets (id, grams: distinct numbers) that may reach the cosine; none that does is left out.
+
+    Sets of n and m grams that reach it differ in n + m - 2 * cosine * sqrt(n * m) grams at most, and their sketches in no
+    more bits.  Every pair of blocks whose sizes allow for it is compared bit by bit, in tiles of bounded size, however
+    common the grams are; tiles hold sketches alone and hand on only the pairs that pass.
+    """
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts = 0, []
+
+        def block() -> pd.DataFrame:
+            ids, sizes, bits = (np.concatenate(x) for x in zip(*parts))
+            return pd.DataFrame({"low": [int(sizes.min())], "high": [int(sizes.max())], "ids": [ids.tobytes()], "sizes": [sizes.tobytes()], "bits": [bits.tobytes()]})
+
+        for frame in frames:
+            for start in range(0, len(frame), SETS):
+                part = frame.iloc[start : start + SETS]
+                parts.append((part["id"].to_numpy("<i8"), part["grams"].map(len).to_numpy("<i4"), _sketches(part["grams"])))
+                at += len(part)
+                if at >= SKETCHES:
+                    yield block()
+                    at, parts = 0, []
+        if parts:
+            yield block()
+
+    least, size = cosine - 1e-9, F.size("grams")
+    kept = sets.select(F.col("id").cast("long").alias("id"), "grams").where(size > 0).repartitionByRange(size, "id").sortWithinPartitions(size, "id")
+    blocks = kept.mapInPandas(pack, "low int, high int, ids binary, sizes binary, bits binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = settled(blocks, "sketch-blocks")
+    a, b = [blocks.select(F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in "ab"]
+    fits = (F.col("a_high") >= F.col("b_low") * least * least) & (F.col("b_high") >= F.col("a_low") * least * least)
+    met = _tiles(blocks, blocks, ["ids", "sizes", "bits"], a.crossJoin(b).where(fits & (F.col("a") <= F.col("b"))).select("a", "b"))  # a row for thousands of sets
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        row = frame.iloc[0]
+        ids, ids_b = np.frombuffer(row.a_ids, "<i8"), np.frombuffer(row.b_ids, "<i8")
+        sizes, sizes_b = [np.frombuffer(x, "<i4").astype(np.float64) for x in (row.a_sizes, row.b_sizes)]
+        bits, bits_b = [np.ascontiguousarray(np.frombuffer(x, "<u8").reshape(-1, WORDS).T) for x in (row.a_bits, row.b_bits)]
+        most = lambda n, m: n + m - 2 * least * np.sqrt(n * m)
+        apart = lambda x, y: np.bitwise_count(x ^ y)
+        found = []
+        for x in range(0, len(ids), STRIP):
+            n = sizes[x : x + STRIP]
+            # sizes ascend within a block
+            y, end = np.searchsorted(sizes_b, [n[0] * least * least - 1e-6, n[-1] / least / least + 1e-6])
+            if y == end:
+                continue
+            # convex in either size: the bound is largest at the ends
+            bound = max(most(p, q) for p in (n[0], n[-1]) for q in (sizes_b[y], sizes_b[end - 1])) + 1e-6
+            d = np.zeros((len(n), end - y), np.uint16)
+            for w in range(FIRST):
+                d += apart(bits[w, x : x + STRIP, None], bits_b[w, None, y:end])
+            i, j = np.nonzero(d <= bound)
+            d, i, j = d[i, j], i + x, j + y
+            for w in range(FIRST, WORDS):
+                d += apart(bits[w, i], bits_b[w, j])
+            keep = d <= most(sizes[i], sizes_b[j]) + 1e-6
+            one, two = ids[i[keep]], ids_b[j[keep]]
+            keep = one < two if row.a == row.b else one != two
+            found.append(pd.DataFrame({"id": np.minimum(one, two)[keep], "id_b": np.maximum(one, two)[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"id": np.array([], np.int64), "id_b": np.array([], np.int64)})
+
+    return met.groupBy("a", "b").applyInPandas(tile, "id long, id_b long")
+
+
 def nearest_alone(questions: DataFrame, truth: DataFrame, threshold: float = 0.8) -> DataFrame:
     """question_id, truth_id, cosine: the truth nearest to each question, of that cosine or more, if no other is as near.
 
