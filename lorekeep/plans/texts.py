@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.operators import pages as P
 from lorekeep.operators import texts as X
+from lorekeep.operators.search import gram_codes
 from lorekeep.plans.fixtures import table
 from lorekeep.plans.registry import query
 
@@ -35,8 +36,11 @@ SELECT a, b, len(list_intersect(gx, gy)) / sqrt(len(gx) * len(gy)) AS set_cosine
 def t3_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.concat("p_name", F.lit(" "), "p_type").alias("x"))
     q = p.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
-    two = lambda c: F.array_distinct(T.grams(F.col(c), 2))
-    return p.join(q, "a").select("a", "b", T.set_cosine(T.grams(F.col("x"), 3), T.grams(F.col("y"), 3)).alias("set_cosine"), T.jaccard(two("x"), two("y")).alias("jaccard"))
+    named = lambda c: F.coalesce(F.col(c), F.lit(""))
+    sets = lambda n: [F.when(named(c) == "", F.array().cast("array<bigint>")).otherwise(gram_codes(named(c), n)) for c in ("x", "y")]
+    # rows are small to shuffle and long to work on: a number that is told is not merged into a few tasks
+    met = p.join(q, "a").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a")
+    return met.select("a", "b", T.set_cosine(*sets(3)).alias("set_cosine"), T.jaccard(*sets(2)).alias("jaccard"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
