@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators.graphs import settled
 from lorekeep.operators.pages import is_instance
 
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
@@ -227,20 +228,58 @@ def mean_cosine(rows: DataFrame, text: str) -> DataFrame:
     return pairs.join(total, "grp", "left").select("grp", mean.alias("definition"))
 
 
+#: An element in at most so many different sets of a group, or their square root, is rare; fixed value.
+RARE = 32
+
+
+def rare_and_common(posted: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of postings (grp, kind, m, size, x) those of rare elements, and the sets (grp, kind, m, size) that have common ones.
+
+    Both hold ``common``, the hashes of a set's common elements: those in more than ``RARE`` different sets of the group
+    and more than the square root of their number.
+    """
+    many = kinds.groupBy("grp").agg(F.count("*").alias("sets"))
+    often = posted.groupBy("grp", "x").agg(F.count("*").alias("df")).where(F.col("df") > RARE)
+    often = often.join(many, "grp").where(F.col("df") > F.sqrt("sets")).select("grp", "x", F.xxhash64("x").alias("code"))
+    marked = settled(posted.join(often, ["grp", "x"], "left"), "marked-postings")
+    common = marked.where("code is not null").groupBy("grp", "kind", "m", "size").agg(F.array_sort(F.collect_list("code")).alias("common"))
+    common = settled(common, "common-elements")
+    rare = marked.where("code is null").drop("code").join(common.select("grp", "kind", "common"), ["grp", "kind"], "left")
+    return rare.withColumn("common", F.coalesce("common", F.array().cast("array<bigint>"))), common
+
+
+def rare_pairs(rare: DataFrame) -> DataFrame:
+    """The pairs of different sets of a group that share a rare element, each once, and how many of them they share."""
+    columns = ["kind", "m", "size", "common"]
+    other = rare.select("grp", "x", *[F.col(c).alias(f"{c}_b") for c in columns])
+    met = rare.join(other, ["grp", "x"]).where("kind < kind_b")
+    return met.groupBy("grp", *columns, *[f"{c}_b" for c in columns]).agg(F.count("*").alias("both"))
+
+
 def mean_jaccard(rows: DataFrame, sets: str) -> DataFrame:
     """grp, relations: the mean Jaccard of the sets over all pairs of a group's rows; two empty sets count as 1.
 
-    Equal sets are counted together, and different ones meet only where they share an element: all others give 0.
+    Equal sets are counted together.  What common elements give a pair depends on the two sets' common elements and sizes
+    alone, so it is added up over the classes of sets that agree in both; only sets that share a rare element meet, for
+    what that element adds.
     """
     kinds = rows.groupBy("grp", F.array_sort(F.array_distinct(sets)).alias("set")).agg(F.count("*").cast("double").alias("m"))
     kinds = kinds.withColumn("kind", F.xxhash64("set"))
     same = kinds.groupBy("grp").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"), F.sum("m").alias("n"))
-    posted = kinds.select("grp", "kind", "m", F.size("set").alias("size"), F.explode("set").alias("x"))
-    other = posted.select("grp", "x", F.col("kind").alias("kind_b"), F.col("m").alias("m_b"), F.col("size").alias("size_b"))
-    met = posted.join(other, ["grp", "x"]).where("kind < kind_b").groupBy("grp", "kind", "kind_b", "m", "m_b", "size", "size_b").agg(F.count("*").alias("both"))
-    apart = met.groupBy("grp").agg(F.sum(F.col("m") * F.col("m_b") * F.col("both") / (F.col("size") + F.col("size_b") - F.col("both"))).alias("apart"))
+    rare, common = rare_and_common(kinds.select("grp", "kind", "m", F.size("set").alias("size"), F.explode("set").alias("x")), kinds)
+    share = lambda both, a, b: both / (F.col(a) + F.col(b) - both)
+    alike = F.size(F.array_intersect("common", "common_b"))
+    more = F.col("m") * F.col("m_b") * (share(alike + F.col("both"), "size", "size_b") - share(alike, "size", "size_b"))
+    apart = rare_pairs(rare).groupBy("grp").agg(F.sum(more).alias("apart"))
+    classes = settled(common.groupBy("grp", "common", "size").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")), "common-classes")
+    within = (F.col("m") * F.col("m") - F.col("own")) / 2 * share(F.size("common"), "size", "size")
+    other = classes.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("common", "size", "m")])
+    across = classes.join(other, "grp").where(F.struct("common", "size") < F.struct(F.col("common_b").alias("common"), F.col("size_b").alias("size")))
+    apart = apart.unionByName(classes.groupBy("grp").agg(F.sum(within).alias("apart")))
+    apart = apart.unionByName(across.groupBy("grp").agg(F.sum(F.col("m") * F.col("m_b") * share(alike, "size", "size_b")).alias("apart")))
     total = F.col("same") + F.coalesce("apart", F.lit(0.0))
-    return same.join(apart, "grp", "left").select("grp", F.when(F.col("n") > 1, total / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(1.0).alias("relations"))
+    joined = same.join(apart.groupBy("grp").agg(F.sum("apart").alias("apart")), "grp", "left")
+    return joined.select("grp", F.when(F.col("n") > 1, total / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(1.0).alias("relations"))
 
 
 def context_scan(pages: DataFrame, groups: DataFrame) -> DataFrame:
