@@ -111,16 +111,25 @@ def catalog_check(items: DataFrame, allow: DataFrame, deny: DataFrame, today: st
     denied = deny.select(name.alias("name"), exact.alias("version"), F.lit(True).alias("denied")).distinct()
     listed = allow.select("pos", name.alias("name"), exact.alias("listed"), "low", "high", "expires_at")
     base = items.select("item_id", name.alias("name"), exact.alias("version"))
-    ranged = (F.col("low").isNotNull() | F.col("high").isNotNull()) & (F.col("version") != "") & T.in_range(F.col("version"), F.col("low"), F.col("high"))
-    step = F.when(F.col("listed") == F.col("version"), 0).when(ranged, 1)
-    # versions of a name are few; items of one version meet them once
-    asked = base.select("name", "version").distinct().join(listed, "name").withColumn("step", step)
+    asked = base.select("name", "version").distinct()
     old = T.expired(F.substring("expires_at", 1, 10), F.lit(today))
-    misses = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("listed") != F.col("version"), F.struct("pos", "listed")))), 1, near), lambda m: m["listed"])
-    best = asked.groupBy("name", "version").agg(
-        F.min(F.when(F.col("step").isNotNull(), F.struct("step", "pos", old.alias("old")))).alias("best"), F.array_join(misses, ",").alias("near_misses")
-    )
-    joined = base.join(denied, ["name", "version"], "left").join(best, ["name", "version"], "left")
+    # of entries that say the same only the first counts, so that a version meets each range of its name once
+    entry = F.min(F.struct("pos", old.alias("old"))).alias("entry")
+    same = listed.groupBy("name", F.col("listed").alias("version")).agg(entry)
+    spans = listed.where("low is not null or high is not null").groupBy("name", "low", "high").agg(entry)
+    held = asked.where("version != ''").join(spans, "name").where(T.in_range(F.col("version"), F.col("low"), F.col("high")))
+    told = held.groupBy("name", "version").agg(F.min("entry").alias("entry")).withColumn("step", F.lit(1)).unionByName(same.withColumn("step", F.lit(0)))
+    best = told.groupBy("name", "version").agg(F.min(F.struct("step", "entry.pos", "entry.old")).alias("best"))
+    # near misses come from the first entries of the versions that are listed first, one more for the very version
+    first = listed.groupBy("name", "listed").agg(F.min(F.struct("pos")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("first", "listed"))
+    first = first.withColumn("nth", nth).where(F.col("nth") <= near + 1).select("name", "listed")
+    nth = F.row_number().over(Window.partitionBy("name", "listed").orderBy("pos"))
+    heads = listed.select("name", "listed", "pos").join(first, ["name", "listed"]).withColumn("nth", nth).where(F.col("nth") <= near)
+    others = asked.join(heads, "name").where("listed != version")
+    misses = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "listed"))), 1, near), lambda m: m["listed"])
+    misses = others.groupBy("name", "version").agg(F.array_join(misses, ",").alias("near_misses"))
+    joined = base.join(denied, ["name", "version"], "left").join(best, ["name", "version"], "left").join(misses, ["name", "version"], "left")
     found = F.col("best").isNotNull()
     verdict = F.when(F.col("denied"), "denied").when(F.col("best.old"), "expired").when(found, "allowed").otherwise("unknown")
     match = F.when(F.col("denied"), "deny").when(F.col("best.step") == 0, "exact").when(found, "range").otherwise("")
