@@ -38,6 +38,17 @@ def _key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\s+", ""))
 
 
+#: Lines that a task sorts at a time; fixed value.
+LINES_A_TASK = 1_000_000
+
+
+def dealt(lines: DataFrame, most: int = LINES_A_TASK) -> DataFrame:
+    """The lines of a document beside each other, in as many parts as their number asks for."""
+    parts = -(-lines.count() // most)
+    few = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(parts, "doc") if parts > few else lines
+
+
 def headings(lines: DataFrame) -> DataFrame:
     """doc, place, level, title, ends: each heading with the place of the next one of the same or a higher level."""
     bare = _stripped(F.col("line"))
@@ -122,6 +133,7 @@ def attributes(lines: DataFrame) -> DataFrame:
 
     Names lose their prefix, a heading without text gives nothing, and of a name given twice the last counts.
     """
+    lines = dealt(lines.select("doc", "place", "line"))
     bare = _stripped(F.col("line"))
     order = Window.partitionBy("doc").orderBy("place")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
