@@ -47,6 +47,11 @@ def folder_links(pages: DataFrame, plan: DataFrame) -> DataFrame:
     return met.where(~F.coalesce("folder_id", F.lit("")).eqNullSafe(F.col("deepest"))).select("slug", F.col("deepest").alias("folder_id"))
 
 
+def one_step(chains: DataFrame, step: DataFrame) -> DataFrame:
+    """The open chains beside the class that comes next; a join of the whole table in each round, which is not sent to the driver."""
+    return chains.join(step.hint("merge"), F.col("next") == F.col("at"), "left")
+
+
 def class_chains(classes: DataFrame) -> DataFrame:
     """class, labels: the labels from the top to the class over first parents (class, label, parent); cycles end a chain."""
     label = F.coalesce(F.nullif("label", F.lit("")), F.col("class"))
@@ -54,7 +59,7 @@ def class_chains(classes: DataFrame) -> DataFrame:
     open_ = step.select(F.col("at").alias("class"), F.array("at").alias("seen"), F.array("said").alias("labels"), F.col("above").alias("next"))
     done = None
     for _ in range(MOST_ROUNDS):
-        grown = open_.join(step, F.col("next") == F.col("at"), "left")
+        grown = one_step(open_, step)
         ends = F.col("next").isNull() | F.array_contains("seen", F.col("next"))
         # a parent that is no class stands by its name
         grown = settled(grown.select("class", ends.alias("ends"), "seen", "labels", "next", "said", "above"), "class-chains")
