@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators.graphs import settled
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -64,22 +69,49 @@ def extract_relations(lines: DataFrame) -> DataFrame:
     return lines.select("doc", F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).alias("rel"), target.alias("target")).where("rel is not null")
 
 
+#: Buckets of hashes of stretches of text, by their upper 16 bits; an odd factor that mixes them.
+CODE_BUCKETS, CODE_FACTOR = 1 << 16, 0x9E3779B97F4A7C15
+
+
+def stretch_codes(n: int, asked: list[int] | None = None) -> Callable[[Column], Column]:
+    """The distinct hashes of the stretches of ``n`` characters of a text; of those only the ones in a bucket that is asked for."""
+    wanted = np.full(CODE_BUCKETS, asked is None)
+    wanted[asked or []] = True
+
+    def codes_of(text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        wide = max(0, len(points) - n + 1)
+        codes = np.zeros(wide, np.uint64)
+        for k in range(n if wide else 0):
+            codes = codes * np.uint64(CODE_FACTOR) + points[k:k + wide]
+        return np.unique(codes[wanted[(codes >> np.uint64(48)).astype(np.int64)]]).view(np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def codes(texts: pd.Series) -> pd.Series:
+        return texts.map(codes_of)
+
+    return codes
+
+
 def locate_excerpts(quotes: DataFrame, chunks: DataFrame, head: int = 12) -> DataFrame:
     """quote_id, chunk, how: the document's first chunk that holds a quote, blanks aside; else that holds its start.
 
     A chunk that holds the quote also holds its start, so quotes (quote_id, quote, doc) and chunks (doc, chunk,
-    content) meet by the start's characters; each body is squashed once.
+    content) meet by hashes of the start's characters, which are then looked for in the body.  The driver learns which
+    of a fixed number of buckets the starts' hashes fall in, and only stretches of these buckets become rows.
     """
     squash = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
     asked = quotes.select("quote_id", "doc", squash("quote").alias("wanted")).withColumn("start", F.substring("wanted", 1, head))
     bodies = chunks.select("doc", "chunk", squash("content").alias("body"))
     lengths = [row[0] for row in asked.where("start != ''").select(F.length("start")).distinct().collect()]  # ``head`` at most
-    keys = ["quote_id", "doc", "chunk", "wanted"]
+    keys = ["quote_id", "doc", "chunk", "wanted", "start"]
     met = asked.where("start = ''").join(bodies, "doc").select(*keys)  # stands anywhere
     for n in sorted(lengths):
-        own = bodies.where(F.length("body") >= n).select("doc", "chunk", F.explode(F.array_distinct(T.grams(F.col("body"), n))).alias("start"))
-        met = met.unionByName(asked.where(F.length("start") == n).join(own, ["doc", "start"]).select(*keys))
-    held = met.join(bodies, ["doc", "chunk"]).withColumn("whole", F.col("body").contains(F.col("wanted")))
+        known = settled(asked.where(F.length("start") == n).withColumn("code", F.get(stretch_codes(n)("start"), F.lit(0))), "asked-starts")
+        buckets = [row[0] for row in known.select(F.shiftrightunsigned("code", 48).cast("int")).distinct().collect()]  # CODE_BUCKETS at most
+        own = bodies.select("doc", "chunk", F.explode(stretch_codes(n, buckets)("body")).alias("code"))
+        met = met.unionByName(known.join(own, ["doc", "code"]).select(*keys))
+    held = met.join(bodies, ["doc", "chunk"]).where(F.col("body").contains(F.col("start"))).withColumn("whole", F.col("body").contains(F.col("wanted")))
     found = held.groupBy("quote_id").agg(F.min(F.when(F.col("whole"), F.col("chunk"))).alias("whole"), F.min("chunk").alias("start"))
     joined = quotes.select("quote_id").distinct().join(found, "quote_id", "left")
     how = F.when(F.col("whole").isNotNull(), "whole").when(F.col("start").isNotNull(), "start").otherwise("none")
