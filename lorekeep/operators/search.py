@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lorekeep.functions import text as T
 from lorekeep.operators.graphs import settled
@@ -136,29 +140,89 @@ def catalog_check(items: DataFrame, allow: DataFrame, deny: DataFrame, today: st
     return joined.select("item_id", verdict.alias("verdict"), match.alias("match"), F.coalesce("near_misses", F.lit("")).alias("near_misses"))
 
 
+#: Bytes of the grams by which parts are looked for: a part asks by the longest that it has.
+GRAM_BYTES = (6, 3, 2, 1)
+#: Cells of the filter of asked grams: four megabytes, whatever the number of parts.
+ASKED_CELLS = 1 << 22
+#: Bytes of texts whose grams are made at once, to bound a worker's memory.
+BLOCK_BYTES = 1 << 19
+
+
+def byte_grams(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Block by block the row, the number and the filter's cell of every gram of ``n`` bytes of the texts."""
+    texts = texts.fill_null(b"").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    for at in range(int(ends[0]), int(ends[-1]) - n + 1, BLOCK_BYTES):
+        part = data[at : min(at + BLOCK_BYTES + n - 1, int(ends[-1]))].astype(np.int64)
+        codes = np.full(len(part) - n + 1, n, np.int64)
+        for k in range(n):
+            codes = codes << 8 | part[k : k + len(codes)]
+        places = np.arange(at, at + len(codes))
+        rows = np.searchsorted(ends, places, side="right") - 1
+        whole = places + n <= ends[rows + 1]
+        cells = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int32)
+        yield rows[whole], codes[whole], cells[whole]
+
+
+def _grams_of(rows: DataFrame, text: str, found: Callable[[pa.Array], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """The rows with the code and the cell of each gram that ``found`` gives of their texts, once in a block."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            for at, codes, cells in found(batch.column(len(names))):
+                order = np.lexsort((codes, at))
+                fresh = order[np.append(True, (np.diff(at[order]) != 0) | (np.diff(codes[order]) != 0))[: len(order)]]
+                kept = batch.take(pa.array(at[fresh]))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(codes[fresh]), pa.array(cells[fresh])], [*names, "code", "cell"])
+
+    schema = StructType([*rows.schema.fields, StructField("code", LongType()), StructField("cell", IntegerType())])
+    return rows.select("*", F.col(text).cast("binary").alias("_bytes")).mapInArrow(made, schema)
+
+
+def part_grams(parts: DataFrame) -> DataFrame:
+    """The parts (part_id, part) with the code and the cell of each of their grams."""
+
+    def found(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for n, longer in zip(GRAM_BYTES, (np.inf, *GRAM_BYTES), strict=False):
+            own = np.flatnonzero((size >= n) & (size < longer))
+            if len(own):
+                yield from ((own[at], codes, cells) for at, codes, cells in byte_grams(texts.take(pa.array(own)), n))
+
+    return _grams_of(parts.where("part != ''").select("part_id", "part"), "part", found)
+
+
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """part_id, whole_id: which parts (part_id, part) stand in which wholes (whole_id, whole).
 
-    Each part asks by the rarest of its grams of three characters, or of its length if it is shorter.  Postings hold
-    grams and ids alone, and only grams that some part has; the texts join when the rarest grams have picked candidates.
+    Each part asks by the rarest of its grams of six bytes, or fewer if it is shorter; a gram is a number.  Postings hold
+    grams and ids alone, and only grams that some part has: a filter of fixed size drops most others where they are made.
+    The texts join when the rarest grams have picked candidates.
     """
-    cut = lambda text, n: F.array_distinct(T.grams(text, n))
-    size = F.least(F.length("part"), F.lit(3))
-    own = F.when(size == 1, cut(F.col("part"), 1)).when(size == 2, cut(F.col("part"), 2)).otherwise(cut(F.col("part"), 3))
-    asked = parts.where("part != ''").select("part_id", "part", F.explode(own).alias("gram"))
-    wanted = settled(asked.select("gram").distinct(), "asked-grams")
-    sizes = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # three numbers at most
-    grams = [F.when(F.length("whole") >= n, cut(F.col("whole"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
-    posted = wholes.select("whole_id", F.explode(F.concat(*grams) if grams else F.array().cast("array<string>")).alias("gram"))
-    posted = settled(posted.join(wanted, "gram", "left_semi"), "posted-grams")
-    often = posted.groupBy("gram").agg(F.count("*").alias("df"))
+    asked = part_grams(parts)
+    wanted = settled(asked.select("code", "cell").distinct(), "asked-grams")
+    sizes = [n for n in GRAM_BYTES if not wanted.where(F.col("code").between(n << 8 * n, (n + 1 << 8 * n) - 1)).isEmpty()]
+    cells = np.zeros(ASKED_CELLS, bool)
+    cells[wanted.select("cell").distinct().toArrow()["cell"].to_numpy()] = True
+    shared = parts.sparkSession.sparkContext.broadcast(cells)
+
+    def found(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for n in sizes:
+            for rows, codes, at in byte_grams(texts, n):
+                hit = np.flatnonzero(shared.value[at])
+                yield rows[hit], codes[hit], at[hit]
+
+    posted = _grams_of(wholes.select("whole_id", "whole"), "whole", found).select("whole_id", "code")
+    posted = settled(posted.join(wanted.select("code"), "code", "left_semi"), "posted-grams")
+    often = posted.groupBy("code").agg(F.count("*").alias("df"))
     # a part with a gram that stands nowhere is found nowhere
-    rare = asked.join(often, "gram", "left").groupBy("part_id", "part").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rare"))
-    met = rare.where("rare.df > 0").select("part_id", "part", F.col("rare.gram").alias("gram")).join(posted, "gram").select("part_id", "part", "whole_id")
+    rare = asked.join(often, "code", "left").groupBy("part_id", "part").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "code")).alias("rare"))
+    met = rare.where("rare.df > 0").select("part_id", "part", F.col("rare.code").alias("code")).join(posted, "code").select("part_id", "part", "whole_id")
     return met.join(wholes, "whole_id").where(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id").distinct()
 
 
-
 def class_candidates(terms: DataFrame, classes: DataFrame, closure: DataFrame, n: int = 3) -> DataFrame:
     """term, class, score, strong, place, ambiguous: the best classes (class, name, label) of each term.
 
