@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.operators.graphs import settled
 from lorekeep.operators.pages import is_instance
+from lorekeep.operators.vectors import jaccard_sums
 
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
 
@@ -259,26 +260,14 @@ def rare_pairs(rare: DataFrame) -> DataFrame:
 def mean_jaccard(rows: DataFrame, sets: str) -> DataFrame:
     """grp, relations: the mean Jaccard of the sets over all pairs of a group's rows; two empty sets count as 1.
 
-    Equal sets are counted together.  What common elements give a pair depends on the two sets' common elements and sizes
-    alone, so it is added up over the classes of sets that agree in both; only sets that share a rare element meet, for
-    what that element adds.
+    Equal sets are counted together; every two different ones of a group are compared in tiles of bounded size.
     """
-    kinds = rows.groupBy("grp", F.array_sort(F.array_distinct(sets)).alias("set")).agg(F.count("*").cast("double").alias("m"))
-    kinds = kinds.withColumn("kind", F.xxhash64("set"))
-    same = kinds.groupBy("grp").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"), F.sum("m").alias("n"))
-    rare, common = rare_and_common(kinds.select("grp", "kind", "m", F.size("set").alias("size"), F.explode("set").alias("x")), kinds)
-    share = lambda both, a, b: both / (F.col(a) + F.col(b) - both)
-    alike = F.size(F.array_intersect("common", "common_b"))
-    more = F.col("m") * F.col("m_b") * (share(alike + F.col("both"), "size", "size_b") - share(alike, "size", "size_b"))
-    apart = rare_pairs(rare).groupBy("grp").agg(F.sum(more).alias("apart"))
-    classes = settled(common.groupBy("grp", "common", "size").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")), "common-classes")
-    within = (F.col("m") * F.col("m") - F.col("own")) / 2 * share(F.size("common"), "size", "size")
-    other = classes.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("common", "size", "m")])
-    across = classes.join(other, "grp").where(F.struct("common", "size") < F.struct(F.col("common_b").alias("common"), F.col("size_b").alias("size")))
-    apart = apart.unionByName(classes.groupBy("grp").agg(F.sum(within).alias("apart")))
-    apart = apart.unionByName(across.groupBy("grp").agg(F.sum(F.col("m") * F.col("m_b") * share(alike, "size", "size_b")).alias("apart")))
-    total = F.col("same") + F.coalesce("apart", F.lit(0.0))
-    joined = same.join(apart.groupBy("grp").agg(F.sum("apart").alias("apart")), "grp", "left")
+    kinds = rows.groupBy("grp", F.array_sort(F.array_distinct(sets)).alias("words")).agg(F.count("*").cast("double").alias("m"))
+    kinds = settled(kinds, "kinds-of-sets")
+    same = kinds.groupBy("grp").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"), F.sum("m").alias("n"), F.count("*").alias("kinds"))
+    several = kinds.join(same.where("kinds > 1").select("grp"), "grp", "left_semi")
+    joined = same.join(jaccard_sums(several), "grp", "left")
+    total = F.col("same") + F.coalesce("total", F.lit(0.0))
     return joined.select("grp", F.when(F.col("n") > 1, total / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(1.0).alias("relations"))
 
 

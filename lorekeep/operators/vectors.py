@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,127 @@ def alike_sets(left: DataFrame, right: DataFrame | None, threshold: float) -> Da
     return met.groupBy("a", "b").applyInPandas(tile, "id long, id_b long, score double")
 
 
+#: Words in a block at most, as a rule, and pairs of a word's places that are added up at once.
+ENTRIES, MET = 1 << 21, 1 << 20
+#: A word that so many of a part's pairs share, one in this number, is cheaper as a column of a matrix than pair by pair.
+DENSE = 400
+
+
+def _word_blocks(sets: DataFrame, name: str) -> DataFrame:
+    """block, low, high, groups, counts, sizes, places, words: sets (grp, m, words) in order of their group, packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words").cast(pa.large_list(pa.large_string()))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+            at = 0
+            while at < len(words):
+                to = min(at + SETS, len(words), max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, side="right")) - 1))
+                told = words.slice(at, to - at).flatten().dictionary_encode()
+                groups = batch.column("grp")[at:to].to_numpy().astype("<i8")
+                yield pa.RecordBatch.from_pydict({
+                    "low": pa.array(groups[:1]), "high": pa.array(groups[-1:]), "groups": [groups.tobytes()],
+                    "counts": [batch.column("m")[at:to].to_numpy().astype("<f8").tobytes()], "sizes": [np.diff(ends[at : to + 1]).astype("<i4").tobytes()],
+                    "places": [told.indices.to_numpy().astype("<i4").tobytes()], "words": pa.array([told.dictionary.to_pylist()], pa.list_(pa.string())),
+                })
+                at = to
+
+    kept = sets.select(F.col("grp").cast("long").alias("grp"), F.col("m").cast("double").alias("m"), "words")
+    kept = kept.repartitionByRange("grp", F.hash("words")).sortWithinPartitions("grp")
+    made = kept.mapInArrow(pack, "low long, high long, groups binary, counts binary, sizes binary, places binary, words array<string>")
+    return settled(made.withColumn("block", F.monotonically_increasing_id()), name)
+
+
+def _met_words(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], words: int) -> np.ndarray:
+    """How many words every set of one side shares with every one of the other; a side is the set and the word of each entry."""
+    out = np.zeros(shape, np.float64)
+    here, there = (np.bincount(x[1], minlength=words) for x in (a, b))
+    dense = here.astype(np.float64) * there * DENSE > shape[0] * shape[1]
+    column = np.cumsum(dense) - 1
+    for low in range(0, int(dense.sum()), GRAMS):
+        sides = []
+        for (owner, word), n in ((a, shape[0]), (b, shape[1])):
+            fine = dense[word] & (column[word] >= low) & (column[word] < low + GRAMS)
+            side = np.zeros((n, min(GRAMS, int(dense.sum()) - low)), np.float32)
+            side[owner[fine], column[word[fine]] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    (owner, word), (other, known) = ((x[0][k], x[1][k]) for x in (a, b) for k in [~dense[x[1]]])
+    order = np.argsort(known, kind="stable")
+    other, starts = other[order], np.cumsum(np.append(0, np.where(dense, 0, there)))
+    owner, word = (x[there[word] > 0] for x in (owner, word))
+    ends = np.cumsum(there[word])
+    at = 0
+    while at < len(word):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + MET, side="right")))
+        n = there[word[at:to]]
+        nth = np.arange(int(ends[to - 1]) - done) - np.repeat(ends[at:to] - n - done, n)
+        cells = np.repeat(owner[at:to], n) * shape[1] + other[np.repeat(starts[word[at:to]], n) + nth]
+        out += np.bincount(cells, minlength=out.size).reshape(shape)
+        at = to
+    return out
+
+
+def jaccard_sums(sets: DataFrame) -> DataFrame:
+    """grp, total: the Jaccards of every two sets of a group, each times the numbers of both, added up.
+
+    sets: grp, m (how often it stands there), words (distinct); the sets of a group differ.  Every pair of a group is
+    compared, in tiles of bounded size that hand on a number for each group; a large group is dealt to many tiles, small
+    ones share one.
+    """
+    blocks = _word_blocks(sets, "word-blocks")
+    # blocks stand in order of their groups: what two of them share is the last of the one and the first of the other
+    edge = blocks.select("block", F.explode(F.array_distinct(F.array("low", "high"))).alias("edge"))
+    pairs = edge.select(F.col("block").alias("a"), "edge").join(edge.select(F.col("block").alias("b"), "edge"), "edge").where("a < b").select("a", "b")
+    pairs = pairs.distinct().unionByName(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
+    met = _tiles(blocks, blocks, ["groups", "counts", "sizes", "places", "words"], settled(pairs, "word-tiles"))
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        row = frame.iloc[0]
+        own, sides = row["a"] == row["b"], []
+        for s in "ab":
+            groups, counts, sizes, places = (np.frombuffer(row[f"{s}_{c}"], t) for c, t in (("groups", "<i8"), ("counts", "<f8"), ("sizes", "<i4"), ("places", "<i4")))
+            sides.append((groups, counts, sizes, places, np.append(0, np.cumsum(sizes, dtype=np.int64))))
+        if not own:
+            number = pc.index_in(pa.array(row["a_words"], pa.string()), value_set=pa.array(row["b_words"], pa.string()))
+            sides[0] = (*sides[0][:3], number.fill_null(-1).to_numpy()[sides[0][3]], sides[0][4])
+        words = len(row["b_words"])
+
+        def part(side: tuple[np.ndarray, ...], at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+            _, _, sizes, places, ends = side
+            word = places[ends[at] : ends[to]]
+            owner = np.repeat(np.arange(to - at), sizes[at:to])
+            return owner[word >= 0], word[word >= 0]
+
+        def narrow(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[tuple, tuple, int]:
+            """The words of both by small numbers, where few sets of a block of many words meet."""
+            kept = np.unique(np.concatenate([a[1], b[1]]))
+            return (a[0], np.searchsorted(kept, a[1])), (b[0], np.searchsorted(kept, b[1])), len(kept)
+
+        cut = lambda at, to: [(x, min(x + ROWS, to)) for x in range(at, to, ROWS)]
+        found = []
+        for group in np.intersect1d(sides[0][0], sides[1][0]):
+            spans = [np.searchsorted(side[0], [group, group + 1]) for side in sides]
+            total = 0.0
+            for x in cut(*map(int, spans[0])):
+                for y in cut(*map(int, spans[1])):
+                    if (own and y[0] < x[0]) or (own and x[1] - x[0] == 1 and x == y):
+                        continue
+                    a, b, n = narrow(part(sides[0], *x), part(sides[1], *y))
+                    both = _met_words(a, b, (x[1] - x[0], y[1] - y[0]), n)
+                    union = sides[0][2][x[0] : x[1], None] + sides[1][2][None, y[0] : y[1]] - both
+                    score = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+                    if own and x == y:
+                        score = np.triu(score, 1)
+                    total += float(sides[0][1][x[0] : x[1]] @ score @ sides[1][1][y[0] : y[1]])
+            found.append((int(group), total))
+        return pd.DataFrame(found, columns=["grp", "total"]).astype({"grp": "int64", "total": "float64"})
+
+    each = met.groupBy("a", "b").applyInPandas(tile, "grp long, total double")
+    return each.groupBy("grp").agg(F.sum("total").alias("total"))
+
+
 #: Sets in a block of sketches, words of 64 bits in a sketch, words that are compared first, and rows of a tile compared at once.
 SKETCHES, WORDS, FIRST, STRIP = 16384, 8, 2, 64
 

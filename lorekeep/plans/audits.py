@@ -196,8 +196,8 @@ def j24_three_way_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.three_way_drift(meta, take("slug % 4 = 0", "n", F.col("p_brand")), body, summaries, ("articleBody",))
 
 
-@query(rf"""WITH RECURSIVE {KB_PAGES}, p AS (SELECT *, regexp_replace(lower(title), '[\s[:punct:]]+', '', 'g') AS k1, substr(regexp_replace(lower(summary), '[\s[:punct:]]+', '', 'g'), 1, 60) AS k2,
-  list_distinct(list_filter(string_split_regex(substr(content, 1, 120), '\s+'), lambda w: length(w) > 6)) AS rels, [substr(summary, i::INT, 3) FOR i IN range(1, greatest(1, length(summary) - 2) + 1) IF length(summary) > 0] AS g FROM kb_pages WHERE NOT deleted),
+@query(rf"""WITH RECURSIVE {KB_PAGES}, p AS (SELECT *, regexp_replace(lower(title), '[\s[:punct:]]+', '', 'g') AS k1, regexp_replace(lower(summary), '[\s[:punct:]]+', '', 'g') AS k2,
+  list_distinct(list_filter(string_split_regex(content, '\s+'), lambda w: length(w) > 6)) AS rels, [substr(summary, i::INT, 3) FOR i IN range(1, greatest(1, length(summary) - 2) + 1) IF length(summary) > 0] AS g FROM kb_pages WHERE NOT deleted),
 links AS (SELECT a.page_id AS a, b.page_id AS b FROM p a JOIN p b ON a.k1 = b.k1 OR a.k2 = b.k2),
 walk AS (SELECT page_id, page_id AS other FROM p UNION SELECT w.page_id, l.b FROM walk w JOIN links l ON l.a = w.other), c AS (SELECT page_id, min(other) AS grp FROM walk GROUP BY 1),
 q AS (SELECT p.*, grp, map_from_entries([(x, len(list_filter(g, lambda y: y = x))) FOR x IN list_distinct(g)]) AS n FROM p JOIN c USING (page_id)),
@@ -211,8 +211,8 @@ v AS (SELECT *, CASE WHEN score >= 0.9 THEN 'equivalent' WHEN score <= 0.55 THEN
 f AS (SELECT *, CASE WHEN verdict = 'distinct' THEN round(1 - score, 4) ELSE score END AS confidence FROM v) SELECT *, verdict <> 'unknown' AND confidence >= 0.95 AS auto FROM f""")
 def r1_context_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = kb_pages(spark, sf_dir).where(~F.col("deleted"))
-    p = p.withColumn("relations", F.filter(F.split(F.substring("content", 1, 120), r"\s+"), lambda w: F.length(w) > 6))
-    keyed = p.select("page_id", T.norm_title(F.col("title")).alias("k1"), F.substring(T.norm_title(F.col("summary")), 1, 60).alias("k2"))
+    p = p.withColumn("relations", F.filter(F.split("content", r"\s+"), lambda w: F.length(w) > 6))
+    keyed = p.select("page_id", T.norm_title(F.col("title")).alias("k1"), T.norm_title(F.col("summary")).alias("k2"))
     groups = G.key_components(keyed, "page_id", ["k1", "k2"]).withColumnRenamed("component", "grp")
     return A.order_candidates(A.context_scan(p, groups))
 
