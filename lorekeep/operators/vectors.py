@@ -249,84 +249,217 @@ def jaccard_sums(sets: DataFrame) -> DataFrame:
     return each.groupBy("grp").agg(F.sum("total").alias("total"))
 
 
-#: Sets in a block of sketches, words of 64 bits in a sketch, words that are compared first, and rows of a tile compared at once.
-SKETCHES, WORDS, FIRST, STRIP = 16384, 8, 2, 64
+#: Postings in a block, words of 64 bits in a sketch, words that it is folded to for a first look; rows at least, columns at
+#: most and pairs, about, that meet at once.
+SKETCHES, WORDS, FIRST, STRIP, COLUMNS, CELLS = 32768, 8, 2, 16, 4096, 1 << 16
+#: Buckets in which grams are counted; postings of a task, about.
+RARITY, DEALT = 1 << 16, 100_000
 
 
-def _sketches(grams: pd.Series) -> np.ndarray:
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    codes = codes.astype("<i8").view("<u8")
+    return (codes ^ (codes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _buckets(codes: np.ndarray) -> np.ndarray:
+    return (_mixed(codes) >> np.uint64(48)).astype(np.int64) % RARITY
+
+
+def _sketches(codes: np.ndarray, owners: np.ndarray, sets: int) -> np.ndarray:
     """The parity of how many grams fall on each bit: two sets differ in no more bits than grams."""
-    bits, sizes = WORDS * 64, grams.map(len).to_numpy()
-    codes = np.concatenate(grams.to_list()).astype("<i8").view("<u8")
-    codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    places = ((codes >> np.uint64(40)) % np.uint64(bits)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(grams)), sizes) * bits + places, minlength=len(grams) * bits)
-    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1).view("<u8")
+    places = ((_mixed(codes) >> np.uint64(40)) % np.uint64(WORDS * 64)).astype(np.int64)
+    counts = np.bincount(owners * WORDS * 64 + places, minlength=sets * WORDS * 64)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, WORDS * 64), axis=1).view("<u8")
 
 
-def sketched_pairs(sets: DataFrame, cosine: float) -> DataFrame:
-    """id, id_b: pairs (id < id_b) of sets (id, grams: distinct numbers) that may reach the cosine; none that does is left out.
+def _flat(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, sizes, owners, codes of the sets (id, grams) of a batch, some at a time."""
+    for at in range(0, batch.num_rows, SETS):
+        part = batch.slice(at, SETS)
+        sizes = pc.list_value_length(part.column("grams")).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield part.column("id").to_numpy(), sizes, np.repeat(np.arange(len(sizes)), sizes), part.column("grams").flatten().to_numpy()
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many grams of all sets fall into each bucket."""
 
-    Sets of n and m grams that reach it differ in n + m - 2 * cosine * sqrt(n * m) grams at most, and their sketches in no
-    more bits.  Every pair of blocks whose sizes allow for it is compared bit by bit, in tiles of bounded size, however
-    common the grams are; tiles hold sketches alone and hand on only the pairs that pass.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for _, _, _, codes in _flat(batch):
+                counts += np.bincount(_buckets(codes), minlength=RARITY)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+
+    found = sets.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _posting_blocks(sets: DataFrame, least: float, rare: bool) -> DataFrame:
+    """block, low, high, first, last, work and packed postings (gram, reach, id, size, sketch) in order of gram and reach.
+
+    A set is posted by its rarest grams, or once by none.  ``reach`` is the size of the largest set that may be like it if the
+    gram is the rarest that both have; ``first`` and ``last`` count the postings of a block's first and last gram, ``work`` the
+    pairs of one gram in it.
     """
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets)) if rare else None
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, parts = 0, []
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, owners, codes in _flat(batch):
+                bits = _sketches(codes, owners, len(ids))
+                n, at, gram = sizes, np.arange(len(ids)), np.zeros(len(ids), np.int64)
+                reach = n / least / least
+                if shared is not None:
+                    order = np.lexsort((codes, shared.value[_buckets(codes)], owners))
+                    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # grams from here on
+                    n = sizes[owners]
+                    kept = left >= n * least * least - 1e-6
+                    n, at, gram, left = n[kept], owners[kept], codes[order][kept], left[kept]
+                    reach = np.minimum(n / least / least, (left / least) ** 2 / n)
+                data = bits[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram), pa.array((reach + 1e-6).astype(np.int32)), pa.array(ids[at]), pa.array(n.astype(np.int32)),
+                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(WORDS * 8), len(data), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())],
+                    ["gram", "reach", "id", "size", "bits"])
 
-        def block() -> pd.DataFrame:
-            ids, sizes, bits = (np.concatenate(x) for x in zip(*parts))
-            return pd.DataFrame({"low": [int(sizes.min())], "high": [int(sizes.max())], "ids": [ids.tobytes()], "sizes": [sizes.tobytes()], "bits": [bits.tobytes()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(told: pa.Table) -> pa.RecordBatch:
+            gram = told["gram"].to_numpy()
+            runs = np.diff(np.append(np.flatnonzero(np.diff(gram, prepend=gram[0] - 1)), len(gram))).astype(np.float64)
+            whole = lambda c, t: [told[c].to_numpy().astype(t).tobytes()]
+            return pa.RecordBatch.from_pydict({
+                "low": pa.array(gram[:1]), "high": pa.array(gram[-1:]), "first": runs[:1], "last": runs[-1:], "work": [float(runs @ runs) / 2],
+                "grams": whole("gram", "<i8"), "reach": whole("reach", "<i4"), "ids": whole("id", "<i8"), "sizes": whole("size", "<i4"),
+                "bits": [b"".join(told["bits"].to_pylist())],
+            })
+
+        rest = None
+        for batch in batches:
+            rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest else pa.Table.from_batches([batch])
+            while len(rest) > SKETCHES:
+                # a gram's postings stay together where a block holds them
+                gram = rest["gram"].to_numpy()
+                cut = int(np.searchsorted(gram, gram[SKETCHES])) or SKETCHES
+                yield block(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest:
+            yield block(rest)
+
+    posted = sets.mapInArrow(post, "gram long, reach int, id long, size int, bits binary")
+    prefix = F.col("n") - F.ceil(F.col("n") * least * least - 1e-6) + 1 if rare else F.lit(1)
+    rows = sets.agg(F.coalesce(F.sum(prefix), F.lit(0))).collect()[0][0]
+    posted = posted.repartitionByRange(int(min(max(rows // DEALT, 1), MOST_TASKS)), "gram", "reach", "id").sortWithinPartitions("gram", "reach")
+    made = posted.mapInArrow(pack, "low long, high long, first double, last double, work double, grams binary, reach binary, ids binary, sizes binary, bits binary")
+    return settled(made.withColumn("block", F.monotonically_increasing_id()), "sketch-blocks")
 
+
+def sketched_pairs(sets: DataFrame, cosine: float) -> DataFrame:
+    """id, id_b: pairs (id < id_b) of sets (id, grams: distinct numbers, n: how many) that may reach the cosine; none that does is left out.
+
+    Sets of n and m grams that reach it share cosine * sqrt(n * m) grams at least, so in the order from rare to common their
+    first shared gram leaves as many in either: only such sets of a gram's postings meet.  They differ in
+    n + m - 2 * cosine * sqrt(n * m) grams at most, and their sketches in no more bits.  Postings are compared in tiles of
+    bounded size, which hand on only the pairs that pass.  Where grams are so common that their postings make more pairs
+    than there are, all sets meet once instead.
+    """
+    least = cosine - 1e-9
+    kept = sets.select(F.col("id").cast("long").alias("id"), "grams", "n").where("n > 0")
+    for rare in (True, False):
+        blocks = _posting_blocks(kept, least, rare)
+        # blocks stand in order of grams: what two of them share is the last of the one and the first of the other
+        ends = F.array(F.struct(F.col("low").alias("gram"), F.col("first").alias("rows")), F.struct(F.col("high").alias("gram"), F.col("last").alias("rows")))
+        edge = blocks.select("block", F.explode(F.array_distinct(ends)).alias("edge")).select("block", "edge.gram", "edge.rows")
+        pairs = edge.join(edge.select(F.col("block").alias("b"), "gram", F.col("rows").alias("rows_b")), "gram").where("block < b")
+        pairs = settled(pairs.select(F.col("block").alias("a"), "b", (F.col("rows") * F.col("rows_b")).alias("work")), "sketch-tiles")
+        work = blocks.select("work").unionByName(pairs.select("work")).agg(F.coalesce(F.sum("work"), F.lit(0.0))).collect()[0][0]
+        if work <= kept.count() ** 2 / 2:
+            break
+    data = ["grams", "reach", "ids", "sizes", "bits"]
+
+    def side(row: pd.Series, s: str) -> tuple[np.ndarray, ...]:
+        grams, reach, ids, sizes = (np.frombuffer(row[f"{s}{c}"], t) for c, t in zip(data, ("<i8", "<i4", "<i8", "<i4"), strict=False))
+        late = reach < sizes
+        order = np.lexsort((reach, np.where(late, reach, sizes), late, grams))
+        grams, reach, ids, sizes = grams[order], reach[order], ids[order], sizes[order]
+        bits = np.ascontiguousarray(np.frombuffer(row[f"{s}bits"], "<u8").reshape(-1, WORDS)[order].T)
+        first = np.stack([np.bitwise_xor.reduce(bits[k::FIRST], axis=0) for k in range(FIRST)])
+        return grams, reach, ids, sizes.astype(np.float64), bits, first
+
+    most = lambda n, m: n + m - 2 * least * np.sqrt(n * m) + 1e-6
+
+    def strip(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], rows: tuple[int, int], columns: tuple[int, int], own: bool) -> tuple[np.ndarray, np.ndarray]:
+        (at, to), (low, high) = rows, columns
+        n, m = x[3][at:to], y[3][low:high]
+        large, small = max(n.max(), m.max()), min(n.max(), m.max())
+        bound = min(2 * (1 - least) * min(large, small / least / least) + 1e-6, FIRST * 64)
+        d = np.zeros((to - at, -(high - low) // 8 * -8), np.uint8)
+        d[:, high - low :] = 255
+        for w in range(FIRST):
+            d[:, : high - low] += np.bitwise_count(x[5][w, at:to, None] ^ y[5][w, None, low:high])
+        # eight at a time: few pass
+        cells = (np.flatnonzero((d <= int(bound)).view(np.uint64).ravel())[:, None] * 8 + np.arange(8)).ravel()
+        i, j = np.divmod(cells[d.ravel()[cells] <= int(bound)], d.shape[1])
+        i, j = i + at, j + low
+        keep = (y[1][j] >= x[3][i]) & (x[1][i] >= y[3][j])
+        if own:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        apart = np.zeros(len(i), np.int64)
+        for w in range(WORDS):
+            apart += np.bitwise_count(x[4][w, i] ^ y[4][w, j])
+        keep = apart <= most(x[3][i], y[3][j])
+        return x[2][i[keep]], y[2][j[keep]]
+
+    def compared(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], own: bool) -> pd.DataFrame:
+        found = []
+
+        def meet(x: tuple, y: tuple, rows: tuple[int, int], columns: tuple[int, int], own: bool) -> None:
+            """Rows in order of reach or size with columns in order of size."""
+            sizes, i = y[3][columns[0] : columns[1]], rows[0]
+            while i < rows[1]:
+                for step in (STRIP, None):
+                    end = min(i + (step or min(max(STRIP, CELLS // max(to - at, 1)), ROWS)), rows[1])
+                    at = columns[0] + int(np.searchsorted(sizes, x[3][i:end].min() * least * least - 1e-6))
+                    to = columns[0] + int(np.searchsorted(sizes, x[1][i:end].max(), side="right"))
+                    at = max(at, i) if own else at
+                for j in range(at, to, COLUMNS):
+                    found.append(strip(x, y, (i, end), (j, min(j + COLUMNS, to)), own))
+                i = end
+
+        for gram in np.intersect1d(x[0], y[0]):
+            spans = []
+            for one in (x, y):
+                low, high = np.searchsorted(one[0], [gram, gram + 1])
+                # sets that reach their own size, then those that can only be the larger of two
+                late = low + int(np.searchsorted(one[1][low:high] < one[3][low:high], True))
+                spans.append((int(low), late, int(high)))
+            (low, late, high), (low_b, late_b, high_b) = spans
+            if own and high - low == 1:
+                continue
+            meet(x, y, (low, late), (low_b, late_b), own)
+            meet(x, y, (late, high), (low_b, late_b), False)
+            if not own:
+                meet(y, x, (late_b, high_b), (low, late), False)
+        one, two = (np.concatenate([f[k] for f in found]) if found else np.array([], np.int64) for k in (0, 1))
+        return pd.DataFrame({"id": np.minimum(one, two), "id_b": np.maximum(one, two)}).drop_duplicates()
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), SETS):
-                part = frame.iloc[start : start + SETS]
-                parts.append((part["id"].to_numpy("<i8"), part["grams"].map(len).to_numpy("<i4"), _sketches(part["grams"])))
-                at += len(part)
-                if at >= SKETCHES:
-                    yield block()
-                    at, parts = 0, []
-        if parts:
-            yield block()
-
-    least, size = cosine - 1e-9, F.size("grams")
-    kept = sets.select(F.col("id").cast("long").alias("id"), "grams").where(size > 0).repartitionByRange(size, "id").sortWithinPartitions(size, "id")
-    blocks = kept.mapInPandas(pack, "low int, high int, ids binary, sizes binary, bits binary").withColumn("block", F.monotonically_increasing_id())
-    blocks = settled(blocks, "sketch-blocks")
-    a, b = [blocks.select(F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in "ab"]
-    fits = (F.col("a_high") >= F.col("b_low") * least * least) & (F.col("b_high") >= F.col("a_low") * least * least)
-    met = _tiles(blocks, blocks, ["ids", "sizes", "bits"], a.crossJoin(b).where(fits & (F.col("a") <= F.col("b"))).select("a", "b"))  # a row for thousands of sets
+            for _, row in frame.iterrows():
+                x = side(row, "")
+                yield compared(x, x, True)
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
         row = frame.iloc[0]
-        ids, ids_b = np.frombuffer(row.a_ids, "<i8"), np.frombuffer(row.b_ids, "<i8")
-        sizes, sizes_b = [np.frombuffer(x, "<i4").astype(np.float64) for x in (row.a_sizes, row.b_sizes)]
-        bits, bits_b = [np.ascontiguousarray(np.frombuffer(x, "<u8").reshape(-1, WORDS).T) for x in (row.a_bits, row.b_bits)]
-        most = lambda n, m: n + m - 2 * least * np.sqrt(n * m)
-        apart = lambda x, y: np.bitwise_count(x ^ y)
-        found = []
-        for x in range(0, len(ids), STRIP):
-            n = sizes[x : x + STRIP]
-            # sizes ascend within a block
-            y, end = np.searchsorted(sizes_b, [n[0] * least * least - 1e-6, n[-1] / least / least + 1e-6])
-            if y == end:
-                continue
-            # convex in either size: the bound is largest at the ends
-            bound = max(most(p, q) for p in (n[0], n[-1]) for q in (sizes_b[y], sizes_b[end - 1])) + 1e-6
-            d = np.zeros((len(n), end - y), np.uint16)
-            for w in range(FIRST):
-                d += apart(bits[w, x : x + STRIP, None], bits_b[w, None, y:end])
-            i, j = np.nonzero(d <= bound)
-            d, i, j = d[i, j], i + x, j + y
-            for w in range(FIRST, WORDS):
-                d += apart(bits[w, i], bits_b[w, j])
-            keep = d <= most(sizes[i], sizes_b[j]) + 1e-6
-            one, two = ids[i[keep]], ids_b[j[keep]]
-            keep = one < two if row.a == row.b else one != two
-            found.append(pd.DataFrame({"id": np.minimum(one, two)[keep], "id_b": np.maximum(one, two)[keep]}))
-        return pd.concat(found) if found else pd.DataFrame({"id": np.array([], np.int64), "id_b": np.array([], np.int64)})
-
-    return met.groupBy("a", "b").applyInPandas(tile, "id long, id_b long")
+        return compared(side(row, "a_"), side(row, "b_"), False)
+
+    schema = "id long, id_b long"
+    inside = blocks.select(*data).repartition(int(min(max(blocks.count(), 1), MOST_TASKS))).mapInPandas(within, schema)
+    met = _tiles(blocks, blocks, data, pairs.select("a", "b").distinct()).groupBy("a", "b").applyInPandas(tile, schema)
+    return inside.unionByName(met).distinct()
 
 
 def nearest_alone(questions: DataFrame, truth: DataFrame, threshold: float = 0.8) -> DataFrame:
