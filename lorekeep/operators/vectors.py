@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.graphs import settled
 
-#: Vectors in a block: a tile of their products is 32 MB.
-BLOCK = 2048
+#: Vectors in a block; bytes of a side of a tile; questions of a tile that meet a block at once: their products are 8 MB.
+BLOCK, SIDE, ASKED = 2048, 1 << 24, 512
 
 
 def _blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -462,30 +462,65 @@ def sketched_pairs(sets: DataFrame, cosine: float) -> DataFrame:
     return inside.unionByName(met).distinct()
 
 
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """tile, asks, ids, width, data: blocks of both sides, a few megabytes of either in each tile, dealt to all tiles they belong to.
+
+    So a vector is shuffled once for every few megabytes of the other side, not once for each of its blocks.
+    """
+    sides = []
+    for rows, name in ((left, "a"), (right, "b")):
+        before = F.sum(F.length("data")).over(Window.partitionBy("width").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        # a row for thousands of vectors
+        sides.append(rows.select("block", "width", F.floor(F.coalesce(before, F.lit(0)) / SIDE).alias(name)))
+    places = sides[0].select("width", "a").distinct().join(sides[1].select("width", "b").distinct(), "width")
+    tiles = settled(places.withColumn("tile", F.monotonically_increasing_id()), "vector-tiles")
+    rows = [
+        rows.join(side.join(tiles, ["width", name]).select("block", "tile"), "block").select("tile", F.lit(name == "a").alias("asks"), "ids", "width", "data")
+        for rows, side, name in ((left, sides[0], "a"), (right, sides[1], "b"))
+    ]
+    # a number that is told is not merged into a few tasks
+    return rows[0].unionByName(rows[1]).repartition(int(max(1, min(2 * tiles.count(), MOST_TASKS))), "tile")
+
+
 def nearest_alone(questions: DataFrame, truth: DataFrame, threshold: float = 0.8) -> DataFrame:
     """question_id, truth_id, cosine: the truth nearest to each question, of that cosine or more, if no other is as near.
 
-    Both hold id and vector.  Blocks of questions meet blocks of truths of one width in tasks of bounded size; each
-    tile gives its best two a question, so a tie is seen wherever its sides stand.  Vectors that are null, zero or hold
-    broken components take no part.
+    Both hold id and vector.  Questions meet truths of one width in tiles of bounded size; each tile gives a question's
+    best cosine with the least and the greatest truth that has it, so a tie is seen wherever its sides stand.  Vectors
+    that are null, zero or hold broken components take no part.
     """
-    left, right = _blocks(questions, "question-blocks"), _blocks(truth, "truth-blocks")
-    met = _tiles(left, right, ["ids", "data"], left.select("width", F.col("block").alias("a")).join(right.select("width", F.col("block").alias("b")), "width").select("a", "b"))
+    met = _sides(_blocks(questions, "question-blocks"), _blocks(truth, "truth-blocks"))
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
-        row = frame.iloc[0]
-        asked, known = np.frombuffer(row.a_ids, "<i8"), np.frombuffer(row.b_ids, "<i8")
-        scores = np.round(np.frombuffer(row.a_data).reshape(len(asked), -1) @ np.frombuffer(row.b_data).reshape(len(known), -1).T, 9)
-        two = min(2, len(known))
-        order = np.argpartition(-scores, two - 1, axis=1)[:, :two]
-        found = np.take_along_axis(scores, order, axis=1)
-        a, n = np.nonzero(found >= threshold)
-        return pd.DataFrame({"question_id": asked[a], "truth_id": known[order[a, n]], "cosine": found[a, n]})
-
-    found = met.groupBy("a", "b").applyInPandas(tile, "question_id long, truth_id long, cosine double")
-    best = found.groupBy("question_id").agg(F.max("cosine").alias("cosine"))
-    alone = found.join(best, ["question_id", "cosine"]).groupBy("question_id", "cosine").agg(F.min("truth_id").alias("truth_id"), F.count_distinct("truth_id").alias("n"))
-    return alone.where("n = 1").select("question_id", "truth_id", "cosine")
+        asks = frame["asks"].to_numpy(bool)
+        asked, known = ([(np.frombuffer(i, "<i8"), np.frombuffer(d).reshape(-1, w)) for i, d, w in zip(part["ids"], part["data"], part["width"], strict=True)] for part in (frame[asks], frame[~asks]))
+        found = []
+        for ids, data in asked:
+            for at in range(0, len(ids), ASKED):
+                rows, near = ids[at : at + ASKED], []
+                for truths, other in known:
+                    scores = data[at : at + ASKED] @ other.T
+                    most = scores.max(axis=1)
+                    # what rounds to a row's best is near it
+                    least = np.maximum(most, threshold) - 2e-9
+                    some = np.flatnonzero(most >= least)
+                    i, j = np.nonzero(scores[some] >= least[some, None])
+                    near.append((some[i], truths[j], np.round(scores[some[i], j], 9)))
+                i, j, score = (np.concatenate([n[k] for n in near]) for k in range(3))
+                best = np.full(len(rows), -2.0)
+                np.maximum.at(best, i, score)
+                i, j = i[score == best[i]], j[score == best[i]]
+                low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
+                np.minimum.at(low, i, j)
+                np.maximum.at(high, i, j)
+                kept = best >= threshold
+                found.append(pd.DataFrame({"question_id": rows[kept], "cosine": best[kept], "low": low[kept], "high": high[kept]}))
+        return pd.concat(found) if found else pd.DataFrame({"question_id": [], "cosine": [], "low": [], "high": []}).astype({"question_id": "int64", "low": "int64", "high": "int64"})
+
+    found = met.groupBy("tile").applyInPandas(tile, "question_id long, cosine double, low long, high long")
+    each = found.groupBy("question_id", "cosine").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    best = each.groupBy("question_id").agg(F.max(F.struct("cosine", "low", "high")).alias("best"))
+    return best.where("best.low = best.high").select("question_id", F.col("best.low").alias("truth_id"), "best.cosine")
 
 
 def unmatched_by_vector(matched: DataFrame, questions: DataFrame, truth: DataFrame, threshold: float = 0.8) -> DataFrame:
